@@ -72,7 +72,7 @@ class Ordinal:
         return [1 / (1 + math.exp(-max(-700.0, min(700.0, score - t)))) for t in self.thresholds]
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, weight: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of least mean negative log-likelihood plus ridge, by Adam on the exact gradient.
 
     The thresholds are a first one and the logarithms of the steps to the next, so they stay in order.
@@ -80,8 +80,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, ridge: float = 1
     n, d = x.shape
     parameters = np.zeros(d + levels - 1)
     parameters[d] = 1.0
-    weight = 1 / np.bincount(grades, minlength=levels)[grades].clip(1)
-    weight *= 1 / weight.sum()
+    weight = np.ones(n) / n if weight is None else weight / weight.sum()
     m = np.zeros_like(parameters)
     v = np.zeros_like(parameters)
     for step in range(1, steps + 1):
@@ -105,9 +104,15 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, ridge: float = 1
     return parameters[:d], np.cumsum(np.r_[parameters[d], np.exp(parameters[d + 1 :])])
 
 
+def marked_rows(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """(doc_id, label) with label 0 or 1; a document with both counts as 1."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    return rows.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, limit: int) -> DataFrame:
     """(doc_id, text, label): up to ``limit`` labelled documents for each of the labels 0 and 1, by a hash of their keys."""
-    marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    marked = marked_rows(labels, label, key)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.filter("label = 1").orderBy(*order).limit(limit).unionByName(marked.filter("label = 0").orderBy(*order).limit(limit))
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -177,7 +182,9 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     raw = np.where(y == 1, 1 + sum((rows["marks"].to_numpy() > m).astype(int) for m in GRADE_MARKS), 0)
     present = np.unique(raw)
     grades = np.searchsorted(present, raw)
-    weights, cuts = fit_ordinal(x, grades, len(present))
+    # the sample holds the labels in other shares than all labelled documents
+    share = {r["label"]: r["count"] for r in marked_rows(labels, label, key).groupBy("label").count().collect()}
+    weights, cuts = fit_ordinal(x, grades, len(present), np.where(y == 1, share[1] / n1, share[0] / n0))
     return Ordinal(dict(zip(top, weights.tolist())), tuple(cuts.tolist()))
 
 
