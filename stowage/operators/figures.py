@@ -117,12 +117,12 @@ def is_tiny(files: str = "files", size: str = "size"):
     return (F.col(files) >= TINY_FILES) & (F.col(size) <= F.col(files) * TINY_MEAN)
 
 
-def ranked_tables(figures: DataFrame, held: DataFrame, threshold: int = 0) -> dict[str, DataFrame]:
+def ranked_tables(figures: DataFrame, held: DataFrame, threshold: int = 0, dup_share: float = DUP_SHARE) -> dict[str, DataFrame]:
     """Candidates of the tables of duplicated, cold and tiny folders, best first."""
     rows = figures.join(held, "folder", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     big = rows.filter(F.col("size") >= threshold)
     return {
-        "dup": big.filter((F.col("held") > 0) & (F.col("held") >= DUP_SHARE * F.col("size"))).orderBy(F.desc("held"), "folder"),
+        "dup": big.filter((F.col("held") > 0) & (F.col("held") >= dup_share * F.col("size"))).orderBy(F.desc("held"), "folder"),
         "cold": big.filter((F.col("cold") > 0) & (F.col("cold") >= COLD_SHARE * F.col("size"))).orderBy(F.desc("cold"), "folder"),
         "tiny": rows.filter(is_tiny()).orderBy(F.desc("files"), "folder"),
     }
@@ -138,7 +138,7 @@ def layout(files: DataFrame, figures: DataFrame, root: str, threshold: int, max_
     ladder = [threshold]
     for _ in range(64):
         ladder.append(max(ladder[-1] * 2, 1))
-    steps = F.array(*[F.lit(t).cast("decimal(38,0)") for t in ladder])
+    steps = F.array(*[F.lit(str(t)).cast("decimal(38,0)") for t in ladder])
 
     def level(size):
         """Last step at which an entry of this size is shown; -1 for none."""

@@ -109,7 +109,7 @@ def kinds_older(cube: DataFrame) -> DataFrame:
     """Per kind and age in years: bytes strictly older, loose and in tarballs."""
     years = F.explode(F.slice(F.array(*[F.lit(y) for y in K.AGES]), 1, F.col("age"))).alias("years")
     loose = F.when(F.col("how") == "loose", F.col("size")).otherwise(0.0)
-    return cube.filter("age > 0").select("kind", years, loose.alias("loose"), (F.col("size") - loose).alias("tarred")).groupBy("kind", "years").agg(F.sum("loose").alias("loose"), F.sum("tarred").alias("tarred"))
+    return cube.select("kind", years, loose.alias("loose"), (F.col("size") - loose).alias("tarred")).groupBy("kind", "years").agg(F.sum("loose").alias("loose"), F.sum("tarred").alias("tarred"))
 
 
 def kinds_totals(cube: DataFrame) -> DataFrame:
