@@ -94,16 +94,17 @@ class Complements:
         return min(self.left[x] // n for x, n in Counter(combination).items())
 
     def pair(self, total: int, less: tuple[int, ...] = ()) -> tuple[int, ...] | None:
-        """The pair of this sum with the largest member that is available besides ``less``."""
+        """The most even pair of this sum that is available besides ``less``: short pieces stay for gaps that only they fill."""
         if total < 2:
             return None
-        both = self.bits & (self.mirror >> (self.capacity - total))
-        both >>= total - total // 2  # each pair once, by its larger member
-        while both:
-            a = both.bit_length() - 1 + total - total // 2
+        middle = total - total // 2
+        larger = (self.bits & (self.mirror >> (self.capacity - total))) >> middle  # each pair once, by its larger member
+        while larger:
+            lowest = larger & -larger
+            a = middle + lowest.bit_length() - 1
             if a < total and self.available((*less, a, total - a)):
                 return a, total - a
-            both &= ~(1 << (both.bit_length() - 1))
+            larger ^= lowest
         return None
 
     def fill(self, first: int) -> tuple[int, ...] | None:
@@ -115,14 +116,14 @@ class Complements:
             return first, gap
         if two := self.pair(gap, (first,)):
             return first, *two
-        rest = self.bits & ((1 << gap) - 1)
+        third = -(-gap // 3)
+        rest = (self.bits & ((1 << gap) - 1)) >> third
         while rest:
-            a = rest.bit_length() - 1
-            if 3 * a < gap:
-                break
+            lowest = rest & -rest
+            a = third + lowest.bit_length() - 1
             if two := self.pair(gap - a, (first, a)):
                 return first, a, *two
-            rest &= ~(1 << a)
+            rest ^= lowest
         return None
 
 
