@@ -21,7 +21,7 @@ def build_trie(rules: list[Rule]) -> dict:
     is matched as a prefix.  Of equal rules with different verdicts, block wins.
     """
     root: dict = {}
-    for host, path, verdict in sorted(rules, key=lambda r: r[2], reverse=True):
+    for host, path, verdict in sorted(rules, key=lambda r: r[2]):
         node = root
         for label in reversed(host.split(".")):
             node = node.setdefault("." + label, {})
@@ -87,7 +87,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
                 rule, verdict = list(pdf["rule"]), list(pdf["verdict"])
                 for k, (host, path) in enumerate(zip(pdf["host"], pdf["path"])):
                     found = longest_match(trie, host, path)
-                    if found and (rule[k] is None or rank(found[0]) > rank(rule[k])):
+                    if found and (rule[k] is None or rank(*found) > rank(rule[k], verdict[k])):
                         rule[k], verdict[k] = found
                 yield pdf.assign(rule=pd.Series(rule, index=pdf.index, dtype=object), verdict=pd.Series(verdict, index=pdf.index, dtype=object))
 
@@ -95,5 +95,6 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
-def rank(rule: str) -> tuple[int, int]:
-    return rule.split("/", 1)[0].count("."), len(rule)
+def rank(rule: str, verdict: str) -> tuple[int, int, bool]:
+    """Precedence of a rule that fits: host labels, then length, then block."""
+    return rule.split("/", 1)[0].count("."), len(rule), verdict == "block"
