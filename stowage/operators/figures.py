@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
+from .reports import inside
 from .tree import folders_of, rollup, spread_up
 
 # Shares and sizes that decide what is shown.
@@ -57,7 +58,7 @@ def held_elsewhere(files: DataFrame, least: int = 1) -> DataFrame:
 
 def page_reclaimable(files: DataFrame, folder: str) -> DataFrame:
     """Bytes that could go from below ``folder``: of each content all copies there, less one if there is none elsewhere."""
-    here = paths.in_subtree(F.col("folder"), folder)
+    here = inside(files, folder)
     groups = (
         files.filter(F.col("content_hash").isNotNull() & (F.col("size") > 0)).groupBy("content_hash")
         .agg(F.count("*").alias("n"), F.count_if(here).alias("m"), F.sum(F.when(here, F.col("size"))).alias("bytes"), F.max(F.when(here, F.col("size"))).alias("most"))
@@ -144,24 +145,23 @@ def layout(files: DataFrame, figures: DataFrame, root: str, threshold: int, max_
         """Last step at which an entry of this size is shown; -1 for none."""
         return F.size(F.filter(steps, lambda t: t <= size)) - 1
 
-    inside = paths.in_subtree(F.col("folder"), root)
-    dirs = figures.filter(inside).withColumns({"parent": paths.parent(F.col("folder")), "level": level(F.col("size"))})
-    dirs = dirs.withColumn("level", F.when(F.col("folder") == root, len(ladder)).otherwise(F.col("level")))
-    own = files.filter(inside).select("folder", "name", "size", level(F.col("size")).alias("level"))
-    children = dirs.filter(F.col("folder") != root).select(F.col("parent").alias("folder"), "level").unionByName(own.select("folder", "level"))
+    dirs = figures.filter(inside(figures, root)).withColumns({"parent": paths.parent(F.col("folder")), "level": level(F.col("size"))})
+    dirs = dirs.withColumn("level", F.when(F.lower("folder") == root.lower(), len(ladder)).otherwise(F.col("level")))
+    own = files.filter(inside(files, root)).select("folder", "name", "size", level(F.col("size")).alias("level"))
+    children = dirs.filter(F.lower("folder") != root.lower()).select(F.col("parent").alias("folder"), "level").unionByName(own.select("folder", "level"))
     least = children.groupBy("folder").agg(F.min("level").alias("least"))
     # a shown folder has a fold at a step once one of its entries is not shown there
     each = dirs.join(least, "folder", "left")
     counts = each.select(F.col("level").alias("shown"), F.coalesce("least", F.lit(len(ladder))).alias("least")).groupBy("shown", "least").agg(F.count("*").alias("n")).collect()
     own_counts = {r["level"]: r["n"] for r in own.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    top = figures.filter(F.col("folder") == root).select("size").first()
+    top = figures.filter(F.lower("folder") == root.lower()).select("size").first()
     step = 0
     for step in range(len(ladder)):
         rows = sum(r["n"] * (1 + (r["least"] < step)) for r in counts if r["shown"] >= step) + sum(n for at, n in own_counts.items() if at >= step)
         if rows <= max_rows or ladder[step] > (top["size"] if top else 0):
             break
     shown_dirs, shown_files = dirs.filter(F.col("level") >= step), own.filter(F.col("level") >= step)
-    dir_rows = shown_dirs.select(F.lit("dir").alias("kind"), F.when(F.col("folder") == root, F.lit(None)).otherwise(F.col("parent")).alias("parent"), F.col("folder").alias("name"), "size", "files", "folders", F.lit(0).cast("long").alias("entries"))
+    dir_rows = shown_dirs.select(F.lit("dir").alias("kind"), F.when(F.lower("folder") == root.lower(), F.lit(None)).otherwise(F.col("parent")).alias("parent"), F.col("folder").alias("name"), "size", "files", "folders", F.lit(0).cast("long").alias("entries"))
     file_rows = shown_files.select(F.lit("file").alias("kind"), F.col("folder").alias("parent"), "name", "size", F.lit(1).cast("long").alias("files"), F.lit(0).cast("long").alias("folders"), F.lit(0).cast("long").alias("entries"))
     taken = (
         dir_rows.filter("parent is not null").select("parent", "size", "files", (F.col("folders") + 1).alias("folders"), F.lit(1).alias("n"))

@@ -21,7 +21,7 @@ def sort_out(entries: DataFrame, shard_path: str = "") -> dict[str, DataFrame]:
     fallback = F.concat(F.lit(shard_path.rstrip("/") + "/"), F.coalesce("name", F.lit("")))
     rows = entries.withColumn("at", F.coalesce("path", fallback)).withColumn("digest", values.hash_bytes(F.col("content_hash")))
     files = rows.filter("tag = 'file'").select(
-        "shard_id", "seq", "id", paths.parent(F.col("at")).alias("folder"), F.coalesce("name", paths.basename(F.col("at"))).alias("name"),
+        "shard_id", "seq", "id", paths.parent(F.col("at")).alias("folder"), F.lower(paths.parent(F.col("at"))).alias("folder_lower"), F.coalesce("name", paths.basename(F.col("at"))).alias("name"),
         paths.extension(F.coalesce("name", paths.basename(F.col("at")))).alias("ext"), F.coalesce("size", F.lit(0)).alias("size"), F.lower(F.hex("digest")).alias("content_hash"), "rev",
         values.epoch(F.col("client_modified")).alias("modified"), values.epoch(F.col("server_modified")).alias("server_modified"), "downloadable", "modified_by",
     )

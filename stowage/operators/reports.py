@@ -6,16 +6,21 @@ duplicate of anything, a null date never old.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
 from .tree import rollup
 
 
+def inside(files: DataFrame, folder: str) -> Column:
+    """Whether a file is at or below a folder, without case; reaches the scan if the listing stores ``folder_lower``."""
+    return paths.in_subtree(F.col("folder_lower") if "folder_lower" in files.columns else F.lower("folder"), folder)
+
+
 def under(files: DataFrame, folder: str | None) -> DataFrame:
     """Files at or below a folder; all for None."""
-    return files if folder is None else files.filter(paths.in_subtree(F.col("folder"), folder))
+    return files if folder is None else files.filter(inside(files, folder))
 
 
 def reconcile(files: DataFrame, reported: int) -> DataFrame:
@@ -74,8 +79,8 @@ def top_level(files: DataFrame, root: str = "") -> DataFrame:
     """The rollup of the folders right below ``root``."""
     level = root.rstrip("/").count("/") + 1
     at = F.array_join(F.slice(F.split("folder", "/"), 1, level + 1), "/")
-    inside = under(files, root) if root.rstrip("/") else files
-    deep = inside.filter(paths.depth(F.col("folder")) >= level)
+    below = under(files, root) if root.rstrip("/") else files
+    deep = below.filter(paths.depth(F.col("folder")) >= level)
     return deep.groupBy(at.alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 

@@ -15,9 +15,12 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.archives import segment_chain
+
 BLOCK = 512
 #: Bytes read at once while looking for a header, and the least and most read for headers.
 SCAN, WINDOW = 1 << 20, (1 << 16, 1 << 22)
@@ -175,13 +178,13 @@ class SegmentPartition(InputPartition):
         self.archive_id, self.paths, self.segment = archive_id, paths, segment
 
 
-def scan(p: SegmentPartition) -> tuple[list[tuple], tuple]:
-    """Members of one segment, and the row that tells of it."""
+def scan(p: SegmentPartition, start: int | None = None) -> tuple[list[tuple], tuple]:
+    """Members of one segment, and the row that tells of it; ``start``: where the chain is known to enter it."""
     parts = Parts(p.paths)
     begin = parts.begins[p.segment]
     stop = parts.begins[p.segment + 1] if p.segment + 1 < len(p.paths) else None
     members: list[tuple] = []
-    head = 0 if p.segment == 0 else first_header(parts, begin, stop)
+    head = start if start is not None else 0 if p.segment == 0 else first_header(parts, begin, stop)
     if head is None:  # all of the part is a member's data, or what follows the end
         return members, (p.archive_id, p.segment, begin, stop, None, None, "beyond", 0, "")
     try:
@@ -194,13 +197,16 @@ def scan(p: SegmentPartition) -> tuple[list[tuple], tuple]:
 class TarReader(DataSourceReader):
     def __init__(self, options: dict, segments: bool):
         self.archives, self.segments = json.loads(options["parts"]), segments
+        self.starts = {(a, i): at for a, i, at in json.loads(options.get("starts", "[]"))}
+        self.only = options.get("only", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
         found = [(os.path.getsize(path), SegmentPartition(a["archive_id"], a["parts"], i)) for a in self.archives for i, path in enumerate(a["parts"])]
-        return [p for _, p in sorted(found, key=lambda x: -x[0])]  # the largest start first
+        wanted = [(n, p) for n, p in found if not self.only or (p.archive_id, p.segment) in self.starts]
+        return [p for _, p in sorted(wanted, key=lambda x: -x[0])]  # the largest start first
 
     def read(self, partition: SegmentPartition) -> Iterator[tuple]:
-        members, segment = scan(partition)
+        members, segment = scan(partition, self.starts.get((partition.archive_id, partition.segment)))
         yield from [segment] if self.segments else members
 
 
@@ -237,6 +243,39 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TarSegments)
 
 
+def index(spark: SparkSession, archives: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """Members and segments of archives once their chains are joined.
+
+    A part's first valid header may lie in a member's data, or behind a long name that begins in the part before; its segment is
+    then walked anew from where the one before left off.  The driver holds one row for each part, and a
+    round walks only the segments that were wrong, one in each archive.
+    """
+    register(spark)
+    told = json.dumps(archives)
+    read = lambda kind, **more: spark.read.format(kind).option("parts", told).options(**more).load()
+    found = {(r["archive_id"], r["idx"]): r for r in read("tar_segments").collect()}
+    starts: dict[tuple[int, int], int] = {}
+    while True:
+        wrong = {}
+        for a in archives:
+            for i in range(1, len(a["parts"])):
+                before, own = found[a["archive_id"], i - 1], found[a["archive_id"], i]
+                if before["state"] != "crossed":
+                    break
+                if own["first_header"] != before["exit_offset"]:
+                    wrong[a["archive_id"], i] = before["exit_offset"]
+                    break
+        if not wrong:
+            break
+        starts |= wrong
+        again = json.dumps([[*k, at] for k, at in wrong.items()])
+        found |= {(r["archive_id"], r["idx"]): r for r in read("tar_segments", starts=again, only="true").collect()}
+    known = json.dumps([[*k, at] for k, at in starts.items()])
+    segments = segment_chain(spark.createDataFrame(list(found.values()), SEGMENTS))
+    proven = segments.filter("joined").select("archive_id", F.col("idx").alias("segment"))
+    return read("tar_members", starts=known).join(proven, ["archive_id", "segment"], "left_semi"), segments
+
+
 def read_member(paths: list[str], hdr_offset: int, *, dir: str, name: str, size: int) -> bytes:
     """Content of one member, refused if the header there is not the one that was indexed."""
     parts = Parts(paths)
