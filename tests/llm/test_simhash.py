@@ -96,3 +96,36 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 498: 498, 499: 498, 500: 498}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_similar_shingle_sets(spark):
+    """Copies with a few words changed link, other texts do not; against the exact similarity of all pairs."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    rows = []
+    for _ in range(40):
+        words = [word() for _ in range(300)]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(r.choice([0, 1, 2, 3, 40])):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, " "), (902, "Only three words"), (903, "only  three words")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {k: shingles(t) for k, t in rows}
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = {g["doc_id"]: g["component_id"] for g in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    keys = sorted(sets)
+    sure = [(a, b) for a in keys for b in keys if a < b and likeness(a, b) >= 0.87]
+    assert len(sure) > 100 and all(got[a] == got[b] for a, b in sure)
+    for g in set(got.values()):
+        members = [k for k in keys if got[k] == g]
+        assert all(max((likeness(a, b) for b in members if b != a), default=1) >= 0.7 for a in members)
+    # many equal first words of the fingerprint, compared in pieces
+    wide = np.zeros((700, 2), np.uint64)
+    wide[:, 1] = np.repeat(np.array([0, 2**40 - 1], np.uint64), 350) ^ (np.uint64(1) << np.arange(700, dtype=np.uint64) % np.uint64(3))
+    assert len(set(simhash.trie_links(np.zeros(700, np.uint64), None, 4, simhash.allowance(8, 0), wide).tolist())) == 2
