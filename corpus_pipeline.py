@@ -30,8 +30,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays; repeated rows of it stay once."""
-    kept = simhash.near_groups(simhash.fingerprints(docs)).filter("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of documents whose five-word shingles are similar by 0.8 or more, the row with the smallest doc_id stays; repeated rows of it stay once."""
+    kept = simhash.near_copies(docs, words=5, similarity=0.8).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
