@@ -27,6 +27,8 @@ MAX_FEATURES, MIN_EVIDENCE, MIN_TEXTS = 1000, 25.0, 3
 BEGINNINGS = (4, 5, 6)
 #: Marks of a labelled toxic text above which its grade is 2 and 3.
 GRADE_MARKS = (2, 5)
+#: Probability of a grade from which a text is taken to have it.
+REJECT = 0.3
 TOKEN = re.compile(r"[^\W_]+")
 #: Features of single tokens that a worker remembers.
 MAX_TOKENS = 200_000
@@ -78,6 +80,8 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, weight: np.ndarr
     The thresholds are a first one and the logarithms of the steps to the next, so they stay in order.
     """
     n, d = x.shape
+    row, column = np.nonzero(x)  # few features occur in a text
+    value = x[row, column].astype(float)
     parameters = np.zeros(d + levels - 1)
     parameters[d] = 1.0
     weight = np.ones(n) / n if weight is None else weight / weight.sum()
@@ -85,7 +89,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, weight: np.ndarr
     v = np.zeros_like(parameters)
     for step in range(1, steps + 1):
         cuts = np.cumsum(np.r_[parameters[d], np.exp(parameters[d + 1 :])])
-        score = x @ parameters[:d]
+        score = np.bincount(row, value * parameters[column], n)
         up = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -50, 50)))  # P(grade > k)
         edges = np.column_stack([np.ones(n), up, np.zeros(n)])
         p = np.maximum(edges[np.arange(n), grades] - edges[np.arange(n), grades + 1], 1e-12)
@@ -97,7 +101,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, weight: np.ndarr
         np.add.at(by_cut, grades + 1, -weight * upper / p)
         by_cut = by_cut[1:levels]
         tail = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.r_[x.T @ by_score + ridge * parameters[:d], tail[0], tail[1:] * np.exp(parameters[d + 1 :])]
+        gradient = np.r_[np.bincount(column, value * by_score[row], d) + ridge * parameters[:d], tail[0], tail[1:] * np.exp(parameters[d + 1 :])]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         parameters -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -188,7 +192,7 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     return Ordinal(dict(zip(top, weights.tolist())), tuple(cuts.tolist()))
 
 
-def grade(documents: DataFrame, model: Ordinal, *, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+def grade(documents: DataFrame, model: Ordinal, *, key: str = "doc_id", text: str = "text", least: float = REJECT) -> DataFrame:
     """(doc_id, severity, grade, toxic) of every row by its whole text.
 
     severity: the expected grade; grade: the number of thresholds passed with probability ``least`` or more; toxic: 1 from grade 1 on, else 0.
@@ -207,7 +211,7 @@ def grade(documents: DataFrame, model: Ordinal, *, key: str = "doc_id", text: st
     return rows.mapInPandas(run, "doc_id long, severity double, grade int, toxic int")
 
 
-def keep_clean(documents: DataFrame, model: Ordinal, *, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_clean(documents: DataFrame, model: Ordinal, *, text: str = "text", least: float = REJECT) -> DataFrame:
     """The rows of ``documents``, with all their columns, that are not toxic."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
