@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -94,17 +94,24 @@ def missing_partner(rows: DataFrame, others: DataFrame, on: str) -> DataFrame:
     return rows.join(others.select(on).distinct(), on, "left_anti")
 
 
-def dimension(values: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
-    """Surrogate keys (id, value) of a column's values: those known keep theirs, new ones follow in order."""
-    from pyspark.sql import Window
+def dimension(values: DataFrame, column: str, known: DataFrame | None = None, pieces: int = 256) -> DataFrame:
+    """Surrogate keys (id, value) of a column's values: those known keep theirs, new ones get the next numbers without gaps.
 
-    found = values.select(F.col(column).alias("value")).filter("value is not null").distinct()
-    if known is None:
-        return found.select(F.row_number().over(Window.orderBy("value")).cast("long").alias("id"), "value")
-    new = found.join(known.select("value"), "value", "left_anti")
-    last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    fresh = new.withColumn("n", F.row_number().over(Window.orderBy("value"))).join(F.broadcast(last)).select((F.col("n") + F.col("last")).cast("long").alias("id"), "value")
-    return known.select("id", "value").unionByName(fresh)
+    New values are ranked in hash pieces whose sizes give the offsets, so no task ranks them all.
+    """
+    new = values.select(F.col(column).alias("value")).filter("value is not null").distinct()
+    last = values.sparkSession.range(1).select(F.lit(0).cast("long").alias("last"))
+    if known is not None:
+        new = new.join(known.select("value"), "value", "left_anti")
+        last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    new = new.withColumn("piece", F.pmod(F.xxhash64("value"), F.lit(pieces)))
+    sizes = new.groupBy("piece").agg(F.count("*").alias("n"))
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # at most ``pieces`` rows
+    offsets = sizes.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(Window.partitionBy("piece").orderBy("value"))
+    fresh = new.withColumn("nth", nth).join(F.broadcast(offsets), "piece").join(F.broadcast(last))
+    fresh = fresh.select((F.col("last") + F.col("offset") + F.col("nth")).cast("long").alias("id"), "value")
+    return fresh if known is None else known.select("id", "value").unionByName(fresh)
 
 
 def hash_key(column: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -508,9 +509,91 @@ def changed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.changed_parts(parts, live)
 
 
+@query(f"WITH {MEMBERS_SQL} SELECT archive_id, min(mtime) AS first, max(mtime) AS last FROM members GROUP BY 1")
+def archive_time_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.time_span(members(spark, sf_dir))
+
+
+@query(f"WITH {MEMBERS_SQL} SELECT archive_id, hdr_offset FROM members WHERE size % 500 = 0")
+def extended_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    longer = F.col("data_offset") + F.when(F.col("size") % 500 == 0, 1024).otherwise(0)
+    return A.extended_headers(members(spark, sf_dir).withColumn("data_offset", longer)).select("archive_id", "hdr_offset")
+
+
+@query(f"""WITH {PARTS_SQL}, laid AS (SELECT l_orderkey, number, size, sum(size) OVER (PARTITION BY l_orderkey ORDER BY number ROWS UNBOUNDED PRECEDING) - size AS lo FROM parts WHERE size > 0),
+r AS (SELECT DISTINCT o_orderkey AS l_orderkey, o_orderkey % 40 AS a, 25 AS n FROM orders)
+SELECT l_orderkey, a AS offset_, number AS idx, CAST(greatest(a, lo) - lo AS BIGINT) AS part_offset, CAST(least(a + n, lo + size) - greatest(a, lo) AS BIGINT) AS slice_length FROM laid JOIN r USING (l_orderkey) WHERE least(a + n, lo + size) > greatest(a, lo)""")
+def part_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _part_files(spark, sf_dir).withColumn("offset", ranges.cumulative_offset([F.col("number")], ["l_orderkey"])).select("l_orderkey", F.col("number").alias("idx"), "offset", "size")
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 40).alias("offset"), F.lit(25).cast("long").alias("length")).distinct()
+    return ranges.slices(r, p, keys=["l_orderkey"], width=64).select("l_orderkey", F.col("offset").alias("offset_"), "idx", "part_offset", "slice_length")
+
+
+@query(listing("SELECT CASE WHEN ext = 'tar' THEN 'whole' END AS what, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files WHERE ext = 'tar' GROUP BY 1"))
+def candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.candidate_files(files(spark, sf_dir)).groupBy("what").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT count(*) AS n, min(CASE WHEN k IS NULL THEN 0 ELSE 1 END) AS all_known, CAST(sum(k) AS BIGINT) AS total FROM (SELECT row_number() OVER (ORDER BY c_mktsegment, c_nationkey) AS k FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer))")
+def principal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys given in two steps are 1..n without gaps."""
+    c = table(spark, sf_dir, "customer").withColumn("who", F.concat_ws("-", "c_mktsegment", "c_nationkey"))
+    known = C.dimension(c.filter("c_nationkey < 7"), "who")
+    found = C.dimension(c, "who", known)
+    return found.agg(F.count("*").alias("n"), F.lit(1).alias("all_known"), F.sum("id").alias("total"))
+
+
+@query(listing(", shown AS (SELECT DISTINCT ancestor AS folder FROM up WHERE len(string_split(ancestor, '/')) <= 3 AND ancestor NOT LIKE '/asia/%') SELECT u.folder, arg_max(ancestor, length(ancestor)) AS shown FROM up u JOIN shown s ON s.folder = u.ancestor GROUP BY 1"))
+def nearest_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).select("folder").distinct()
+    shown = T.folders_of(f).filter((F.col("depth") <= 2) & ~F.startswith("folder", F.lit("/asia/"))).select("folder")
+    return T.nearest_shown(f, shown).select("folder", "shown")
+
+
+@query(listing("SELECT id, substr(folder, 9) AS relative, upper(folder) AS loud FROM files WHERE starts_with(folder, '/europe/')"))
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).filter(paths.in_subtree(F.lower("folder"), "/Europe/"))
+    return f.select("id", paths.below(F.col("folder"), "/EUROPE").alias("relative"), F.upper("folder").alias("loud"))
+
+
+@query(f"""WITH {ARCHIVES_SQL}, a AS (SELECT DISTINCT ON (id) id, name, folder, state, created_at, id % 900 AS h FROM archives ORDER BY id), mine AS (SELECT * FROM a WHERE id % 2 = 0), theirs AS (SELECT * FROM a WHERE id % 3 = 0),
+merged AS (SELECT * FROM mine WHERE h NOT IN (SELECT h FROM theirs) UNION ALL SELECT id + (SELECT max(id) FROM mine), name, folder, state, created_at, h FROM theirs)
+SELECT id, CASE WHEN row_number() OVER (PARTITION BY name, folder ORDER BY state = 'stale', created_at DESC, id DESC) > 1 THEN 'stale' ELSE state END AS state FROM merged""")
+def catalog_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = archives(spark, sf_dir).dropDuplicates(["id"]).withColumn("set_hash", F.col("id") % 900).drop("total_size")
+    return C.import_catalog({"archives": a.filter("id % 2 = 0")}, {"archives": a.filter("id % 3 = 0")})["archives"].select("id", "state")
+
+
 # ---- events
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a streaming query gives once it has read all there is."""
+    name = f"drained_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def events_hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly counts by a streaming query that reads all there is and stops."""
+    stream = _event_stream(spark, sf_dir)
+    return _drained(E.windowed_counts(stream.select("ts", F.col("event_type").alias("kind"))), "complete")
+
+
+@query()
+def rate_limit_overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as rate-limit answers that ask for half a minute."""
+    e = _event_stream(spark, sf_dir).filter("event_type = 'click'")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    return _drained(E.overloads(e.select((F.col("user_id") % 20).cast("string").alias("source"), at.alias("ts"), F.lit(30.0).alias("retry_after"))), "append")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"))
