@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import dimension, matrix, usable
+from .vectors import dimension, keyed, matrix, usable
 
 #: Projected dimensions (even, for the closed form of the law), rows in a leaf, and leaves verified between two tests.
 PROJECTED, LEAF, STRIDE = 8, 32, 8
@@ -131,13 +131,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: flo
 
     Every row is in one of the kd-trees, of PART rows or so; blocks of QUERIES queries meet each of them, so
     neither side is ever collected.  Ties go to the smaller key.  Vectors that are null, zero, of another length
-    than most, or hold null or non-finite components take no part; rows that repeat key and vector count once.
+    than most, or hold null or non-finite components take no part, nor do rows without a key; rows that repeat key and vector count once.
     """
     spark = vectors.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-        return rows.filter(usable(F.col("vector")) & F.col("id").isNotNull())
+        return keyed(df, key, vector).filter(usable(F.col("vector")))
 
     rows, asked = clean(vectors), clean(queries)
     dim = dimension(rows, "vector")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, parallelism
-from .vectors import dimension, matrix, usable
+from .vectors import dimension, keyed, matrix, usable
 
 #: Expected vectors in a filter, and the largest block that one task compares with itself or another block.
 BUCKET, BLOCK = 256, 2048
@@ -146,10 +146,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, key: str = "
     Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing.
     Equal vectors are joined before the search and count as each other's links; rows that repeat key and vector
     count once and are returned once.  component_id is the smallest key reachable, itself included; kept
-    marks it.  A filter with more than BLOCK vectors is compared block by block.  Further columns are ignored.
+    marks it.  Rows without a key are left out.  A filter with more than BLOCK vectors is compared block by block.  Further columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = keyed(vectors, key, vector).withColumnRenamed("id", "vec_id")
+    kind = dict(rows.dtypes)["vector"]
     good = rows.filter(usable(F.col("vector")))
     dim = dimension(good, "vector")
     lonely = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -170,7 +171,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, key: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["vector", "rep", "copies", "caps"])
 
     spread = same.repartition(parallelism(spark), "rep")
-    decoded = materialize(spread.mapInArrow(caps, "vector array<float>, rep long, copies long, caps array<long>"))
+    decoded = materialize(spread.mapInArrow(caps, f"vector {kind}, rep long, copies long, caps array<long>"))
     sizes = decoded.select(F.explode("caps").alias("cap")).groupBy("cap").agg(F.count("*").alias("n"))
     # stored first: Spark then knows its size, and broadcasts it only if that is small
     heavy = materialize(sizes.filter(F.col("n") > BLOCK).select("cap", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts")))

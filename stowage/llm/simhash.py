@@ -230,8 +230,8 @@ def links(distinct: DataFrame, words: list[str], budget: int, part: int, limit:
 
 
 def grouped(fps: DataFrame, words: list[str], find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Adds component_id, the smallest doc_id reachable by the links that ``find`` sees, to rows (doc_id, words...); equal fingerprints are joined first."""
-    fps = materialize(fps)
+    """Adds component_id, the smallest doc_id reachable by the links that ``find`` sees, to rows (doc_id, words...); equal fingerprints are joined first, rows without a doc_id left out."""
+    fps = materialize(fps.filter("doc_id is not null"))
     distinct = materialize(fps.groupBy(*words).agg(F.min("doc_id").alias("rep")))
     found = components(find(distinct))
     joined = distinct.join(found, distinct["rep"] == found["id"], "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
@@ -247,7 +247,7 @@ def near_duplicates(documents: DataFrame, *, words: int = 4, budget: int = 4, ke
     """(doc_id, fingerprint, component_id) of every document, linked at ``budget`` or fewer differing bits.
 
     fingerprint: 16 lower-case hex digits.  Null and blank texts have the fingerprint zero and are linked like any other;
-    repeated rows are returned repeatedly; further columns are ignored.
+    repeated rows are returned repeatedly, rows without a key left out; further columns are ignored.
     """
     found = near_groups(fingerprints(documents, words, key=key, text=text), budget)
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")

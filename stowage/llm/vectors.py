@@ -14,6 +14,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, vector) of the rows that have a key; floats stay floats, every other component type becomes double."""
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector")).filter("id is not null")
+
+
 def dimension(vectors: DataFrame, column: str) -> int | None:
     """The commonest length (of equally common ones the smallest), or None without rows."""
     found = vectors.groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()

@@ -77,7 +77,7 @@ def documents(seed=0):
 
 def test_groups_through_spark_in_parts(spark, monkeypatch):
     rows = documents()
-    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, bits string, component_id int")
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in [*rows, (None, "no key")]], "doc_id long, text string, bits string, component_id int")
     got = simhash.near_duplicates(df).collect()
     assert len(got) == len(rows)
     prints = {k: plain_fingerprint(t) for k, t in rows}

@@ -24,6 +24,8 @@ def test_pages():
     assert text.startswith("A story of it word") and "more" in text and "Home" not in text and "Terms" not in text
     for odd in [None, "", "<", "<p", "</p></p>", "<!--", "<script>alert(1)", "&nbsp;", "<article>"]:
         assert html_text.main_text(odd) == ""
+    assert html_text.main_text("<article><p title=\"odd>a</p> <a href='x' y=\">b</a><p>c &lt; d</p></article>") != ""
+    assert html_text.main_text("<article>" + "<p x='" * 2000) is not None
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 

@@ -20,7 +20,7 @@ def vectors(n=400, dim=16, seed=0, unit=True):
 
 
 def frame(spark, x):
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + BAD + [(0, x[0].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + BAD + [(0, x[0].tolist()), (None, x[0].tolist())]
     return spark.createDataFrame([(i, v, 1, "c") for i, v in rows], "vec_id long, embedding array<float>, rank int, component_id string")
 
 
@@ -104,3 +104,11 @@ def test_chi_square():
     assert ann.chi_square_cdf(ann.stop_ratio(0.97)) == pytest.approx(0.97)
     draws = (np.random.default_rng(0).standard_normal((20_000, ann.PROJECTED)) ** 2).sum(1)
     assert (draws <= ann.stop_ratio(0.9)).mean() == pytest.approx(0.9, abs=0.01)
+
+
+def test_doubles_stay_doubles(spark):
+    x = [[1.0 + 1e-12, 0.0], [1.0, 0.0], [0.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {(g["query_id"], g["vec_id"]): g["score"] for g in ann.nearest(df, df.filter("vec_id = 0"), 2).collect()}
+    assert got == {(0, 1): 1.0 + 1e-12, (0, 2): 0.0}
+    assert {g["vec_id"]: g["n_links"] for g in embedding_dedup.near_duplicates(df).collect()} == {0: 1, 1: 1, 2: 0}
