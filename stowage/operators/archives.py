@@ -51,25 +51,28 @@ def candidate_sets(files: DataFrame) -> DataFrame:
     """
     rows = part_rows(files)
     entry = F.struct("number", "name", F.coalesce(F.lower("content_hash"), F.lit("")).alias("content_hash"), "size")
+    length, digits = F.when(~F.col("whole"), F.length("suffix")), F.when(~F.col("whole"), F.col("suffix").rlike(r"^\d+$"))
     sets = rows.groupBy("folder", "base").agg(
         F.sum("size").alias("size"), F.count("*").cast("int").alias("n_parts"), F.count_if("whole").alias("wholes"), F.count_if("foreign").alias("foreigns"),
-        F.count_distinct(F.when(~F.col("whole"), F.length("suffix"))).alias("widths"), F.count_distinct(F.when(~F.col("whole"), F.col("suffix").rlike(r"^\d+$"))).alias("styles"),
-        F.min("number").alias("first"), F.max("number").alias("last"), F.count_distinct("number").alias("numbers"), F.min("suffix").alias("lowest"),
-        F.sort_array(F.collect_list(entry)).alias("entries"),
+        F.min(length).alias("narrow"), F.max(length).alias("wide"), F.min(digits).alias("style"), F.max(digits).alias("other_style"),
+        F.min("number").alias("first"), F.max("number").alias("last"), F.min("suffix").alias("lowest"), F.sort_array(F.collect_list(entry)).alias("entries"),
     )
+    numbers = F.size(F.array_distinct(F.transform("entries", lambda e: e["number"])))
     holder = F.regexp_extract(F.substring_index("folder", "/", -1), PART, 1)
     reason = (
         F.when(holder == F.col("base"), "its parts are in separate folders")
         .when((F.col("wholes") > 0) & (F.col("n_parts") > 1), "it exists alongside other files of its name")
         .when(F.col("wholes") > 0, F.lit(None).cast("string"))
         .when(F.col("foreigns") > 0, "a file is not a part of it")
-        .when(F.col("widths") > 1, "mixed suffix widths")
-        .when(F.col("styles") > 1, "mixed suffix styles")
+        .when(F.col("narrow") < F.col("wide"), "mixed suffix widths")
+        .when(F.col("style") != F.col("other_style"), "mixed suffix styles")
         .when(F.col("first") > F.when(F.col("lowest").rlike(r"^\d"), 1).otherwise(0), "its first part is missing")
-        .when(F.col("last") - F.col("first") + 1 != F.col("numbers"), "a part is missing")
+        .when(F.col("last") - F.col("first") + 1 != numbers, "a part is missing")
     )
     judged = sets.withColumn("reason", reason).withColumn("set_hash", F.when(F.col("reason").isNull(), values.set_hash(F.col("entries"))).otherwise(""))
-    order = Window.partitionBy("set_hash", F.col("reason").isNull()).orderBy(F.desc("size"), "folder", "base")
+    # refused sets have no identity: each is a group of its own
+    alone = F.when(F.col("reason").isNull(), "").otherwise(F.concat("folder", F.lit("/"), "base"))
+    order = Window.partitionBy("set_hash", alone).orderBy(F.desc("size"), "folder", "base")
     first = F.first(F.concat("folder", F.lit("/"), "base")).over(order)
     nth = F.row_number().over(order)
     fine = F.col("reason").isNull()
@@ -125,11 +128,18 @@ def repeated_paths(members: DataFrame) -> DataFrame:
     return members.withColumn("times", n).filter("times > 1")
 
 
-def follows(members: DataFrame) -> DataFrame:
-    """Adds ``next_header``, and ``contiguous``: whether it is where this member's padded data ends."""
-    order = Window.partitionBy("archive_id").orderBy("hdr_offset")
-    rows = members.withColumn("next_header", F.lead("hdr_offset").over(order))
-    return rows.withColumn("contiguous", F.col("next_header") == F.col("data_offset") + values.tar_padded(F.col("size")))
+def follows(members: DataFrame, width: int = 1 << 30) -> DataFrame:
+    """Adds ``next_header``, and ``contiguous``: whether it is where this member's padded data ends.
+
+    An archive is sorted in stretches of ``width`` bytes; a stretch's last member is followed by the first of the next stretch that has any.
+    """
+    rows = members.withColumn("_stretch", F.floor(F.col("hdr_offset") / F.lit(width)))
+    firsts = rows.groupBy("archive_id", "_stretch").agg(F.min("hdr_offset").alias("_first"))
+    firsts = firsts.select("archive_id", "_stretch", F.lead("_first").over(Window.partitionBy("archive_id").orderBy("_stretch")).alias("_after"))
+    inside = F.lead("hdr_offset").over(Window.partitionBy("archive_id", "_stretch").orderBy("hdr_offset"))
+    rows = rows.withColumn("_inside", inside).join(firsts, ["archive_id", "_stretch"]).withColumn("next_header", F.coalesce("_inside", "_after"))
+    rows = rows.withColumn("contiguous", F.col("next_header") == F.col("data_offset") + values.tar_padded(F.col("size")))
+    return rows.select(*members.columns, "next_header", "contiguous")
 
 
 def extended_headers(members: DataFrame) -> DataFrame:
@@ -194,14 +204,14 @@ def changed_parts(parts: DataFrame, listing: DataFrame) -> DataFrame:
 
     change: missing, resized or rewritten; unchanged parts are left out.
     """
-    by_id = listing.filter("id is not null and id <> ''").select(F.col("id").alias("dbx_id"), F.struct("size", "content_hash").alias("of_id"))
+    by_id = listing.filter("id is not null and id <> ''").select(F.col("id").alias("file_id"), F.struct("size", "content_hash").alias("of_id"))
     by_name = listing.select(F.col("name"), F.struct("size", "content_hash").alias("of_name"))
     found = F.coalesce("of_id", "of_name")
     change = (
         F.when(found.isNull(), "missing").when(found["size"] != F.col("size"), "resized")
         .when(~found["content_hash"].eqNullSafe(F.col("content_hash")), "rewritten")
     )
-    return parts.join(by_id, "dbx_id", "left").join(by_name, "name", "left").select("archive_id", "idx", change.alias("change")).filter("change is not null")
+    return parts.join(by_id, "file_id", "left").join(by_name, "name", "left").select("archive_id", "idx", change.alias("change")).filter("change is not null")
 
 
 def run_plan(candidates: DataFrame, archives: DataFrame, segments: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +24,27 @@ def binned_range_join(points: DataFrame, spans: DataFrame, *, at: str, begin: st
     return joined.drop(left["_bin"]).drop(right["_bin"])
 
 
-def as_of_join(points: DataFrame, marks: DataFrame, *, at: str, mark: str, keys: list[str], values: list[str]) -> DataFrame:
+def as_of_join(points: DataFrame, marks: DataFrame, *, at: str, mark: str, keys: list[str], values: list[str], bucket: Callable[[Column], Column] = lambda _: F.lit(0)) -> DataFrame:
     """points with ``values`` of the latest row of marks (same keys) whose ``mark`` is at or before ``at``; null before the first.
 
-    Both sides are sorted together once, with a running last value; nothing is compared pairwise.
+    Both sides are sorted together once, with a running last value; nothing is compared pairwise.  ``bucket`` cuts a key's
+    time line into stretches that are sorted apart, so a hot key is no single task's: it is a rising function of at and mark,
+    such as ``lambda t: F.floor(t / 3600)``.  A stretch starts with the last value of the ones before.
     """
     fill = [F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values]
-    own = [c for c in points.columns]
-    left = points.select(*own, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("boolean").alias("_set"), *fill)
+    own = points.columns
+    left = points.select(*own, F.col(at).alias("_at"), F.lit(1).alias("_side"), *[f.alias("_" + v) for f, v in zip(fill, values)])
     nulls = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in own if c not in keys]
-    right = marks.select(*keys, *nulls, F.col(mark).alias("_at"), F.lit(0).alias("_side"), F.lit(True).alias("_set"), *values)
-    before = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    packed = F.last(F.when(F.col("_set"), F.struct(*values)), ignorenulls=True).over(before)
-    both = left.unionByName(right).withColumn("_found", packed).filter("_side = 1")
-    return both.select(*own, *[F.col("_found")[v].alias(v) for v in values])
+    right = marks.select(*keys, *nulls, F.col(mark).alias("_at"), F.lit(0).alias("_side"), *[F.col(v).alias("_" + v) for v in values])
+    both = left.unionByName(right).withColumn("_stretch", bucket(F.col("_at")))
+    packed = F.when(F.col("_side") == 0, F.struct(*["_" + v for v in values]))
+    before = Window.partitionBy(*keys, "_stretch").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last(packed, ignorenulls=True).over(before)).filter("_side = 1")
+    ends = both.groupBy(*keys, "_stretch").agg(F.max_by(packed, F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_stretch", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    joined = found.join(carried, [*keys, "_stretch"]).withColumn("_found", F.coalesce("_found", "_carried"))
+    return joined.select(*own, *[F.col("_found")["_" + v].alias(v) for v in values])
 
 
 def cumulative_offset(order: list[Column], keys: list[str], size: str = "size") -> Column:

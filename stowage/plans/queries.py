@@ -431,7 +431,7 @@ def range_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select("event_id", "user_id", "ts")
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
-    return ranges.as_of_join(e, o, at="ts", mark="o_orderdate", keys=["user_id"], values=["o_orderkey"]).drop("ts")
+    return ranges.as_of_join(e, o, at="ts", mark="o_orderdate", keys=["user_id"], values=["o_orderkey"], bucket=lambda t: F.year(t)).drop("ts")
 
 
 @query(f"""WITH {MEMBERS_SQL}, x AS (SELECT *, size > 0 AND type IN ('0', chr(0), '7') AS f, coalesce(nullif(regexp_extract(lower(name), '^.+\\.([^.]{{1,12}})$', 1), ''), '(none)') AS e FROM members),
@@ -454,7 +454,7 @@ def repeated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MEMBERS_SQL} SELECT archive_id, hdr_offset, lead(hdr_offset) OVER w AS next_header, lead(hdr_offset) OVER w = data_offset + (size + 511) // 512 * 512 AS contiguous FROM members WINDOW w AS (PARTITION BY archive_id ORDER BY hdr_offset)")
 def member_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.follows(members(spark, sf_dir)).select("archive_id", "hdr_offset", "next_header", "contiguous")
+    return A.follows(members(spark, sf_dir), 8192).select("archive_id", "hdr_offset", "next_header", "contiguous")
 
 
 @query(f"""WITH {MEMBERS_SQL} SELECT archive_id, CASE WHEN dir = '' THEN name ELSE dir || '/' || name END AS path, type, size, '0644' AS mode, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS mtime, hdr_offset FROM members""")
@@ -504,7 +504,7 @@ def changed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     last = F.col("o_custkey") % 10
     o = o.select("o_orderkey", "o_custkey", F.floor("o_totalprice").alias("size"), F.concat(F.col("o_orderkey").cast("string"), F.lit("-"), F.col("o_custkey").cast("string")).alias("key"))
-    parts = o.select(F.col("o_orderkey").alias("archive_id"), F.lit(0).alias("idx"), F.col("key").alias("name"), F.col("key").alias("dbx_id"), "size", F.lit("h").alias("content_hash"))
+    parts = o.select(F.col("o_orderkey").alias("archive_id"), F.lit(0).alias("idx"), F.col("key").alias("name"), F.col("key").alias("file_id"), "size", F.lit("h").alias("content_hash"))
     live = o.filter(last != 1).select(F.when(last == 4, "").otherwise(F.col("key")).alias("id"), F.col("key").alias("name"), F.when(last == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(last == 3, "g").otherwise("h").alias("content_hash"))
     return A.changed_parts(parts, live)
 

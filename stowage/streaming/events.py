@@ -30,9 +30,16 @@ def last_hour(events: DataFrame, kind: str, now: float) -> DataFrame:
 
 
 def pace(events: DataFrame, seconds: int = 3600, key: str = "kind") -> DataFrame:
-    """Adds the count of the key's events in the ``seconds`` up to each; events(ts_s long)."""
-    frame = Window.partitionBy(key).orderBy("ts_s").rangeBetween(-seconds, 0)
-    return events.withColumn("in_window", F.count("*").over(frame))
+    """Adds the count of the key's events in the ``seconds`` up to each; events(ts_s long).
+
+    Each event stands in its own stretch of ``seconds`` and in the next one, which together hold all that a count can reach; so a
+    frequent key is counted stretch by stretch.
+    """
+    own = F.floor(F.col("ts_s") / F.lit(seconds))
+    both = events.withColumn("_own", own).withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    frame = Window.partitionBy(key, "_stretch").orderBy("ts_s").rangeBetween(-seconds, 0)
+    counted = both.withColumn("in_window", F.count("*").over(frame)).filter("_own = _stretch")
+    return counted.select(*events.columns, "in_window")
 
 
 def rates(ticks: DataFrame, key: str = "run") -> DataFrame:

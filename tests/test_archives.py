@@ -54,6 +54,8 @@ def test_range_joins(spark):
     found = rows(ranges.as_of_join(p, spark.createDataFrame(marks, "k int, m long, n int"), at="at", mark="m", keys=["k"], values=["n"]), "k", "at", "n")
     want = [(k, x, max(((m, n) for j, m, n in marks if j == k and m <= x), default=(0, None))[1]) for k, x in points]
     assert sorted(map(str, found)) == sorted(map(str, want))
+    cut = ranges.as_of_join(p, spark.createDataFrame(marks, "k int, m long, n int"), at="at", mark="m", keys=["k"], values=["n"], bucket=lambda t: F.floor(t / 37))
+    assert sorted(map(str, rows(cut, "k", "at", "n"))) == sorted(map(str, want))
 
 
 def test_slices(spark):
@@ -162,6 +164,6 @@ def test_catalog_import_and_forget(spark):
 
 
 def test_changed_parts(spark):
-    parts = spark.createDataFrame([(1, 0, "n0", "id0", 5, "h"), (1, 1, "n1", "id1", 5, "h"), (1, 2, "n2", "", 5, "h"), (1, 3, "n3", "id3", 5, "h")], "archive_id long, idx int, name string, dbx_id string, size long, content_hash string")
+    parts = spark.createDataFrame([(1, 0, "n0", "id0", 5, "h"), (1, 1, "n1", "id1", 5, "h"), (1, 2, "n2", "", 5, "h"), (1, 3, "n3", "id3", 5, "h")], "archive_id long, idx int, name string, file_id string, size long, content_hash string")
     live = spark.createDataFrame([("id0", "moved", 5, "h"), ("id9", "n1", 6, "h"), ("x", "n2", 5, "g")], "id string, name string, size long, content_hash string")
     assert rows(A.changed_parts(parts, live), "idx", "change") == [(1, "resized"), (2, "rewritten"), (3, "missing")]

@@ -179,8 +179,8 @@ def test_keep_prefix(spark):
 
 def test_rules_file(tmp_path):
     p = tmp_path / "r.toml"
-    p.write_text('recorded = ["GeoNet"]\n')
-    assert KF.load_rules(str(p)).recorded == ("geonet",) and KF.load_rules(None) == KF.Rules()
+    p.write_text('recorded = ["Stations"]\n')
+    assert KF.load_rules(str(p)).recorded == ("stations",) and KF.load_rules(None) == KF.Rules()
     for bad in ("x = [1]", 'keep = "a"', "keep = [1]", "= ="):
         p.write_text(bad)
         with pytest.raises(KF.RulesError):
