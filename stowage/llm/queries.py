@@ -87,7 +87,21 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+#: op2 by comparing all pairs and following links; fine for the table that the SQL check uses.
+EMBEDDING_SQL = """
+WITH RECURSIVE good AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT DISTINCT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), degree AS (SELECT u, count(*) AS n FROM links GROUP BY 1)
+SELECT r.u AS vec_id, coalesce(max(d.n), 0) AS n_links, min(r.v) AS component_id, r.u = min(r.v) AS kept FROM reach r LEFT JOIN degree d ON d.u = r.u GROUP BY r.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op8_url_filter": URL_FILTER_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op2_embedding_dedup": EMBEDDING_SQL, "op8_url_filter": URL_FILTER_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
