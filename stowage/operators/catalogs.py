@@ -69,12 +69,11 @@ def import_catalog(mine: dict[str, DataFrame], theirs: dict[str, DataFrame]) ->
             raise ValueError(f"the catalogs' tables {name} differ")
     replaced = mine["archives"].join(theirs["archives"].select("set_hash"), "set_hash", "left_semi").select(F.col("id").alias("archive_id"))
     kept = forget(mine, replaced)
-    # both sides of the shift are single numbers
     shift = mine["archives"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("shift"))
     out = {}
     for name, t in theirs.items():
         key = "id" if name == "archives" else "archive_id"
-        moved = t.join(F.broadcast(shift)).withColumn(key, F.col(key) + F.col("shift")).select(*mine[name].columns)
+        moved = t.withColumn(key, F.col(key) + shift.scalar()).select(*mine[name].columns)
         out[name] = kept[name].select(*mine[name].columns).unionByName(moved)
     out["archives"] = mark_superseded(out["archives"])
     return out
@@ -109,8 +108,8 @@ def dimension(values: DataFrame, column: str, known: DataFrame | None = None, pi
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # at most ``pieces`` rows
     offsets = sizes.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     nth = F.row_number().over(Window.partitionBy("piece").orderBy("value"))
-    fresh = new.withColumn("nth", nth).join(F.broadcast(offsets), "piece").join(F.broadcast(last))
-    fresh = fresh.select((F.col("last") + F.col("offset") + F.col("nth")).cast("long").alias("id"), "value")
+    fresh = new.withColumn("nth", nth).join(F.broadcast(offsets), "piece")
+    fresh = fresh.select((last.scalar() + F.col("offset") + F.col("nth")).cast("long").alias("id"), "value")
     return fresh if known is None else known.select("id", "value").unionByName(fresh)
 
 

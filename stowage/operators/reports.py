@@ -99,9 +99,11 @@ def extension_profile(files: DataFrame, limit: int = 40, folder: str | None = No
 
 def stats(files: DataFrame, shards: DataFrame) -> DataFrame:
     """One row: files, bytes, and shards by state."""
-    a = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
-    states = [F.count_if(F.col("state") == s).alias(s) for s in ("pending", "running", "done", "error")]
-    return a.join(shards.agg(F.count("*").alias("shards"), *states))  # one row on either side
+    names = ("pending", "running", "done", "error")
+    ours = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    theirs = shards.agg(F.count("*").alias("shards"), *[F.count_if(F.col("state") == s).alias(s) for s in names])
+    both = ours.unionByName(theirs, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def errors_preview(shards: DataFrame, limit: int = 5) -> DataFrame:
