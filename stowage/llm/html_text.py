@@ -34,7 +34,7 @@ INLINE = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What an element's name, class, id or role says about its content.
-BOILERPLATE_NAMES = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "figcaption"}
+BOILERPLATE_NAMES = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent",
     "contentinfo", "cookie", "cookies", "copyright", "dialog", "disqus", "footer", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav",
