@@ -47,7 +47,7 @@ def walk(files: DataFrame, rules: K.Rules = K.Rules(), archives: DataFrame | Non
     """
     oldest = files.filter(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("modified").alias("oldest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     facts = files.select("folder").distinct().withColumn("facts", K.folder_facts(F.lower("folder"), rules))
-    rows = at_or_below(files, under).join(oldest, "content_hash", "left").join(facts, "folder").withColumn("low", F.lower("name"))
+    rows = at_or_below(files, under).join(oldest, "content_hash", "left").join(facts, "folder").withColumn("low", F.lower("name")).withColumn("low_ext", paths.raw_extension(F.col("low")))
     if archives is None:
         rows = rows.withColumns({"archive_id": F.lit(None).cast("long"), "trusted": F.lit(None).cast("boolean")})
         by_owner = F.lit(None).cast("string")
@@ -56,15 +56,15 @@ def walk(files: DataFrame, rules: K.Rules = K.Rules(), archives: DataFrame | Non
         owners = part_owners(trust, parts).join(trust.select(F.col("id").alias("archive_id"), "trusted", F.lower("name").alias("a_name"), F.lower(F.coalesce("folder", F.lit(""))).alias("a_folder")), "archive_id")
         rows = rows.withColumn("digest", F.lower("content_hash")).join(owners.withColumnRenamed("content_hash", "digest"), "digest", "left")
         by_owner = K.archive_kind(K.folder_facts(F.col("a_folder"), rules), F.col("a_name"))
-    own_kind = K.classify(F.col("facts"), F.col("low"))
-    own_kind = F.when((own_kind == "vm") & F.col("facts.keep"), "vm_kept").otherwise(own_kind)
     owned = F.col("archive_id").isNotNull()
-    judged = rows.filter(~F.coalesce("trusted", F.lit(False))).withColumn("kind", F.when(owned, by_owner).otherwise(own_kind))
-    named = F.col("archive_id").isNotNull() | (F.col("kind") == "lf_mix") | F.col("low").rlike(K.TARLIKE)
+    # column by column, so that the long CASE stands in the plan once
+    judged = rows.filter(~F.coalesce("trusted", F.lit(False))).withColumn("own_kind", K.classify(F.col("facts"), F.col("low"), F.col("low_ext")))
+    kind = F.when(owned, by_owner).when((F.col("own_kind") == "vm") & F.col("facts.keep"), "vm_kept").otherwise(F.col("own_kind"))
+    judged = judged.withColumn("kind", kind).withColumn("named", owned | (F.col("kind") == "lf_mix") | F.col("low").rlike(K.TARLIKE))
     loose = judged.select(
-        "folder", "size", F.when(named, "name").otherwise("loose").alias("how"),
-        F.when(named, F.col("modified")).otherwise(F.coalesce("oldest", "modified")).alias("date"),
-        F.explode(F.when(named, K.shares(F.col("kind"))).otherwise(F.array(F.struct(F.col("kind").alias("kind"), F.lit(1.0).alias("share"))))).alias("s"),
+        "folder", "size", F.when(F.col("named"), "name").otherwise("loose").alias("how"),
+        F.when(F.col("named"), F.col("modified")).otherwise(F.coalesce("oldest", "modified")).alias("date"),
+        F.explode_outer(K.shares(F.col("kind"))).alias("s"),  # never empty; outer, or its CASE would be pushed down as a filter
     ).select("folder", F.col("s.kind").alias("kind"), (F.col("size") * F.col("s.share")).alias("size"), "how", "date")
     if archives is None:
         return loose
@@ -78,7 +78,7 @@ def walk(files: DataFrame, rules: K.Rules = K.Rules(), archives: DataFrame | Non
     kinds = inside.join(places, "place").withColumn("kind", K.classify(F.col("facts"), F.col("low")))
     # members of one kind and date count together before they meet the archive's copies
     grouped = kinds.groupBy("archive_id", "kind", "mtime", "listed").agg(F.sum("size").alias("size"))
-    shared = grouped.join(aside, "archive_id").withColumn("s", F.explode(K.shares(F.col("kind"))))
+    shared = grouped.join(aside, "archive_id").withColumn("s", F.explode_outer(K.shares(F.col("kind"))))
     return loose.unionByName(shared.select("folder", F.col("s.kind").alias("kind"), (F.col("held") * F.col("size") * F.col("s.share") / F.col("listed")).alias("size"), F.lit("members").alias("how"), F.col("mtime").alias("date")))
 
 
@@ -88,7 +88,11 @@ def tally(rows: DataFrame, listed: int) -> DataFrame:
     age is the number of years in AGES that the date is strictly older than; rows without bytes are left out.
     """
     ages = sum((F.when(values.older_than(F.col("date"), y, listed), 1).otherwise(0) for y in K.AGES), F.lit(0))
-    return rows.filter("size > 0").groupBy("kind", "how", values.utc_month(F.col("date")).alias("month"), ages.alias("age")).agg(F.sum("size").alias("size"))
+    stamp = F.timestamp_seconds("date")
+    months = (F.year(stamp) * 12 + F.month(stamp) - 1).alias("months")  # a number now, text once the sums are few
+    cube = rows.filter("size > 0").groupBy("kind", "how", months, ages.alias("age")).agg(F.sum("size").alias("size"))
+    year, month = F.call_function("div", F.col("months"), F.lit(12)), F.col("months") % 12 + 1
+    return cube.select("kind", "how", F.concat_ws("-", F.when(year.isNotNull(), F.lpad(year.cast("string"), 4, "0")), F.lpad(month.cast("string"), 2, "0")).alias("month"), "age", "size").withColumn("month", F.when(F.col("month") != "", F.col("month")))
 
 
 def kinds_table(cube: DataFrame) -> DataFrame:
@@ -102,14 +106,16 @@ def kinds_by_group(cube: DataFrame) -> DataFrame:
 
 
 def kinds_by_month(cube: DataFrame) -> DataFrame:
-    return cube.filter("month is not null").groupBy("kind", "month").agg(F.sum("size").alias("size"))
+    # dropped by an aggregate: a filter on the month would be pushed below the walk, with its whole CASE
+    found = cube.groupBy("kind", "month").agg(F.sum("size").alias("size"), F.count("month").alias("dated"))
+    return found.filter("dated > 0").drop("dated")
 
 
 def kinds_older(cube: DataFrame) -> DataFrame:
     """Per kind and age in years: bytes strictly older, loose and in tarballs."""
-    years = F.explode(F.slice(F.array(*[F.lit(y) for y in K.AGES]), 1, F.col("age"))).alias("years")
+    years = F.explode_outer(F.slice(F.array(*[F.lit(y) for y in K.AGES]), 1, F.col("age"))).alias("years")
     loose = F.when(F.col("how") == "loose", F.col("size")).otherwise(0.0)
-    return cube.select("kind", years, loose.alias("loose"), (F.col("size") - loose).alias("tarred")).groupBy("kind", "years").agg(F.sum("loose").alias("loose"), F.sum("tarred").alias("tarred"))
+    return cube.select("kind", years, loose.alias("loose"), (F.col("size") - loose).alias("tarred")).filter("years is not null").groupBy("kind", "years").agg(F.sum("loose").alias("loose"), F.sum("tarred").alias("tarred"))
 
 
 def kinds_totals(cube: DataFrame) -> DataFrame:
