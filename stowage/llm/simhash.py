@@ -49,22 +49,6 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return majority(hashes) if len(hashes) else 0
 
 
-def wide_fingerprint(text: str | None, words: int, size: int, seed: int = 42) -> list[int]:
-    """``size`` independent 64-bit SimHashes of the different shingles; without words all zero."""
-    hashes = np.unique(shingle_hashes(text, words, seed))
-    return [majority(mixed(hashes, n)) if len(hashes) else 0 for n in range(size)]
-
-
-def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The n-th independent hash of a hash (n = 0: itself), by the finalizer of SplitMix64."""
-    if n == 0:
-        return hashes
-    z = hashes + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def majority(hashes: np.ndarray) -> int:
     """Each bit as over half of the hashes have it."""
     ones = np.zeros(BITS, np.int64)
@@ -188,11 +172,10 @@ def trie_links(bits: np.ndarray, side: np.ndarray | None, budget: int, allowed:
     return labels
 
 
-def links(distinct: DataFrame, words: list[str], budget: int, part: int, limit: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, words: list[str], budget: int, part: int) -> DataFrame:
     """Forests (u, v) of the links between the rows (rep, words...) that any word's tries find.
 
-    Every word is read from each of its blocks on.  Without ``limit``, rows link at ``budget`` or fewer differing bits of
-    the word; with it, at ``limit`` or fewer differing bits of all words.  A trie task returns a forest of its links, never all
+    Every word is read from each of its blocks on; rows link at ``budget`` or fewer differing bits of the word.  A trie task returns a forest of its links, never all
     pairs.  A first block that more than ``part`` rows share is split into parts, and every pair of parts is joined.
     """
     widths = blocks(budget)
@@ -221,8 +204,7 @@ def links(distinct: DataFrame, words: list[str], budget: int, part: int, limit:
         order = np.argsort(bits, kind="stable")
         rep, own = table["rep"].to_numpy()[order], table["own"].to_numpy()[order]
         side = own if key[2].as_py() != key[3].as_py() else None
-        most = budget if limit is None else limit
-        labels = trie_links(bits[order], side, most, allowance(budget, turn), None if limit is None else wide[order])
+        labels = trie_links(bits[order], side, budget, allowance(budget, turn))
         linked = np.nonzero(labels != np.arange(len(labels)))[0]
         return pa.table({"u": rep[linked], "v": rep[labels[linked]]})
 
@@ -253,31 +235,119 @@ def near_duplicates(documents: DataFrame, *, words: int = 4, budget: int = 4, ke
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a wide fingerprint, the bits that two of a pair's words may differ in to be compared at all, and rows of a task.
-WIDE, WIDE_BUDGET, WIDE_PART = 4, 8, 32_768
+#: Bands of a MinHash signature and minima a band: sets of similarity s share no band in (1 - s^4)^32 of all cases, 5e-8 at 0.8.
+BANDS, DEEP = 32, 4
+#: Odd multipliers of the signature's hash functions, and of the four minima of a band.
+TIMES = np.random.default_rng(8).integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs are compared exactly unless their signatures' bits differ as in at most one of so many pairs at the threshold.
+MISS = 1e-6
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Differing bits expected of two equally large sets with this Jaccard similarity, and half a standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """BANDS * DEEP MinHash values of a set of hashes that is not empty."""
+    least = np.full(len(TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 512):
+        np.minimum(least, (TIMES[:, None] * hashes[None, i : i + 512]).min(axis=1), out=least)
+    return least
 
 
-def near_copies(documents: DataFrame, *, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents whose sets of ``words``-word shingles have about this Jaccard similarity or more are linked.
+def differing_bits(similarity: float, bits: int = BANDS * DEEP) -> int:
+    """Bits, one of each minimum, that may differ: sets of this Jaccard similarity exceed it in MISS of all cases at most."""
+    p, k = (1 - similarity) / 2, bits
+    tail = p**bits  # of k bits or more
+    while k and tail <= MISS:
+        k -= 1
+        tail += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+    return k
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as ascending arrays; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
 
-    The similarity is judged by a fingerprint of WIDE times 64 bits.  A pair is met if any of its words differs in WIDE_BUDGET or
-    fewer bits; at a similarity of 0.8 / 0.85 / 0.9 that is expected for 82 / 95 / 99.8 of 100 pairs, and copies of copies also
-    link.  Null and blank texts are copies of each other; repeated rows are returned repeatedly.
+def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, component) of stored ``rows`` (row long unique, text), linked where the sets of ``words``-word shingles have this Jaccard similarity or more.
+
+    Equal sets are joined first.  Pairs that share a MinHash band are compared by their texts' sets, so no link is below
+    ``similarity``: first each row with the smallest row of its bands, which contracts large groups, then the pairs of its bands
+    that are still in different components.
     """
-    names = [f"w{n}" for n in range(WIDE)]
+    names = ["row", "d0", "d1", "size", "b0", "b1", "bands"]
+    kinds = "row long, d0 long, d1 long, size int, b0 long, b1 long, bands array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), words, WIDE) for t in batch.column(1)], dtype=np.uint64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], ["doc_id", *names])
+            found = []
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = np.unique(shingle_hashes(t.as_py(), words))
+                d = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
+                if len(hashes):
+                    least = minima(hashes)
+                    b = np.packbits((least * TIMES[::-1] >> np.uint64(63)).astype(bool)).view(np.int64)
+                    bands = (least.reshape(BANDS, DEEP) * TIMES[:DEEP]).sum(axis=1, dtype=np.uint64).view(np.int64)
+                else:
+                    b, bands = [0, 0], []
+                found.append((row, *d, len(hashes), *b, bands))
+            columns = zip(*found) if found else [[]] * len(names)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, None
+        for batch in batches:
+            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            fine = []
+            for k in range(len(u)):
+                if u[k] != last:
+                    last, mine = u[k], np.unique(shingle_hashes(batch.column(2)[k].as_py(), words))
+                fine.append(jaccard(mine, np.unique(shingle_hashes(batch.column(3)[k].as_py(), words))) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = rows.select(F.col("row").alias("v"), F.col("text").alias("b"))
+        other = rows.select(F.col("row").alias("u"), F.col("text").alias("a"))
+        return materialize(pairs.join(one, "v").join(other, "u").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long"))
+
+    limit = differing_bits(similarity)
+
+    def plausible(a: str, b: str) -> Column:
+        differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in ("b0", "b1")), F.lit(0))
+        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+        return (differ <= limit) & (small / large >= similarity)
+
+    sketches = materialize(rows.select("row", "text").mapInArrow(sketch, kinds))
+    equal = materialize(sketches.groupBy("d0", "d1").agg(F.min("row").alias("rep")))
+    heads = sketches.join(equal.select(F.col("rep").alias("row")), "row", "left_semi")
+    own = F.struct("row", "size", "b0", "b1")
+    heads = materialize(heads.select(own.alias("own"), F.posexplode("bands").alias("band", "value")))
+    leads = heads.groupBy("band", "value").agg(F.min("own").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = materialize(heads.join(leads, ["band", "value"]))
+    stars = shared.filter("own.row <> lead.row").filter(plausible("lead", "own"))
+    found = verified(stars.groupBy(F.col("own.row").alias("v")).agg(F.min("lead.row").alias("u")))
+
+    of = components(found)
+    shared = shared.select("band", "value", "own", F.col("own.row").alias("id")).join(of, "id", "left")
+    shared = materialize(shared.select("band", "value", "own", F.coalesce("component", "id").alias("c")))
+    mixed = shared.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    shared = materialize(shared.join(mixed, ["band", "value"], "left_semi"))
+    others = shared.select("band", "value", F.col("own").alias("its"), F.col("c").alias("d"))
+    pairs = shared.join(others, ["band", "value"]).filter("c < d").filter(plausible("own", "its"))
+    found = found.unionByName(verified(pairs.select(F.col("own.row").alias("u"), F.col("its.row").alias("v")).distinct()))
+
+    of = equal.join(components(found), equal["rep"] == F.col("id"), "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
+    return sketches.select("row", "d0", "d1").join(of, ["d0", "d1"]).select("row", "component")
+
 
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text))
-    fps = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-    limit = differing_bits(similarity, WIDE * BITS)
-    return grouped(fps, names, lambda distinct: links(distinct, names, WIDE_BUDGET, WIDE_PART, limit)).select("doc_id", "component_id")
+def near_copies(documents: DataFrame, *, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents whose sets of ``words``-word shingles have this Jaccard similarity or more are linked.
+
+    Links are exact, see ``near_rows``; copies of copies also link.  Null and blank texts are copies of each other; repeated rows
+    are returned repeatedly, rows without a key left out.
+    """
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    found = materialize(rows.select("row", "doc_id").join(near_rows(rows, words, similarity), "row"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "component_id")

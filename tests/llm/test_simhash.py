@@ -129,3 +129,22 @@ def test_similar_shingle_sets(spark):
     wide = np.zeros((700, 2), np.uint64)
     wide[:, 1] = np.repeat(np.array([0, 2**40 - 1], np.uint64), 350) ^ (np.uint64(1) << np.arange(700, dtype=np.uint64) % np.uint64(3))
     assert len(set(simhash.trie_links(np.zeros(700, np.uint64), None, 4, simhash.allowance(8, 0), wide).tolist())) == 2
+
+
+def test_shingle_sets_link_from_the_threshold_on_only(spark):
+    """Pairs at exactly 0.8 all link, pairs just below never do, and a pair between two groups joins them."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    rows, linked = [], {}
+    for n in (1, 2, 3, 10, 40) * 20:  # 4n of 5n shingles are common, and 4n - 1 of 5n
+        for common, link in ((4 * n, True), (4 * n - 1, False)):
+            words = [word() for _ in range(5 * n + 4)]
+            at = len(rows)
+            rows += [(at, " ".join(words)), (at + 1, " ".join(words[: common + 4]))]
+            linked[at + 1] = at if link else at + 1
+    words = [word() for _ in range(184)]  # sliding windows: each only links to those next to it
+    for i in range(9):
+        rows.append((5000 + i, " ".join(words[10 * i : 10 * i + 104])))
+        linked[5000 + i] = 5000
+    got = {g["doc_id"]: g["component_id"] for g in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in linked} == linked
