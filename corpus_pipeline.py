@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stowage.llm import packing, quality, simhash, toxicity
 from stowage.llm.common import materialize
@@ -30,9 +31,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles are similar by 0.8 or more, the row with the smallest doc_id stays; repeated rows of it stay once."""
-    kept = simhash.near_copies(docs, words=5, similarity=0.8).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of rows whose five-word shingles are similar by 0.8 or more, one row stays: with the smallest doc_id, a missing one last, and of these the first stored.
+
+    Rows are told apart by where they are stored, so rows without a doc_id and one doc_id's different texts go only as members of a group.
+    """
+    rows = simhash.numbered(docs)
+    found = simhash.near_rows(rows.select("row", "text"), words=5, similarity=0.8).join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = found.groupBy("component").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

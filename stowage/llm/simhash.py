@@ -267,6 +267,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def numbered(documents: DataFrame) -> DataFrame:
+    """``documents``, stored, with a number ``row`` for each row."""
+    return materialize(documents.withColumn("row", F.monotonically_increasing_id()))
+
+
 def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, component) of stored ``rows`` (row long unique, text), linked where the sets of ``words``-word shingles have this Jaccard similarity or more.
 
@@ -346,8 +351,7 @@ def near_copies(documents: DataFrame, *, words: int = 5, similarity: float = 0.8
     Links are exact, see ``near_rows``; copies of copies also link.  Null and blank texts are copies of each other; repeated rows
     are returned repeatedly, rows without a key left out.
     """
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = numbered(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null"))
     found = materialize(rows.select("row", "doc_id").join(near_rows(rows, words, similarity), "row"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component").select("doc_id", "component_id")

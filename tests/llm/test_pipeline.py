@@ -58,3 +58,17 @@ def test_stages(spark, tmp_path):
         got[x["doc_id"]] = got.get(x["doc_id"], 0) + x["length"]
     assert got == length
     assert {(x["doc_id"], x["piece"], x["sequence_id"], x["offset"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} != set()
+
+
+def test_near_copies_without_a_key_and_two_texts_of_one_key(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, d), (None, e), (None, e), (None, d), (None, text())]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(1, a), (2, b), (3, c), (3, d), (None, e), (None, rows[-1][1])]
+    assert sorted((str(x["doc_id"]), x["text"]) for x in kept.collect()) == sorted((str(k), t) for k, t in want)
