@@ -56,18 +56,42 @@ class Block:
     heading: bool
 
 
-def says(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element's name or its class, id or role point to the main text, and to anything else."""
-    main, other = name in MAIN_NAMES, name in BOILERPLATE_NAMES
+#: Words beside which a boilerplate word tells of the page's layout: ``has-sidebar``, ``related-layout``.
+LAYOUT_WORDS = {"has", "with", "without", "no", "layout"}
+#: Words that also hold for an article, and for articles inside: readers' comments, teasers, advertisements.
+ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "disqus", "promo", "promotion", "promoted", "related", "replies", "reply", "sponsor", "sponsored", "widget"}
+#: How firmly an element is no main text: a compound name (``right-sidebar``), which an article inside takes back, or more.
+LOOSE, FIRM = 1, 2
+NO_DISPLAY = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
+HIDDEN = re.compile(r"(?<![\w:-])hidden(?![\w:-])(?!\s*=\s*[\"']?false)", re.IGNORECASE)
+
+
+def says(name: str, rest: str, head: bool = False) -> tuple[bool, int, bool]:
+    """Whether an element's name or its class, id or role point to the main text, how firmly to anything else, and whether it is hidden.
+
+    Page and body say nothing by their words, main is the main text whatever it is called.  ``head``: an article's own header, for
+    which that word does not count.
+    """
+    main, other, hidden = name in MAIN_NAMES, FIRM if name in BOILERPLATE_NAMES and not head else 0, False
     if "=" in rest:
         for key, *values in ATTRIBUTE.findall(rest):
-            if key.lower() in ("class", "id", "role", "itemprop", "aria-label"):
-                words = {w.lower() for w in SPLIT_WORDS.split("".join(values)) if w}
-                other |= bool(words & BOILERPLATE_WORDS)
-                main |= bool(words & MAIN_WORDS)
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", rest):
-        other = True
-    return main and not other, other
+            key, value = key.lower(), "".join(values)
+            if key in ("class", "id", "role", "itemprop", "aria-label") and name not in ("html", "body", "main"):
+                for token in value.split():
+                    words = {w.lower() for w in SPLIT_WORDS.split(token) if w}
+                    if words & LAYOUT_WORDS:
+                        continue
+                    main |= bool(words & MAIN_WORDS)
+                    found = words & (ASIDE_WORDS if name == "article" else BOILERPLATE_WORDS)
+                    if found - ({"header"} if head else set()):
+                        other = max(other, FIRM if len(words) == 1 or found & ASIDE_WORDS else LOOSE)
+            elif key == "aria-hidden":
+                hidden |= value.strip().lower() == "true"
+            elif key == "style":
+                hidden |= bool(NO_DISPLAY.search(value))
+    if "hidden" in rest.lower():
+        hidden |= bool(HIDDEN.search(ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else " ", rest)))
+    return main and not other, other, hidden
 
 
 def blocks(html: str) -> list[Block]:
@@ -76,19 +100,20 @@ def blocks(html: str) -> list[Block]:
     Unclosed elements, stray closing tags and cut-off pages are taken as they come: a closing tag ends the nearest open element of its name.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, silent, main, boilerplate, each with what stands around it
+    # name, silent, main, boilerplate, hidden, each with what stands around it
+    stack: list[tuple[str, bool, bool, int, bool]] = []
     text: list[str] = []
     linked: list[str] = []
     anchor = 0
     heading = False
-    state = (False, False, False)
+    state = (False, False, 0, False)
 
     def end_block() -> None:
         if text:
             words = unescape("".join(text)).split()
             if words:
                 links = len(unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(links, len(words)), state[1], state[2], heading))
+                out.append(Block(" ".join(words), len(words), min(links, len(words)), state[1], state[2] > 0 or state[3], heading))
             text.clear()
             linked.clear()
 
@@ -118,11 +143,14 @@ def blocks(html: str) -> list[Block]:
                 at = closing.start() if closing else len(html)
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            main, other = says(name, rest)
-            up = stack[-1] if stack else ("", False, False, False)
-            if name == "header" and up[2]:
-                main, other = says("div", rest)  # the article's own head
-            stack.append((name, up[1] or name in SILENT, up[2] or main, up[3] or other))
+            if name == "body":  # ends a head that was left open
+                head = next((i for i, e in enumerate(stack) if e[0] == "head"), None)
+                if head is not None:
+                    del stack[head:]
+            up = stack[-1] if stack else ("", False, False, 0, False)
+            main, other, hidden = says(name, rest, name == "header" and up[2])
+            outer = 0 if name == "main" or name == "article" and up[3] == LOOSE else up[3]
+            stack.append((name, up[1] or name in SILENT, up[2] or main, max(outer, other), up[4] or hidden))
             anchor += name == "a"
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
@@ -139,7 +167,7 @@ def blocks(html: str) -> list[Block]:
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = False
         if name not in INLINE or name in SILENT or rest:
-            state = stack[-1][1:] if stack else (False, False, False)
+            state = stack[-1][1:] if stack else (False, False, 0, False)
     end_block()
     return out
 

@@ -29,6 +29,31 @@ def test_pages():
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_containers_do_not_take_the_article_away():
+    words = "Plain words of an article that goes on for a good while, with commas, stops and no links at all in it. " * 3
+    text = words.strip()
+    for page in (
+        "<body class='single right-sidebar'><article><p>{}</p></article></body>",
+        "<body><div class='right-sidebar'><article><p>{}</p></article></div></body>",
+        "<body><div class='content related-layout'><p>{}</p></div></body>",
+        "<body><main id='main' aria-label='search results'><p>{}</p></main></body>",
+        "<body><form id='aspnet'><main><p>{}</p></main></form></body>",
+        "<body><div class='overflow-hidden'><article><p>{}</p></article></div></body>",
+        "<body><div style='overflow:hidden'><article><p>{}</p></article></div></body>",
+        "<body><article title='hidden gems'><p>{}</p></article></body>",
+        "<body><article><header class='entry-header'><p>{}</p></header></article></body>",
+        "<html><head><meta charset=utf-8><body><article><p>{}</p></article></body></html>",
+    ):
+        assert html_text.main_text(page.format(words)) == text, page
+    for page in (
+        "<body><article><p>{}</p></article><div hidden><p>Not shown.</p></div></body>",
+        "<body><article><p>{}</p><p style='display: none'>Not shown.</p><p aria-hidden=true>Not shown.</p></article></body>",
+        "<body><article><p>{}</p></article><div class='comments'><article class='comment'><p>Not the text.</p></article></div></body>",
+        "<body><article><p>{}</p></article><aside class='sidebar'><article><p>Not the text.</p></article></aside></body>",
+    ):
+        assert html_text.main_text(page.format(words)) == text, page
+
+
 def test_table_is_learned():
     x, y = html_text.labelled_table()
     assert (html_text.classify(html_text.grow(x, y), x) == y).all()
