@@ -328,6 +328,13 @@ def rows_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rows_not_in(l.drop("l_quantity"), l.filter("l_quantity > 10"), ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_quantity > 10 AND r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber AND r.l_partkey = l.l_partkey)")
+def rows_not_in_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows_not_in`` over every line."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")  # noqa: E741
+    return C.rows_not_in(l.drop("l_quantity"), l.filter("l_quantity > 10"), ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
 @query(listing("SELECT lower(ancestor) AS folder FROM (SELECT DISTINCT ancestor FROM up) WHERE lower(ancestor) = '/asia'"))
 def find_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.find_folder(T.folders_of(files(spark, sf_dir)), "/ASIA/").select("folder")
@@ -426,6 +433,17 @@ def range_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("archive_id", "idx").agg(F.count("*").alias("members"))
 
 
+@query(f"WITH {MEMBERS_SQL} SELECT archive_id, CAST(hdr_offset // 4096 AS BIGINT) AS idx, count(*) AS members FROM members GROUP BY 1, 2")
+def range_locate_all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``range_locate`` with spans up to each archive's last header."""
+    m = members(spark, sf_dir).select("archive_id", "hdr_offset")
+    k = F.col("idx")
+    spans = m.groupBy("archive_id").agg(F.max("hdr_offset").alias("last"))
+    spans = spans.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 4096)))).select("archive_id", "idx", (k * 4096).alias("begin_"), ((k + 1) * 4096).alias("end_"))
+    found = ranges.binned_range_join(m, spans, at="hdr_offset", begin="begin_", end="end_", keys=["archive_id"], width=4096)
+    return found.groupBy("archive_id", "idx").agg(F.count("*").alias("members"))
+
+
 @query("""SELECT event_id, e.user_id, o.o_orderkey FROM (SELECT * FROM events WHERE event_id % 3 = 0) e ASOF LEFT JOIN (SELECT o_custkey AS user_id, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o
   ON e.user_id = o.user_id AND e.ts >= o.o_orderdate""")
 def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,6 +452,15 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.as_of_join(e, o, at="ts", mark="o_orderdate", keys=["user_id"], values=["o_orderkey"], bucket=lambda t: F.year(t)).drop("ts")
 
 
+@query("""SELECT event_id, e.user_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey AS user_id, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o
+  ON e.user_id = o.user_id AND e.ts >= o.o_orderdate""")
+def as_of_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``as_of`` over every event."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return ranges.as_of_join(e, o, at="ts", mark="o_orderdate", keys=["user_id"], values=["o_orderkey"], bucket=lambda t: F.year(t)).drop("ts")
+
+
 @query(f"""WITH {MEMBERS_SQL}, x AS (SELECT *, size > 0 AND type IN ('0', chr(0), '7') AS f, coalesce(nullif(regexp_extract(lower(name), '^.+\\.([^.]{{1,12}})$', 1), ''), '(none)') AS e FROM members),
 k AS (SELECT archive_id, size, 'total' AS section, '' AS key FROM x UNION ALL SELECT archive_id, size, 'owner', uname || ':' || gname FROM x UNION ALL SELECT archive_id, size, 'type', type FROM x UNION ALL SELECT archive_id, size, 'ext', e FROM x WHERE f
 UNION ALL SELECT archive_id, size, 'dir' || n, CASE WHEN dir = '' THEN '(root)' ELSE array_to_string(list_slice(string_split(dir, '/'), 1, n), '/') END FROM x, unnest([1, 2, 3]) AS t(n) WHERE f)
