@@ -10,28 +10,47 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (master ``local``) gets a folder of its own; on a cluster that
+    folder would be some machine's, so the call is refused.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stowage-"))
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {sc.master} share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="stowage-"))
     return sc.getCheckpointDir()
 
 
+def _at(spark: SparkSession, path: str):
+    """A path of the shared folder, and its file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage at a table that survives lost executors; Spark removes it when the application ends.
+    Cuts the lineage at a table that survives lost executors; it goes by :func:`discard`, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stowage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, store = _at(spark, path)
+    store.deleteOnExit(at)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing reads any more."""
+    at, store = _at(table.sparkSession, table.stored_at)
+    store.delete(at, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -41,28 +60,27 @@ def parallelism(spark: SparkSession) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(u long, v long)`` as ``(id, component)``; component: its smallest id.
 
-    Every round hooks each vertex to its smallest neighbour and contracts the graph, so at least the vertices
-    that are no local minimum go.  Only minima (combined before the shuffle) and equi-joins (which AQE splits
-    if a vertex is hot) are used; rounds end when no edge is left.  Self-loops, repeated edges and an empty
+    Alternating stars (Kiveris et al., 2014): a large star moves each vertex's larger neighbours to its smallest
+    one, a small star its smaller neighbours, until every vertex hangs on its component's smallest; a chain of n
+    vertices takes about log2 n rounds.  Each round stores its edges and deletes the round before.  Only minima (combined
+    before the shuffle) and equi-joins (which AQE splits if a vertex is hot) are used.  Self-loops, repeated edges and an empty
     table are fine; vertices that occur only in self-loops are not returned.
     """
-    edges = materialize(
-        edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    )
-    labels = None
+    # a: the larger end of an edge, b: the smaller one
+    now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooks = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("to")))
-        if labels is None:
-            labels = hooks.select("id", F.col("to").alias("component"))
-        else:
-            step = hooks.select(F.col("id").alias("component"), "to")
-            labels = labels.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        of_u = hooks.select(F.col("id").alias("u"), F.col("to").alias("pu"))
-        of_v = hooks.select(F.col("id").alias("v"), F.col("to").alias("pv"))
-        edges = materialize(
-            edges.join(of_u, "u").join(of_v, "v").filter("pu <> pv")
-            .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
-        )
-        if edges.isEmpty():
-            return labels
+        # the same edges as a round before: nothing moves any more
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == tuple(found) or not found[0]:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+                now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+            )
+        mark = tuple(found)
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        before, now = now, materialize(small.select("e.*").filter("a <> b").distinct())
+        discard(before)

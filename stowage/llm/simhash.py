@@ -4,21 +4,26 @@ Two fingerprints with at most ``budget`` differing bits, cut into ``budget + 1``
 round) so that after j blocks at most floor(j * budget / (budget + 1)) bits have differed: the first block agrees.  So the
 join runs over one trie for each block order; node pairs are followed together, differing bits
 add up, and a pair is dropped as soon as it is over that prefix's budget.  Spark deals the tries out by their
-first block.
+first block, and where many rows share it by some bits of the second, in which one bit at most may differ.
+
+Links of texts whose sets of shingles are similar are found by the same join over several short fingerprints of
+the sets, and then verified on the sets (``near_rows``).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, discard, materialize
 
 BITS = 64
 #: Node pairs that a task expands at once; the rest waits on a stack.
@@ -68,15 +73,15 @@ def fingerprints(documents: DataFrame, words: int = 4, *, key: str = "doc_id", t
     return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, bits long")
 
 
-def blocks(budget: int) -> list[int]:
-    """Widths of the budget + 1 blocks."""
+def blocks(budget: int, width: int = BITS) -> list[int]:
+    """Widths of the budget + 1 blocks of a fingerprint of ``width`` bits."""
     n = budget + 1
-    return [BITS // n + (i < BITS % n) for i in range(n)]
+    return [width // n + (i < width % n) for i in range(n)]
 
 
-def allowance(budget: int, turn: int) -> np.ndarray:
-    """Differing bits allowed after each of the 64 bits, read from block ``turn`` on."""
-    widths = blocks(budget)
+def allowance(budget: int, turn: int, width: int = BITS) -> np.ndarray:
+    """Differing bits allowed after each of the bits, read from block ``turn`` on."""
+    widths = blocks(budget, width)
     widths = widths[turn:] + widths[:turn]
     return np.repeat([budget * (j + 1) // (budget + 1) for j in range(budget + 1)], widths)
 
@@ -101,30 +106,28 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def trie_links(bits: np.ndarray, side: np.ndarray | None, budget: int, allowed: np.ndarray, wide: np.ndarray | None = None) -> np.ndarray:
-    """Component roots of sorted ``bits`` under links of at most ``budget`` differing bits found in this trie.
+def met(bits: np.ndarray, allowed: np.ndarray, labels: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j, of sorted ``bits`` whose leaves the joined traversal reaches; some may be over the budget.
 
-    A range of the sorted array is a trie node.  ``side`` (two values, or None): only pairs across the
-    sides count.  ``wide``: rows of words whose differing bits are counted, against ``budget``, for pairs that this trie finds.
-    Node pairs whose members are in one component already are not followed.
+    A range of the sorted array is a trie node.  ``allowed``: differing bits after each bit, whose number is the trie's depth.
+    Node pairs whose members all have one label, as ``labels`` has them at that moment, are not followed.
     """
-    n = len(bits)
-    labels = np.arange(n)
+    n, deep = len(bits), len(allowed)
     if n < 2:
-        return labels
+        return
     stack = [(0, np.array([[0, n, 0, n, 0]], dtype=np.int64))]
     while stack:
         depth, nodes = stack.pop()
         if len(nodes) > CHUNK:
             stack.append((depth, nodes[CHUNK:]))
             nodes = nodes[:CHUNK]
-        change = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
-        a0, a1, b0, b1, differ = nodes.T
-        same = (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (labels[a0] == labels[b0])
-        nodes = nodes[~same]
-        a0, a1, b0, b1, differ = nodes.T
+        now = labels()
+        change = np.concatenate([[0], np.cumsum(now[1:] != now[:-1])])
+        a0, a1, b0, b1, _ = nodes.T
+        nodes = nodes[~((change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (now[a0] == now[b0]))]
+        a0, a1, b0, b1, _ = nodes.T
         pairs = (a1 - a0) * (b1 - b0)
-        small = pairs <= (LEAF if depth < BITS else CHUNK)
+        small = pairs <= (LEAF if depth < deep else CHUNK)
         later = small & (np.cumsum(np.where(small, pairs, 0)) > LEAF * CHUNK)  # more than are compared at once
         if later.any():
             stack.append((depth, nodes[later]))
@@ -136,15 +139,7 @@ def trie_links(bits: np.ndarray, side: np.ndarray | None, budget: int, allowed:
             at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             i = np.repeat(x0, each) + at // np.repeat(across, each)
             j = np.repeat(y0, each) + at % np.repeat(across, each)
-            pair = i < j
-            if side is not None:
-                pair &= side[i] != side[j]
-            i, j = i[pair], j[pair]
-            if wide is None:
-                fine = np.bitwise_count(bits[i] ^ bits[j]) <= budget
-            else:
-                fine = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= budget
-            labels = merged(labels, i[fine], j[fine])
+            yield i[i < j], j[i < j]
         nodes = nodes[~small]
         if not len(nodes):
             continue
@@ -152,13 +147,13 @@ def trie_links(bits: np.ndarray, side: np.ndarray | None, budget: int, allowed:
         bit = np.uint64(1) << np.uint64(max(0, BITS - 1 - depth))
 
         def halves(lo, hi):
-            if depth == BITS:  # equal fingerprints, too many for one comparison
+            if depth == deep:  # equal fingerprints, too many for one comparison
                 return (lo + hi + 1) // 2
             first = (bits[lo] & ~(bit - np.uint64(1))) | bit
             return np.clip(np.searchsorted(bits, first), lo, hi)
 
         am, bm = halves(a0, a1), halves(b0, b1)
-        selfs, more = (a0 == b0) & (a1 == b1), int(depth < BITS)
+        selfs, more = (a0 == b0) & (a1 == b1), int(depth < deep)
         children = [
             np.stack([a0, am, b0, bm, differ], 1),
             np.stack([am, a1, bm, b1, differ], 1),
@@ -166,63 +161,137 @@ def trie_links(bits: np.ndarray, side: np.ndarray | None, budget: int, allowed:
             np.stack([am, a1, b0, bm, differ + more], 1)[~selfs],
         ]
         down = np.concatenate(children)
-        down = down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= allowed[min(depth, BITS - 1)])]
+        down = down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= allowed[min(depth, deep - 1)])]
         if len(down):
             stack.append((depth + more, down))
+
+
+Fits = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def trie_links(bits: np.ndarray, side: np.ndarray | None, budget: int, allowed: np.ndarray, wide: np.ndarray | None = None, fits: Fits | None = None) -> np.ndarray:
+    """Component roots of sorted ``bits`` under links of at most ``budget`` differing bits found in this trie.
+
+    ``side``: only pairs of different values there count.  ``wide``: rows of words whose differing bits are counted,
+    against ``budget``, for pairs that this trie finds.  ``fits(i, j)``: which pairs may link at all.
+    """
+    labels = np.arange(len(bits))
+    for i, j in met(bits, allowed, lambda: labels):
+        if wide is None:
+            fine = np.bitwise_count(bits[i] ^ bits[j]) <= budget
+        else:
+            fine = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= budget
+        if side is not None:
+            fine &= side[i] != side[j]
+        i, j = i[fine], j[fine]
+        if fits is not None and len(i):
+            fine = fits(i, j)
+            i, j = i[fine], j[fine]
+        labels = merged(labels, i, j)
     return labels
 
 
-def links(distinct: DataFrame, words: list[str], budget: int, part: int) -> DataFrame:
-    """Forests (u, v) of the links between the rows (rep, words...) that any word's tries find.
+@dataclass
+class Task:
+    """One trie: rows sorted by their bits, read from block ``turn`` on; ``fits`` tells which pairs it may link."""
+
+    turn: int
+    bits: np.ndarray
+    columns: dict[str, np.ndarray]
+    fits: Fits | None
 
-    Every word is read from each of its blocks on; rows link at ``budget`` or fewer differing bits of the word.  A trie task returns a forest of its links, never all
-    pairs.  A first block that more than ``part`` rows share is split into parts, and every pair of parts is joined.
+
+def trie_join(rows: DataFrame, width: int, budget: int, part: int, find: Callable[[Task], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``find`` returns for every trie over the rows (rep long, word int, bits long, any numbers).
+
+    ``bits``: the word's fingerprint in its ``width`` highest bits; only rows of one word meet.  Every word is read from each of its
+    blocks on.  A first block that more than ``part`` rows share is dealt out further by the next bits, of which one at most may
+    differ: a row also visits, as a guest, each cell that has one of its ones there as a zero; two guests meet elsewhere.
+    What is still heavy is split into parts, and every pair of parts is joined.
     """
-    widths = blocks(budget)
+    widths = blocks(budget, width)
     starts = [sum(widths[:i]) for i in range(budget + 1)]
-
-    def head(word: str, turn: int) -> Column:
-        at, width = starts[turn], widths[turn]
-        whole = F.shiftleft(word, at).bitwiseOR(F.shiftrightunsigned(word, BITS - at)) if at else F.col(word)
-        return F.shiftrightunsigned(whole, BITS - width)
-
-    heads = F.array(*[head(w, turn) for w in words for turn in range(budget + 1)])
-    rows = distinct.select("rep", *words, F.posexplode(heads).alias("turn", "head"))
-    counts = rows.groupBy("turn", "head").agg(F.count("*").alias("n"))  # at most len(words) * (budget + 1) * 2^width rows
-    groups = max(1, min(1 << min(widths), -(-distinct.count() * 2 // part)))
-    rows = rows.join(F.broadcast(counts), ["turn", "head"]).withColumn("parts", F.ceil(F.col("n") / F.lit(part)).cast("int"))
-    rows = rows.withColumn("own", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).otherwise(0))
-    # a light head shares a task with others; a heavy one's part meets every part
-    group = F.when(F.col("parts") > 1, -1 - F.col("head")).otherwise(F.pmod(F.xxhash64("head"), F.lit(groups)))
-    rows = rows.select("rep", *words, "turn", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), group.alias("grp"))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
-
-    def join(key: tuple, table: pa.Table) -> pa.Table:
-        word, turn = divmod(key[0].as_py(), budget + 1)
-        wide = np.column_stack([table[w].to_numpy().view(np.uint64) for w in words])
-        bits = turned(wide[:, word], starts[turn])
+    mask = F.lit(-1 << (BITS - width))
+    others = [c for c in rows.columns if c not in ("rep", "word", "bits")]
+
+    def read_from(turn: int) -> Column:
+        at = starts[turn]
+        if not at:
+            return F.col("bits")
+        return F.shiftleft("bits", at).bitwiseOR(F.shiftrightunsigned("bits", width - at)).bitwiseAND(mask)
+
+    each = rows.select("rep", "word", *others, F.posexplode(F.array(*[read_from(t) for t in range(budget + 1)])).alias("turn", "bits"))
+    # blocks differ in width by one bit; the narrowest decides how many heads a turn has
+    first = F.lit(BITS) - F.element_at(F.array(*map(F.lit, widths)), F.col("turn") + 1)
+    each = each.withColumn("head", F.call_function("shiftrightunsigned", "bits", first.cast("int")))
+    heads = each.groupBy("word", "turn", "head").agg(F.count("*").alias("n"))  # at most words * (budget + 1) * 2^width rows
+    second = F.element_at(F.array(*[F.lit(w) for w in (widths[1:] + widths[:1] if budget else [0])]), F.col("turn") + 1)
+    more = F.least(second, F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(part))).cast("int")))
+    deep = heads.select("word", "turn", "head", more.alias("more")).filter("more > 0")
+    each = each.join(F.broadcast(deep), ["word", "turn", "head"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    below = F.call_function("shiftrightunsigned", "bits", (first - F.col("more")).cast("int")) - F.call_function("shiftleft", "head", "more")
+    each = each.withColumn("below", below).withColumn("flip", F.explode(F.sequence(F.lit(0), F.col("more"))))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.col("flip") - 1))
+    each = each.withColumn("guest", F.col("flip") > 0).filter(~F.col("guest") | (F.col("below").bitwiseAND(one) != 0))
+    cell = F.call_function("shiftleft", "head", "more") + F.col("below") - F.when(F.col("guest"), one).otherwise(0)
+    each = each.withColumn("cell", F.shiftleft(cell, 5) + F.col("more"))
+    heavy = each.filter("more > 0").groupBy("word", "turn", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > part)
+    heavy = materialize(heavy.select("word", "turn", "cell", F.ceil(F.col("n") / F.lit(part)).cast("int").alias("parts")))
+    each = each.join(heavy, ["word", "turn", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    each = each.withColumn("own", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).otherwise(0))
+    # a light cell shares a task with others; a heavy one's part meets every part
+    words = max(1, rows.select("word").distinct().count())
+    groups = max(1, -(-rows.count() * 2 // (part * words)))
+    group = F.when(F.col("parts") > 1, -1 - F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(groups)))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.select("rep", "bits", "guest", "own", *others, "word", "turn", group.alias("grp"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        bits = table["bits"].to_numpy().view(np.uint64)
         order = np.argsort(bits, kind="stable")
-        rep, own = table["rep"].to_numpy()[order], table["own"].to_numpy()[order]
-        side = own if key[2].as_py() != key[3].as_py() else None
-        labels = trie_links(bits[order], side, budget, allowance(budget, turn))
-        linked = np.nonzero(labels != np.arange(len(labels)))[0]
-        return pa.table({"u": rep[linked], "v": rep[labels[linked]]})
+        own, guest = table["own"].to_numpy()[order], table["guest"].to_numpy(zero_copy_only=False)[order]
+        cross, guests = key[3].as_py() != key[4].as_py(), bool(guest.any())
 
-    return rows.groupBy("turn", "grp", "i", "j").applyInArrow(join, "u long, v long")
+        def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            fine = np.ones(len(i), bool)
+            if cross:
+                fine &= own[i] != own[j]
+            if guests:
+                fine &= ~(guest[i] & guest[j])
+            return fine
 
+        columns = {c: table[c].to_numpy()[order] for c in ("rep", *others)}
+        yield from find(Task(key[1].as_py(), bits[order], columns, fits if cross or guests else None))
 
-def grouped(fps: DataFrame, words: list[str], find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Adds component_id, the smallest doc_id reachable by the links that ``find`` sees, to rows (doc_id, words...); equal fingerprints are joined first, rows without a doc_id left out."""
-    fps = materialize(fps.filter("doc_id is not null"))
-    distinct = materialize(fps.groupBy(*words).agg(F.min("doc_id").alias("rep")))
-    found = components(find(distinct))
-    joined = distinct.join(found, distinct["rep"] == found["id"], "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(joined, words).select("doc_id", *words, "component_id")
+    return each.groupBy("word", "turn", "grp", "i", "j").applyInArrow(join, schema)
+
+
+def links(distinct: DataFrame, budget: int, part: int) -> DataFrame:
+    """Forests (u, v) of the links between the rows (rep, bits): fingerprints with ``budget`` or fewer differing bits.
+
+    A task returns a forest of its links, never all pairs.
+    """
+
+    def find(task: Task) -> Iterator[pa.RecordBatch]:
+        rep = task.columns["rep"]
+        labels = trie_links(task.bits, None, budget, allowance(budget, task.turn), fits=task.fits)
+        linked = np.nonzero(labels != np.arange(len(labels)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[labels[linked]])], ["u", "v"])
+
+    return trie_join(distinct.select("rep", F.lit(0).alias("word"), "bits"), BITS, budget, part, find, "u long, v long")
 
 
 def near_groups(fps: DataFrame, budget: int = 4, part: int = PART) -> DataFrame:
-    """(doc_id, bits, component_id) of fingerprints (doc_id, bits), linked at ``budget`` or fewer differing bits."""
-    return grouped(fps, ["bits"], lambda distinct: links(distinct, ["bits"], budget, part))
+    """(doc_id, bits, component_id) of fingerprints (doc_id, bits), linked at ``budget`` or fewer differing bits.
+
+    component_id: the smallest doc_id reachable; equal fingerprints are joined first, rows without a doc_id left out.
+    """
+    fps = materialize(fps.filter("doc_id is not null"))
+    distinct = materialize(fps.groupBy("bits").agg(F.min("doc_id").alias("rep")))
+    found = components(links(distinct, budget, part))
+    joined = distinct.join(found, distinct["rep"] == found["id"], "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(joined, "bits").select("doc_id", "bits", "component_id")
 
 
 def near_duplicates(documents: DataFrame, *, words: int = 4, budget: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,36 +304,96 @@ def near_duplicates(documents: DataFrame, *, words: int = 4, budget: int = 4, ke
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bands of a MinHash signature and minima a band: sets of similarity s share no band in (1 - s^4)^32 of all cases, 5e-8 at 0.8.
-BANDS, DEEP = 32, 4
-#: Odd multipliers of the signature's hash functions, and of the four minima of a band.
-TIMES = np.random.default_rng(8).integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Pairs are compared exactly unless their signatures' bits differ as in at most one of so many pairs at the threshold.
-MISS = 1e-6
+#: Share of the pairs at the very threshold that no trie of ``near_rows`` finds, and share that its sketches' distance rules out.
+MISS, RULED_OUT = 1e-4, 1e-6
+#: Sets of at most so many shingles get finer votes (each shingle has VOTES of them), as few coarse ones tie too often.
+SMALL, VOTES = 64, 9
+#: Rows that one trie joins are compared in all pairs if there are no more of them; larger groups are first contracted.
+FEW = 8
+#: Nearest rows that a row of a larger group is verified with before the group's remaining pairs are.
+NEAREST = 3
+
+
+def at_most(k: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) <= k)."""
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def bit_differs(similarity: float) -> float:
+    """How often a bit of SimHash differs between two sets of this Jaccard similarity, at most: sets of one size have the largest angle."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """``words`` fingerprints of ``width`` bits; two sets are candidates if one of these differs in ``budget`` bits at most."""
+
+    words: int
+    width: int
+    budget: int
 
+    @property
+    def bits(self) -> int:
+        return self.words * self.width
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """BANDS * DEEP MinHash values of a set of hashes that is not empty."""
-    least = np.full(len(TIMES), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 512):
-        np.minimum(least, (TIMES[:, None] * hashes[None, i : i + 512]).min(axis=1), out=least)
-    return least
+    def votes(self, hashes: np.ndarray) -> np.ndarray:
+        """The words, in their highest bits, by the majority of the bits that multiplied hashes have."""
+        times = multipliers(-(-self.bits // 32))
+        ones = np.zeros(32 * len(times), np.int64)
+        for i in range(0, len(hashes), 255):  # so that a byte can count
+            half = (hashes[i : i + 255, None] * times >> np.uint64(32)).astype("<u4")
+            ones += np.add.reduce(np.unpackbits(half.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+        wide = np.zeros((self.words, BITS), bool)
+        wide[:, : self.width] = (2 * ones[: self.bits] > len(hashes)).reshape(self.words, self.width)
+        return np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
 
+    def differing(self, similarity: float) -> int:
+        """Bits of all words that may differ: sets of this similarity exceed it in RULED_OUT of all cases at most."""
+        p, n = bit_differs(similarity), self.bits
+        k = round(p * n)
+        while 1 - at_most(k, n, p) > RULED_OUT:
+            k += 1
+        return k
 
-def differing_bits(similarity: float, bits: int = BANDS * DEEP) -> int:
-    """Bits, one of each minimum, that may differ: sets of this Jaccard similarity exceed it in MISS of all cases at most."""
-    p, k = (1 - similarity) / 2, bits
-    tail = p**bits  # of k bits or more
-    while k and tail <= MISS:
-        k -= 1
-        tail += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
-    return k
+
+@lru_cache(maxsize=8)
+def multipliers(n: int, seed: int = 8) -> np.ndarray:
+    """Odd 64-bit factors; a hash times one of them has new high bits."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(maxsize=32)
+def choose_sketch(n: int, similarity: float, miss: float = MISS) -> Sketch:
+    """The cheapest words for ``n`` sets that leave out ``miss`` of the pairs at ``similarity``.
+
+    Cost of a row: the tries it is in, with the node pairs that random rows make there, and the random candidates it gets.
+    More rows ask for longer words; the share missed stays.
+    """
+    p, log_n = bit_differs(similarity), math.log2(max(2, n))
+    best = None
+    for width in range(16, BITS + 1, 4):
+        for budget in range(1, 9):
+            words = math.ceil(math.log(miss) / math.log1p(-at_most(budget, width, p)))
+            if words * width > 16 * 1024:
+                continue
+            allowed = allowance(budget, 0, width)
+            paths = np.eye(1, budget + 2)[0]  # by differing bits, of the node pairs of one row
+            for limit in allowed[: min(width, math.ceil(log_n))]:
+                paths[1:] += paths[:-1].copy()
+                paths[limit + 1 :] = 0
+            cost = words * (budget + 1) * (1 + paths.sum() / 16) + 4 * words * n * at_most(budget, width, 0.5)
+            if best is None or cost < best[0]:
+                best = (cost, Sketch(words, width, budget))
+    return best[1]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sets as ascending arrays; two empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def numbered(documents: DataFrame) -> DataFrame:
@@ -272,76 +401,132 @@ def numbered(documents: DataFrame) -> DataFrame:
     return materialize(documents.withColumn("row", F.monotonically_increasing_id()))
 
 
-def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
     """(row, component) of stored ``rows`` (row long unique, text), linked where the sets of ``words``-word shingles have this Jaccard similarity or more.
 
-    Equal sets are joined first.  Pairs that share a MinHash band are compared by their texts' sets, so no link is below
-    ``similarity``: first each row with the smallest row of its bands, which contracts large groups, then the pairs of its bands
-    that are still in different components.
+    Equal sets are joined first.  Sets that a trie of one of their SimHash words brings together are candidates (at the very threshold
+    all but MISS of the pairs, nearer ones more surely); their sets are compared, so no link is below ``similarity``.  Where a
+    trie joins more than FEW rows, each is first compared with its nearest ones, which contracts large groups, and then with
+    all candidates that are still in other components.
     """
-    names = ["row", "d0", "d1", "size", "b0", "b1", "bands"]
-    kinds = "row long, d0 long, d1 long, size int, b0 long, b1 long, bands array<long>"
+    sketch = choose_sketch(rows.count(), similarity)
+    split = multipliers(VOTES, 9)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "d0", "d1", "size", "plain", "fine"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             found = []
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = np.unique(shingle_hashes(t.as_py(), words))
+                n = len(hashes)
                 d = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
-                if len(hashes):
-                    least = minima(hashes)
-                    b = np.packbits((least * TIMES[::-1] >> np.uint64(63)).astype(bool)).view(np.int64)
-                    bands = (least.reshape(BANDS, DEEP) * TIMES[:DEEP]).sum(axis=1, dtype=np.uint64).view(np.int64)
-                else:
-                    b, bands = [0, 0], []
-                found.append((row, *d, len(hashes), *b, bands))
+                # sets of similar sizes have the same kind of votes, or both
+                plain = sketch.votes(hashes).view(np.int64) if n >= SMALL else None
+                fine = sketch.votes((hashes[:, None] * split).ravel()).view(np.int64) if 0 < n * similarity <= SMALL else None
+                found.append((row, *d, n, plain, fine))
             columns = zip(*found) if found else [[]] * len(names)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "hashes"])
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fine = []
-            for k in range(len(u)):
-                if u[k] != last:
-                    last, mine = u[k], np.unique(shingle_hashes(batch.column(2)[k].as_py(), words))
-                fine.append(jaccard(mine, np.unique(shingle_hashes(batch.column(3)[k].as_py(), words))) >= similarity)
+            sides = []
+            for k in (2, 3):
+                column = batch.column(k)
+                ends, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+                sides.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
+            fine = [jaccard(a, b) >= similarity for a, b in zip(*sides)]
             yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = rows.select(F.col("row").alias("v"), F.col("text").alias("b"))
-        other = rows.select(F.col("row").alias("u"), F.col("text").alias("a"))
-        return materialize(pairs.join(one, "v").join(other, "u").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long"))
-
-    limit = differing_bits(similarity)
-
-    def plausible(a: str, b: str) -> Column:
-        differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in ("b0", "b1")), F.lit(0))
-        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-        return (differ <= limit) & (small / large >= similarity)
-
-    sketches = materialize(rows.select("row", "text").mapInArrow(sketch, kinds))
+        """Those of the stored pairs (u, v) whose sets are as similar as they must be."""
+        needed = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
+        sets = materialize(rows.select("row", "text").join(needed, "row", "left_semi").mapInArrow(sets_of, "row long, hashes array<long>"))
+        one, other = (sets.select(F.col("row").alias(k), F.col("hashes").alias(h)) for k, h in (("u", "a"), ("v", "b")))
+        found = materialize(pairs.select("u", "v").join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long"))
+        discard(sets)
+        return found
+
+    def tries(of: DataFrame, *others: str) -> DataFrame:
+        kinds = [of.filter(f"{kind} is not null").select("rep", *others, F.posexplode(kind).alias("word", "bits")).withColumn("word", F.col("word") + k * sketch.words) for k, kind in enumerate(("plain", "fine"))]
+        return kinds[0].unionByName(kinds[1])
+
+    def size_fits(task: Task) -> Fits:
+        size, inner = task.columns["size"], task.fits
+
+        def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            fine = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            return fine if inner is None else fine & inner(i, j)
+
+        return fits
+
+    def contract(task: Task) -> Iterator[pa.RecordBatch]:
+        """All pairs of the groups of few rows; of a larger one, each row with the smallest and with the next in the trie's order."""
+        fits, bits, rep = size_fits(task), task.bits, task.columns["rep"]
+        labels = trie_links(bits, None, sketch.budget, allowance(sketch.budget, task.turn, sketch.width), fits=fits)
+        order = np.argsort(labels, kind="stable")
+        _, begins, counts = np.unique(labels[order], return_index=True, return_counts=True)
+        us, vs, large = [], [], []
+        for gap in range(1, FEW):  # members that stand ``gap`` apart
+            member = np.arange(len(order))
+            group = np.repeat(np.arange(len(counts)), counts)
+            ok = (member + gap < (begins + counts)[group]) & ((counts[group] <= FEW) | (gap == 1))
+            i, j = order[member[ok]], order[member[ok] + gap]
+            few = counts[group[ok]] <= FEW
+            fine = ~few | (np.bitwise_count(bits[i] ^ bits[j]) <= sketch.budget) & fits(i, j)
+            us, vs, large = [*us, rep[i[fine]]], [*vs, rep[j[fine]]], [*large, ~few[fine]]
+        for a, n in zip(begins[counts > FEW], counts[counts > FEW]):
+            members = rep[order[a : a + n]]
+            us, vs, large = [*us, members], [*vs, np.full(n, members.min())], [*large, np.ones(n, bool)]
+        u, v = np.concatenate(us), np.concatenate(vs)
+        columns = [np.minimum(u, v), np.maximum(u, v), np.concatenate(large)]
+        yield pa.RecordBatch.from_arrays([pa.array(c[u != v]) for c in columns], ["u", "v", "large"])
+
+    def apart(task: Task) -> Iterator[pa.RecordBatch]:
+        """All pairs of rows that are in different components."""
+        fits, bits, rep, c = size_fits(task), task.bits, task.columns["rep"], task.columns["c"]
+        for i, j in met(bits, allowance(sketch.budget, task.turn, sketch.width), lambda: c):
+            fine = (np.bitwise_count(bits[i] ^ bits[j]) <= sketch.budget) & (c[i] != c[j])
+            i, j = i[fine], j[fine]
+            fine = fits(i, j) if len(i) else np.empty(0, bool)
+            u, v = rep[i[fine]], rep[j[fine]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    sketches = materialize(rows.select("row", "text").mapInArrow(draw, "row long, d0 long, d1 long, size int, plain array<long>, fine array<long>"))
     equal = materialize(sketches.groupBy("d0", "d1").agg(F.min("row").alias("rep")))
-    heads = sketches.join(equal.select(F.col("rep").alias("row")), "row", "left_semi")
-    own = F.struct("row", "size", "b0", "b1")
-    heads = materialize(heads.select(own.alias("own"), F.posexplode("bands").alias("band", "value")))
-    leads = heads.groupBy("band", "value").agg(F.min("own").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = materialize(heads.join(leads, ["band", "value"]))
-    stars = shared.filter("own.row <> lead.row").filter(plausible("lead", "own"))
-    found = verified(stars.groupBy(F.col("own.row").alias("v")).agg(F.min("lead.row").alias("u")))
-
+    distinct = materialize(sketches.join(equal.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "size", "plain", "fine"))
+    limit = sketch.differing(similarity)
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches do not rule them out, with the bits that differ."""
+        one, other = (distinct.select(F.col("rep").alias(k), F.col("plain").alias(f"{k}p"), F.col("fine").alias(f"{k}f")) for k in "uv")
+
+        def distance(a: str, b: str) -> Column:
+            return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+        both = pairs.join(one, "u").join(other, "v")
+        return both.withColumn("far", F.coalesce(distance("up", "vp"), distance("uf", "vf"))).filter(F.col("far") <= limit).drop("up", "uf", "vp", "vf")
+
+    joined = trie_join(tries(distinct, "size"), sketch.width, sketch.budget, part, contract, "u long, v long, large boolean")
+    joined = materialize(plausible(joined.groupBy("u", "v").agg(F.max("large").alias("large"), F.min("large").alias("only_large"))))
+    near = Window.partitionBy("v").orderBy("far", "u")  # u: the smaller row, which a whole group may share
+    chosen = joined.filter("only_large").withColumn("nth", F.row_number().over(near)).filter(F.col("nth") <= NEAREST)
+    found = verified(materialize(joined.filter("not only_large").select("u", "v").unionByName(chosen.select("u", "v"))))
+    members = joined.filter("large")
+    members = members.select(F.col("u").alias("rep")).unionByName(members.select(F.col("v").alias("rep"))).distinct()
+    members = materialize(distinct.join(members, "rep", "left_semi"))
+    if not members.isEmpty():
+        of = components(found)
+        members = materialize(members.join(of, members["rep"] == of["id"], "left").withColumn("c", F.coalesce("component", "rep")))
+        others = trie_join(tries(members, "size", "c"), sketch.width, sketch.budget, part, apart, "u long, v long")
+        found = found.unionByName(verified(materialize(plausible(others.distinct()))))
     of = components(found)
-    shared = shared.select("band", "value", "own", F.col("own.row").alias("id")).join(of, "id", "left")
-    shared = materialize(shared.select("band", "value", "own", F.coalesce("component", "id").alias("c")))
-    mixed = shared.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    shared = materialize(shared.join(mixed, ["band", "value"], "left_semi"))
-    others = shared.select("band", "value", F.col("own").alias("its"), F.col("c").alias("d"))
-    pairs = shared.join(others, ["band", "value"]).filter("c < d").filter(plausible("own", "its"))
-    found = found.unionByName(verified(pairs.select(F.col("own.row").alias("u"), F.col("its.row").alias("v")).distinct()))
-
-    of = equal.join(components(found), equal["rep"] == F.col("id"), "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
+    of = equal.join(of, equal["rep"] == of["id"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
     return sketches.select("row", "d0", "d1").join(of, ["d0", "d1"]).select("row", "component")
 
 

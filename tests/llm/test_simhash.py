@@ -148,3 +148,122 @@ def test_shingle_sets_link_from_the_threshold_on_only(spark):
         linked[5000 + i] = 5000
     got = {g["doc_id"]: g["component_id"] for g in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: got[k] for k in linked} == linked
+
+
+def planted(r, n, similarity):
+    """Two texts of n + 4 or so words whose sets of five-word shingles have about this similarity, and what it is exactly."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(9))
+    common = round(n * similarity)
+    shared = [word() for _ in range(common + 4)]
+    own = (n - common) // 2
+    a = [word() for _ in range(own)] + shared
+    b = shared + [word() for _ in range(n - common - own)]
+    return " ".join(a), " ".join(b), common / n
+
+
+def test_recall_over_similarities(spark):
+    """Pairs of equal or other sizes, from few shingles to many: all at 0.8 and more link, none below it."""
+    r = random.Random(17)
+    rows, told = [], []
+    for similarity in (0.8, 0.85, 0.75, 0.7):
+        for n in (20, 60, 100, 400) * 25:
+            a, b, exact = planted(r, n, similarity)
+            told.append((len(rows), similarity, exact))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {g["doc_id"]: g["component_id"] for g in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {s: [got[k] == got[k + 1] for k, t, _ in told if t == s] for s in (0.8, 0.85, 0.75, 0.7)}
+    assert all(exact >= 0.8 if s >= 0.8 else exact < 0.8 for _, s, exact in told)
+    assert np.mean(linked[0.8]) >= 0.99 and np.mean(linked[0.85]) >= 0.99
+    assert not any(linked[0.75]) and not any(linked[0.7])
+
+
+def test_a_large_group_of_alike_texts_against_all_pairs(spark):
+    """Copies of one text with many or few words changed: a trie joins them all, the sets decide; the same in small cells and parts."""
+    r = random.Random(23)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 2, 4, 8])):
+            words[r.randrange(120)] = f"x{r.random()}"
+        rows.append((i, " ".join(words)))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(116)} for k, t in rows for w in [t.split()]}
+    root = {k: k for k, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in root:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    df = spark.createDataFrame(rows, "row long, text string")
+    numbered = simhash.materialize(df)
+    for part in (simhash.PART, 20):
+        got = {g["row"]: g["component"] for g in simhash.near_rows(numbered, part=part).collect()}
+        names = {find(k): got[find(k)] for k in got}
+        assert len(set(names.values())) == len(names) and all(got[k] == names[find(k)] for k in got)
+
+
+def test_sketch_choice_keeps_the_share_missed():
+    for n in (10, 1000, 10**6, 10**9):
+        s = simhash.choose_sketch(n, 0.8)
+        hit = simhash.at_most(s.budget, s.width, simhash.bit_differs(0.8))
+        assert (1 - hit) ** s.words <= simhash.MISS
+        assert s.words * n * simhash.at_most(s.budget, s.width, 0.5) < 400  # random candidates of a row
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    from stowage.llm import common
+
+    tables = []
+    stored = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df: tables.append(stored(df)) or tables[-1])
+    chain = spark.range(10_000).selectExpr("id as u", "id + 1 as v")
+    got = components(chain)
+    assert got.filter("component = 0").count() == got.count() == 10_001
+    assert len(tables) <= 21  # one for the edges, one for each round
+    for old in tables[:-1]:  # deleted
+        with_files = common._at(spark, old.stored_at)
+        assert not with_files[1].exists(with_files[0])
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from stowage.llm import common
+
+    class Conf:
+        def get(self, key, default=None):
+            return self.found or default
+
+        found = None
+
+    class Context:
+        master, dir = "spark://host:7077", None
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, at):
+            self.dir = at
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    s = Session()
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        s.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_dir(s)
+    for master in ("local", "local[4]", "local[*]"):
+        s.sparkContext.master, s.sparkContext.dir = master, None
+        assert common.shared_dir(s) == s.sparkContext.dir
+    s.conf.found, s.sparkContext.master = "hdfs://shared/x", "yarn"
+    assert common.shared_dir(s) == "hdfs://shared/x"
