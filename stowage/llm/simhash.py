@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize
+from .common import components, materialize
 
 BITS = 64
 #: Node pairs that a task expands at once; the rest waits on a stack.
@@ -304,14 +304,14 @@ def near_duplicates(documents: DataFrame, *, words: int = 4, budget: int = 4, ke
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Share of the pairs at the very threshold that no trie of ``near_rows`` finds, and share that its sketches' distance rules out.
-MISS, RULED_OUT = 1e-4, 1e-6
+#: Share of the pairs at the very threshold that no trie of ``near_rows`` finds, and share that the guard bits rule out.
+MISS, RULED_OUT = 1e-3, 1e-5
+#: Further bits that a candidate pair is held against before its sets are.
+GUARD = 128
 #: Sets of at most so many shingles get finer votes (each shingle has VOTES of them), as few coarse ones tie too often.
 SMALL, VOTES = 64, 9
-#: Rows that one trie joins are compared in all pairs if there are no more of them; larger groups are first contracted.
-FEW = 8
-#: Nearest rows that a row of a larger group is verified with before the group's remaining pairs are.
-NEAREST = 3
+#: Rows and shingles of a block of sets that one task compares with itself or another block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 
 def at_most(k: int, n: int, p: float) -> float:
@@ -332,28 +332,25 @@ class Sketch:
     width: int
     budget: int
 
-    @property
-    def bits(self) -> int:
-        return self.words * self.width
-
     def votes(self, hashes: np.ndarray) -> np.ndarray:
-        """The words, in their highest bits, by the majority of the bits that multiplied hashes have."""
-        times = multipliers(-(-self.bits // 32))
+        """The words, in their highest bits, and the guard's, by the majority of the bits that multiplied hashes have."""
+        own = self.words * self.width
+        times = multipliers(-(-(own + GUARD) // 32))
         ones = np.zeros(32 * len(times), np.int64)
         for i in range(0, len(hashes), 255):  # so that a byte can count
             half = (hashes[i : i + 255, None] * times >> np.uint64(32)).astype("<u4")
             ones += np.add.reduce(np.unpackbits(half.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+        bits = 2 * ones > len(hashes)
         wide = np.zeros((self.words, BITS), bool)
-        wide[:, : self.width] = (2 * ones[: self.bits] > len(hashes)).reshape(self.words, self.width)
-        return np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
+        wide[:, : self.width] = bits[:own].reshape(self.words, self.width)
+        flat = np.concatenate([wide.ravel(), bits[own : own + GUARD]])
+        return np.packbits(flat).view(">u8").astype(np.uint64)
+
 
-    def differing(self, similarity: float) -> int:
-        """Bits of all words that may differ: sets of this similarity exceed it in RULED_OUT of all cases at most."""
-        p, n = bit_differs(similarity), self.bits
-        k = round(p * n)
-        while 1 - at_most(k, n, p) > RULED_OUT:
-            k += 1
-        return k
+def guard_limit(similarity: float) -> int:
+    """Guard bits that may differ: sets of this similarity exceed it in RULED_OUT of all cases at most."""
+    p = bit_differs(similarity)
+    return next(k for k in range(GUARD + 1) if 1 - at_most(k, GUARD, p) <= RULED_OUT)
 
 
 @lru_cache(maxsize=8)
@@ -381,19 +378,54 @@ def choose_sketch(n: int, similarity: float, miss: float = MISS) -> Sketch:
             for limit in allowed[: min(width, math.ceil(log_n))]:
                 paths[1:] += paths[:-1].copy()
                 paths[limit + 1 :] = 0
-            cost = words * (budget + 1) * (1 + paths.sum() / 16) + 4 * words * n * at_most(budget, width, 0.5)
+            cost = words * (budget + 1) * (1 + paths.sum() / 16) + words * n * at_most(budget, width, 0.5)
             if best is None or cost < best[0]:
                 best = (cost, Sketch(words, width, budget))
     return best[1]
 
 
+def similar_links(sets: list[np.ndarray], rep: np.ndarray, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Roots of the sets (arrays without repeats) under links of this Jaccard similarity or more, each an index of the smallest ``rep``.
+
+    Common shingles are counted over posting lists, so sets that share nothing are never compared.  ``side``: only pairs of
+    different values there link.  Two empty sets are equal.
+    """
+    order = np.argsort(rep, kind="stable")
+    size = np.array([len(sets[i]) for i in order])
+    owner = np.repeat(np.arange(len(order)), size)
+    flat = np.concatenate([sets[i] for i in order]) if len(order) else np.empty(0, np.uint64)
+    shingle = np.unique(flat, return_inverse=True)[1]
+    posted = np.argsort(shingle, kind="stable")  # within a shingle by owner
+    owners = owner[posted]
+    place = np.empty(len(flat), np.int64)
+    place[posted] = np.arange(len(flat))
+    stop = np.cumsum(np.bincount(shingle))[shingle] if len(flat) else place
+    ends = np.concatenate([[0], np.cumsum(size)])
+    labels = np.arange(len(order))
+    for i in range(len(order)):
+        # owners after this one in the lists of its shingles
+        a, n = place[ends[i] : ends[i + 1]] + 1, stop[ends[i] : ends[i + 1]] - place[ends[i] : ends[i + 1]] - 1
+        after = owners[np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)] if n.any() else np.empty(0, np.int64)
+        both = np.bincount(after, minlength=len(order)) if len(after) else np.zeros(len(order), np.int64)
+        if size[i] == 0:
+            close = (size == 0) & (np.arange(len(order)) > i)
+        else:
+            close = both / (size[i] + size - both) >= similarity
+        close &= labels != labels[i]
+        if side is not None:
+            close &= side[order] != side[order[i]]
+        j = np.nonzero(close)[0]
+        if len(j):
+            labels = merged(labels, np.full(len(j), i), j)
+    found = np.empty(len(order), np.int64)
+    found[order] = order[labels]
+    return found
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sets as ascending arrays; two empty sets are equal."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    at = np.searchsorted(a, b)
-    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-    return both / (len(a) + len(b) - both)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def numbered(documents: DataFrame) -> DataFrame:
@@ -401,15 +433,15 @@ def numbered(documents: DataFrame) -> DataFrame:
     return materialize(documents.withColumn("row", F.monotonically_increasing_id()))
 
 
-def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
+def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8, part: int = PART, block: int = BLOCK) -> DataFrame:
     """(row, component) of stored ``rows`` (row long unique, text), linked where the sets of ``words``-word shingles have this Jaccard similarity or more.
 
-    Equal sets are joined first.  Sets that a trie of one of their SimHash words brings together are candidates (at the very threshold
-    all but MISS of the pairs, nearer ones more surely); their sets are compared, so no link is below ``similarity``.  Where a
-    trie joins more than FEW rows, each is first compared with its nearest ones, which contracts large groups, and then with
-    all candidates that are still in other components.
+    Equal sets are joined first.  Sets that a trie of one of their SimHash words brings together, with not too many guard bits
+    differing, are candidates (at the very threshold all but MISS of the pairs, nearer ones more surely); tries return
+    forests, which make groups of candidates.  Within a group the sets themselves decide, so no link is below ``similarity``: small groups
+    share a task, of a large one every two blocks meet in a task, which again returns a forest.
     """
-    sketch = choose_sketch(rows.count(), similarity)
+    sketch, limit = choose_sketch(rows.count(), similarity), guard_limit(similarity)
     split = multipliers(VOTES, 9)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,104 +460,50 @@ def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8, part: in
             columns = zip(*found) if found else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "hashes"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for k in (2, 3):
-                column = batch.column(k)
-                ends, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-                sides.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
-            fine = [jaccard(a, b) >= similarity for a, b in zip(*sides)]
-            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the stored pairs (u, v) whose sets are as similar as they must be."""
-        needed = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
-        sets = materialize(rows.select("row", "text").join(needed, "row", "left_semi").mapInArrow(sets_of, "row long, hashes array<long>"))
-        one, other = (sets.select(F.col("row").alias(k), F.col("hashes").alias(h)) for k, h in (("u", "a"), ("v", "b")))
-        found = materialize(pairs.select("u", "v").join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long"))
-        discard(sets)
-        return found
-
-    def tries(of: DataFrame, *others: str) -> DataFrame:
-        kinds = [of.filter(f"{kind} is not null").select("rep", *others, F.posexplode(kind).alias("word", "bits")).withColumn("word", F.col("word") + k * sketch.words) for k, kind in enumerate(("plain", "fine"))]
-        return kinds[0].unionByName(kinds[1])
-
-    def size_fits(task: Task) -> Fits:
-        size, inner = task.columns["size"], task.fits
+    def candidates(task: Task) -> Iterator[pa.RecordBatch]:
+        rep, size = task.columns["rep"], task.columns["size"]
+        g0, g1 = (task.columns[g].view(np.uint64) for g in ("g0", "g1"))
 
         def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             fine = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-            return fine if inner is None else fine & inner(i, j)
-
-        return fits
-
-    def contract(task: Task) -> Iterator[pa.RecordBatch]:
-        """All pairs of the groups of few rows; of a larger one, each row with the smallest and with the next in the trie's order."""
-        fits, bits, rep = size_fits(task), task.bits, task.columns["rep"]
-        labels = trie_links(bits, None, sketch.budget, allowance(sketch.budget, task.turn, sketch.width), fits=fits)
-        order = np.argsort(labels, kind="stable")
-        _, begins, counts = np.unique(labels[order], return_index=True, return_counts=True)
-        us, vs, large = [], [], []
-        for gap in range(1, FEW):  # members that stand ``gap`` apart
-            member = np.arange(len(order))
-            group = np.repeat(np.arange(len(counts)), counts)
-            ok = (member + gap < (begins + counts)[group]) & ((counts[group] <= FEW) | (gap == 1))
-            i, j = order[member[ok]], order[member[ok] + gap]
-            few = counts[group[ok]] <= FEW
-            fine = ~few | (np.bitwise_count(bits[i] ^ bits[j]) <= sketch.budget) & fits(i, j)
-            us, vs, large = [*us, rep[i[fine]]], [*vs, rep[j[fine]]], [*large, ~few[fine]]
-        for a, n in zip(begins[counts > FEW], counts[counts > FEW]):
-            members = rep[order[a : a + n]]
-            us, vs, large = [*us, members], [*vs, np.full(n, members.min())], [*large, np.ones(n, bool)]
-        u, v = np.concatenate(us), np.concatenate(vs)
-        columns = [np.minimum(u, v), np.maximum(u, v), np.concatenate(large)]
-        yield pa.RecordBatch.from_arrays([pa.array(c[u != v]) for c in columns], ["u", "v", "large"])
-
-    def apart(task: Task) -> Iterator[pa.RecordBatch]:
-        """All pairs of rows that are in different components."""
-        fits, bits, rep, c = size_fits(task), task.bits, task.columns["rep"], task.columns["c"]
-        for i, j in met(bits, allowance(sketch.budget, task.turn, sketch.width), lambda: c):
-            fine = (np.bitwise_count(bits[i] ^ bits[j]) <= sketch.budget) & (c[i] != c[j])
-            i, j = i[fine], j[fine]
-            fine = fits(i, j) if len(i) else np.empty(0, bool)
-            u, v = rep[i[fine]], rep[j[fine]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            fine &= np.bitwise_count(g0[i] ^ g0[j]).astype(np.int64) + np.bitwise_count(g1[i] ^ g1[j]) <= limit
+            return fine if task.fits is None else fine & task.fits(i, j)
+
+        labels = trie_links(task.bits, None, sketch.budget, allowance(sketch.budget, task.turn, sketch.width), fits=fits)
+        linked = np.nonzero(labels != np.arange(len(labels)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[labels[linked]])], ["u", "v"])
+
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in table["text"]]
+        rep = table["rep"].to_numpy()
+        roots = similar_links(sets, rep, similarity, table["own"].to_numpy() if key[1].as_py() != key[2].as_py() else None)
+        linked = np.nonzero(roots != np.arange(len(roots)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[roots[linked]])], ["u", "v"])
 
     sketches = materialize(rows.select("row", "text").mapInArrow(draw, "row long, d0 long, d1 long, size int, plain array<long>, fine array<long>"))
     equal = materialize(sketches.groupBy("d0", "d1").agg(F.min("row").alias("rep")))
     distinct = materialize(sketches.join(equal.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "size", "plain", "fine"))
-    limit = sketch.differing(similarity)
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sketches do not rule them out, with the bits that differ."""
-        one, other = (distinct.select(F.col("rep").alias(k), F.col("plain").alias(f"{k}p"), F.col("fine").alias(f"{k}f")) for k in "uv")
-
-        def distance(a: str, b: str) -> Column:
-            return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-        both = pairs.join(one, "u").join(other, "v")
-        return both.withColumn("far", F.coalesce(distance("up", "vp"), distance("uf", "vf"))).filter(F.col("far") <= limit).drop("up", "uf", "vp", "vf")
-
-    joined = trie_join(tries(distinct, "size"), sketch.width, sketch.budget, part, contract, "u long, v long, large boolean")
-    joined = materialize(plausible(joined.groupBy("u", "v").agg(F.max("large").alias("large"), F.min("large").alias("only_large"))))
-    near = Window.partitionBy("v").orderBy("far", "u")  # u: the smaller row, which a whole group may share
-    chosen = joined.filter("only_large").withColumn("nth", F.row_number().over(near)).filter(F.col("nth") <= NEAREST)
-    found = verified(materialize(joined.filter("not only_large").select("u", "v").unionByName(chosen.select("u", "v"))))
-    members = joined.filter("large")
-    members = members.select(F.col("u").alias("rep")).unionByName(members.select(F.col("v").alias("rep"))).distinct()
-    members = materialize(distinct.join(members, "rep", "left_semi"))
-    if not members.isEmpty():
-        of = components(found)
-        members = materialize(members.join(of, members["rep"] == of["id"], "left").withColumn("c", F.coalesce("component", "rep")))
-        others = trie_join(tries(members, "size", "c"), sketch.width, sketch.budget, part, apart, "u long, v long")
-        found = found.unionByName(verified(materialize(plausible(others.distinct()))))
-    of = components(found)
+    told = []
+    for k, kind in enumerate(("plain", "fine")):
+        guard = [F.element_at(kind, sketch.words + 1 + g).alias(f"g{g}") for g in range(GUARD // BITS)]
+        each = distinct.filter(f"{kind} is not null").select("rep", "size", *guard, F.posexplode(F.slice(kind, 1, sketch.words)).alias("word", "bits"))
+        told.append(each.withColumn("word", F.col("word") + k * sketch.words))
+    groups = components(trie_join(told[0].unionByName(told[1]), sketch.width, sketch.budget, part, candidates, "u long, v long"))
+
+    # every candidate with its text, and of a large group once for each block that its own meets
+    members = materialize(groups.join(distinct.select(F.col("rep").alias("id"), "size"), "id"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    large = materialize(sizes.select("component", F.greatest(F.lit(1), parts).alias("parts")).filter("parts > 1"))
+    tasks = 1 + members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * 2 // BLOCK_SHINGLES + members.count() * 2 // block
+    members = members.join(large, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.when(F.col("parts") > 1, -1 - F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks)))
+    members = members.select(F.col("id").alias("rep"), "own", group.alias("grp"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = rows.select(F.col("row").alias("rep"), "text")
+    links = members.join(texts, "rep").groupBy("grp", "i", "j").applyInArrow(compare, "u long, v long")
+    of = components(links)
     of = equal.join(of, equal["rep"] == of["id"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
     return sketches.select("row", "d0", "d1").join(of, ["d0", "d1"]).select("row", "component")
 

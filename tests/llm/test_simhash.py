@@ -202,8 +202,8 @@ def test_a_large_group_of_alike_texts_against_all_pairs(spark):
                 root[q] = p
     df = spark.createDataFrame(rows, "row long, text string")
     numbered = simhash.materialize(df)
-    for part in (simhash.PART, 20):
-        got = {g["row"]: g["component"] for g in simhash.near_rows(numbered, part=part).collect()}
+    for part, block in ((simhash.PART, simhash.BLOCK), (20, 20)):
+        got = {g["row"]: g["component"] for g in simhash.near_rows(numbered, part=part, block=block).collect()}
         names = {find(k): got[find(k)] for k in got}
         assert len(set(names.values())) == len(names) and all(got[k] == names[find(k)] for k in got)
 
@@ -267,3 +267,23 @@ def test_tables_need_a_shared_folder_on_a_cluster():
         assert common.shared_dir(s) == s.sparkContext.dir
     s.conf.found, s.sparkContext.master = "hdfs://shared/x", "yarn"
     assert common.shared_dir(s) == "hdfs://shared/x"
+
+
+def test_similar_links_against_all_pairs():
+    rng = np.random.default_rng(9)
+    base = rng.permutation(4000).astype(np.uint64)
+    sets = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+    for _ in range(80):
+        at, n = rng.integers(0, 60), rng.integers(1, 60)
+        sets.append(np.unique(base[at : at + n]))
+    rep = rng.permutation(1000)[: len(sets)]
+    for side in (None, rng.integers(0, 2, len(sets))):
+        labels = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                if simhash.jaccard(sets[i], sets[j]) >= 0.8 and (side is None or side[i] != side[j]):
+                    labels[labels == labels[i]] = labels[j]
+        got = simhash.similar_links(sets, rep, 0.8, side)
+        for g in set(labels.tolist()):
+            group = np.nonzero(labels == g)[0]
+            assert set(got[group].tolist()) == {group[np.argmin(rep[group])]}
