@@ -1,12 +1,16 @@
 """BPE encoding and decoding with a tokenization automaton.
 
 A word's BPE encoding is the only path of tokens over it in which every two neighbours could stand side by side
-after all merges.  The automaton's states are the tokens last read (and a start); the arc ``x -y-> y`` exists
+after all merges.  The token automaton's states are the tokens last read (and a start); the arc ``x -y-> y`` exists
 if ``y`` may follow ``x``.  It starts with arcs between all alphabet symbols, and the gadget of the merge
 ``(a, b) -> c`` then removes the arc ``a -b->``, adds ``c`` with the arcs that leave ``b``, and lets every state that had an arc
 ``a`` have an arc ``c``.  So an arc of a younger token was copied from an older token's arc, and ``Automaton.arc``
-replays the gadgets for one entry of the table.  With 48,894 merges the whole table would have 2.4e9
-entries, so entries are compiled when a word first needs them, and kept.
+replays the gadgets for one arc.
+
+Words are read by the deterministic automaton over symbols that the subset construction makes of it: a state holds, for each place
+where a token may have begun, the token before and how far the trie of tokens was read since.  After each symbol exactly one
+token can end there, the last one of the encoding of what was read, and the table names it.  With 48,894 merges
+the whole table would have billions of entries, so a state's row is made when a word first needs it, and kept.
 """
 
 from __future__ import annotations
@@ -16,16 +20,16 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-#: Compiled arcs and encoded words that a worker keeps; when full, a store starts anew (results do not change).
-MAX_ARCS, MAX_WORDS = 1_000_000, 300_000
-#: Lower-cased texts without these characters are split by an equal pattern of the faster built-in module.
-UNUSUAL = re.compile(r"[^ -~\n\r\t\xdf-\xf6\xf8-\xff]")
-LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Compiled arcs, table entries and encoded words that a worker keeps; when full, a store starts anew (results do not change).
+MAX_ARCS, MAX_ENTRIES, MAX_WORDS = 1_000_000, 500_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -49,13 +53,33 @@ class Automaton:
             self.merged.setdefault((vocab[a], vocab[b]), n)
         self.arcs: dict[int, bool] = {}
         dead = {c for c, (a, b, n) in self.parts.items() if not self._replay(a, b, n)}  # gadgets that found no such arc
-        self.live = {t: i for t, i in vocab.items() if i not in dead}
-        self.trie: dict = {}
-        for token, i in self.live.items():
-            node = self.trie
-            for symbol in token:
-                node = node.setdefault(symbol, {})
-            node[""] = i
+        self.nodes: list[dict[str, int]] = [{}]  # the trie of tokens: children by symbol
+        self.ends: list[int | None] = [None]
+        self.span: dict[int, int] = {}
+        for token, i in vocab.items():
+            if i in dead:
+                continue
+            path = self.symbols(token[: -len(suffix)], True) if suffix and token.endswith(suffix) else self.symbols(token, False)
+            at = 0
+            for symbol in path:
+                if symbol not in self.nodes[at]:
+                    self.nodes[at][symbol] = len(self.nodes)
+                    self.nodes.append({})
+                    self.ends.append(None)
+                at = self.nodes[at][symbol]
+            self.ends[at], self.span[i] = i, len(path)
+        self.reset()
+
+    def symbols(self, word: str, last: bool) -> list[str]:
+        """Symbols of a word, the last one marked by the suffix where the word ends there."""
+        return [*word[:-1], word[-1] + self.suffix] if last and word else list(word)
+
+    def reset(self) -> None:
+        """The table with its start only: before any symbol a token may begin, with none before it."""
+        self.numbers: dict[tuple[tuple[int, int], ...], int] = {((0, -1),): 0}
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.table: list[dict[str, tuple[int, int]]] = [{}]
+        self.entries = 0
 
     def arc(self, x: int, y: int) -> bool:
         """True if the table has the arc from state ``x`` to ``y`` after all gadgets."""
@@ -82,36 +106,71 @@ class Automaton:
             else:  # y's arcs came where its left part had one, new states included, after that gadget removed its own
                 y, limit = of_y[0], born_y + 1
 
-    def encode(self, word: str) -> list[int]:
-        """Ids of a pre-split word, given as symbols: one path at most leads from the start to each position."""
-        n, live, suffix, trie, arcs = len(word), self.live, self.suffix, self.trie, self.arcs
-        if not n:
-            return []
-        came: list[tuple[int, int] | None] = [None] * n  # by position: the state there, and where its arc began
-        for at in range(n):
-            if at and came[at] is None:
+    def step(self, state: int, symbol: str) -> tuple[int, int]:
+        """The table's entry: the next state, and the token that ends with ``symbol``."""
+        ended, open_ = None, []
+        for node, x in self.states[state]:
+            to = self.nodes[node].get(symbol)
+            if to is None:
                 continue
-            x = came[at][0] if at else -1
-            y = live.get(word[at:] + suffix)
-            if y is not None and (not at or self.arc(x, y)):
-                ids = [y]
-                while at:
-                    x, at = came[at]
-                    ids.append(x)
-                return ids[::-1]
-            node = trie
-            for to in range(at + 1, n):
-                node = node.get(word[to - 1])
-                if node is None:
-                    break
-                y = node.get("")
-                if y is not None and came[to] is None:
-                    if at:
-                        known = arcs.get(x << 32 | y)
-                        if not (self.arc(x, y) if known is None else known):
-                            continue
-                    came[to] = (y, at)
-        raise ValueError(f"no path for {word!r}")
+            y = self.ends[to]
+            if y is not None and ended is None and (x < 0 or self.arc(x, y)):
+                ended = y
+            if self.nodes[to]:
+                open_.append((to, x))
+        if ended is None:
+            raise ValueError(f"no token ends with {symbol!r}")
+        key = (*open_, (0, ended))
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.table.append({})
+        self.entries += 1
+        found = self.table[state][symbol] = (number, ended)
+        return found
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of a pre-split word, given as symbols: one table entry for each symbol, then back along the tokens that ended."""
+        if self.entries > MAX_ENTRIES:
+            self.reset()
+        state, table, ended = 0, self.table, []
+        for symbol in self.symbols(word, True):
+            found = table[state].get(symbol)
+            state, y = found if found is not None else self.step(state, symbol)
+            ended.append(y)
+        ids, at = [], len(ended)
+        while at:
+            ids.append(ended[at - 1])
+            at -= self.span[ids[-1]]
+        return ids[::-1]
+
+
+#: Texts without these have only code points that have long been assigned.
+RARE = re.compile("[^\0-\u0377\u2010-\u2027\u2030-\u205e]")
+#: A character of each class that the splits tell apart, none of them part of a contraction.
+STAND_INS = {r"\p{L}+": "a", r"\p{N}+": "0", r"\s+": " "}
+
+
+@cache
+def stand_ins() -> dict[int, str]:
+    """Code points that the tokenizers library puts into another class than the ``regex`` module does, and a character of the library's class."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    theirs, ours = np.full(len(every), "!"), np.full(len(every), "!")
+    for pattern, stands in STAND_INS.items():
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            theirs[a:b] = stands
+        for m in regex.finditer(pattern, every):
+            ours[m.start() : m.end()] = stands
+    return {ord(every[i]): str(theirs[i]) for i in np.flatnonzero(theirs != ours)}
+
+
+@cache
+def unassigned() -> re.Pattern:
+    """Code points that Python's Unicode tables do not know; the library's may be newer."""
+    known = np.fromiter((unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)), bool, 0x110000)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], known, [True]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2)) + "]")
 
 
 class WordBpe:
@@ -126,21 +185,35 @@ class WordBpe:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or told["decoder"] is not None or told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != known:
             raise ValueError(f"{path}: other steps than this class knows")
         self.words = regex.compile(known)
+        self.normalizer = Tokenizer.from_file(path).normalizer
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.symbols = byte_symbols()
         self.ids: dict[str, str] = {}
         self.labels: dict[str, str] = {}
 
-    @staticmethod
-    def normalize(text: str) -> str:
-        """NFC, then lower case character by character; runs of white space stay, as the splits drop them anyway."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+    def normalize(self, text: str) -> str:
+        """NFC, then lower case character by character; runs of white space stay, as the splits drop them anyway.
+
+        Texts with code points younger than Python's tables are normalized by the library, whose tables the ids depend on.
+        """
+        if text.isascii():
+            return text.lower()
+        if RARE.search(text) and unassigned().search(text):
+            return self.normalizer.normalize_str(text)
+        text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
+    def split(self, text: str) -> list[str]:
+        """Words of a normalized text, by the library's classes of letters, numbers and spaces."""
+        if RARE.search(text):
+            told = text.translate(stand_ins())
+            if told != text:
+                return [text[m.start() : m.end()] for m in self.words.finditer(told)]
+        return self.words.findall(text)
+
     def word(self, word: str) -> list[int]:
         return self.automaton.encode("".join([self.symbols[b] for b in word.encode()]))
 
@@ -165,7 +238,7 @@ class WordBpe:
                 labels.append(piece)
                 continue
             piece = self.normalize(piece)
-            words = (self.words if UNUSUAL.search(piece) else LATIN_WORDS).findall(piece)
+            words = self.split(piece)
             found = list(map(self.ids.get, words))
             if None in found:
                 self.learn({w for w, x in zip(words, found) if x is None})

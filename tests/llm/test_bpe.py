@@ -86,3 +86,39 @@ def test_digests_of_odd_rows(spark, both):
     assert full[1]["ids"] == lib.encode("Hello there", add_special_tokens=False).ids
     assert full[2]["ids"] == [] and full[2]["decoded"] == ""
     assert bpe.digests(df.limit(0), PATH).count() == 0
+
+
+def test_any_code_points(both):
+    """Letters, numbers and cases of all of Unicode, also where Python's tables are older or newer than the library's."""
+    own, lib = both
+    r = random.Random(8)
+    for _ in range(20_000):
+        spans = (0x250, 0x3000, 0x20000, 0x110000)
+        points = [r.randrange(r.choice(spans)) for _ in range(r.randint(1, 12))]
+        t = "".join(chr(c) for c in points if not 0xD800 <= c < 0xE000)
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+    for t in ("a\U00018fae~", "\U0001908cb", "xᲉy"):
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_a_long_word_takes_linear_time(both):
+    import time
+
+    own, lib = both
+    r = random.Random(2)
+    took = []
+    for n in (20_000, 160_000):
+        word = "".join(r.choice("etaoinshrdlu") for _ in range(n))
+        began = time.process_time()
+        assert own.encode(word) == lib.encode(word, add_special_tokens=False).ids
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]  # 64 times if it were quadratic
+
+
+def test_a_small_table_changes_nothing(both, monkeypatch):
+    own, lib = both
+    monkeypatch.setattr(bpe, "MAX_ENTRIES", 3)
+    for t in ["one two three", "aaaaaaaaaaaaa", "strengths and weaknesses"]:
+        own.ids.clear()
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    own.automaton.reset()
