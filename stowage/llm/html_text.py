@@ -2,12 +2,14 @@
 
 A page becomes a flat sequence of text blocks.  Each block's features are word count and link density, the same of
 the blocks before and after it, and what kinds of elements stand around it.  The tree is trained on the small
-labelled table below, anew in each process (some milliseconds), and never on the pages it is to judge.
+labelled table below, anew in each process (some milliseconds), and never on the pages it is to judge.  Counts and densities
+decide on pages whose elements say nothing, and inside the element that holds the article, where unmarked menus stand.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -23,6 +25,9 @@ TAG = re.compile(
     r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>",
     re.DOTALL,
 )
+#: Where a tag begins that the page's end cuts off.
+CUT_OFF = re.compile(r"<[A-Za-z/!?]")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ATTRIBUTE = re.compile(r"([A-Za-z][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "video", "audio", "textarea", "select", "button", "option", "datalist"}
@@ -56,6 +61,11 @@ class Block:
     heading: bool
 
 
+#: What a boilerplate word may say it is part of: ``related-posts`` is, ``comments-off`` is not.
+PART_WORDS = {
+    "area", "bar", "block", "body", "box", "container", "content", "entry", "form", "group", "inner", "item", "items", "link", "links", "list", "menu", "panel", "post", "posts",
+    "section", "slot", "stories", "text", "thread", "title", "unit", "wrap", "wrapper",
+}
 #: Words beside which a boilerplate word tells of the page's layout: ``has-sidebar``, ``related-layout``.
 LAYOUT_WORDS = {"has", "with", "without", "no", "layout"}
 #: Words that also hold for an article, and for articles inside: readers' comments, teasers, advertisements.
@@ -78,12 +88,14 @@ def says(name: str, rest: str, head: bool = False) -> tuple[bool, int, bool]:
             key, value = key.lower(), "".join(values)
             if key in ("class", "id", "role", "itemprop", "aria-label") and name not in ("html", "body", "main"):
                 for token in value.split():
-                    words = {w.lower() for w in SPLIT_WORDS.split(token) if w}
-                    if words & LAYOUT_WORDS:
+                    words = [w.lower() for w in SPLIT_WORDS.split(token) if w]
+                    if not words or LAYOUT_WORDS.intersection(words):
                         continue
-                    main |= bool(words & MAIN_WORDS)
-                    found = words & (ASIDE_WORDS if name == "article" else BOILERPLATE_WORDS)
-                    if found - ({"header"} if head else set()):
+                    main |= not MAIN_WORDS.isdisjoint(words)
+                    # a whole name, or a compound that ends in the word, or begins with it and names a part of it
+                    told = ASIDE_WORDS if name == "article" else BOILERPLATE_WORDS
+                    found = {w for w in (words[-1], words[0] if words[-1] in PART_WORDS else "") if w in told} - ({"header"} if head else set())
+                    if found:
                         other = max(other, FIRM if len(words) == 1 or found & ASIDE_WORDS else LOOSE)
             elif key == "aria-hidden":
                 hidden |= value.strip().lower() == "true"
@@ -100,74 +112,79 @@ def blocks(html: str) -> list[Block]:
     Unclosed elements, stray closing tags and cut-off pages are taken as they come: a closing tag ends the nearest open element of its name.
     """
     out: list[Block] = []
-    # name, silent, main, boilerplate, hidden, each with what stands around it
+    # name, silent, main, boilerplate, hidden, each with what stands around it; and how many of each name are open
     stack: list[tuple[str, bool, bool, int, bool]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
     anchor = 0
     heading = False
-    state = (False, False, 0, False)
+    nothing = ("", False, False, 0, False)
 
     def end_block() -> None:
         if text:
             words = unescape("".join(text)).split()
             if words:
                 links = len(unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(links, len(words)), state[1], state[2] > 0 or state[3], heading))
+                _, _, main, other, hidden = stack[-1] if stack else nothing
+                out.append(Block(" ".join(words), len(words), min(links, len(words)), main, other > 0 or hidden, heading))
             text.clear()
             linked.clear()
 
-    at = 0
+    def close(name: str) -> None:
+        """Take the nearest open element of this name off the stack, with all inside it."""
+        while opened[name]:
+            gone = stack.pop()[0]
+            opened[gone] -= 1
+            if gone == name:
+                return
+
+    at, last = 0, html.rfind(">")
     while at < len(html):
-        found = TAG.search(html, at)
+        found = TAG.search(html, at) if at <= last else CUT_OFF.search(html, at)
         told = html[at : found.start() if found else len(html)]
-        if told and not state[0]:
+        if told and not (stack and stack[-1][1]):
             text.append(told)
             if anchor:
                 linked.append(told)
-        if not found:
+        if not found or at > last:
             break
         at = found.end()
         if found["name"] is None:
             continue
         name, rest = found["name"].lower(), found["rest"]
-        if name not in INLINE:
+        inline = name in INLINE
+        if not inline:
             end_block()
         elif name == "a" and anchor and not found["close"]:
             anchor -= 1  # links do not nest
-        if not found["close"]:
-            if name in VOID:
-                continue
-            if name in RAW:
-                closing = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(html, at)
-                at = closing.start() if closing else len(html)
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name == "body":  # ends a head that was left open
-                head = next((i for i, e in enumerate(stack) if e[0] == "head"), None)
-                if head is not None:
-                    del stack[head:]
-            up = stack[-1] if stack else ("", False, False, 0, False)
-            main, other, hidden = says(name, rest, name == "header" and up[2])
-            outer = 0 if name == "main" or name == "article" and up[3] == LOOSE else up[3]
-            stack.append((name, up[1] or name in SILENT, up[2] or main, max(outer, other), up[4] or hidden))
-            anchor += name == "a"
-            if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                heading = True
-        else:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if open_at is not None:
-                if name in INLINE:
-                    del stack[open_at]
-                    # what stands above it in the stack keeps its own state
-                else:
-                    del stack[open_at:]
+        if found["close"]:
+            close(name)
             if name == "a" and anchor:
                 anchor -= 1
-            if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if name in HEADINGS:
                 heading = False
-        if name not in INLINE or name in SILENT or rest:
-            state = stack[-1][1:] if stack else (False, False, 0, False)
+            continue
+        if name in VOID:
+            continue
+        if name in RAW:
+            closing = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(html, at)
+            at = closing.start() if closing else len(html)
+        if name == "p" and stack and stack[-1][0] == "p":
+            close("p")
+        if name == "body":  # ends a head that was left open
+            close("head")
+        up = stack[-1] if stack else nothing
+        main, other, hidden = says(name, rest, name == "header" and up[2]) if rest or not inline else (False, 0, False)
+        if not inline:
+            outer = 0 if name == "main" or name == "article" and up[3] == LOOSE else up[3]
+            stack.append((name, up[1] or name in SILENT, up[2] or main, max(outer, other), up[4] or hidden))
+            opened[name] += 1
+        elif hidden or opened[name]:  # other inline elements say nothing about their block
+            stack.append((name, True, *up[2:]))
+            opened[name] += 1
+        anchor += name == "a"
+        heading = heading or name in HEADINGS
     end_block()
     return out
 
@@ -196,6 +213,13 @@ LABELLED = [
     [(2, 2, 0, 1, 1, 0), (2, 2, 0, 1, 1, 0), (44, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (70, 0, 0, 0, 0, 0), (20, 3, 0, 0, 0, 0)],
     [(150, 0, 0, 1, 0, 1), (150, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1)],
     [(10, 10, 0, 1, 0, 1), (11, 11, 0, 1, 0, 1), (12, 12, 0, 1, 0, 1), (6, 0, 0, 0, 0, 0)],
+    # single short links in an article's text stay
+    [(5, 0, 1, 1, 0, 1), (2, 2, 0, 1, 0, 1), (40, 0, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1), (3, 3, 0, 1, 0, 1), (6, 0, 0, 1, 0, 1), (1, 1, 0, 1, 0, 1), (30, 1, 0, 1, 0, 1)],
+    [(3, 0, 1, 1, 0, 1), (1, 1, 0, 1, 0, 1), (8, 0, 0, 1, 0, 1), (4, 4, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (2, 2, 0, 1, 0, 1), (9, 1, 0, 1, 0, 1), (3, 3, 0, 1, 0, 1)],
+    # menus that nothing marks, inside the element that holds the article: runs of very short blocks that are links as a whole
+    [(1, 1, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (6, 0, 1, 1, 0, 1), (70, 2, 0, 1, 0, 1), (25, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (44, 0, 0, 1, 0, 1)],
+    [(7, 0, 1, 1, 0, 1), (90, 4, 0, 1, 0, 1), (52, 0, 0, 1, 0, 1), (2, 2, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (20, 0, 0, 0, 1, 0)],
+    [(3, 3, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (9, 9, 1, 1, 0, 1), (120, 6, 0, 1, 0, 1), (2, 2, 0, 1, 0, 1), (80, 0, 0, 1, 0, 1), (3, 0, 0, 0, 0, 0)],
     # pages that name nothing: long blocks with few links, their headings and short blocks between them
     [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (7, 0, 1, 0, 0, 1), (55, 1, 0, 0, 0, 1), (38, 0, 0, 0, 0, 1), (4, 0, 0, 0, 0, 1), (61, 2, 0, 0, 0, 1), (3, 2, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0)],
     [(4, 4, 0, 0, 0, 0), (5, 4, 0, 0, 0, 0), (9, 0, 1, 0, 0, 1), (24, 0, 0, 0, 0, 1), (18, 0, 0, 0, 0, 1), (30, 3, 0, 0, 0, 1), (12, 11, 0, 0, 0, 0), (14, 14, 0, 0, 0, 0), (9, 9, 0, 0, 0, 0), (5, 1, 0, 0, 0, 0)],

@@ -175,3 +175,54 @@ def test_pair_weights_are_the_logistic_minimum():
     y = (x @ [2.0, 0.0] + rng.logistic(size=300) > 0).astype(int)
     w = quality.fit_pairs(x, y, pairs=5000)
     assert w[0] > 1 and abs(w[1]) < 0.5
+
+
+def test_names_that_only_look_like_boilerplate():
+    words = "Plain words of an article that goes on for a good while, with commas, stops and no links at all in it. " * 3
+    text = words.strip()
+    for page in (
+        "<body class='home has-sidebar'><article><p>{}</p></article></body>",
+        "<body><div class='content no-sidebar'><p>{}</p></div></body>",
+        "<body><div id='comments-off' class='post'><p>{}</p></div></body>",
+    ):
+        assert html_text.main_text(page.format(words)) == text, page
+    story = "<body><article><p>" + words + "</p><p>See <a class='related' href=x>this</a> for the story</p><p>And <span class='ad'>that</span> one.</p></article></body>"
+    assert html_text.main_text(story) == text + " See this for the story And that one."
+    hidden = "<article><p>" + words + "<span hidden>gone <span>gone too</span></span> stays</p><p>after</p></article>"
+    assert html_text.main_text(hidden) == text + " stays after"
+    for name in ("site-footer", "main-nav", "comment-list", "related-posts", "cookieNotice", "sidebar"):
+        assert html_text.main_text(f"<body><article><p>{words}</p><div class='{name}'><p>Not the text of it.</p></div></article></body>") == text, name
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    n = 20_000
+    for page in ("<div>" * n + "</p>" * n, "<a " * n, '<a "' * n, "<article>" + "<b>" * n + "x" + "</b>" * n, "<a>" * n + "</i>" * n, "<div>" * n + "<body>" * n, "<!--" * n, "<span hidden>" * n + "</span>" * n):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 3, page[:20]
+
+
+def test_counts_and_densities_decide_inside_the_article():
+    """Unmarked menus in the element that holds the article go, single links stay: labels differ from the flags alone."""
+    words = "words of a text without any links that is long enough to be one " * 4
+    menu = "".join(f"<li><a href={i}>Topic {i}</a></li>" for i in range(8))
+    page = html_text.blocks(f"<main><ul>{menu}</ul><h1>A title of it</h1><p>{words}</p><p><a href=x>A link</a></p><p>{words}</p></main>")
+    kept = html_text.classify(html_text.grow(*html_text.labelled_table()), html_text.features(page))
+    assert all(b.main and not b.boilerplate for b in page)
+    assert kept.tolist() == [False] * 8 + [True] * 4
+
+
+def test_tree_path_against_plain_descent():
+    x, _ = html_text.labelled_table()
+    tree = html_text.grow(*html_text.labelled_table())
+    rng = np.random.default_rng(6)
+    rows = np.abs(x[rng.integers(0, len(x), 500)] + rng.normal(0, 0.4, (500, x.shape[1])))
+
+    def plain(node, row):
+        while len(node) > 1:
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return bool(node[0])
+
+    assert html_text.classify(tree, rows).tolist() == [plain(tree, r) for r in rows]
