@@ -38,6 +38,11 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
         back = {s: b for b, s in enumerate(byte_symbols())}
         special = {t["content"]: t["id"] for t in told["added_tokens"]}
         ranks = {bytes(back[s] for s in token): i for token, i in told["model"]["vocab"].items() if token not in special}
+        # ids serve as ranks, so they must be in the order of the merges
+        merges = [m if isinstance(m, str) else " ".join(m) for m in told["model"]["merges"]]
+        made = [told["model"]["vocab"][m.replace(" ", "")] for m in merges]
+        if made != sorted(set(made)) or len(made) + 256 != len(ranks) or made[0] < 256:
+            raise ValueError(f"{path}: ids are not in the order of the merges")
         _READY[path] = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
     return _READY[path]
 
@@ -72,74 +77,81 @@ def pieces(documents: DataFrame, path: str, capacity: int = 2048, *, key: str =
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+Made = list[tuple[int, tuple[tuple[int, int], ...]]]
+
+
 class Complements:
-    """Lengths that are left, and the combinations of one, two or three of them that sum to a wanted gap.
+    """Lengths that are left, and an index of the sums of one, two and three of them.
 
-    Present lengths are the bits of an integer, so one shift and one AND look up all pairs of a sum at once.
+    Each index is the bits of an integer (bit t: some combination sums to t), so a shift and an OR add a length to all sums
+    at once.  Lengths that were used up may still be in the index; availability counts decide.
     """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity, self.left = capacity, Counter({k: n for k, n in counts.items() if n})
-        self.bits = sum(1 << k for k in self.left)
-        self.mirror = sum(1 << (capacity - k) for k in self.left)
+        self.index()
+
+    def index(self) -> None:
+        every = (1 << (self.capacity + 1)) - 1
+        one = two = three = 0
+        for k in self.left:
+            one |= 1 << k
+        for k in self.left:
+            two |= one << k & every
+        for k in self.left:
+            three |= two << k & every
+        self.sums, self.gone = (one, two, three), 0
 
     def take(self, length: int, n: int) -> None:
         self.left[length] -= n
         if self.left[length] == 0:
-            self.bits &= ~(1 << length)
-            self.mirror &= ~(1 << (self.capacity - length))
+            del self.left[length]
+            self.gone += 1
+            if self.gone > 64:  # keep the index close to what is left
+                self.index()
 
     def available(self, combination: tuple[int, ...]) -> int:
         """How often ``combination`` can be taken."""
         return min(self.left[x] // n for x, n in Counter(combination).items())
 
-    def pair(self, total: int, less: tuple[int, ...] = ()) -> tuple[int, ...] | None:
-        """The most even pair of this sum that is available besides ``less``: short pieces stay for gaps that only they fill."""
-        if total < 2:
+    def complement(self, total: int, most: int, large: bool, less: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Up to ``most`` lengths of this sum that are available besides ``less``, by its larger members.
+
+        One length if that fits.  Else the most even combination, or (``large``) the one with the largest member.
+        """
+        if total > 0 and self.left[total] and self.available((*less, total)):
+            return (total,)
+        if most == 1 or not any(self.sums[k] >> total & 1 for k in range(1, most)):
             return None
-        middle = total - total // 2
-        larger = (self.bits & (self.mirror >> (self.capacity - total))) >> middle  # each pair once, by its larger member
-        while larger:
-            lowest = larger & -larger
-            a = middle + lowest.bit_length() - 1
-            if a < total and self.available((*less, a, total - a)):
-                return a, total - a
-            larger ^= lowest
+        fewest = -(-total // most)
+        members = range(total - 1, fewest - 1, -1) if large else range(fewest, total)
+        rest = self.sums[most - 2]
+        for a in members:
+            if self.left[a] and (rest >> (total - a) & 1 or most == 3 and self.sums[0] >> (total - a) & 1):
+                others = self.complement(total - a, most - 1, large, (*less, a))
+                if others and self.available((*less, a, *others)):
+                    return a, *others
         return None
 
-    def fill(self, first: int) -> tuple[int, ...] | None:
-        """The fewest other lengths that fill the gap beside ``first`` exactly."""
+    def fill(self, first: int, large: bool, upto: int = 3) -> tuple[int, ...] | None:
+        """``first`` and the fewest other lengths, ``upto`` at most, that fill the gap beside it exactly."""
         gap = self.capacity - first
         if gap == 0:
             return (first,)
-        if self.left[gap] and self.available((first, gap)):
-            return first, gap
-        if two := self.pair(gap, (first,)):
-            return first, *two
-        third = -(-gap // 3)
-        rest = (self.bits & ((1 << gap) - 1)) >> third
-        while rest:
-            lowest = rest & -rest
-            a = third + lowest.bit_length() - 1
-            if two := self.pair(gap - a, (first, a)):
-                return first, a, *two
-            rest ^= lowest
+        for most in range(1, upto + 1):
+            if found := self.complement(gap, most, large, (first,)):
+                return first, *found
         return None
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Sequences that hold all pieces: (how many, ((length, copies), ...)).
-
-    From the longest length down, combinations that fill a sequence exactly are consumed, as often as the counts allow at
-    once.  What is left goes, longest first, into the open sequence with the least room that still takes it.
-    Work and result depend on the number of different lengths only.
-    """
+def exact(counts: dict[int, int], capacity: int, large: bool, upto: int) -> tuple[Made, list[tuple[int, int]]]:
+    """Sequences that a length and ``upto`` others at most fill exactly, from the longest length down and as often as the counts allow at once; and the rest."""
     index = Complements(counts, capacity)
-    done: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+    done: Made = []
     residue: list[tuple[int, int]] = []
     for length in sorted(index.left, reverse=True):
         while index.left[length]:
-            found = index.fill(length)
+            found = index.fill(length, large, upto)
             if found is None:
                 residue.append((length, index.left[length]))
                 index.take(length, index.left[length])
@@ -148,6 +160,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[i
             for x, k in Counter(found).items():
                 index.take(x, n * k)
             done.append((n, tuple(sorted(Counter(found).items(), reverse=True))))
+    return done, residue
+
+
+def best_fit(residue: list[tuple[int, int]], capacity: int) -> Made:
+    """Lengths, longest first, each into the open sequence with the least room that still takes it."""
     rooms: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}  # open sequences by room
     for length, n in residue:
         while n:
@@ -173,7 +190,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[i
                 n = 0
             if times > used:
                 rooms.setdefault(room, []).append((times - used, content))
-    return done + [x for same in rooms.values() for x in same]
+    return [x for same in rooms.values() for x in same]
+
+
+def plan(counts: dict[int, int], capacity: int) -> Made:
+    """Sequences that hold all pieces: (how many, ((length, copies), ...)).
+
+    Combinations that fill a sequence exactly are consumed, then what is left goes by best fit, longest first.  Exact triples may
+    use up the short pieces that long ones need, so the plan is made with triples, pairs and singles as the largest
+    complements, and with even or with large members; the one with the fewest sequences is taken, and none has more than best fit
+    alone, the last of them.  Work and result depend on the number of different lengths only.
+    """
+    made = []
+    for upto, large in ((3, False), (3, True), (2, False), (1, False), (0, False)):
+        done, residue = exact(counts, capacity, large, upto)
+        made.append(done + best_fit(residue, capacity))
+    return min(made, key=lambda m: sum(n for n, _ in m))
 
 
 def places(made: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple[int, int, int, int, int, int]]:

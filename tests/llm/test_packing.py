@@ -84,3 +84,59 @@ def test_whole_documents(spark):
         assert end <= 64
     assert len(held) <= 1.05 * -(-sum(g["length"] for g in got) // 64) + 1
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
+
+
+def best_fit_decreasing(counts, capacity):
+    """Piece by piece: the fullest sequence that still takes it."""
+    rooms = []
+    for length in sorted(Counter(counts).elements(), reverse=True):
+        fitting = [r for r in rooms if r >= length]
+        if fitting:
+            rooms.remove(min(fitting))
+        rooms.append((min(fitting) if fitting else capacity) - length)
+    return len(rooms)
+
+
+def test_never_more_than_best_fit_decreasing():
+    for seed in range(12):
+        r = random.Random(seed)
+        low, high = sorted(r.sample(range(1, 257), 2))
+        counts = {k: r.randint(1, 6) for k in r.sample(range(low, high + 1), min(high - low + 1, r.randint(1, 90)))}
+        assert check_plan(counts, 256) <= best_fit_decreasing(counts, 256)
+    for lengths, low, high in ((800, 1, 2048), (300, 300, 1400), (200, 400, 900)):
+        r = random.Random(5)
+        counts = {k: r.randint(1, 3) for k in r.sample(range(low, high + 1), lengths)}
+        assert check_plan(counts, 2048) <= best_fit_decreasing(counts, 2048)
+
+
+def test_index_holds_all_sums():
+    r = random.Random(3)
+    for _ in range(20):
+        counts = {k: r.randint(1, 3) for k in r.sample(range(1, 60), 8)}
+        index = packing.Complements(counts, 100)
+        for first in list(counts):
+            gap = 100 - first
+            pieces = list((Counter(counts) - Counter([first])).elements())
+            reach = {1: set(pieces), 2: {a + b for i, a in enumerate(pieces) for b in pieces[:i]}}
+            reach[3] = {a + b + c for i, a in enumerate(pieces) for j, b in enumerate(pieces[:i]) for c in pieces[:j]}
+            fewest = next((n for n in (1, 2, 3) if gap in reach[n]), None)
+            for large in (False, True):
+                found = index.fill(first, large)
+                assert (found is None) == (fewest is None)
+                if found:
+                    assert found[0] == first and sum(found) == 100 and len(found) == 1 + fewest and index.available(found)
+
+
+def test_vocabulary_in_another_order_is_refused(tmp_path):
+    import json
+
+    import pytest
+
+    with open(PATH, encoding="utf-8") as f:
+        told = json.load(f)
+    merges = told["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    with open(tmp_path / "other.json", "w", encoding="utf-8") as f:
+        json.dump(told, f)
+    with pytest.raises(ValueError, match="order"):
+        packing.byte_bpe(str(tmp_path / "other.json"))
