@@ -1,11 +1,11 @@
-"""Helpers that the corpus operators share: durable intermediate tables, connected components, sampling keys."""
+"""Helpers that the corpus operators share: durable intermediate tables, connected components, held-out rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,11 @@ def discard(table: DataFrame) -> None:
     store.delete(at, True)
 
 
+def held_out(key: Column) -> Column:
+    """True where crc32 of the key as text is divisible by 5 (a missing key: as empty text): such rows teach nothing."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

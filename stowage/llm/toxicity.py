@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import held_out, materialize
 
 #: Labelled rows that the model is fitted on, for each label at most; taken in order of a hash of the key.
 MAX_LABELLED = 4000
@@ -115,8 +115,8 @@ def marked_rows(labels: DataFrame, label: str, key: str) -> DataFrame:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, limit: int) -> DataFrame:
-    """(doc_id, text, label): up to ``limit`` labelled documents for each of the labels 0 and 1, by a hash of their keys."""
-    marked = marked_rows(labels, label, key)
+    """(doc_id, text, label): up to ``limit`` labelled documents that are not held out for each of the labels 0 and 1, by a hash of their keys."""
+    marked = marked_rows(labels, label, key).filter(~held_out(F.col("doc_id")))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.filter("label = 1").orderBy(*order).limit(limit).unionByName(marked.filter("label = 0").orderBy(*order).limit(limit))
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -125,7 +125,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: st
 
 
 def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = MAX_LABELLED) -> Ordinal:
-    """Learn features, grades and model from a bounded sample of the labelled documents.
+    """Learn features, grades and model from a bounded sample of the labelled documents that are not held out.
 
     Features are the words and word beginnings that say most for label 1.  A toxic text is of grade 1, 2 or 3 by how often it has
     one of them, a text of label 0 of grade 0.  Without both labels, or without any telling feature, every severity is 0.
@@ -193,9 +193,9 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
 
 
 def grade(documents: DataFrame, model: Ordinal, *, key: str = "doc_id", text: str = "text", least: float = REJECT) -> DataFrame:
-    """(doc_id, severity, grade, toxic) of every row by its whole text.
+    """(doc_id, severity, grade, toxic, held_out) of every row by its whole text.
 
-    severity: the expected grade; grade: the number of thresholds passed with probability ``least`` or more; toxic: 1 from grade 1 on, else 0.
+    held_out: the model has not learned from the row, so its label (if it has one) tells how well the model does; severity: the expected grade; grade: the number of thresholds passed with probability ``least`` or more; toxic: 1 from grade 1 on, else 0.
     Null and empty texts have the severity of a text without features; repeated rows are each graded.
     """
     shipped = documents.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
@@ -205,10 +205,10 @@ def grade(documents: DataFrame, model: Ordinal, *, key: str = "doc_id", text: st
         for pdf in batches:
             up = [model.above(model.score(text_counts(t), known)) for t in pdf["text"]]
             passed = [sum(p >= least for p in u) for u in up]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "severity": [sum(u) for u in up], "grade": passed, "toxic": [int(g > 0) for g in passed]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "severity": [sum(u) for u in up], "grade": passed, "toxic": [int(g > 0) for g in passed], "held_out": pdf["held_out"]})
 
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, severity double, grade int, toxic int")
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(key)).alias("held_out"))
+    return rows.mapInPandas(run, "doc_id long, severity double, grade int, toxic int, held_out boolean")
 
 
 def keep_clean(documents: DataFrame, model: Ordinal, *, text: str = "text", least: float = REJECT) -> DataFrame:

@@ -226,3 +226,61 @@ def test_tree_path_against_plain_descent():
         return bool(node[0])
 
     assert html_text.classify(tree, rows).tolist() == [plain(tree, r) for r in rows]
+
+
+def test_toxicity_of_the_query_recomputed(spark, tables):
+    """Severity, grade and flag of every row by plain loops over its words; held-out rows teach nothing and are told right."""
+    import math
+    import re
+
+    d, marks, docs, labels = tables
+    model = toxicity.train(d, marks)
+    texts = {}
+    for k, t, *_ in docs:
+        texts[k] = t
+    texts |= {9000: None, 9001: "", 9002: "word " * 50_000}
+    got = toxicity.grade(d, model).collect()
+    for g in got:
+        counts = {}
+        for token in re.findall(r"[^\W_]+", (texts[g["doc_id"]] or "").lower()):
+            for f in ["=" + token] + [token[:n] for n in (4, 5, 6) if len(token) >= n]:
+                if f in model.weights:
+                    counts[f] = counts.get(f, 0) + 1
+        score = sum(model.weights[f] * math.log1p(n) for f, n in counts.items())
+        above = [1 / (1 + math.exp(-(score - t))) for t in model.thresholds]
+        assert g["severity"] == pytest.approx(sum(above), abs=1e-9)
+        assert g["grade"] == sum(p >= toxicity.REJECT for p in above) and g["toxic"] == int(g["grade"] > 0)
+        assert g["held_out"] == (zlib.crc32(str(g["doc_id"]).encode()) % 5 == 0)
+    of = {g["doc_id"]: g for g in got}
+    out = [(of[k]["toxic"], t) for k, _, t in labels if of[k]["held_out"]]
+    assert len(out) > 80 and np.mean([a == b for a, b in out]) >= 0.95
+    assert sum(a and b for a, b in out) >= 0.9 * sum(b for _, b in out)
+    out_of = toxicity.held_out(toxicity.F.col("doc_id"))
+    flipped = marks.withColumn("toxic", toxicity.F.when(out_of, 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
+    assert toxicity.labelled_sample(d, flipped, "toxic", "doc_id", "text", 4000).filter(out_of).count() == 0
+
+
+def test_quality_of_the_query_recomputed(spark, tables):
+    """Scores of every row from its features by plain arithmetic, and the features of some texts by plain counts."""
+    import math
+
+    d, marks, docs, _ = tables
+    model = quality.train(d, marks)
+    texts = {k: t for k, t, *_ in docs} | {9000: None, 9001: "", 9002: "word " * 50_000}
+    for g in quality.score(d, model).collect():
+        x = quality.text_features(texts[g["doc_id"]])
+        strength = 0.0
+        for value, mean, scale, weight in zip(x, model.mean, model.scale, model.weights):
+            strength += min(8.0, max(-8.0, (value - mean) / scale)) * weight
+        at = model.slope * (strength - model.cut) + math.log(0.3 / 0.7)
+        want = 1 / (1 + math.exp(-min(700.0, max(-700.0, at))))
+        assert g["score"] == pytest.approx(want, abs=1e-9) and g["predicted"] == int(g["score"] >= 0.3)
+    told = dict(zip(quality.NAMES, quality.text_features("One two two. THREE!! 44 ##\nOne two two.\n")))
+    text = "One two two. THREE!! 44 ##\nOne two two.\n"
+    words = text.split()
+    assert told["upper_words"] == sum(len(w) > 1 and w.isupper() for w in words) / len(words)
+    assert told["repeats"] == sum(a.lower() == b.lower() for a, b in zip(words, words[1:])) / len(words)
+    assert told["letters"] == sum(c.isalpha() for c in text) / len(text)
+    assert told["digits"] == sum(c.isdigit() for c in text) / len(text)
+    assert told["distinct"] == len({w.lower() for w in words}) / len(words) ** 0.9
+    assert told["line_repeats"] == 0.0  # its two lines differ
