@@ -116,7 +116,7 @@ def compare(name: int, cross: bool, threshold: float, rep: np.ndarray, copies: n
     """(rep, links, root) for the rows of one filter that have a link here.
 
     Every pair at the threshold joins groups; it is counted (with the partner's copies) only in the smallest
-    filter that both are in.
+    filter that both are in.  Memory: two boolean matrices of the block, whatever the number of filters.
     """
     close = unit @ unit.T >= threshold
     np.fill_diagonal(close, False)
@@ -125,14 +125,17 @@ def compare(name: int, cross: bool, threshold: float, rep: np.ndarray, copies: n
     some = np.nonzero(close.any(axis=1))[0]
     close = close[np.ix_(some, some)]
     rep, copies = rep[some], copies[some]
+    first = close.copy()
+    # rows of each smaller filter meet there already: their pairs are struck out filter by filter
     below = [caps[i][caps[i] < name] for i in some]
-    columns = np.unique(np.concatenate(below)) if len(some) else np.empty(0, np.int64)
-    first = close
-    if len(columns):
-        has = np.zeros((len(some), len(columns)), np.float32)
-        for row, names in enumerate(below):
-            has[row, np.searchsorted(columns, names)] = 1
-        first = close & (has @ has.T == 0)
+    names = np.concatenate(below) if below else np.empty(0, np.int64)
+    rows = np.repeat(np.arange(len(some)), [len(b) for b in below])
+    order = np.argsort(names, kind="stable")
+    names, rows = names[order], rows[order]
+    ends = np.flatnonzero(np.diff(names)) + 1
+    for same in np.split(rows, ends):
+        if len(same) > 1:
+            first[np.ix_(same, same)] = False
     links = first.astype(np.float64) @ copies
     order = np.argsort(rep)
     roots = np.empty_like(rep)
