@@ -17,8 +17,8 @@ Rule = tuple[str, str, str]  # host, path, verdict
 def build_trie(rules: list[Rule]) -> dict:
     """Nested dictionaries: host labels from the last to the first, then, below the key "/", path segments.
 
-    A node's "" holds what ends there: (unfinished last segment, rule, verdict); the last segment of a rule's path
-    is matched as a prefix.  Of equal rules with different verdicts, block wins.
+    A node's "" holds what ends there by its unfinished last segment, (rule, verdict), which is matched as a prefix,
+    and its "#" the lengths of these, longest first.  Of equal rules with different verdicts, block wins.
     """
     root: dict = {}
     for host, path, verdict in sorted(rules, key=lambda r: r[2]):
@@ -31,6 +31,14 @@ def build_trie(rules: list[Rule]) -> dict:
             node = node.setdefault("/" + segment, {})
         ends = node.setdefault("", {})
         ends[last] = (host + path, verdict)  # sorted: block comes last
+        node.setdefault("#", set()).add(len(last))
+    stack = [root]
+    while stack:
+        for name, below in stack.pop().items():
+            if name.startswith((".", "/")):
+                stack.append(below)
+                if "#" in below:
+                    below["#"] = sorted(below["#"], reverse=True)
     return root
 
 
@@ -47,9 +55,9 @@ def longest_match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     for node in reversed(below):
         best = None
         for segment in segments:
-            for begin, found in node.get("", {}).items():
-                if segment.startswith(begin) and (best is None or len(found[0]) > len(best[0])):
-                    best = found
+            ends = node.get("", {})
+            # one look-up for each length that ends here; a deeper node's rule is longer than any of these
+            best = next((ends[segment[:n]] for n in node.get("#", ()) if n <= len(segment) and segment[:n] in ends), best)
             node = node.get("/" + segment)
             if node is None:
                 break

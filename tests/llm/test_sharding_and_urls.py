@@ -78,3 +78,26 @@ def test_urls(spark, monkeypatch):
         for g in url_filter.judge(df, rules).collect():
             assert (g["host"], g["path"], g["rule"], g["verdict"]) == fits(urls[g["page_id"]], rules), urls[g["page_id"]]
     assert url_filter.judge(df.limit(0), RULES).count() == 0
+
+
+def test_many_rules_of_one_host():
+    """Look-ups by length, not a scan of the rules; against testing every rule."""
+    import random
+    import time
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 5)))
+    rules = [("x.org", "/" + "/".join(word() for _ in range(r.randint(0, 3))), r.choice(["allow", "block"])) for _ in range(300)]
+    trie = url_filter.build_trie(rules)
+    best = {}
+    for host, path, verdict in rules:
+        best[path] = max(best.get(path, ""), verdict)
+    for _ in range(2000):
+        path = "/" + "/".join(word() for _ in range(r.randint(0, 4)))
+        fit = max((p for p in best if path.startswith(p)), key=len, default=None)
+        assert url_filter.longest_match(trie, "a.x.org", path) == (("x.org" + fit, best[fit]) if fit is not None else None)
+    trie = url_filter.build_trie([("y.org", f"/p{i}", "block") for i in range(100_000)])
+    began = time.process_time()
+    for i in range(2000):
+        assert url_filter.longest_match(trie, "y.org", f"/p{i}x")[0].startswith("y.org/p")
+    assert time.process_time() - began < 2
