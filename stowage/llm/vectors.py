@@ -20,10 +20,9 @@ def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector")).filter("id is not null")
 
 
-def dimension(vectors: DataFrame, column: str) -> int | None:
-    """The commonest length (of equally common ones the smallest), or None without rows."""
-    found = vectors.groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return found["d"] if found else None
+def lengths(vectors: DataFrame, column: str) -> list[int]:
+    """The lengths that occur, ascending; a handful in any sensible table."""
+    return sorted(r["d"] for r in vectors.select(F.size(column).alias("d")).distinct().collect())
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
