@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, parallelism
-from .vectors import dimension, keyed, matrix, usable
+from .vectors import keyed, lengths, matrix, usable
 
 #: Expected vectors in a filter, and the largest block that one task compares with itself or another block.
 BUCKET, BLOCK = 256, 2048
@@ -146,20 +146,23 @@ def compare(name: int, cross: bool, threshold: float, rep: np.ndarray, copies: n
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs with cosine of at least ``threshold``.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing, those of different lengths not with each other.
     Equal vectors are joined before the search and count as each other's links; rows that repeat key and vector
-    count once and are returned once.  component_id is the smallest key reachable, itself included; kept
+    count once and are returned once; a key with different vectors has a row for each.  component_id is the smallest key reachable, itself included; kept
     marks it.  Rows without a key are left out.  A filter with more than BLOCK vectors is compared block by block.  Further columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = keyed(vectors, key, vector).withColumnRenamed("id", "vec_id")
-    kind = dict(rows.dtypes)["vector"]
-    good = rows.filter(usable(F.col("vector")))
-    dim = dimension(good, "vector")
-    lonely = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if dim is None:
-        return lonely.distinct().withColumn("kept", F.lit(True))
-    good = materialize(good.filter(F.size("vector") == dim).distinct())
+    good = materialize(rows.filter(usable(F.col("vector"))).distinct())
+    rest = rows.filter(~usable(F.col("vector"))).select("vec_id").distinct()
+    found = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for dim in lengths(good, "vector"):
+        found = found.unionByName(links_of_length(good.filter(F.size("vector") == dim), dim, threshold))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def links_of_length(good: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of stored (vec_id, vector), all of ``dim`` components."""
+    spark, kind = good.sparkSession, dict(good.dtypes)["vector"]
     same = materialize(good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     code = choose_code(same.count(), dim, threshold)
 
@@ -199,7 +202,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, key: str = "
     by_vector = same.join(counted, "rep", "left").join(groups, "rep", "left").select(
         "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    linked = good.join(by_vector, "vector").select("vec_id", "n_links", "component_id")
-    unusable = rows.filter(~usable(F.col("vector")) | (F.size("vector") != dim)).select("vec_id").distinct()
-    rest = unusable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.join(by_vector, "vector").select("vec_id", "n_links", "component_id")
