@@ -191,6 +191,14 @@ def trie_links(bits: np.ndarray, side: np.ndarray | None, budget: int, allowed:
     return labels
 
 
+def forest(rep: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+    """(u, v): each row of a group with the group's smallest row, which tasks that meet the same group mostly agree on."""
+    least = np.full(len(labels), np.iinfo(np.int64).max)
+    np.minimum.at(least, labels, rep)
+    root = least[labels]
+    return pa.RecordBatch.from_arrays([pa.array(rep[rep != root]), pa.array(root[rep != root])], ["u", "v"])
+
+
 @dataclass
 class Task:
     """One trie: rows sorted by their bits, read from block ``turn`` on; ``fits`` tells which pairs it may link."""
@@ -275,9 +283,7 @@ def links(distinct: DataFrame, budget: int, part: int) -> DataFrame:
 
     def find(task: Task) -> Iterator[pa.RecordBatch]:
         rep = task.columns["rep"]
-        labels = trie_links(task.bits, None, budget, allowance(budget, task.turn), fits=task.fits)
-        linked = np.nonzero(labels != np.arange(len(labels)))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[labels[linked]])], ["u", "v"])
+        yield forest(rep, trie_links(task.bits, None, budget, allowance(budget, task.turn), fits=task.fits))
 
     return trie_join(distinct.select("rep", F.lit(0).alias("word"), "bits"), BITS, budget, part, find, "u long, v long")
 
@@ -469,17 +475,14 @@ def near_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8, part: in
             fine &= np.bitwise_count(g0[i] ^ g0[j]).astype(np.int64) + np.bitwise_count(g1[i] ^ g1[j]) <= limit
             return fine if task.fits is None else fine & task.fits(i, j)
 
-        labels = trie_links(task.bits, None, sketch.budget, allowance(sketch.budget, task.turn, sketch.width), fits=fits)
-        linked = np.nonzero(labels != np.arange(len(labels)))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[labels[linked]])], ["u", "v"])
+        yield forest(rep, trie_links(task.bits, None, sketch.budget, allowance(sketch.budget, task.turn, sketch.width), fits=fits))
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in table["text"]]
         rep = table["rep"].to_numpy()
         roots = similar_links(sets, rep, similarity, table["own"].to_numpy() if key[1].as_py() != key[2].as_py() else None)
-        linked = np.nonzero(roots != np.arange(len(roots)))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[roots[linked]])], ["u", "v"])
+        yield forest(rep, roots)
 
     sketches = materialize(rows.select("row", "text").mapInArrow(draw, "row long, d0 long, d1 long, size int, plain array<long>, fine array<long>"))
     equal = materialize(sketches.groupBy("d0", "d1").agg(F.min("row").alias("rep")))
