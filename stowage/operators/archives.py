@@ -150,17 +150,20 @@ def extended_headers(members: DataFrame) -> DataFrame:
 def summary(members: DataFrame) -> DataFrame:
     """(archive_id, section, key, members, bytes): totals by folder to three depths, extension, owner and type, from one scan.
 
-    Each member is expanded to its key in every section and partially aggregated at once.
+    Members are counted by all their keys together first; each of these rows is then expanded to its key in every section.
     """
     owner = F.concat(F.coalesce("uname", F.lit("")), F.lit(":"), F.coalesce("gname", F.lit("")))
     ext = F.coalesce(F.nullif(paths.extension(F.col("name")), F.lit("")), F.lit("(none)"))
-    is_file = (F.col("size") > 0) & F.col("type").isin("0", "\0", "7")
-    keys = [("total", F.lit("")), ("owner", owner), ("type", F.coalesce("type", F.lit("")))]
-    of_files = [(f"dir{n}", paths.dir_prefix(F.col("dir"), n)) for n in (1, 2, 3)] + [("ext", ext)]
+    is_file = F.coalesce((F.col("size") > 0) & F.col("type").isin("0", "\0", "7"), F.lit(False))
+    of_file = {f"dir{n}": paths.dir_prefix(F.col("dir"), n) for n in (1, 2, 3)} | {"ext": ext}
+    keys = {"owner": owner, "type": F.coalesce("type", F.lit(""))} | {k: F.when(is_file, c) for k, c in of_file.items()}
+    told = members.select("archive_id", "size", is_file.alias("is_file"), *[c.alias(k) for k, c in keys.items()])
+    told = told.groupBy("archive_id", "is_file", *keys).agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
     pair = lambda s, k: F.struct(F.lit(s).alias("section"), k.alias("key"))
-    always = F.array(*[pair(s, k) for s, k in keys])
-    every = F.when(is_file, F.concat(always, F.array(*[pair(s, k) for s, k in of_files]))).otherwise(always)
-    return members.select("archive_id", "size", F.explode(every).alias("k")).groupBy("archive_id", "k.section", "k.key").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
+    always = F.array(pair("total", F.lit("")), *[pair(k, F.col(k)) for k in ("owner", "type")])
+    every = F.when(F.col("is_file"), F.concat(always, F.array(*[pair(k, F.col(k)) for k in of_file]))).otherwise(always)
+    told = told.select("archive_id", "members", "bytes", F.explode(every).alias("k"))
+    return told.groupBy("archive_id", "k.section", "k.key").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"))
 
 
 def time_span(members: DataFrame) -> DataFrame:

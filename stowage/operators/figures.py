@@ -87,7 +87,10 @@ def counterparts(files: DataFrame, chosen: DataFrame, floor: int = 1) -> DataFra
     shared = F.size(F.array_intersect(there, mine_up))
     level = F.greatest(shared + 1, F.lit(floor))
     spot = F.coalesce(F.try_element_at(there, level.cast("int")), F.col("there"))
-    credit = pairs.select("content_hash", "mine", "bytes", spot.alias("place")).distinct().groupBy("mine", "place").agg(F.sum("bytes").alias("bytes"))
+    # a place depends on the two folders only, however many contents they share
+    spots = pairs.select("mine", "there").distinct().withColumn("place", spot)
+    placed = pairs.select("content_hash", "mine", "there", "bytes").join(spots, ["mine", "there"])
+    credit = placed.select("content_hash", "mine", "bytes", "place").distinct().groupBy("mine", "place").agg(F.sum("bytes").alias("bytes"))
     best = Window.partitionBy("mine").orderBy(F.desc("bytes"), "place")
     return credit.withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("mine").alias("folder"), "place", "bytes")
 

@@ -84,7 +84,7 @@ def cold_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cold_by_year(files(spark, sf_dir))
 
 
-@query(listing(f"SELECT CAST(y AS DOUBLE) AS years, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files, unnest([2.0, 5.0]) AS t(y) WHERE modified < {LISTED} - y * {YEAR} GROUP BY 1"))
+@query(listing(f"SELECT CAST(y AS DOUBLE) AS years, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files, unnest([2.0, 5.0, 10.0]) AS t(y) WHERE modified < {LISTED} - y * {YEAR} GROUP BY 1"))
 def older_than(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.older_than(files(spark, sf_dir), [2.0, 5.0, 10.0], LISTED)
 
@@ -567,7 +567,9 @@ def principal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumn("who", F.concat_ws("-", "c_mktsegment", "c_nationkey"))
     known = C.dimension(c.filter("c_nationkey < 7"), "who")
     found = C.dimension(c, "who", known)
-    return found.agg(F.count("*").alias("n"), F.lit(1).alias("all_known"), F.sum("id").alias("total"))
+    old = found.join(known.select("value", F.col("id").alias("old")), "value", "left")
+    kept = F.when(F.col("old").isNotNull(), (F.col("old") == F.col("id")).cast("int"))
+    return old.agg(F.count("*").alias("n"), F.min(kept).alias("all_known"), F.sum("id").alias("total"))
 
 
 @query(listing(", shown AS (SELECT DISTINCT ancestor AS folder FROM up WHERE len(string_split(ancestor, '/')) <= 3 AND ancestor NOT LIKE '/asia/%') SELECT u.folder, arg_max(ancestor, length(ancestor)) AS shown FROM up u JOIN shown s ON s.folder = u.ancestor GROUP BY 1"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 ENTRY = "shard_id long, seq long, tag string, id string, name string, path string, size long, rev string, content_hash string, client_modified string, server_modified string, downloadable boolean, modified_by string"
 PAGE = "entries array<struct<`.tag`:string,tag:string,id:string,name:string,path_display:string,size:long,rev:string,content_hash:string,client_modified:string,server_modified:string,is_downloadable:boolean,sharing_info:struct<modified_by:string>>>, cursor string, has_more boolean"
@@ -74,40 +75,40 @@ def read_second_listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("Path string, Size long").json(path, multiLine=True).select(F.col("Path").alias("path"), F.col("Size").alias("size"))
 
 
-class PageStream(SimpleDataSourceStreamReader):
-    """Pages 00000000.json, 00000001.json, ... of a folder, as a lister leaves them; the offset is the next page's number."""
+@dataclass
+class Page(InputPartition):
+    """One stored page, read by one task."""
 
-    #: Pages in a micro-batch.
-    AT_ONCE = 16
+    number: int
+
+
+class PageStream(DataSourceStreamReader):
+    """Pages 00000000.json, 00000001.json, ... of a folder, as a lister leaves them; the offset is the next page's number.
+
+    The driver only looks which pages are there; each page is a partition of its batch, so entries go through tasks only.
+    """
 
     def __init__(self, options: dict):
         self.folder, self.shard = options["path"], int(options.get("shard_id", "0"))
+        self.next = 0
 
     def initialOffset(self) -> dict:
         return {"page": 0}
 
-    def rows(self, page: int) -> list[tuple]:
-        with open(f"{self.folder}/{page:08d}.json", encoding="utf-8") as f:
-            told = json.load(f)
-        out = []
-        for k, e in enumerate(told["entries"]):
-            by = (e.get("sharing_info") or {}).get("modified_by")
-            out.append((self.shard, page * 1_000_000 + k, e.get(".tag") or e.get("tag"), e.get("id"), e.get("name"), e.get("path_display"), e.get("size"), e.get("rev"), e.get("content_hash"), e.get("client_modified"), e.get("server_modified"), e.get("is_downloadable"), by))
-        return out
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        page, out = start["page"], []
-        while page < start["page"] + self.AT_ONCE and os.path.exists(f"{self.folder}/{page:08d}.json"):
-            out += self.rows(page)
-            page += 1
-        return iter(out), {"page": page}
+    def latestOffset(self) -> dict:
+        while os.path.exists(f"{self.folder}/{self.next:08d}.json"):
+            self.next += 1
+        return {"page": self.next}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for page in range(start["page"], end["page"]):
-            yield from self.rows(page)
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        return [Page(n) for n in range(start["page"], end["page"])]
 
-    def commit(self, end: dict) -> None:
-        pass
+    def read(self, partition: Page) -> Iterator[tuple]:
+        with open(f"{self.folder}/{partition.number:08d}.json", encoding="utf-8") as f:
+            entries = json.load(f)["entries"]
+        for k, e in enumerate(entries):
+            by = (e.get("sharing_info") or {}).get("modified_by")
+            yield (self.shard, partition.number * 1_000_000 + k, e.get(".tag") or e.get("tag"), e.get("id"), e.get("name"), e.get("path_display"), e.get("size"), e.get("rev"), e.get("content_hash"), e.get("client_modified"), e.get("server_modified"), e.get("is_downloadable"), by)
 
 
 class ListingPages(DataSource):
@@ -120,7 +121,7 @@ class ListingPages(DataSource):
     def schema(self) -> str:
         return ENTRY
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return PageStream(self.options)
 
 

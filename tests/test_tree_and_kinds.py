@@ -187,3 +187,13 @@ def test_rules_file(tmp_path):
             KF.load_rules(str(p))
     with pytest.raises(KF.RulesError):
         KF.load_rules(str(tmp_path / "none"))
+
+
+def test_rules_file_names_all_its_problems(tmp_path):
+    p = tmp_path / "r.toml"
+    p.write_text('other = ["a"]\nkeep = "a"\nrecorded = [1]\nim_folders = ["IM"]\n')
+    with pytest.raises(KF.RulesError) as refused:
+        KF.load_rules(str(p))
+    assert all(name in str(refused.value) for name in ("other", "keep", "recorded"))
+    p.write_text('im_folders = ["/IM/"]\nkeep = []\n')
+    assert KF.load_rules(str(p)) == KF.Rules(im_folders=("/im/",))
