@@ -63,10 +63,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run
-
     found = (op1_packing, op2_embedding_dedup, op3_simhash, op4_html_text, op5_toxicity, op6_quality, op7_sharding, op8_url_filter, op9_bpe, op10_ann)
-    return {f.__name__: f for f in found} | {"pipeline": run}
+    return {f.__name__: f for f in found}
 
 
 #: op8's rules as SQL: the longest of those that fit comes first.
@@ -102,6 +100,4 @@ SELECT r.u AS vec_id, coalesce(max(d.n), 0) AS n_links, min(r.v) AS component_id
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpus_pipeline import ORACLE_SQL
-
-    return {"op2_embedding_dedup": EMBEDDING_SQL, "op8_url_filter": URL_FILTER_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op2_embedding_dedup": EMBEDDING_SQL, "op8_url_filter": URL_FILTER_SQL}
