@@ -23,3 +23,14 @@ def test_whole(spark, name):
         assert len(got) == db.sql("SELECT count(*) FROM events").fetchall()[0][0]
     if name == "range_locate_all_spans":
         assert sum(r[2] for r in got) == db.sql(f"WITH {MEMBERS_SQL} SELECT count(*) FROM members").fetchall()[0][0]
+
+
+def test_lookup_by_keys_against_a_dictionary(spark):
+    """Repeated and unknown keys add nothing, every row of a key comes."""
+    from stowage.operators import catalogs
+
+    rows = spark.createDataFrame([(i % 7, f"n{i}") for i in range(40)], "id long, name string")
+    keys = spark.createDataFrame([(3, "x"), (3, "y"), (5, "z"), (99, "w"), (None, "v")], "id long, other string")
+    got = catalogs.lookup(rows, keys, ["id"])
+    assert got.columns == ["id", "name"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i % 7, f"n{i}") for i in range(40) if i % 7 in (3, 5))
