@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import keyed, lengths, matrix, usable
 
-#: Projected dimensions (even, for the closed form of the law), rows in a leaf, and leaves opened at a time.
+#: Projected dimensions (even, for the closed form of the law), rows in a leaf, and leaves that a query opens first.
 PROJECTED, LEAF, STRIDE = 8, 32, 4
+#: Queries that go through a tree together; once a round verifies one row in DENSE, all its products are made at once.
+TOGETHER, DENSE = 256, 32
 #: Rows in one kd-tree, and queries that meet it in one task.
 PART, QUERIES = 8192, 2048
 
@@ -95,58 +97,72 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     tree = kd_tree(points)
     ids, rows, points = ids[tree.order], rows[tree.order], points[tree.order]
     centres = queries @ projection(rows.shape[1])[:-1]
-    norms = (queries**2).sum(axis=1)
     ratio = stop_ratio(confidence)
     out: list[list[np.ndarray]] = [[], [], []]
-    for query_id, query, centre, norm, least in zip(query_ids, queries, centres, norms, floor):
-        gap = np.maximum(np.maximum(tree.low - centre, centre - tree.high), 0)
-        far = (gap**2).sum(axis=1)
-        leaves = np.argsort(far)
-        far = np.append(far[leaves], np.inf)
-        at: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
-        best = np.empty(0)
-        waiting, apart = np.empty(0, np.int64), np.empty(0)  # rows of opened leaves by projected distance
-        i = 0
-        while True:
-            opened = leaves[i : i + STRIDE]
-            i += len(opened)
-            if len(opened):
-                new = np.concatenate([np.arange(tree.begins[leaf], tree.ends[leaf]) for leaf in opened])
-                waiting = np.append(waiting, new)
-                apart = np.append(apart, ((points[new] - centre) ** 2).sum(axis=1))
-            limit = ratio * max(norm + top - 2 * least, 0.0)
-            # the next neighbours in projected order: those nearer than any unopened leaf, up to the stopping test
-            due = apart <= min(far[i], limit)
-            seen = waiting[due]
-            if len(seen):
-                found = rows[seen] @ query
-                at.append(seen)
-                scores.append(found)
-                best = np.concatenate([best, found])
-                if len(best) > k + 1:
-                    best = np.partition(best, len(best) - k - 1)[-k - 1 :]
-                if len(best) > k:  # the query's own row may be one of them
-                    least = max(least, best.min())
-            waiting, apart = waiting[~due], apart[~due]
-            limit = ratio * max(norm + top - 2 * least, 0.0)
-            if i >= len(leaves) and not len(waiting) or min(far[i], apart.min() if len(apart) else np.inf) > limit:
-                break
-        if not at:
-            continue
-        seen, found = np.concatenate(at), np.concatenate(scores)
-        if least > -np.inf:
-            near = seen[found >= least - 1e-9 * (1 + abs(least))]
-        else:
-            near = seen
-        near = near[ids[near] != query_id]
-        score = exact(rows[near], query)
-        pick = np.lexsort((ids[near], -score))[:k]
-        for column, x in zip(out, (np.full(len(pick), query_id), ids[near[pick]], score[pick])):
-            column.append(x)
+    for i in range(0, len(queries), TOGETHER):
+        some = slice(i, i + TOGETHER)
+        of, near = verified(tree, rows, points, queries[some], centres[some], k, top, ratio, floor[some])
+        ends = np.searchsorted(of, np.arange(len(queries[some]) + 1))
+        for query_id, query, a, b in zip(query_ids[some], queries[some], ends, ends[1:]):
+            mine = near[a:b][ids[near[a:b]] != query_id]
+            score = exact(rows[mine], query)
+            pick = np.lexsort((ids[mine], -score))[:k]
+            for column, x in zip(out, (np.full(len(pick), query_id), ids[mine[pick]], score[pick])):
+                column.append(x)
     return tuple(np.concatenate(c) if c else np.empty(0) for c in out)
 
 
+def verified(tree: Tree, rows: np.ndarray, points: np.ndarray, queries: np.ndarray, centres: np.ndarray, k: int, top: float, ratio: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a query, row), ascending by query: the verified rows whose score may be among the query's k nearest.
+
+    All queries go on together.  A round opens twice as many leaves of each query as the one before, nearest first and none past its
+    stopping test; of the rows in open leaves those are verified that are nearer than any unopened leaf and pass the test.
+    """
+    norms = (queries**2).sum(axis=1)
+    gap = np.maximum(np.maximum(tree.low[None] - centres[:, None], centres[:, None] - tree.high[None]), 0)
+    far = (gap**2).sum(axis=2)
+    ranked = np.column_stack([np.sort(far, axis=1), np.full(len(far), np.inf)])
+    own, other = (points**2).sum(axis=1), (centres**2).sum(axis=1)
+    apart = np.full((len(queries), len(rows)), np.inf)  # squared projected distances of rows in open leaves
+    done, opened = np.zeros(apart.shape, bool), np.zeros(far.shape, bool)
+    best = np.full((len(queries), k + 1), -np.inf)  # the query's own row may be one of them
+    slack = lambda x: x - 1e-9 * (1 + np.abs(x))
+    kept, scores, m = [], None, STRIDE
+    while True:
+        m = min(m, far.shape[1])
+        limit = ratio * np.maximum(norms + top - 2 * least, 0.0)
+        new = (far <= np.minimum(ranked[:, m - 1], limit)[:, None]) & ~opened
+        for leaf in np.nonzero(new.any(axis=0))[0]:
+            who, inside = np.nonzero(new[:, leaf])[0], slice(tree.begins[leaf], tree.ends[leaf])
+            apart[who, inside] = other[who][:, None] + own[inside] - 2 * (centres[who] @ points[inside].T)
+        opened |= new
+        due = (apart <= np.minimum(ranked[:, m], limit)[:, None]) & ~done
+        done |= due
+        if scores is None and np.count_nonzero(due) * DENSE > due.size:
+            scores = queries @ rows.T
+        if scores is None:
+            of, row = np.nonzero(due)
+            found = (queries[of] * rows[row]).sum(axis=1)
+            fine = found >= slack(least)[of]
+            of, row, found = of[fine], row[fine], found[fine]
+        else:
+            of, row = np.nonzero(due & (scores >= slack(least)[:, None]))
+            found = scores[of, row]
+        kept.append((of, row, found))
+        ends = np.searchsorted(of, np.arange(len(queries) + 1))
+        for i in np.nonzero(np.diff(ends))[0]:
+            best[i] = np.partition(np.concatenate([best[i], found[ends[i] : ends[i + 1]]]), -k - 1)[-k - 1 :]
+        least = np.maximum(least, best.min(axis=1))
+        limit = ratio * np.maximum(norms + top - 2 * least, 0.0)
+        if m == far.shape[1] or not (ranked[:, m] <= limit).any():
+            break
+        m *= 2
+    of, row, found = (np.concatenate(x) for x in zip(*kept))
+    near = np.nonzero(found >= slack(least)[of])[0]
+    near = near[np.argsort(of[near], kind="stable")]
+    return of[near], row[near]
+
+
 def lifted(rows: np.ndarray, top: float) -> np.ndarray:
     """Projections of the rows with their further component."""
     lift = np.sqrt(np.maximum(top - (rows**2).sum(axis=1), 0))
