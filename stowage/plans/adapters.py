@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
+from ..functions.kinds import LF_SHARES, Rules
 
 #: Time that ages are counted from.
 LISTED = 1_009_843_200  # 2002-01-01
@@ -61,6 +62,46 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (folder, name, kind): a file for every rule of the classifier, with the kind it must get from SAMPLE_RULES.
+SAMPLES = [
+    ("", "run1_xyts.e3d", "xyts"), ("", "20120101.mseed", "wf_recorded"), ("/recorded", "sta.000", "wf_recorded"), ("", "vp3dfile.p", "vm"),
+    ("", "perturbation_1.bin", "vm_pert"), ("", "sta.bb", "wf_nc_bb"), ("", "sta.lf", "wf_nc_lf"), ("", "r3_hf.h5", "wf_h5_hf"), ("", "broadband.h5", "wf_h5_bb"),
+    ("", "run_seis.nc", "wf_seis_nc"), ("", "run_seis-00.e3d", "wf_seis"), ("/conv", "a.nc", "wf_lf_converted"), ("", "run_lf.bin", "wf_bin_lf"),
+    ("", "sta.090", "wf_ascii"), ("", "run_hf_1.tar", "wf_bin_hf"), ("", "lf.tar", "lf_mix"), ("", "im.tar", "im"), ("", "srf_all.tar", "src"),
+    ("", "vms.tar", "vm"), ("/run_bb", "data.tar", "wf_bin_bb"), ("", "a.tar.aa", "unknown_archive"), ("/vm", "grid.dat", "vm"), ("", "fault.srf", "src"),
+    ("/sources", "x.txt", "src"), ("", "out.csv", "im"), ("/im_out", "x.txt", "im"), ("", "readme.txt", "other"),
+]
+SAMPLE_RULES = Rules(recorded=("/recorded",), im_folders=("im_out",), lf_converted=("/conv",), keep=("/asia",))
+#: (name, kind): tarballs by name.
+SAMPLE_ARCHIVES = [("x_bb.tar", "wf_bin_bb"), ("hf_3.tar", "wf_bin_hf"), ("lf.tar", "lf_mix"), ("im.tar", "im"), ("my_source.tar", "src"), ("vm.tar", "vm"), ("a.tar", "unknown_archive"), ("outbin.tar", "lf_mix")]
+
+
+def sampled(index: Column, samples: list[tuple[str, ...]], field: int) -> Column:
+    return F.element_at(F.array(*[F.lit(s[field]) for s in samples]), (index % len(samples) + 1).cast("int"))
+
+
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing with the samples' folders and names, its contents hashed."""
+    f, i = files(spark, sf_dir), F.call_function("div", F.col("size"), F.lit(1024))
+    f = f.withColumns({"folder": F.concat("folder", sampled(i, SAMPLES, 0)), "name": sampled(i, SAMPLES, 1), "content_hash": F.sha2("content_hash", 256)})
+    return f.withColumn("ext", paths.extension(F.col("name")))
+
+
+def sample_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Orders as archives by the samples' names, of one part each, whose members are the samples."""
+    content = F.concat_ws(":", F.col("l_partkey"), F.col("l_quantity").cast("long"))
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("archive_id")).agg(F.sha2(F.min(content), 256).alias("content_hash"))
+    m, i = members(spark, sf_dir), F.call_function("div", F.col("size"), F.lit(100))
+    return {
+        "archives": archives(spark, sf_dir).withColumns({"name": sampled(F.col("id"), SAMPLE_ARCHIVES, 0), "folder": F.lit("/arch")}), "parts": parts,
+        "members": m.withColumns({"dir": F.concat(F.lit("d"), sampled(i, SAMPLES, 0)), "name": sampled(i, SAMPLES, 1)}),
+    }
+
+
+def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
+    return f"{name}({columns}) AS (VALUES {', '.join(str((i, *r)) for i, r in enumerate(rows))})"
+
+
 FOLDERS_SQL = """folders AS (
   SELECT s_suppkey, '/' || lower(r_name) || '/' || lower(n_name) || '/supplier' || CAST(s_suppkey AS VARCHAR) AS folder
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -92,3 +133,20 @@ MEMBERS_SQL = """lines AS (
     420 AS mode, CAST(epoch(l_shipdate) AS BIGINT) AS mtime, lower(l_returnflag) AS uname, lower(l_linestatus) AS gname,
     CASE WHEN l_linenumber = 1 THEN '' ELSE lower(p_brand) || '/s' || CAST(l_suppkey % 3 AS VARCHAR) || '/x/y' END AS dir,
     replace(p_name, ' ', '_') || CASE WHEN l_linenumber % 2 = 0 THEN '.bb' ELSE '.txt' END AS name FROM placed)"""
+
+#: ``walk`` over the samples: rows_(folder, kind, how, size, date).
+SAMPLE_ROWS_SQL = f"""{FILES_SQL}, {ARCHIVES_SQL}, {MEMBERS_SQL}, {values_sql("samples", "i, sub, name, kind", SAMPLES)}, {values_sql("tarballs", "i, name, kind", SAMPLE_ARCHIVES)},
+split(i, kind, part, share) AS (VALUES {', '.join(str((i, 'lf_mix', *r)) for i, r in enumerate(LF_SHARES.items()))}),
+listed AS (SELECT archive_id, sum(size) AS listed FROM members WHERE size > 0 AND type = '0' GROUP BY 1),
+trust AS (SELECT id, t.kind AS tar_kind, listed, state = 'complete' AS finished, coalesce(listed, 0) > 0 AND (state = 'complete' OR coalesce(listed, 0) * 2 >= total_size) AS trusted
+  FROM archives LEFT JOIN listed ON archive_id = id JOIN tarballs t ON t.i = id % {len(SAMPLE_ARCHIVES)}),
+part AS (SELECT l_orderkey AS archive_id, min(concat_ws(':', l_partkey, CAST(l_quantity AS BIGINT))) AS content_hash FROM lineitem GROUP BY 1),
+owner AS (SELECT content_hash, archive_id, trusted, tar_kind FROM part JOIN trust ON id = archive_id QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY trusted DESC, finished DESC, id DESC) = 1),
+oldest AS (SELECT content_hash, min(modified) AS oldest FROM files WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+found AS (SELECT f.folder || s.sub AS folder, f.size, f.modified, oldest, archive_id, coalesce(trusted, false) AS trusted, CASE WHEN archive_id IS NOT NULL THEN tar_kind WHEN s.kind = 'vm' AND starts_with(f.folder, '/asia') THEN 'vm_kept' ELSE s.kind END AS kind,
+    archive_id IS NOT NULL OR s.name LIKE '%.tar' OR s.name LIKE '%.tar.%' AS named
+  FROM files f JOIN samples s ON s.i = f.size // 1024 % {len(SAMPLES)} LEFT JOIN owner USING (content_hash) LEFT JOIN oldest USING (content_hash)),
+whole AS (SELECT folder, kind, CASE WHEN named THEN 'name' ELSE 'loose' END AS how, CAST(size AS DOUBLE) AS size, CASE WHEN named THEN modified ELSE coalesce(oldest, modified) END AS date FROM found WHERE NOT trusted
+  UNION ALL SELECT a.folder, s.kind, 'members', a.held * m.size / listed, m.mtime FROM (SELECT archive_id, folder, CAST(sum(size) AS DOUBLE) AS held FROM found WHERE trusted GROUP BY 1, 2) a
+    JOIN members m USING (archive_id) JOIN listed USING (archive_id) JOIN samples s ON s.i = m.size // 100 % {len(SAMPLES)} WHERE m.size > 0 AND m.type = '0'),
+rows_ AS (SELECT folder, coalesce(part, kind) AS kind, how, size * coalesce(CAST(share AS DOUBLE), 1) AS size, date FROM whole LEFT JOIN split USING (kind) WHERE size > 0)"""

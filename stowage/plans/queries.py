@@ -18,7 +18,7 @@ from ..operators import kinds as K
 from ..operators import reports as R
 from ..operators import tree as T
 from ..streaming import events as E
-from .adapters import ARCHIVES_SQL, FILES_SQL, LISTED, MEMBERS_SQL, archives, files, members, table
+from .adapters import ARCHIVES_SQL, FILES_SQL, LISTED, MEMBERS_SQL, SAMPLE_ROWS_SQL, SAMPLE_RULES, archives, files, members, sample_files, sample_index, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -289,6 +289,24 @@ def shared_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("folder", "kind").agg(F.round(F.sum("size"), 0).alias("size"))
 
 
+def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.walk(sample_files(spark, sf_dir), SAMPLE_RULES, **sample_index(spark, sf_dir))
+
+
+@query(f"WITH {SAMPLE_ROWS_SQL} SELECT kind, how, strftime(make_timestamp(date * 1000000), '%Y-%m') AS month, CAST(round(sum(size)) AS BIGINT) AS size FROM rows_ GROUP BY 1, 2, 3")
+def kinds_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk over loose files, tarballs by name and archives shared out over their members, with a file for every rule."""
+    cube = K.tally(_sample_rows(spark, sf_dir), LISTED).groupBy("kind", "how", "month").agg(F.sum("size").alias("size"))
+    return cube.withColumn("size", F.round("size").cast("long"))
+
+
+@query(f"""WITH {SAMPLE_ROWS_SQL} SELECT kind, CAST(y AS DOUBLE) AS years, CAST(round(sum(CASE WHEN how = 'loose' THEN size ELSE 0 END)) AS BIGINT) AS loose, CAST(round(sum(CASE WHEN how <> 'loose' THEN size ELSE 0 END)) AS BIGINT) AS tarred
+  FROM rows_, unnest([0.5, 1, 2, 3, 5, 10]) AS t(y) WHERE date < {LISTED} - y * {YEAR} GROUP BY 1, 2""")
+def kinds_indexed_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    older = K.kinds_older(K.tally(_sample_rows(spark, sf_dir), LISTED))
+    return older.withColumns({c: F.round(c).cast("long") for c in ("loose", "tarred")})
+
+
 # ---- comparing catalogs
 
 
@@ -322,17 +340,16 @@ def antijoin_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.missing_partner(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 4 AND (l_orderkey, l_linenumber, l_partkey) NOT IN (SELECT (l_orderkey, l_linenumber, l_partkey) FROM lineitem WHERE l_linenumber = 4 AND l_quantity > 10)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_quantity > 10 AND r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber AND r.l_partkey = l.l_partkey)")
 def rows_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").filter("l_linenumber = 4").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")  # noqa: E741
     return C.rows_not_in(l.drop("l_quantity"), l.filter("l_quantity > 10"), ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_quantity > 10 AND r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber AND r.l_partkey = l.l_partkey)")
+@query(ORACLES["rows_not_in"])
 def rows_not_in_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rows_not_in`` over every line."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")  # noqa: E741
-    return C.rows_not_in(l.drop("l_quantity"), l.filter("l_quantity > 10"), ["l_orderkey", "l_linenumber", "l_partkey"])
+    """``rows_not_in`` by the name it had when that one read a part of the lines."""
+    return rows_not_in(spark, sf_dir)
 
 
 @query(listing("SELECT lower(ancestor) AS folder FROM (SELECT DISTINCT ancestor FROM up) WHERE lower(ancestor) = '/asia'"))
@@ -422,20 +439,10 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.coverage(s, s.groupBy(F.col("archive_id").alias("id")).agg(F.sum("size").alias("total_size")))
 
 
-@query(f"""WITH {MEMBERS_SQL}, spans AS (SELECT o_orderkey AS archive_id, k AS idx, k * 4096 AS begin_, (k + 1) * 4096 AS end_ FROM (SELECT DISTINCT o_orderkey FROM orders), unnest(range(0, 8)) AS t(k))
+@query(f"""WITH {MEMBERS_SQL}, ends AS (SELECT archive_id, max(hdr_offset) // 4096 AS last FROM members GROUP BY 1), spans AS (SELECT archive_id, k AS idx, k * 4096 AS begin_, (k + 1) * 4096 AS end_ FROM ends, unnest(range(0, last + 1)) AS t(k))
 SELECT archive_id, idx, count(*) AS members FROM members JOIN spans USING (archive_id) WHERE hdr_offset >= begin_ AND hdr_offset < end_ GROUP BY 1, 2""")
 def range_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members by the span they begin in."""
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("archive_id")).distinct()
-    k = F.col("idx")
-    spans = keys.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))).select("archive_id", "idx", (k * 4096).alias("begin_"), ((k + 1) * 4096).alias("end_"))
-    found = ranges.binned_range_join(members(spark, sf_dir).select("archive_id", "hdr_offset"), spans, at="hdr_offset", begin="begin_", end="end_", keys=["archive_id"], width=4096)
-    return found.groupBy("archive_id", "idx").agg(F.count("*").alias("members"))
-
-
-@query(f"WITH {MEMBERS_SQL} SELECT archive_id, CAST(hdr_offset // 4096 AS BIGINT) AS idx, count(*) AS members FROM members GROUP BY 1, 2")
-def range_locate_all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``range_locate`` with spans up to each archive's last header."""
+    """Members by the span they begin in, with spans up to each archive's last header."""
     m = members(spark, sf_dir).select("archive_id", "hdr_offset")
     k = F.col("idx")
     spans = m.groupBy("archive_id").agg(F.max("hdr_offset").alias("last"))
@@ -444,23 +451,26 @@ def range_locate_all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("archive_id", "idx").agg(F.count("*").alias("members"))
 
 
-@query("""SELECT event_id, e.user_id, o.o_orderkey FROM (SELECT * FROM events WHERE event_id % 3 = 0) e ASOF LEFT JOIN (SELECT o_custkey AS user_id, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o
-  ON e.user_id = o.user_id AND e.ts >= o.o_orderdate""")
-def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select("event_id", "user_id", "ts")
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
-    return ranges.as_of_join(e, o, at="ts", mark="o_orderdate", keys=["user_id"], values=["o_orderkey"], bucket=lambda t: F.year(t)).drop("ts")
+@query(f"WITH {MEMBERS_SQL} SELECT archive_id, CAST(hdr_offset // 4096 AS BIGINT) AS idx, count(*) AS members FROM members GROUP BY 1, 2")
+def range_locate_all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``range_locate`` by the name it had when that one read eight spans; the SQL divides instead of joining."""
+    return range_locate(spark, sf_dir)
 
 
 @query("""SELECT event_id, e.user_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey AS user_id, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o
   ON e.user_id = o.user_id AND e.ts >= o.o_orderdate""")
-def as_of_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``as_of`` over every event."""
+def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
     return ranges.as_of_join(e, o, at="ts", mark="o_orderdate", keys=["user_id"], values=["o_orderkey"], bucket=lambda t: F.year(t)).drop("ts")
 
 
+@query(ORACLES["as_of"])
+def as_of_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``as_of`` by the name it had when that one read a part of the events."""
+    return as_of(spark, sf_dir)
+
+
 @query(f"""WITH {MEMBERS_SQL}, x AS (SELECT *, size > 0 AND type IN ('0', chr(0), '7') AS f, coalesce(nullif(regexp_extract(lower(name), '^.+\\.([^.]{{1,12}})$', 1), ''), '(none)') AS e FROM members),
 k AS (SELECT archive_id, size, 'total' AS section, '' AS key FROM x UNION ALL SELECT archive_id, size, 'owner', uname || ':' || gname FROM x UNION ALL SELECT archive_id, size, 'type', type FROM x UNION ALL SELECT archive_id, size, 'ext', e FROM x WHERE f
 UNION ALL SELECT archive_id, size, 'dir' || n, CASE WHEN dir = '' THEN '(root)' ELSE array_to_string(list_slice(string_split(dir, '/'), 1, n), '/') END FROM x, unnest([1, 2, 3]) AS t(n) WHERE f)
@@ -511,13 +521,14 @@ def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.latest_event(e.select("user_id", "ts", F.col("event_type").alias("kind"), F.col("props").alias("detail")), kind, ["user_id"])
 
 
-@query(f"""WITH {ARCHIVES_SQL}, c AS (SELECT id AS k, id % 97 AS h, total_size AS size FROM archives WHERE id % 2 = 0), known AS (SELECT id % 97 AS h, arg_max(state, (CASE WHEN state = 'stale' THEN 0 ELSE 1 END, id)) AS state FROM archives WHERE id % 3 = 0 GROUP BY 1)
+@query(f"""WITH {ARCHIVES_SQL}, c AS (SELECT id AS k, id % 97 AS h, total_size AS size FROM archives), known AS (SELECT 2 * (id % 97) AS h, arg_max(state, (CASE WHEN state = 'stale' THEN 0 ELSE 1 END, id)) AS state FROM archives GROUP BY 1)
 SELECT CASE WHEN state IN ('complete', 'truncated', 'corrupt', 'unsupported') THEN 'done' WHEN state IS NOT NULL THEN 'resume' ELSE 'new' END AS job, count(*) AS jobs, CAST(sum(size) AS BIGINT) AS bytes FROM c LEFT JOIN known USING (h) GROUP BY 1""")
 def run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every archive as a candidate against every archive as a registered one, whose parts are others for odd hashes."""
     a = archives(spark, sf_dir).withColumn("set_hash", F.col("id") % 97)
-    c = a.filter("id % 2 = 0").select("folder", "name", F.col("total_size").alias("size"), "set_hash", F.lit("ok").alias("status"))
+    c = a.select("folder", "name", F.col("total_size").alias("size"), "set_hash", F.lit("ok").alias("status"))
     segments = a.select(F.col("id").alias("archive_id"))
-    return A.plan_counts(A.run_plan(c, a.filter("id % 3 = 0"), segments))
+    return A.plan_counts(A.run_plan(c, a.withColumn("set_hash", 2 * F.col("set_hash")), segments))
 
 
 @query(f"""WITH {MEMBERS_SQL}, c AS (SELECT name, size, mtime % 4 AS signature, count(*) AS n FROM members GROUP BY 1, 2, 3)
@@ -585,12 +596,13 @@ def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", paths.below(F.col("folder"), "/EUROPE").alias("relative"), F.upper("folder").alias("loud"))
 
 
-@query(f"""WITH {ARCHIVES_SQL}, a AS (SELECT DISTINCT ON (id) id, name, folder, state, created_at, id % 900 AS h FROM archives ORDER BY id), mine AS (SELECT * FROM a WHERE id % 2 = 0), theirs AS (SELECT * FROM a WHERE id % 3 = 0),
+@query(f"""WITH {ARCHIVES_SQL}, mine AS (SELECT DISTINCT ON (id) id, name, folder, state, created_at, id % 900 AS h FROM archives ORDER BY id), theirs AS (SELECT id, name, folder, state, created_at, 2 * h AS h FROM mine),
 merged AS (SELECT * FROM mine WHERE h NOT IN (SELECT h FROM theirs) UNION ALL SELECT id + (SELECT max(id) FROM mine), name, folder, state, created_at, h FROM theirs)
 SELECT id, CASE WHEN row_number() OVER (PARTITION BY name, folder ORDER BY state = 'stale', created_at DESC, id DESC) > 1 THEN 'stale' ELSE state END AS state FROM merged""")
 def catalog_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every archive into a catalog of every archive; theirs replace those of mine with an even hash below 900."""
     a = archives(spark, sf_dir).dropDuplicates(["id"]).withColumn("set_hash", F.col("id") % 900).drop("total_size")
-    return C.import_catalog({"archives": a.filter("id % 2 = 0")}, {"archives": a.filter("id % 3 = 0")})["archives"].select("id", "state")
+    return C.import_catalog({"archives": a}, {"archives": a.withColumn("set_hash", 2 * F.col("set_hash"))})["archives"].select("id", "state")
 
 
 # ---- events
