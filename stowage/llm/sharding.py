@@ -10,6 +10,8 @@ from .common import parallelism
 #: Multiplier of the published generator.
 JUMP_MULTIPLIER = "2862933555777941757"
 TWO_64 = "18446744073709551616"
+#: Repeats of one row that one task writes out from a single counted row.
+STRETCH = 1 << 16
 
 
 def jump_hash(key: Column, shards: int) -> Column:
@@ -45,7 +47,7 @@ def shard(documents: DataFrame, shards: int = 24, *, key: str = "doc_id", text:
     Returns (key, size, text_crc32, law, shard, slot, grown_shard).  size: UTF-8 bytes of the text plus 8, a null
     text counting as none (checksum of no bytes: 0).  A null key hashes as 0.  slot numbers a shard's rows from 0
     without gaps, in order of key, size and checksum.  Rows that repeat all of these are counted before the shuffle and
-    told apart only by their slots.  No task numbers a whole shard: each shard is ranked in ``pieces`` hash
+    told apart only by their slots; more than STRETCH repeats are dealt out to tasks in stretches.  No task numbers a whole shard: each shard is ranked in ``pieces`` hash
     pieces (default: the session's shuffle partitions, 64 at least), whose sizes give the offsets.
     An empty table gives an empty result; further columns are ignored.
     """
@@ -68,8 +70,11 @@ def shard(documents: DataFrame, shards: int = 24, *, key: str = "doc_id", text:
     offsets = sizes.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "piece").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = same.withColumn("prior", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(offsets, ["shard", "piece"])
-    return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("offset") + F.col("prior"), F.col("offset") + F.col("prior") + F.col("copies") - 1)).alias("slot"),
-        "grown_shard",
+    first = F.col("offset") + F.col("prior")
+    runs = ranked.select("doc_id", "size", "text_crc32", "shard", "grown_shard", first.alias("first"), (first + F.col("copies") - 1).alias("last"))
+    long_run = F.col("last") - F.col("first") >= STRETCH
+    starts = runs.filter(long_run).withColumn("first", F.explode(F.sequence("first", "last", F.lit(STRETCH).cast("long"))))
+    stretches = starts.withColumn("last", F.least(F.col("last"), F.col("first") + STRETCH - 1)).repartition(pieces, "first", "shard")
+    return runs.filter(~long_run).unionByName(stretches).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("first", "last")).alias("slot"), "grown_shard"
     )

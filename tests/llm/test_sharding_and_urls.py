@@ -44,6 +44,15 @@ def test_shards_of_odd_rows(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_many_repeats_go_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRETCH", 64)
+    df = spark.createDataFrame([(i, "t") for i in range(300)] + [(None, None)] * 1000 + [(7, "t")] * 63 + [(8, "u")] * 64, "doc_id long, text string")
+    got = sharding.shard(df, 3, pieces=4).collect()
+    assert Counter(g["doc_id"] for g in got) == Counter({**dict.fromkeys(range(300), 1), None: 1000, 7: 64, 8: 65})
+    for s in range(3):
+        assert sorted(g["slot"] for g in got if g["shard"] == s) == list(range(sum(g["shard"] == s for g in got)))
+
+
 def test_sharding_is_native(spark):
     plan = sharding.shard(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
