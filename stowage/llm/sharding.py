@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import materialize, parallelism
 
 #: Multiplier of the published generator.
 JUMP_MULTIPLIER = "2862933555777941757"
@@ -59,7 +59,8 @@ def shard(documents: DataFrame, shards: int = 24, *, key: str = "doc_id", text:
         F.crc32(told.cast("binary")).alias("text_crc32"),
     )
     same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    same = same.select(
+    # kept as a table, so that the sizes and both kinds of runs do not read the texts again
+    same = materialize(same).select(
         "*",
         jump_hash(F.col("doc_id"), shards).alias("shard"),
         jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
