@@ -41,6 +41,17 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda s: s["b"].cast("int"))
 
 
+def counted(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, copies): rows that repeat all three, counted."""
+    told = F.coalesce(F.col(text), F.lit(""))
+    rows = documents.select(
+        F.col(key).cast("long").alias("doc_id"),
+        (F.octet_length(told) + 8).cast("long").alias("size"),
+        F.crc32(told.cast("binary")).alias("text_crc32"),
+    )
+    return rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+
+
 def shard(documents: DataFrame, shards: int = 24, *, key: str = "doc_id", text: str = "text", pieces: int | None = None) -> DataFrame:
     """Put every row into one of ``shards`` shards by its key; one more shard takes rows only into itself.
 
@@ -52,15 +63,8 @@ def shard(documents: DataFrame, shards: int = 24, *, key: str = "doc_id", text:
     An empty table gives an empty result; further columns are ignored.
     """
     pieces = pieces or max(64, parallelism(documents.sparkSession))
-    told = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(
-        F.col(key).cast("long").alias("doc_id"),
-        (F.octet_length(told) + 8).cast("long").alias("size"),
-        F.crc32(told.cast("binary")).alias("text_crc32"),
-    )
-    same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     # kept as a table, so that the sizes and both kinds of runs do not read the texts again
-    same = materialize(same).select(
+    same = materialize(counted(documents, key=key, text=text)).select(
         "*",
         jump_hash(F.col("doc_id"), shards).alias("shard"),
         jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),

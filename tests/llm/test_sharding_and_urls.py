@@ -56,6 +56,8 @@ def test_many_repeats_go_in_stretches(spark, monkeypatch):
 def test_sharding_is_native(spark):
     plan = sharding.shard(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    plan = sharding.counted(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def fits(url, rules):
