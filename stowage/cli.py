@@ -76,7 +76,10 @@ def cmd_export(spark, a) -> int:
 
 
 def archive_tables(spark, root: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{root}/{t}") for t in ("archives", "parts", "segments", "members")}
+    """The archive tables; rows of an archive without its own row, which is written last, belong to a try that was cut off."""
+    t = {t: spark.read.parquet(f"{root}/{t}") for t in ("archives", "parts", "segments", "members")}
+    told = t["archives"].select(F.col("id").alias("archive_id"))
+    return {n: df if n == "archives" else df.join(told, "archive_id", "left_semi") for n, df in t.items()}
 
 
 def cmd_kinds(spark, a) -> int:
@@ -114,14 +117,15 @@ def cmd_archive_candidates(spark, a) -> int:
 
 
 def cmd_archive_index(spark, a) -> int:
-    """Index the parts of one archive; 1 if the walk did not reach its end."""
+    """Index the parts of one archive; 1 if the walk did not reach its end.  Cut off, it goes on where it was when called again."""
     parts = sorted(glob.glob(a.parts))
     if not parts:
         print(f"no files match {a.parts}", file=sys.stderr)
         return 2
     old = {t: spark.read.parquet(f"{a.archives}/{t}") if os.path.isdir(f"{a.archives}/{t}") else None for t in ("archives", "parts", "segments", "members")}
-    archive_id = (old["archives"].agg(F.max("id")).first()[0] if old["archives"] is not None else 0) + 1
-    members, segments = tar.index(spark, [{"archive_id": archive_id, "parts": parts}])
+    # a number that rows of a cut-off try may bear is not taken again
+    archive_id = max((df.agg(F.max("id" if t == "archives" else "archive_id")).first()[0] or 0 for t, df in old.items() if df is not None), default=0) + 1
+    members, segments = (df.withColumn("archive_id", F.lit(archive_id).cast("long")) for df in tar.index(spark, [{"archive_id": 0, "parts": parts}], f"{a.archives}/_walk"))
     ending = A.chain_ending(segments.filter("joined or state <> 'crossed'")).first()
     state = ending["state"] if ending and ending["state"] in ("complete", "truncated", "unsupported") else "corrupt"
     sizes = [os.path.getsize(p) for p in parts]
@@ -132,6 +136,7 @@ def cmd_archive_index(spark, a) -> int:
     archive = spark.createDataFrame([(archive_id, a.name, a.folder, state, sum(sizes), int(time.time()))], "id long, name string, folder string, state string, total_size long, created_at long")
     for name, df in (("segments", segments), ("members", members), ("parts", part_df), ("archives", archive)):
         df.write.mode("append").parquet(f"{a.archives}/{name}")
+    tar.forget_walks(spark, f"{a.archives}/_walk")
     print(f"{a.name}: {state}")
     return 0 if state == "complete" else 1
 

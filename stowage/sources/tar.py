@@ -4,15 +4,18 @@
 ``{"archive_id": 1, "parts": [path, ...]}``, parts in order.  Every part is one partition: its task looks for the first header
 in its part (the first part's begins at 0) and follows the chain of headers to the part's end, across the border if a member's data
 cross it.  ``format("tar_segments")`` runs the same walk and returns a row for each part: where its chain began, where it left
-off and how it ended; ``operators.archives.segment_chain`` then says how far the chain is proven.
+off and how it ended; ``operators.archives.segment_chain`` then says how far the chain is proven.  ``format("tar_walk")``, which
+``index`` uses, gives both from one walk, and all chains of a part: where one ends inside it, the next header after that begins another.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import json
 import os
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,10 @@ SCAN, WINDOW = 1 << 20, (1 << 16, 1 << 22)
 
 MEMBERS = "archive_id long, segment int, hdr_offset long, data_offset long, size long, type string, mode long, mtime long, uname string, gname string, dir string, name string, linkname string"
 SEGMENTS = "archive_id long, idx int, scan_from long, stop_at long, first_header long, exit_offset long, state string, members long, detail string"
+#: A member, or (``state`` not null) the row that ends its chain; ``chain``: offset at which the chain begins, null if the part has none.
+WALK = f"{MEMBERS}, chain long, state string, exit_offset long, members long, detail string"
+#: Parts that one job walks; a walk that was cut off goes on with the first job that is not finished.
+AT_ONCE = 1024
 
 
 class Unsupported(Exception):
@@ -125,8 +132,8 @@ def first_header(parts: Parts, begin: int, stop: int | None) -> int | None:
     return None
 
 
-def follow(parts: Parts, begin: int, stop: int | None, out: list[tuple], archive_id: int, segment: int) -> Walk:
-    """Walk headers from ``begin`` until ``stop`` is passed (crossed) or the archive ends; members are appended to ``out``."""
+def follow(parts: Parts, begin: int, stop: int | None, archive_id: int, segment: int) -> Generator[tuple, None, Walk]:
+    """Walk headers from ``begin`` until ``stop`` is passed (crossed) or the archive ends; yields members, returns what it came to."""
     at, seen = begin, 0
     long_name = long_link = None
     first = at
@@ -165,7 +172,7 @@ def follow(parts: Parts, begin: int, stop: int | None, out: list[tuple], archive
         if long_name is None and block[257:263] == b"ustar\0" and (prefix := text(block[345:500])):
             name = prefix + "/" + name
         folder, _, base = name.rstrip("/").rpartition("/")
-        out.append((archive_id, segment, first, data, size, kind, number(block[100:108]), number(block[136:148]), text(block[265:297]), text(block[297:329]), folder, base, long_link if long_link is not None else text(block[157:257])))
+        yield (archive_id, segment, first, data, size, kind, number(block[100:108]), number(block[136:148]), text(block[265:297]), text(block[297:329]), folder, base, long_link if long_link is not None else text(block[157:257]))
         seen += 1
         long_name = long_link = None
         at = after if has_data else data
@@ -178,40 +185,69 @@ class SegmentPartition(InputPartition):
         self.archive_id, self.paths, self.segment = archive_id, paths, segment
 
 
-def scan(p: SegmentPartition, start: int | None = None) -> tuple[list[tuple], tuple]:
-    """Members of one segment, and the row that tells of it; ``start``: where the chain is known to enter it."""
+def scan(p: SegmentPartition, start: int | None = None, every: bool = False) -> Iterator[tuple[tuple | None, tuple | None]]:
+    """(member, None) for each member of a part, (None, (chain, state, exit, members, detail)) at the end of each chain.
+
+    ``start``: where the chain is known to enter the part.  ``every``: after a chain that ends inside the part (a tar within a
+    member's data does), the next header begins another one.
+    """
     parts = Parts(p.paths)
-    begin = parts.begins[p.segment]
     stop = parts.begins[p.segment + 1] if p.segment + 1 < len(p.paths) else None
-    members: list[tuple] = []
-    head = start if start is not None else 0 if p.segment == 0 else first_header(parts, begin, stop)
+    known = start is not None or p.segment == 0
+    head = start if start is not None else 0 if p.segment == 0 else first_header(parts, parts.begins[p.segment], stop)
     if head is None:  # all of the part is a member's data, or what follows the end
-        return members, (p.archive_id, p.segment, begin, stop, None, None, "beyond", 0, "")
-    try:
-        w = follow(parts, head, stop, members, p.archive_id, p.segment)
-    except Unsupported as e:
-        return [], (p.archive_id, p.segment, begin, stop, head, None, "unsupported", 0, str(e))
-    return members, (p.archive_id, p.segment, begin, stop, head, w.exit_offset, w.state, w.members, w.detail)
+        yield None, (None, "beyond", None, 0, "")
+    while head is not None:
+        walk = follow(parts, head, stop, p.archive_id, p.segment)
+        try:
+            while True:
+                yield next(walk), None
+        except StopIteration as end:
+            w = end.value
+        except Unsupported as e:
+            yield None, (head, "unsupported", None, 0, str(e))
+            return
+        yield None, (head, w.state, w.exit_offset, w.members, w.detail)
+        head = None if known or not every or w.state == "crossed" else first_header(parts, w.exit_offset + BLOCK, stop)
 
 
 class TarReader(DataSourceReader):
-    def __init__(self, options: dict, segments: bool):
-        self.archives, self.segments = json.loads(options["parts"]), segments
-        self.starts = {(a, i): at for a, i, at in json.loads(options.get("starts", "[]"))}
-        self.only = options.get("only", "false") == "true"
+    def __init__(self, options: dict, kind: str):
+        self.archives, self.kind = json.loads(options["parts"]), kind
+        # [archive, part, offset or null]: the only parts to walk, and where the chain enters them
+        self.only = {(a, i): at for a, i, at in json.loads(options["only"])} if "only" in options else None
 
     def partitions(self) -> list[InputPartition]:
         found = [(os.path.getsize(path), SegmentPartition(a["archive_id"], a["parts"], i)) for a in self.archives for i, path in enumerate(a["parts"])]
-        wanted = [(n, p) for n, p in found if not self.only or (p.archive_id, p.segment) in self.starts]
+        wanted = [(n, p) for n, p in found if self.only is None or (p.archive_id, p.segment) in self.only]
         return [p for _, p in sorted(wanted, key=lambda x: -x[0])]  # the largest start first
 
     def read(self, partition: SegmentPartition) -> Iterator[tuple]:
-        members, segment = scan(partition, self.starts.get((partition.archive_id, partition.segment)))
-        yield from [segment] if self.segments else members
+        key = (partition.archive_id, partition.segment)
+        chain = None
+        for member, end in scan(partition, (self.only or {}).get(key), every=self.kind == "walk"):
+            if self.kind == "members":
+                if member:
+                    yield member
+            elif self.kind == "segments":
+                if end:
+                    yield segment_row(*key, partition.paths, *end)
+            elif member:
+                chain = member[2] if chain is None else chain
+                yield (*member, chain, None, None, None, None)
+            else:
+                yield (*key, *[None] * 11, *end)
+                chain = None
+
+
+def segment_row(archive_id: int, idx: int, paths: list[str], head: int | None, state: str, exit_offset: int | None, members: int, detail: str) -> tuple:
+    parts = Parts(paths)
+    stop = parts.begins[idx + 1] if idx + 1 < len(paths) else None
+    return archive_id, idx, parts.begins[idx], stop, head, exit_offset, state, members, detail
 
 
 class TarMembers(DataSource):
-    """Members of tar archives in parts."""
+    """Members of tar archives in parts: of each part's first chain, up to a header that is not supported."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,7 +257,7 @@ class TarMembers(DataSource):
         return MEMBERS
 
     def reader(self, schema) -> DataSourceReader:
-        return TarReader(self.options, segments=False)
+        return TarReader(self.options, "members")
 
 
 class TarSegments(DataSource):
@@ -235,52 +271,118 @@ class TarSegments(DataSource):
         return SEGMENTS
 
     def reader(self, schema) -> DataSourceReader:
-        return TarReader(self.options, segments=True)
+        return TarReader(self.options, "segments")
+
+
+class TarWalk(DataSource):
+    """Members and the ends of their chains from one walk."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tar_walk"
+
+    def schema(self) -> str:
+        return WALK
+
+    def reader(self, schema) -> DataSourceReader:
+        return TarReader(self.options, "walk")
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(TarMembers)
-    spark.dataSource.register(TarSegments)
+    for source in (TarMembers, TarSegments, TarWalk):
+        spark.dataSource.register(source)
+
 
+def _store(spark: SparkSession) -> str:
+    """A folder for one walk below ``spark.checkpoint.dir``, or of its own in a session of one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return f"{found.rstrip('/')}/tar"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("index needs a store, or spark.checkpoint.dir, that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tar-")
 
-def index(spark: SparkSession, archives: list[dict]) -> tuple[DataFrame, DataFrame]:
+
+def _joined(paths: list[str], archive_id: int, found: dict[int, dict[int | None, tuple]]) -> tuple[list[tuple], dict[int, int]]:
+    """The segment rows of one archive as far as the walked chains join, and {part: offset} of what has to be walked from there.
+
+    A part without a chain at that offset is taken to leave off where its last chain does, so that the wrong parts behind it
+    are found in the same round.
+    """
+    begins, rows, wrong, want = Parts(paths).begins, [], {}, 0
+    for i in range(len(paths)):
+        chains = found[i]
+        first = next(iter(chains))
+        if want is not None and i + 1 < len(paths) and want >= begins[i + 1]:  # all of it is a member's data
+            end = (want, "crossed", want, 0, "")
+        elif want is None or want in chains:
+            end = (first if want is None else want, *chains[first if want is None else want])
+        else:
+            wrong[i] = want
+            last = list(chains)[-1]
+            end = (last, *chains[last])
+        rows.append(segment_row(archive_id, i, paths, *end))
+        want = end[2] if want is not None and end[1] == "crossed" else None
+    return rows, wrong
+
+
+def index(spark: SparkSession, archives: list[dict], store: str | None = None, at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """Members and segments of archives once their chains are joined.
 
-    A part's first valid header may lie in a member's data, or behind a long name that begins in the part before; its segment is
-    then walked anew from where the one before left off.  The driver holds one row for each part, and a
-    round walks only the segments that were wrong, one in each archive.
+    A part's first valid header may lie in a member's data, or behind a long name that begins in the part before.  So all chains
+    of a part are walked, and a part none of whose chains begins where the one before left off is walked anew from there, all such
+    parts of a round together.  Walks are written below ``store`` (a shared folder), ``at_once`` parts a job; called again with the same store and
+    unchanged parts (path, size, time), finished jobs are not repeated.  Only the chains that join are returned.  The driver
+    holds the chains' ends, not the members.
     """
     register(spark)
     told = json.dumps(archives)
-    read = lambda kind, **more: spark.read.format(kind).option("parts", told).options(**more).load()
-    found = {(r["archive_id"], r["idx"]): r for r in read("tar_segments").collect()}
-    starts: dict[tuple[int, int], int] = {}
-    while True:
-        wrong = {}
-        for a in archives:
-            for i in range(1, len(a["parts"])):
-                before, own = found[a["archive_id"], i - 1], found[a["archive_id"], i]
-                if before["state"] != "crossed":
-                    break
-                if own["first_header"] != before["exit_offset"]:
-                    wrong[a["archive_id"], i] = before["exit_offset"]
-                    break
-        if not wrong:
-            break
-        starts |= wrong
-        again = json.dumps([[*k, at] for k, at in wrong.items()])
-        found |= {(r["archive_id"], r["idx"]): r for r in read("tar_segments", starts=again, only="true").collect()}
-    known = json.dumps([[*k, at] for k, at in starts.items()])
-    segments = segment_chain(spark.createDataFrame(list(found.values()), SEGMENTS))
-    proven = segments.filter("joined").select("archive_id", F.col("idx").alias("segment"))
-    return read("tar_members", starts=known).join(proven, ["archive_id", "segment"], "left_semi"), segments
+    marks = [[p, os.path.getsize(p), os.stat(p).st_mtime_ns] for a in archives for p in a["parts"]]
+    root = f"{store or _store(spark)}/{_digest([archives, marks, at_once])}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    walked: list[str] = []
+
+    def walk(parts: list[list]) -> DataFrame:
+        """[archive, part, offset or null] in jobs of at_once parts, each in a folder of its own that a replay overwrites."""
+        new = []
+        for n in range(0, len(parts), at_once):
+            only = json.dumps(parts[n : n + at_once])
+            new.append(f"{root}/{_digest(only)}")
+            mark = jvm.org.apache.hadoop.fs.Path(new[-1] + "/_SUCCESS")
+            if not mark.getFileSystem(conf).exists(mark):
+                spark.read.format("tar_walk").option("parts", told).option("only", only).load().write.mode("overwrite").parquet(new[-1])
+        walked.extend(new)
+        return spark.read.schema(WALK).parquet(*new) if new else spark.createDataFrame([], WALK)
+
+    found: dict[int, dict[int, dict]] = {a["archive_id"]: {i: {} for i in range(len(a["parts"]))} for a in archives}
+    todo = [[a["archive_id"], i, None] for a in archives for i in range(len(a["parts"]))]
+    while todo:
+        ends = walk(todo).filter("state is not null").select("archive_id", "segment", "hdr_offset", "chain", "state", "exit_offset", "members", "detail").collect()
+        for r in sorted(ends, key=lambda r: (r["chain"] is None, r["chain"])):
+            found[r["archive_id"]][r["segment"]][r["chain"]] = (r["state"], r["exit_offset"], r["members"], r["detail"])
+        joined = {a["archive_id"]: _joined(a["parts"], a["archive_id"], found[a["archive_id"]]) for a in archives}
+        todo = [[k, i, at] for k, (_, wrong) in joined.items() for i, at in wrong.items()]
+    segments = segment_chain(spark.createDataFrame([r for rows, _ in joined.values() for r in rows] if archives else [], SEGMENTS))
+    proven = segments.filter("joined and state <> 'unsupported'").select("archive_id", F.col("idx").alias("segment"), F.col("first_header").alias("chain"))
+    stored = spark.read.schema(WALK).parquet(*walked) if walked else spark.createDataFrame([], WALK)
+    members = stored.filter("state is null").join(proven, ["archive_id", "segment", "chain"], "left_semi")
+    return members.select(*MEMBERS.replace(",", "").split()[::2]), segments
+
+
+def forget_walks(spark: SparkSession, store: str) -> None:
+    """Delete the walks below ``store`` once what came of them is written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _digest(told) -> str:
+    return hashlib.sha256(json.dumps(told).encode()).hexdigest()[:24]
 
 
 def read_member(paths: list[str], hdr_offset: int, *, dir: str, name: str, size: int) -> bytes:
     """Content of one member, refused if the header there is not the one that was indexed."""
     parts = Parts(paths)
-    found: list[tuple] = []
-    follow(parts, hdr_offset, hdr_offset + 1, found, 0, 0)
+    found = list(follow(parts, hdr_offset, hdr_offset + 1, 0, 0))
     if not found or (found[0][10], found[0][11], found[0][4]) != (dir, name, size):
         raise ValueError(f"another member than {dir}/{name} is at {hdr_offset}")
     data = parts.fetch(found[0][3], size)
@@ -304,7 +406,7 @@ def verify_headers(members, archives: list[dict]):
                 for i, row in rows.iterrows():
                     found: list[tuple] = []
                     try:
-                        follow(parts, int(row["hdr_offset"]), int(row["hdr_offset"]) + 1, found, archive_id, int(row["segment"]))
+                        found = list(follow(parts, int(row["hdr_offset"]), int(row["hdr_offset"]) + 1, archive_id, int(row["segment"])))
                     except Unsupported:
                         pass
                     wrong.append((i, not found or [*found[0]] != [row[c] for c in columns]))

@@ -1,6 +1,7 @@
 """Archive analytics: part sets, segments, range joins, and the tar source against Python's tarfile."""
 
 import io
+import os
 import random
 import tarfile
 
@@ -133,6 +134,50 @@ def test_tar_verdicts(spark, tmp_path):
     assert tar.verify_headers(m.withColumn("size", F.when(F.col("name") == "f3", 5).otherwise(F.col("size"))), archive).count() == 1
 
 
+def nested(count):
+    """Members that are tars themselves, longer than a part, so that parts begin inside them."""
+    inner = []
+    for i in range(count):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w", format=tarfile.GNU_FORMAT) as t:
+            for j in range(6):
+                info = tarfile.TarInfo(f"inner{i}_{j}")
+                info.size = 700
+                t.addfile(info, io.BytesIO(b"x" * 700))
+        inner.append((f"m{i}.tar", out.getvalue()))
+    return inner
+
+
+def test_parts_inside_nested_tars_take_few_rounds(spark, tmp_path):
+    (tmp_path / "parts").mkdir()
+    names, data = build(tmp_path / "parts", nested(30), 5120)
+    members, segments = tar.index(spark, [{"archive_id": 4, "parts": names}], f"{tmp_path}/store")
+    assert rows(members, "name", "size") == sorted((m.name, m.size) for m in tarfile.open(fileobj=io.BytesIO(data)))
+    assert rows(A.chain_ending(segments), "archive_id", "state") == [(4, "complete")] and segments.filter("joined").count() == segments.filter("state <> 'beyond'").count()
+    rounds = list((tmp_path / "store").glob("*/*"))
+    assert len(names) > 60 and len(rounds) <= 3
+
+
+def test_cut_off_index_goes_on(spark, tmp_path):
+    (tmp_path / "parts").mkdir()
+    names, data = build(tmp_path / "parts", random_members(3), 30_000)
+    archives = [{"archive_id": 1, "parts": names}]
+    store = tmp_path / "store"
+    want = rows(tar.index(spark, archives, str(store), at_once=2)[0], "hdr_offset", "name")
+    assert want and len(want) == len(tarfile.open(fileobj=io.BytesIO(data)).getmembers())
+    jobs = {p: p.stat().st_mtime_ns for p in store.glob("*/*/_SUCCESS")}
+    lost = sorted(jobs)[1]
+    lost.unlink()
+    assert rows(tar.index(spark, archives, str(store), at_once=2)[0], "hdr_offset", "name") == want
+    assert {p for p, at in jobs.items() if p.stat().st_mtime_ns != at} == {lost}
+    # a part that changed begins anew
+    with open(names[0], "ab") as f:
+        f.write(b"")
+    os.utime(names[0], ns=(1, 1))
+    tar.index(spark, archives, str(store), at_once=2)
+    assert len(list(store.iterdir())) == 2
+
+
 def member_rows(spark):
     data = [(1, 0, 512, 100, "0", 420, 10, "u", "g", "run/fault_a/x", "a.bb", ""), (1, 1024, 1536, 50, "0", 420, 20, "u", "h", "run/fault_b", 'b, "q".txt', ""), (1, 2048, 2560, 7, "0", 420, 30, "v", "g", "", "root", ""), (1, 3072, 3584, 0, "5", 420, 40, "v", "g", "", "dir", "")]
     return spark.createDataFrame(data, "archive_id long, hdr_offset long, data_offset long, size long, type string, mode long, mtime long, uname string, gname string, dir string, name string, linkname string")
