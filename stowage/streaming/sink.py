@@ -29,9 +29,32 @@ def ingest_stream(entries: DataFrame, root: str, checkpoint: str, shard_path: st
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+TABLES = ("files", "folders", "events")
+
+
+def last_batch(spark: SparkSession, root: str) -> int:
+    """Number of the last batch that all three tables have finished; -1 if there is none.
+
+    Batches come in order, so all before it are finished too.  A batch that is being written anew after a failure is not finished.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = []
+    for name in TABLES:
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/batch=*/_SUCCESS")
+        found = at.getFileSystem(conf).globStatus(at) or []
+        done.append(max((int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found), default=-1))
+    return min(done)
+
+
 def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The catalog as it is now: the last entry of each id wins, folders are derived, events are all kept."""
-    stored = {n: spark.read.option("basePath", f"{root}/{n}").parquet(f"{root}/{n}") for n in ("files", "folders", "events")}
+    """The catalog as of the last batch that all tables have finished, so that they agree while a later one is being written.
+
+    The last entry of each id wins, folders are derived, events are all kept.
+    """
+    last = last_batch(spark, root)
+    if last < 0:
+        raise FileNotFoundError(f"{root}: no batch is finished (finished ones have a file _SUCCESS in each of {', '.join(TABLES)})")
+    stored = {n: spark.read.option("basePath", f"{root}/{n}").parquet(f"{root}/{n}").filter(F.col("batch") <= last) for n in TABLES}
     order = F.struct("batch", "seq")
     raw = stored["files"].withColumn("order", order)
     files = ingest.upsert(raw, None, "id", "order").drop("order", "batch")

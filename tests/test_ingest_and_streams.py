@@ -4,6 +4,7 @@ import json
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from stowage import cli
@@ -64,6 +65,24 @@ def test_replayed_batch(spark, tmp_path):
     assert c["files"].count() == 3 and c["events"].count() == 3
 
 
+def test_reads_end_at_the_last_finished_batch(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    pages(tmp_path / "pages", MADE)
+    batch = listing.read_pages(spark, str(tmp_path / "pages"))
+    write = sink.write_batch(f"{tmp_path}/c", "/R")
+    write(batch, 0)
+    write(batch, 1)
+    assert sink.last_batch(spark, f"{tmp_path}/c") == 1
+    # as if batch 1 were still being written: its files are there, its events are not finished
+    (tmp_path / "c/events/batch=1/_SUCCESS").unlink()
+    c = sink.read_catalog(spark, f"{tmp_path}/c")
+    assert sink.last_batch(spark, f"{tmp_path}/c") == 0 and c["files"].count() == 3 and c["events"].count() == 3
+    for mark in (tmp_path / "c").glob("*/batch=0/_SUCCESS"):
+        mark.unlink()
+    with pytest.raises(FileNotFoundError):
+        sink.read_catalog(spark, f"{tmp_path}/c")
+
+
 def test_restate_keeps_other_shards(spark):
     f = spark.createDataFrame([(1, "a"), (2, "b")], "shard_id long, id string")
     assert rows(ingest.restate(f, spark.createDataFrame([(1,)], "shard_id long")), "id") == [("b",)]
