@@ -95,25 +95,39 @@ def counterparts(files: DataFrame, chosen: DataFrame, floor: int = 1) -> DataFra
     return credit.withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("mine").alias("folder"), "place", "bytes")
 
 
-def choose(ranked: DataFrame, limit: int = TABLE_ROWS) -> list:
+def _apart(taken: list[str]):
+    """Folders that are neither one of ``taken``, nor inside or above one."""
+    apart = F.lit(True)
+    for t in filter(None, taken):
+        above = (F.col("folder") != "") & F.lit(t).startswith(F.concat(F.col("folder"), F.lit("/")))
+        apart = apart & (F.col("folder") != t) & ~F.startswith(F.col("folder"), F.lit(t + "/")) & ~above
+    return apart & (F.col("folder") != "") if "" in taken else apart
+
+
+def choose(ranked: DataFrame, limit: int = TABLE_ROWS, at_once: int = 4) -> list:
     """Take rows (with a ``folder``) in their order, skipping folders inside or above one taken, until ``limit`` are.
 
-    The choice depends on its order, so the driver makes it; rows come one partition at a time and only until it is full.
+    The choice depends on its order, so the driver makes it, from the best ``at_once * limit`` rows; if those do not fill
+    the table, the executors drop all rows inside or above one taken and give the best of the rest.  A round takes one row at
+    least, so there are at most ``limit`` rounds, and the driver never holds more than one round's rows.
     """
     taken: list = []
     inside: set[str] = set()
     above: set[str] = set()
-    for row in ranked.toLocalIterator():
-        steps = row["folder"].split("/")
-        chain = ["/".join(steps[:n]) for n in range(2 if row["folder"].startswith("/") else 1, len(steps) + 1)]
-        if row["folder"] in above or any(c in inside for c in chain):
-            continue
-        taken.append(row)
-        inside.add(row["folder"])
-        above.update(chain)
-        if len(taken) == limit:
-            break
-    return taken
+    while True:
+        batch = ranked.filter(_apart([r["folder"] for r in taken])).limit(at_once * limit).collect()
+        for row in batch:
+            steps = row["folder"].split("/")
+            chain = ["/".join(steps[:n]) for n in range(2 if row["folder"].startswith("/") else 1, len(steps) + 1)]
+            if row["folder"] in above or any(c in inside for c in chain):
+                continue
+            taken.append(row)
+            inside.add(row["folder"])
+            above.update(chain)
+            if len(taken) == limit:
+                return taken
+        if len(batch) < at_once * limit:
+            return taken
 
 
 def is_tiny(files: str = "files", size: str = "size"):

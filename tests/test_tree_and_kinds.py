@@ -70,6 +70,23 @@ def test_choose(spark):
     assert [r["folder"] for r in G.choose(ranked, 2)] == ["/A/D", "/Z"]
 
 
+def test_choose_in_rounds(spark):
+    # a chain of nested folders hides what comes after it: each round drops it on the executors
+    paths = ["/" + "/".join("abcdefgh"[: n + 1]) for n in range(8)]
+    order = paths + [f"/x{i}/" + "/".join("pqrst"[: n + 1]) for i in range(3) for n in range(5)] + ["/", "rel", "rel/in", "relative"]
+    ranked = spark.createDataFrame(list(enumerate(order)), "r long, folder string").orderBy("r")
+
+    def by_hand(limit):
+        taken = []
+        for f in order:
+            if len(taken) < limit and not any(f == t or f.startswith(t + "/") or t.startswith(f + "/") for t in taken):
+                taken.append(f)
+        return taken
+
+    for limit in (1, 2, 3, 5, 25):
+        assert [r["folder"] for r in G.choose(ranked, limit, at_once=1)] == by_hand(limit)
+
+
 @pytest.mark.parametrize("max_rows", [6, 12, 1000])
 def test_layout_adds_up(spark, tmp_path, max_rows):
     r = random.Random(1)
