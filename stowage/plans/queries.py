@@ -17,6 +17,7 @@ from ..operators import ingest, ranges
 from ..operators import kinds as K
 from ..operators import reports as R
 from ..operators import tree as T
+from ..session import work_dir
 from ..streaming import events as E
 from .adapters import ARCHIVES_SQL, FILES_SQL, LISTED, MEMBERS_SQL, SAMPLE_ROWS_SQL, SAMPLE_RULES, archives, files, members, sample_files, sample_index, table
 
@@ -614,10 +615,23 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a streaming query gives once it has read all there is."""
-    name = f"drained_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a streaming query gives once it has read all there is, as Parquet that a replayed batch overwrites."""
+    spark = stream.sparkSession
+    root = f"{work_dir(spark)}/drained-{uuid.uuid4().hex}"
+    written: dict[str, None] = {}
+
+    def write(batch: DataFrame, n: int) -> None:
+        # a complete result replaces the one before
+        at = f"{root}/{n}"
+        if mode == "complete":
+            written.clear()
+        batch.write.mode("overwrite").parquet(at)
+        written[at] = None
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2, 3")
@@ -627,9 +641,10 @@ def events_hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(E.windowed_counts(stream.select("ts", F.col("event_type").alias("kind"))), "complete")
 
 
-@query()
+@query("""WITH c AS (SELECT CAST(user_id % 20 AS VARCHAR) AS source, epoch_us(ts) / 1e6 AS ts FROM events WHERE event_type = 'click'), m AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY source ORDER BY ts) + 30 THEN 0 ELSE 1 END AS b FROM c), n AS (SELECT *, sum(b) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT source, CAST(k AS BIGINT) AS overload, ts FROM n WHERE b = 1""")
 def rate_limit_overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks as rate-limit answers that ask for half a minute."""
+    """Clicks as rate-limit answers that ask for half a minute; all asking for as much, an overload lasts until a pause of that length."""
     e = _event_stream(spark, sf_dir).filter("event_type = 'click'")
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
     return _drained(E.overloads(e.select((F.col("user_id") % 20).cast("string").alias("source"), at.alias("ts"), F.lit(30.0).alias("retry_after"))), "append")

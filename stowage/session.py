@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,17 @@ def session(app: str = "stowage", master: str | None = None, **settings: str) ->
     for key, value in (base | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or one of its own in a session of one process.
+
+    On a cluster such a folder would be some machine's, so the call is refused there.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
+    return tempfile.mkdtemp(prefix="stowage-")

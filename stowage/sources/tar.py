@@ -14,7 +14,6 @@ import bisect
 import hashlib
 import json
 import os
-import tempfile
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.archives import segment_chain
+from ..session import work_dir
 
 BLOCK = 512
 #: Bytes read at once while looking for a header, and the least and most read for headers.
@@ -293,16 +293,6 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def _store(spark: SparkSession) -> str:
-    """A folder for one walk below ``spark.checkpoint.dir``, or of its own in a session of one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return f"{found.rstrip('/')}/tar"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("index needs a store, or spark.checkpoint.dir, that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="tar-")
-
-
 def _joined(paths: list[str], archive_id: int, found: dict[int, dict[int | None, tuple]]) -> tuple[list[tuple], dict[int, int]]:
     """The segment rows of one archive as far as the walked chains join, and {part: offset} of what has to be walked from there.
 
@@ -338,7 +328,7 @@ def index(spark: SparkSession, archives: list[dict], store: str | None = None, a
     register(spark)
     told = json.dumps(archives)
     marks = [[p, os.path.getsize(p), os.stat(p).st_mtime_ns] for a in archives for p in a["parts"]]
-    root = f"{store or _store(spark)}/{_digest([archives, marks, at_once])}"
+    root = f"{store or work_dir(spark)}/{_digest([archives, marks, at_once])}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     walked: list[str] = []
 
