@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def finite(vector: Column) -> Column:
+    """True for vectors that are not null and without null or non-finite components."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def usable(vector: Column) -> Column:
-    """True for vectors that are not null, not empty, not all zero, and without null or non-finite components."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    """True for finite vectors that are not empty and not all zero."""
+    return finite(vector) & F.coalesce((F.size(vector) > 0) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
