@@ -17,6 +17,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .bpe import byte_symbols
 from .common import materialize, parallelism
@@ -25,6 +26,7 @@ from .common import materialize, parallelism
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _READY: dict[str, tiktoken.Encoding] = {}
+_LIBRARY: dict[str, Tokenizer] = {}
 
 
 def byte_bpe(path: str) -> tiktoken.Encoding:
@@ -47,9 +49,19 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
     return _READY[path]
 
 
-def ids_of(bpe: tiktoken.Encoding, text: str | None) -> list[int]:
-    """Ids as the tokenizer file has them, special tokens' strings included."""
-    return bpe.encode(text or "", allowed_special="all")
+def ids_of(path: str, text: str | None) -> list[int]:
+    """Ids as the tokenizer file has them, special tokens' strings included.
+
+    A run of some 1,000,000 white-space characters is more than the faster library's pattern can take; such a text goes to the file's own library.
+    """
+    try:
+        return byte_bpe(path).encode(text or "", allowed_special="all")
+    except ValueError:
+        if path not in _LIBRARY:
+            _LIBRARY[path] = Tokenizer.from_file(path)
+            _LIBRARY[path].no_truncation()
+            _LIBRARY[path].no_padding()
+        return _LIBRARY[path].encode(text or "", add_special_tokens=False).ids
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,14 +71,17 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(documents: DataFrame, path: str, capacity: int = 2048, *, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Tokenize every whole text (null: empty), end it with ``end_id`` and cut it: (doc_id, piece, start, length, ids_crc32)."""
+    """Tokenize every whole text (null: empty), end it with ``end_id`` and cut it: (doc_id, piece, start, length, ids_crc32).
+
+    A text may be of any length, and hold runs of one kind of character of any length.  Rows without a key and repeated rows are cut as often as
+    they come; an empty table gives an empty result; further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, told in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*ids_of(bpe, told.as_py()), end_id], dtype="<u4")
+                ids = np.array([*ids_of(path, told.as_py()), end_id], dtype="<u4")
                 for n, (at, length) in enumerate(cut(len(ids), capacity)):
                     for column, x in zip(out, (doc, n, at, length, zlib.crc32(ids[at : at + length].tobytes()))):
                         column.append(x)
@@ -254,5 +269,9 @@ def pack(parts: DataFrame, capacity: int = 2048, *, salts: int | None = None) ->
 
 
 def pack_documents(documents: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
-    """Tokenize, cut and pack whole documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    """Tokenize, cut and pack whole documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    A null text is an empty one, whose only id is the end; a text of any length is cut and none is left out.  Repeated rows and rows without
+    a key are packed as often as they come; an empty table gives no sequences; further columns are ignored.
+    """
     return pack(pieces(documents, path, capacity), capacity)

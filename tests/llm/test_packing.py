@@ -140,3 +140,20 @@ def test_vocabulary_in_another_order_is_refused(tmp_path):
         json.dump(told, f)
     with pytest.raises(ValueError, match="order"):
         packing.byte_bpe(str(tmp_path / "other.json"))
+
+
+def test_long_runs_of_white_space(spark):
+    """Runs that the faster library's pattern can't take: the ids are the library's all the same."""
+    texts = [c * n for c in " \t\n\u00a0" for n in (999_998, 999_999, 2_000_000)]
+    texts += [f"words before{c * 1_000_003}and after" for c in (" ", "\r\n")] + ["x" * 1_500_000, None, "", "x", "x"]
+    rows = [(i, t, 7) for i, t in enumerate(texts)] + [(None, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int").repartition(4)
+    library = Tokenizer.from_file(PATH)
+    got = defaultdict(dict)
+    for g in packing.pack_documents(docs, PATH, 2048).collect():
+        got[g["doc_id"]][g["piece"]] = (g["start"], g["length"], g["ids_crc32"])
+    for i, t, _ in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want = {n: (at, k, zlib.crc32(np.array(ids[at : at + k], "<u4").tobytes())) for n, (at, k) in enumerate(packing.cut(len(ids), 2048))}
+        assert got[i] == want
+    assert packing.pack_documents(docs.limit(0), PATH, 2048).count() == 0

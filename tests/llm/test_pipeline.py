@@ -20,6 +20,8 @@ def test_stages(spark, tmp_path):
             words[3] = "changed"
         docs.append((1000 + i, " ".join(words), *rest))
     docs.append((2000, None, None, None, None))
+    spaced = next(i for i, (x, (_, q, t)) in enumerate(zip(docs, labels)) if q and not t and len(x[1].split()) > 50)
+    docs[spaced] = (docs[spaced][0], docs[spaced][1].replace(" ", "\n" * 1_000_001, 1), *docs[spaced][2:])
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -50,6 +52,7 @@ def test_stages(spark, tmp_path):
     gone = set(kept[1]) - set(kept[2])
     assert near <= gone
     assert all(any(like[min(k, o), max(k, o)] >= 0.7 for o in sets if o != k) for k in gone)
+    assert docs[spaced][0] in kept[2]
     rows = now.collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     length = {k: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for k, x in kept[2].items()}
