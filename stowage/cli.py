@@ -7,7 +7,7 @@ one with archives, parts, segments and members.  Exit codes: 0 fine, 1 differenc
 from __future__ import annotations
 
 import argparse
-import glob
+import itertools
 import os
 import sys
 import tempfile
@@ -24,10 +24,14 @@ from .operators import figures as G
 from .operators import kinds as K
 from .operators import reports as R
 from .session import session
-from .sources import listing, sinks, tar
+from .sources import blocks, listing, sinks, store, tar
 from .streaming import sink
 
 
+#: Members that a message lists.
+AMONG = 20
+
+
 def listing_files(spark: SparkSession, root: str) -> DataFrame:
     return sink.read_catalog(spark, root)["files"]
 
@@ -118,22 +122,23 @@ def cmd_archive_candidates(spark, a) -> int:
 
 def cmd_archive_index(spark, a) -> int:
     """Index the parts of one archive; 1 if the walk did not reach its end.  Cut off, it goes on where it was when called again."""
-    parts = sorted(glob.glob(a.parts))
+    parts = store.matching(a.parts)
     if not parts:
         print(f"no files match {a.parts}", file=sys.stderr)
         return 2
     old = {t: spark.read.parquet(f"{a.archives}/{t}") if os.path.isdir(f"{a.archives}/{t}") else None for t in ("archives", "parts", "segments", "members")}
     # a number that rows of a cut-off try may bear is not taken again
     archive_id = max((df.agg(F.max("id" if t == "archives" else "archive_id")).first()[0] or 0 for t, df in old.items() if df is not None), default=0) + 1
-    members, segments = (df.withColumn("archive_id", F.lit(archive_id).cast("long")) for df in tar.index(spark, [{"archive_id": 0, "parts": parts}], f"{a.archives}/_walk"))
+    members, segments = (df.withColumn("archive_id", F.lit(archive_id).cast("long")) for df in tar.index(spark, [{"archive_id": 0, "parts": [p.path for p in parts]}], f"{a.archives}/_walk"))
     ending = A.chain_ending(segments.filter("joined or state <> 'crossed'")).first()
     state = ending["state"] if ending and ending["state"] in ("complete", "truncated", "unsupported") else "corrupt"
-    sizes = [os.path.getsize(p) for p in parts]
-    rows = [(archive_id, i, os.path.basename(p), n, sum(sizes[:i])) for i, (p, n) in enumerate(zip(parts, sizes))]
-    part_df = spark.createDataFrame(rows, "archive_id long, idx int, name string, size long, offset long").join(
-        spark.read.format("binaryFile").load(parts).select(F.substring_index("path", "/", -1).alias("name"), values.block_hash(F.col("content")).alias("content_hash")) if a.hash else spark.createDataFrame([], "name string, content_hash string"), "name", "left"
-    )
-    archive = spark.createDataFrame([(archive_id, a.name, a.folder, state, sum(sizes), int(time.time()))], "id long, name string, folder string, state string, total_size long, created_at long")
+    total = sum(p.size for p in parts)
+    begins = [0, *itertools.accumulate(p.size for p in parts)]
+    rows = [(archive_id, i, p.path, os.path.basename(p.path), p.size, begins[i]) for i, p in enumerate(parts)]
+    part_df = spark.createDataFrame(rows, "archive_id long, idx int, path string, name string, size long, offset long")
+    hashes = blocks.content_hashes(spark, parts) if a.hash else spark.createDataFrame([], "path string, content_hash string")
+    part_df = part_df.join(hashes, "path", "left").drop("path")
+    archive = spark.createDataFrame([(archive_id, a.name, a.folder, state, total, int(time.time()))], "id long, name string, folder string, state string, total_size long, created_at long")
     for name, df in (("segments", segments), ("members", members), ("parts", part_df), ("archives", archive)):
         df.write.mode("append").parquet(f"{a.archives}/{name}")
     tar.forget_walks(spark, f"{a.archives}/_walk")
@@ -159,20 +164,58 @@ def cmd_archive_export(spark, a) -> int:
 
 
 def cmd_archive_cat(spark, a) -> int:
-    """Write one member's content to a file, or refuse."""
+    """Write one member's content to a file, or refuse.  Of members that share the path the one at ``--offset`` is meant; without it none is."""
     folder, _, name = a.path.rpartition("/")
-    found = spark.read.parquet(f"{a.archives}/members").filter((F.col("archive_id") == a.id) & (F.col("dir") == folder) & (F.col("name") == name)).orderBy(F.desc("hdr_offset")).first()
-    if not found:
-        print(f"{a.path} is not in archive {a.id}", file=sys.stderr)
-        return 1
-    data = tar.read_member(sorted(glob.glob(a.parts)), found["hdr_offset"], dir=folder, name=name, size=found["size"])
+    members = spark.read.parquet(f"{a.archives}/members").filter((F.col("archive_id") == a.id) & (F.col("dir") == folder) & (F.col("name") == name))
+    found = members.filter(F.col("hdr_offset") == a.offset).take(1) if a.offset is not None else members.take(2)
+    if len(found) != 1:
+        told = members.orderBy("hdr_offset").take(AMONG)
+        if not told:
+            print(f"{a.path} is not in archive {a.id}", file=sys.stderr)
+            return 1
+        print(f"{a.path} is not at {a.offset} in archive {a.id}; it is at:" if a.offset is not None else f"{a.path} is in archive {a.id} more than once; name one:", file=sys.stderr)
+        for r in told:
+            print(f"  --offset {r['hdr_offset']}  size={r['size']}  mtime={r['mtime']}", file=sys.stderr)
+        return 2
+    parts = store.matching(a.parts)
+    whole = tar.Parts([p.path for p in parts], [p.size for p in parts])
     handle, path = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(a.out)))
-    with os.fdopen(handle, "wb") as f:
-        f.write(data)
-    os.replace(path, a.out)
+    try:
+        with os.fdopen(handle, "wb") as f:
+            for chunk in tar.stream_member(whole, found[0]["hdr_offset"], dir=folder, name=name, size=found[0]["size"], tries=a.tries):
+                f.write(chunk)
+        os.replace(path, a.out)
+    except BaseException:
+        os.unlink(path)
+        raise
     return 0
 
 
+def cmd_archive_same(spark, a) -> int:
+    """Members of one name and size that seem to hold the same bytes, by windows sampled in each; 1 if any of them differ."""
+    parts = store.matching(a.parts)
+    archive = [{"archive_id": a.id, "parts": [p.path for p in parts], "sizes": [p.size for p in parts]}]
+    members = archive_tables(spark, a.archives)["members"].filter(F.col("archive_id") == a.id)
+    groups = A.same_content(blocks.signed(members, archive, a.samples, scope=a.scope), ["archive_id", "scope"]).persist()
+    show(groups.select("scope", "name", "size", "members", "contents", "redundant").orderBy(F.desc(F.col("size") * F.col("redundant")), "scope", "name"), 500)
+    show(groups.agg(F.count("*").alias("groups"), F.count_if(F.col("contents") > 1).alias("differ"), F.coalesce(F.sum(F.col("size") * F.col("redundant")), F.lit(0)).alias("redundant_bytes")))
+    differ = groups.filter("contents > 1").take(1)
+    groups.unpersist()
+    return 1 if differ else 0
+
+
+def cmd_archive_verify(spark, a) -> int:
+    """Members whose header in the parts no longer says what the index does; 1 if there are any."""
+    parts = store.matching(a.parts)
+    archive = [{"archive_id": a.id, "parts": [p.path for p in parts], "sizes": [p.size for p in parts]}]
+    members = archive_tables(spark, a.archives)["members"].filter(F.col("archive_id") == a.id)
+    wrong = tar.verify_headers(members, archive).persist()
+    show(wrong.select("hdr_offset", "dir", "name", "size").orderBy("hdr_offset"), 500)
+    found = wrong.take(1)
+    wrong.unpersist()
+    return 1 if found else 0
+
+
 def cmd_archive_import(spark, a) -> int:
     """Both catalogs as one, in a new folder."""
     merged = C.import_catalog(archive_tables(spark, a.archives), archive_tables(spark, a.other))
@@ -221,7 +264,10 @@ def parser() -> argparse.ArgumentParser:
     add("archive-status", cmd_archive_status, arch)
     add("archive-report", cmd_archive_report, arch, ident)
     add("archive-export", cmd_archive_export, arch, ident, out)
-    add("archive-cat", cmd_archive_cat, arch, ident, out, ("--parts", {"required": True}), ("path", {}))
+    where = ("--parts", {"required": True})
+    add("archive-cat", cmd_archive_cat, arch, ident, out, where, ("--offset", {"type": int}), ("--tries", {"type": int, "default": 0}), ("path", {}))
+    add("archive-same", cmd_archive_same, arch, ident, where, ("--samples", {"type": int, "default": 4}), ("--scope", {"type": int, "default": 0}))
+    add("archive-verify", cmd_archive_verify, arch, ident, where)
     add("archive-import", cmd_archive_import, arch, ("--other", {"required": True}), out)
     add("archive-forget", cmd_archive_forget, arch, ident, out)
     return p

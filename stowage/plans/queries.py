@@ -13,7 +13,8 @@ from ..functions import paths, values
 from ..operators import archives as A
 from ..operators import catalogs as C
 from ..operators import figures as G
-from ..operators import ingest, ranges
+from ..operators import blocks as B
+from ..operators import ingest, ranges, votes
 from ..operators import kinds as K
 from ..operators import reports as R
 from ..operators import tree as T
@@ -751,3 +752,46 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     facts = f.select("folder").distinct().withColumn("facts", KF.folder_facts(F.lower("folder")))
     return f.join(facts, "folder").select(KF.classify(F.col("facts"), F.lower("name")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# ---- contents by ranges of bytes
+
+BLOCK, SAMPLED = 1 << 16, 256
+
+
+@query(f"""WITH whole AS (SELECT source, string_agg(hex(encode(text)), '' ORDER BY doc_id) AS body FROM documents WHERE text IS NOT NULL GROUP BY 1),
+blocks AS (SELECT source, k, substr(body, CAST(k * {2 * BLOCK} + 1 AS BIGINT), {2 * BLOCK}) AS piece FROM whole, unnest(range(0, (length(body) + {2 * BLOCK} - 1) // {2 * BLOCK})) AS t(k)),
+digests AS (SELECT source, k, length(piece) // 2 AS n, sha256(unhex(piece)) AS digest FROM blocks)
+SELECT source, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS bytes, sha256(unhex(string_agg(digest, '' ORDER BY k))) AS content_hash FROM digests GROUP BY 1""")
+def block_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each source, end to end, as one file: the digest of the digests of its blocks of 64 KiB."""
+    chunks = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").cast("binary").alias("content"))
+    told = B.block_digests(chunks, ["source"], "doc_id", block=BLOCK)
+    counted = told.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("length").alias("bytes"))
+    return counted.join(B.digest_of_digests(told, ["source"]), "source")
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, hex(encode(text)) AS body, length(hex(encode(text))) // 2 AS size FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, lang, size, k, CASE WHEN size <= {SAMPLED} THEN body ELSE substr(body, CAST(2 * ((size - {SAMPLED}) * k // 3 // 8 * 8) + 1 AS BIGINT), {2 * SAMPLED}) END AS piece FROM d, unnest(range(0, 4)) AS t(k) WHERE size > {SAMPLED} OR k = 0),
+s AS (SELECT doc_id, lang, size, sha256(string_agg(sha256(unhex(piece)), ',' ORDER BY k)) AS signature FROM w GROUP BY 1, 2, 3),
+c AS (SELECT lang, size, signature, count(*) AS n FROM s GROUP BY 1, 2, 3)
+SELECT lang, size, CAST(sum(n) AS BIGINT) AS members, count(*) AS contents, CAST(sum(n - 1) AS BIGINT) AS redundant FROM c GROUP BY 1, 2 HAVING sum(n) > 1""")
+def sampled_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of one language and size that seem equal, by four windows of 256 bytes in each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("name"), F.col("text").cast("binary").alias("content")).filter("content is not null")
+    told = B.signatures(B.window_digests(d, ["doc_id"], samples=4, width=SAMPLED), ["doc_id"])
+    rows = d.select("doc_id", "name", F.octet_length("content").cast("long").alias("size")).join(told, "doc_id")
+    return A.same_content(rows, []).select(F.col("name").alias("lang"), "size", "members", "contents", "redundant")
+
+
+@query("""WITH r AS (SELECT user_id, event_type AS digest, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
+f AS (SELECT * FROM r WHERE t <= 7), counts AS (SELECT a.user_id, a.t, b.digest, count(*) AS n FROM f a JOIN f b ON a.user_id = b.user_id AND b.t <= a.t GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY n DESC, digest) AS k FROM counts),
+lead_ AS (SELECT a.user_id, a.t, a.digest, a.n - coalesce(b.n, 0) AS ahead FROM ranked a LEFT JOIN ranked b ON a.user_id = b.user_id AND a.t = b.t AND b.k = 2 WHERE a.k = 1),
+won AS (SELECT user_id, min(t) AS t, arg_min(digest, t) AS digest FROM lead_ WHERE ahead >= 2 GROUP BY 1)
+SELECT f.user_id, max(won.digest) AS digest, CAST(coalesce(max(won.t), count(*)) AS INTEGER) AS attempts, CAST(count(DISTINCT f.digest) FILTER (won.t IS NULL OR f.t <= won.t) AS INTEGER) AS versions
+FROM f LEFT JOIN won ON won.user_id = f.user_id GROUP BY 1""")
+def confirmed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as reads of one range: the kind that first leads every other by two votes, within seven reads."""
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("attempt"), F.col("event_type").alias("digest"))
+    return votes.settled(e, ["user_id"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from . import store
+
 ENTRY = "shard_id long, seq long, tag string, id string, name string, path string, size long, rev string, content_hash string, client_modified string, server_modified string, downloadable boolean, modified_by string"
 PAGE = "entries array<struct<`.tag`:string,tag:string,id:string,name:string,path_display:string,size:long,rev:string,content_hash:string,client_modified:string,server_modified:string,is_downloadable:boolean,sharing_info:struct<modified_by:string>>>, cursor string, has_more boolean"
 
@@ -96,7 +97,7 @@ class PageStream(DataSourceStreamReader):
         return {"page": 0}
 
     def latestOffset(self) -> dict:
-        while os.path.exists(f"{self.folder}/{self.next:08d}.json"):
+        while store.exists(f"{self.folder}/{self.next:08d}.json"):
             self.next += 1
         return {"page": self.next}
 
@@ -104,8 +105,7 @@ class PageStream(DataSourceStreamReader):
         return [Page(n) for n in range(start["page"], end["page"])]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        with open(f"{self.folder}/{partition.number:08d}.json", encoding="utf-8") as f:
-            entries = json.load(f)["entries"]
+        entries = json.loads(store.read(f"{self.folder}/{partition.number:08d}.json"))["entries"]
         for k, e in enumerate(entries):
             by = (e.get("sharing_info") or {}).get("modified_by")
             yield (self.shard, partition.number * 1_000_000 + k, e.get(".tag") or e.get("tag"), e.get("id"), e.get("name"), e.get("path_display"), e.get("size"), e.get("rev"), e.get("content_hash"), e.get("client_modified"), e.get("server_modified"), e.get("is_downloadable"), by)

@@ -1,7 +1,7 @@
 """Tar members as a Spark data source that reads headers only.
 
 ``spark.read.format("tar_members").option("parts", json)`` takes archives as a JSON list of
-``{"archive_id": 1, "parts": [path, ...]}``, parts in order.  Every part is one partition: its task looks for the first header
+``{"archive_id": 1, "parts": [path or URI, ...]}``, parts in order, and ``"sizes"`` if they are known.  Every part is one partition: its task looks for the first header
 in its part (the first part's begins at 0) and follows the chain of headers to the part's end, across the border if a member's data
 cross it.  ``format("tar_segments")`` runs the same walk and returns a row for each part: where its chain began, where it left
 off and how it ended; ``operators.archives.segment_chain`` then says how far the chain is proven.  ``format("tar_walk")``, which
@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import json
-import os
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
@@ -23,10 +23,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.archives import segment_chain
 from ..session import work_dir
+from . import confirm
+from . import store as files
 
 BLOCK = 512
 #: Bytes read at once while looking for a header, and the least and most read for headers.
 SCAN, WINDOW = 1 << 20, (1 << 16, 1 << 22)
+#: Bytes of a member that are held at once.
+CHUNK = 4 << 20
 
 MEMBERS = "archive_id long, segment int, hdr_offset long, data_offset long, size long, type string, mode long, mtime long, uname string, gname string, dir string, name string, linkname string"
 SEGMENTS = "archive_id long, idx int, scan_from long, stop_at long, first_header long, exit_offset long, state string, members long, detail string"
@@ -43,11 +47,12 @@ class Unsupported(Exception):
 class Parts:
     """Files end to end as one range of bytes; a window around the last read is kept, and doubles while reads go on from it."""
 
-    def __init__(self, paths: list[str]):
+    def __init__(self, paths: list[str], sizes: list[int] | None = None):
         self.paths = paths
-        self.sizes = [os.path.getsize(p) for p in paths]
-        self.begins = [sum(self.sizes[:i]) for i in range(len(paths))]
+        self.sizes = [f.size for f in files.files_at(paths)] if sizes is None else sizes
+        self.begins = [0, *itertools.accumulate(self.sizes)][: len(paths)]
         self.total = sum(self.sizes)
+        self.reader = files.Reader()
         self._at, self._held, self._next = 0, b"", WINDOW[0]
 
     def locate(self, offset: int) -> int:
@@ -64,15 +69,14 @@ class Parts:
             yield i, offset - self.begins[i], n
             offset += n
 
+    def forget(self) -> None:
+        """What is read next is read anew."""
+        self._at, self._held = 0, b""
+
     def fetch(self, offset: int, length: int) -> bytes:
         out = []
         for i, at, n in self.slices(offset, length):
-            with open(self.paths[i], "rb") as f:
-                f.seek(at)
-                got = f.read(n)
-            if len(got) != n:
-                raise OSError(f"{self.paths[i]}: {len(got)} of {n} bytes at {at}")
-            out.append(got)
+            out.append(self.reader.fetch(self.paths[i], at, n))
         return b"".join(out)
 
     def read(self, offset: int, length: int) -> bytes:
@@ -181,8 +185,8 @@ def follow(parts: Parts, begin: int, stop: int | None, archive_id: int, segment:
 
 
 class SegmentPartition(InputPartition):
-    def __init__(self, archive_id: int, paths: list[str], segment: int):
-        self.archive_id, self.paths, self.segment = archive_id, paths, segment
+    def __init__(self, archive_id: int, paths: list[str], segment: int, sizes: list[int] | None = None):
+        self.archive_id, self.paths, self.segment, self.sizes = archive_id, paths, segment, sizes
 
 
 def scan(p: SegmentPartition, start: int | None = None, every: bool = False) -> Iterator[tuple[tuple | None, tuple | None]]:
@@ -191,7 +195,7 @@ def scan(p: SegmentPartition, start: int | None = None, every: bool = False) ->
     ``start``: where the chain is known to enter the part.  ``every``: after a chain that ends inside the part (a tar within a
     member's data does), the next header begins another one.
     """
-    parts = Parts(p.paths)
+    parts = Parts(p.paths, p.sizes)
     stop = parts.begins[p.segment + 1] if p.segment + 1 < len(p.paths) else None
     known = start is not None or p.segment == 0
     head = start if start is not None else 0 if p.segment == 0 else first_header(parts, parts.begins[p.segment], stop)
@@ -218,7 +222,8 @@ class TarReader(DataSourceReader):
         self.only = {(a, i): at for a, i, at in json.loads(options["only"])} if "only" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        found = [(os.path.getsize(path), SegmentPartition(a["archive_id"], a["parts"], i)) for a in self.archives for i, path in enumerate(a["parts"])]
+        sized = [(a, a.get("sizes") or [f.size for f in files.files_at(a["parts"])]) for a in self.archives]
+        found = [(n, SegmentPartition(a["archive_id"], a["parts"], i, sizes)) for a, sizes in sized for i, n in enumerate(sizes)]
         wanted = [(n, p) for n, p in found if self.only is None or (p.archive_id, p.segment) in self.only]
         return [p for _, p in sorted(wanted, key=lambda x: -x[0])]  # the largest start first
 
@@ -231,7 +236,7 @@ class TarReader(DataSourceReader):
                     yield member
             elif self.kind == "segments":
                 if end:
-                    yield segment_row(*key, partition.paths, *end)
+                    yield segment_row(*key, Parts(partition.paths, partition.sizes), *end)
             elif member:
                 chain = member[2] if chain is None else chain
                 yield (*member, chain, None, None, None, None)
@@ -240,9 +245,8 @@ class TarReader(DataSourceReader):
                 chain = None
 
 
-def segment_row(archive_id: int, idx: int, paths: list[str], head: int | None, state: str, exit_offset: int | None, members: int, detail: str) -> tuple:
-    parts = Parts(paths)
-    stop = parts.begins[idx + 1] if idx + 1 < len(paths) else None
+def segment_row(archive_id: int, idx: int, parts: Parts, head: int | None, state: str, exit_offset: int | None, members: int, detail: str) -> tuple:
+    stop = parts.begins[idx + 1] if idx + 1 < len(parts.paths) else None
     return archive_id, idx, parts.begins[idx], stop, head, exit_offset, state, members, detail
 
 
@@ -293,17 +297,17 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def _joined(paths: list[str], archive_id: int, found: dict[int, dict[int | None, tuple]]) -> tuple[list[tuple], dict[int, int]]:
+def _joined(parts: Parts, archive_id: int, found: dict[int, dict[int | None, tuple]]) -> tuple[list[tuple], dict[int, int]]:
     """The segment rows of one archive as far as the walked chains join, and {part: offset} of what has to be walked from there.
 
     A part without a chain at that offset is taken to leave off where its last chain does, so that the wrong parts behind it
     are found in the same round.
     """
-    begins, rows, wrong, want = Parts(paths).begins, [], {}, 0
-    for i in range(len(paths)):
+    begins, rows, wrong, want = parts.begins, [], {}, 0
+    for i in range(len(begins)):
         chains = found[i]
         first = next(iter(chains))
-        if want is not None and i + 1 < len(paths) and want >= begins[i + 1]:  # all of it is a member's data
+        if want is not None and i + 1 < len(begins) and want >= begins[i + 1]:  # all of it is a member's data
             end = (want, "crossed", want, 0, "")
         elif want is None or want in chains:
             end = (first if want is None else want, *chains[first if want is None else want])
@@ -311,7 +315,7 @@ def _joined(paths: list[str], archive_id: int, found: dict[int, dict[int | None,
             wrong[i] = want
             last = list(chains)[-1]
             end = (last, *chains[last])
-        rows.append(segment_row(archive_id, i, paths, *end))
+        rows.append(segment_row(archive_id, i, parts, *end))
         want = end[2] if want is not None and end[1] == "crossed" else None
     return rows, wrong
 
@@ -326,8 +330,9 @@ def index(spark: SparkSession, archives: list[dict], store: str | None = None, a
     holds the chains' ends, not the members.
     """
     register(spark)
-    told = json.dumps(archives)
-    marks = [[p, os.path.getsize(p), os.stat(p).st_mtime_ns] for a in archives for p in a["parts"]]
+    of = {a["archive_id"]: files.files_at(a["parts"]) for a in archives}
+    told = json.dumps([a | {"sizes": [f.size for f in of[a["archive_id"]]]} for a in archives])
+    marks = [[f.path, f.size, f.mtime_ns] for own in of.values() for f in own]
     root = f"{store or work_dir(spark)}/{_digest([archives, marks, at_once])}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     walked: list[str] = []
@@ -350,7 +355,7 @@ def index(spark: SparkSession, archives: list[dict], store: str | None = None, a
         ends = walk(todo).filter("state is not null").select("archive_id", "segment", "hdr_offset", "chain", "state", "exit_offset", "members", "detail").collect()
         for r in sorted(ends, key=lambda r: (r["chain"] is None, r["chain"])):
             found[r["archive_id"]][r["segment"]][r["chain"]] = (r["state"], r["exit_offset"], r["members"], r["detail"])
-        joined = {a["archive_id"]: _joined(a["parts"], a["archive_id"], found[a["archive_id"]]) for a in archives}
+        joined = {k: _joined(Parts([f.path for f in own], [f.size for f in own]), k, found[k]) for k, own in of.items()}
         todo = [[k, i, at] for k, (_, wrong) in joined.items() for i, at in wrong.items()]
     segments = segment_chain(spark.createDataFrame([r for rows, _ in joined.values() for r in rows] if archives else [], SEGMENTS))
     proven = segments.filter("joined and state <> 'unsupported'").select("archive_id", F.col("idx").alias("segment"), F.col("first_header").alias("chain"))
@@ -369,21 +374,40 @@ def _digest(told) -> str:
     return hashlib.sha256(json.dumps(told).encode()).hexdigest()[:24]
 
 
-def read_member(paths: list[str], hdr_offset: int, *, dir: str, name: str, size: int) -> bytes:
-    """Content of one member, refused if the header there is not the one that was indexed."""
-    parts = Parts(paths)
-    found = list(follow(parts, hdr_offset, hdr_offset + 1, 0, 0))
-    if not found or (found[0][10], found[0][11], found[0][4]) != (dir, name, size):
-        raise ValueError(f"another member than {dir}/{name} is at {hdr_offset}")
-    data = parts.fetch(found[0][3], size)
-    if len(data) != size:
+def stream_member(parts: Parts, hdr_offset: int, *, dir: str, name: str, size: int, chunk: int = CHUNK, tries: int = 0) -> Iterator[bytes]:
+    """Content of one member, ``chunk`` bytes at a time.
+
+    Refused if the header there is not the one that was indexed, before the first byte is given; or afterwards, if it no longer is, or
+    if what follows the padded data is neither a header, nor the empty blocks of the end, nor the end itself.  With ``tries`` each
+    chunk is confirmed by further reads (see ``confirm.chunks``), that many at most.
+    """
+
+    def indexed() -> int:
+        parts.forget()
+        found = list(follow(parts, hdr_offset, hdr_offset + 1, 0, 0))
+        if not found or (found[0][10], found[0][11], found[0][4]) != (dir, name, size):
+            raise ValueError(f"another member than {dir}/{name} is at {hdr_offset}")
+        return found[0][3]
+
+    data = indexed()
+    if data + size > parts.total:
         raise ValueError(f"{name} is cut off")
-    return data
+    yield from confirm.chunks(parts.fetch, data, size, chunk, tries)
+    if indexed() != data:
+        raise ValueError(f"{name} has moved")
+    after = parts.fetch(data + -(-size // BLOCK) * BLOCK, BLOCK)
+    if after and any(after) and not valid(after):
+        raise ValueError(f"{name} is followed by no header")
+
+
+def read_member(paths: list[str], hdr_offset: int, *, dir: str, name: str, size: int) -> bytes:
+    """Content of one small member, refused if its surroundings are not those that were indexed."""
+    return b"".join(stream_member(Parts(paths), hdr_offset, dir=dir, name=name, size=size))
 
 
 def verify_headers(members, archives: list[dict]):
     """Members (DataFrame) whose header no longer says what the index does, read on the executors part by part."""
-    of = {a["archive_id"]: a["parts"] for a in archives}
+    of = {a["archive_id"]: (a["parts"], a.get("sizes")) for a in archives}
     columns = MEMBERS.replace(",", "").split()[::2]
 
     def check(batches):
@@ -392,7 +416,7 @@ def verify_headers(members, archives: list[dict]):
         for pdf in batches:
             wrong = []
             for archive_id, rows in pdf.groupby("archive_id"):
-                parts = Parts(of[archive_id])
+                parts = Parts(*of[archive_id])
                 for i, row in rows.iterrows():
                     found: list[tuple] = []
                     try:
