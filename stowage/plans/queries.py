@@ -784,14 +784,15 @@ def sampled_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.same_content(rows, []).select(F.col("name").alias("lang"), "size", "members", "contents", "redundant")
 
 
-@query("""WITH r AS (SELECT user_id, event_type AS digest, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
-f AS (SELECT * FROM r WHERE t <= 7), counts AS (SELECT a.user_id, a.t, b.digest, count(*) AS n FROM f a JOIN f b ON a.user_id = b.user_id AND b.t <= a.t GROUP BY 1, 2, 3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY n DESC, digest) AS k FROM counts),
-lead_ AS (SELECT a.user_id, a.t, a.digest, a.n - coalesce(b.n, 0) AS ahead FROM ranked a LEFT JOIN ranked b ON a.user_id = b.user_id AND a.t = b.t AND b.k = 2 WHERE a.k = 1),
-won AS (SELECT user_id, min(t) AS t, arg_min(digest, t) AS digest FROM lead_ WHERE ahead >= 2 GROUP BY 1)
-SELECT f.user_id, max(won.digest) AS digest, CAST(coalesce(max(won.t), count(*)) AS INTEGER) AS attempts, CAST(count(DISTINCT f.digest) FILTER (won.t IS NULL OR f.t <= won.t) AS INTEGER) AS versions
-FROM f LEFT JOIN won ON won.user_id = f.user_id GROUP BY 1""")
+@query("""WITH r AS (SELECT conv_id, CAST(length(text) % 3 AS VARCHAR) AS digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS t FROM conversations),
+f AS (SELECT * FROM r WHERE t <= 7), counts AS (SELECT a.conv_id, a.t, b.digest, count(*) AS n FROM f a JOIN f b ON a.conv_id = b.conv_id AND b.t <= a.t GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY n DESC, digest) AS k FROM counts),
+lead_ AS (SELECT a.conv_id, a.t, a.digest, a.n - coalesce(b.n, 0) AS ahead FROM ranked a LEFT JOIN ranked b ON a.conv_id = b.conv_id AND a.t = b.t AND b.k = 2 WHERE a.k = 1),
+won AS (SELECT conv_id, min(t) AS t, arg_min(digest, t) AS digest FROM lead_ WHERE ahead >= 2 GROUP BY 1)
+SELECT f.conv_id, max(won.digest) AS digest, CAST(coalesce(max(won.t), count(*)) AS INTEGER) AS attempts, CAST(count(DISTINCT f.digest) FILTER (won.t IS NULL OR f.t <= won.t) AS INTEGER) AS versions
+FROM f LEFT JOIN won ON won.conv_id = f.conv_id GROUP BY 1""")
 def confirmed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as reads of one range: the kind that first leads every other by two votes, within seven reads."""
-    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("attempt"), F.col("event_type").alias("digest"))
-    return votes.settled(e, ["user_id"])
+    """A conversation's turns as reads of one range: the length modulo 3 that first leads every other by two votes, within seven reads."""
+    c = table(spark, sf_dir, "conversations")
+    reads = c.select("conv_id", F.struct("turn", "role", "text").alias("attempt"), (F.length("text") % 3).cast("string").alias("digest"))
+    return votes.settled(reads, ["conv_id"])
