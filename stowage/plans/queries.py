@@ -20,6 +20,7 @@ from ..operators import reports as R
 from ..operators import tree as T
 from ..session import work_dir
 from ..streaming import events as E
+from ..streaming import shards as S
 from .adapters import ARCHIVES_SQL, FILES_SQL, LISTED, MEMBERS_SQL, SAMPLE_ROWS_SQL, SAMPLE_RULES, archives, files, members, sample_files, sample_index, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -796,3 +797,59 @@ def confirmed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     reads = c.select("conv_id", F.struct("turn", "role", "text").alias("attempt"), (F.length("text") % 3).cast("string").alias("digest"))
     return votes.settled(reads, ["conv_id"])
+
+
+# ---- a running listing's state
+
+
+def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream.  A path with a pattern may name one file or a folder of them, a plain one a folder only."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _turns(rows: DataFrame) -> DataFrame:
+    """Turns of conversations as answers that a lister got for a shard; the text's length says which."""
+    k = F.length("text") % 12
+    status = F.when(k < 5, 200).when(k == 5, 429).when(k == 6, 409).when(k < 10, 503).when(k == 10, 401).otherwise(200)
+    return rows.select(F.col("conv_id").cast("string").alias("shard"), F.col("turn").cast("long").alias("seq"), status.alias("status"), F.when(k == 6, "reset").alias("body"), F.lit("3").alias("retry_after"), (k < 11).alias("has_more"), F.lit(0).cast("timestamp").alias("ts"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT conv_id, turn, length(text) % 12 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text IS NOT NULL),
+run AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS turn, '' AS event, 'recursive' AS mode, false AS cursor_, 0 AS attempts, 0 AS generation, 'open' AS state FROM a
+  UNION ALL
+  SELECT conv_id, n, turn, event, CASE WHEN event = 'split_after_failure' THEN 'split' ELSE mode END,
+    CASE WHEN event IN ('page', 'last page') THEN event = 'page' WHEN event IN ('cursor_reset', 'split_after_failure') THEN false ELSE cursor_ END,
+    CASE WHEN event IN ('page', 'last page', 'split_after_failure') THEN 0 WHEN event IN ('transient', 'auth_expired', 'failed') THEN attempts + 1 ELSE attempts END,
+    CASE WHEN event IN ('cursor_reset', 'split_after_failure') THEN generation + 1 ELSE generation END,
+    CASE WHEN event = 'failed' THEN 'error' WHEN event IN ('last page', 'ignored') THEN 'done' ELSE 'open' END
+  FROM (SELECT *, CASE WHEN done THEN 'ignored' WHEN k < 5 THEN 'page' WHEN k = 11 THEN 'last page' WHEN k = 5 THEN 'rate_limited' WHEN k = 6 THEN 'cursor_reset'
+      WHEN k < 10 AND mode = 'recursive' AND attempts + 1 >= CASE WHEN cursor_ THEN 3 ELSE 2 END THEN 'split_after_failure' WHEN attempts + 1 >= 3 THEN 'failed' WHEN k < 10 THEN 'transient' ELSE 'auth_expired' END AS event
+    FROM (SELECT r.conv_id, a.n, a.turn, a.k, r.mode, r.state = 'done' AS done, r.cursor_ AND r.state <> 'error' AS cursor_, CASE WHEN r.state = 'error' THEN 0 ELSE r.attempts END AS attempts, r.generation + CASE WHEN r.state = 'error' THEN 1 ELSE 0 END AS generation
+      FROM run r JOIN a ON a.conv_id = r.conv_id AND a.n = r.n + 1) x) y)
+SELECT CAST(conv_id AS VARCHAR) AS shard, CAST(turn AS BIGINT) AS seq, event, mode, generation, attempts FROM run WHERE n > 0 AND event <> 'ignored'""")
+def shard_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A streaming query that follows each shard through its answers: tried again, restated, split, failed, done."""
+    with S.with_rocksdb(spark):
+        stream = _turns(_table_stream(spark, sf_dir, "conversations").filter("text is not null"))
+        return _drained(S.follow(stream), "append").drop("wait")
+
+
+@query("""WITH l AS (SELECT source, doc_id, length(text) % 9 = 0 AS had FROM documents WHERE text IS NOT NULL),
+c AS (SELECT source, doc_id, count(*) OVER w AS listed, count(*) FILTER (had) OVER w AS with_folders FROM l WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, listed >= 20 AND with_folders <= 0.1 * listed AS leafy FROM c), g AS (SELECT *, coalesce(lag(leafy) OVER (PARTITION BY source ORDER BY doc_id), false) AS was FROM f)
+SELECT '/' || source AS parent, doc_id AS seq, CASE WHEN leafy THEN 'one_level_on' ELSE 'one_level_off' END AS event, listed, with_folders FROM g WHERE leafy <> was""")
+def sibling_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A streaming query over documents as folders of their source: when the rest begin or cease to be listed one level at a time."""
+    d = _table_stream(spark, sf_dir, "documents").filter("text is not null")
+    listed = d.select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("seq"), (F.length("text") % 9 == 0).alias("had_folders"), F.lit(True).alias("from_start"))
+    with S.with_rocksdb(spark):
+        return _drained(S.learn(listed), "append")
+
+
+@query("SELECT conv_id AS shard_id, CAST(turn AS BIGINT) AS seq, role, length(text) AS size FROM conversations")
+def fresh_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A streaming query that reads all turns twice, as a lister that stores its pages again, and lets each through once."""
+    turns = lambda: _table_stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("shard_id"), F.col("turn").cast("long").alias("seq"), "role", F.length("text").cast("long").alias("size"))
+    with S.with_rocksdb(spark):
+        return _drained(S.fresh(turns().unionByName(turns())), "append")

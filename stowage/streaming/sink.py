@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import ingest
+from . import shards
 
 
 def write_batch(root: str, shard_path: str = ""):
@@ -23,8 +24,12 @@ def write_batch(root: str, shard_path: str = ""):
     return write
 
 
-def ingest_stream(entries: DataFrame, root: str, checkpoint: str, shard_path: str = "", once: bool = True) -> StreamingQuery:
-    """Start the ingestion of a stream of entries; ``once``: of all that is there, then stop.  Restarting with the same checkpoint resumes."""
+def ingest_stream(entries: DataFrame, root: str, checkpoint: str, shard_path: str = "", once: bool = True, fresh: bool = False) -> StreamingQuery:
+    """Start the ingestion of a stream of entries; ``once``: of all that is there, then stop.  Restarting with the same checkpoint resumes.
+
+    ``fresh``: pages that come again in a later batch are dropped by state (to be started within ``shards.with_rocksdb``).
+    """
+    entries = shards.fresh(entries) if fresh else entries
     writer = entries.writeStream.foreachBatch(write_batch(root, shard_path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
