@@ -69,17 +69,17 @@ def candidate_sets(files: DataFrame) -> DataFrame:
         .when(F.col("first") > F.when(F.col("lowest").rlike(r"^\d"), 1).otherwise(0), "its first part is missing")
         .when(F.col("last") - F.col("first") + 1 != numbers, "a part is missing")
     )
-    judged = sets.withColumn("reason", reason).withColumn("set_hash", F.when(F.col("reason").isNull(), values.set_hash(F.col("entries"))).otherwise(""))
-    # refused sets have no identity: each is a group of its own
-    alone = F.when(F.col("reason").isNull(), "").otherwise(F.concat("folder", F.lit("/"), "base"))
-    order = Window.partitionBy("set_hash", alone).orderBy(F.desc("size"), "folder", "base")
-    first = F.first(F.concat("folder", F.lit("/"), "base")).over(order)
-    nth = F.row_number().over(order)
+    # kept as a table would be: the first of each identity is found by a minimum, so copies of one set need no task of their own
+    judged = sets.withColumn("reason", reason).withColumn("set_hash", F.when(F.col("reason").isNull(), values.set_hash(F.col("entries"))).otherwise("")).drop("entries")
     fine = F.col("reason").isNull()
-    return judged.withColumns({"nth": nth, "lead": first}).select(
+    path = F.concat("folder", F.lit("/"), "base")
+    first = judged.filter(fine).groupBy("set_hash").agg(F.min(F.struct((-F.col("size")).alias("s"), "folder", "base")).alias("first"))
+    first = first.select("set_hash", F.concat("first.folder", F.lit("/"), "first.base").alias("lead"))
+    copy = fine & (F.col("lead") != path)
+    return judged.join(first, "set_hash", "left").select(
         "folder", F.col("base").alias("name"), "size", "n_parts", "set_hash",
-        F.when(~fine, "refused").when(F.col("nth") > 1, "copy").otherwise("ok").alias("status"),
-        F.when(~fine, F.col("reason")).when(F.col("nth") > 1, F.concat(F.lit("copy of "), "lead")).otherwise("").alias("detail"),
+        F.when(~fine, "refused").when(copy, "copy").otherwise("ok").alias("status"),
+        F.when(~fine, F.col("reason")).when(copy, F.concat(F.lit("copy of "), "lead")).otherwise("").alias("detail"),
     )
 
 
@@ -203,30 +203,44 @@ def latest_event(events: DataFrame, kind: str, keys: list[str]) -> DataFrame:
 
 
 def changed_parts(parts: DataFrame, listing: DataFrame) -> DataFrame:
-    """Registered parts against what lies there now, matched by id or else by name: (archive_id, idx, change).
+    """Registered parts against what lies there now, matched by id or else by name: (archive_id, idx, change), one row for each part.
 
-    change: missing, resized or rewritten; unchanged parts are left out.
+    change: missing, resized or rewritten; unchanged parts are left out.  If both tables have a ``folder``, names are those of one folder.
+    Where a name is listed more than once, a part that any of these equals is unchanged; else the one of the smallest size (then hash) is what it changed to.
     """
-    by_id = listing.filter("id is not null and id <> ''").select(F.col("id").alias("file_id"), F.struct("size", "content_hash").alias("of_id"))
-    by_name = listing.select(F.col("name"), F.struct("size", "content_hash").alias("of_name"))
+    name = ["folder", "name"] if "folder" in parts.columns and "folder" in listing.columns else ["name"]
+    state = F.struct("size", F.col("content_hash").alias("hash"))
+    by_id = listing.filter("id is not null and id <> ''").groupBy(F.col("id").alias("file_id")).agg(F.min(state).alias("of_id"))
+    by_name = listing.groupBy(*name).agg(F.min(state).alias("of_name"))
+    equal = listing.select(*name, "size", F.coalesce("content_hash", F.lit("")).alias("_hash")).distinct().withColumn("_equal", F.lit(True))
+    rows = parts.withColumn("_hash", F.coalesce("content_hash", F.lit(""))).join(by_id, "file_id", "left").join(by_name, name, "left").join(equal, [*name, "size", "_hash"], "left")
     found = F.coalesce("of_id", "of_name")
     change = (
-        F.when(found.isNull(), "missing").when(found["size"] != F.col("size"), "resized")
-        .when(~found["content_hash"].eqNullSafe(F.col("content_hash")), "rewritten")
+        F.when(found.isNull(), "missing").when(F.col("of_id").isNull() & F.col("_equal"), None).when(found["size"] != F.col("size"), "resized")
+        .when(~found["hash"].eqNullSafe(F.col("content_hash")), "rewritten")
     )
-    return parts.join(by_id, "file_id", "left").join(by_name, "name", "left").select("archive_id", "idx", change.alias("change")).filter("change is not null")
+    return rows.select("archive_id", "idx", change.alias("change")).filter("change is not null")
 
 
 def run_plan(candidates: DataFrame, archives: DataFrame, segments: DataFrame) -> DataFrame:
-    """Candidates with what is to be done: new, resume, done, copy or refused; largest first, each with its segments and copies."""
+    """Candidates with what is to be done: new, resume, done, copy or refused; largest first, each with its segments and the number of its copies.
+
+    The copies themselves are the rows of status copy with the same set_hash (see :func:`copies_of`).
+    """
     counted = segments.groupBy(F.col("archive_id").alias("id")).agg(F.count("*").alias("segments"))
     known = latest_live(archives, ["set_hash"]).join(counted, "id", "left").select("set_hash", "state", F.coalesce("segments", F.lit(0)).alias("segments"))
-    copies = candidates.filter("status = 'copy'").groupBy("set_hash").agg(F.sort_array(F.collect_list(F.concat("folder", F.lit("/"), "name"))).alias("copies"))
-    own = candidates.join(known, "set_hash", "left").join(copies, "set_hash", "left")
+    copies = candidates.filter("status = 'copy'").groupBy("set_hash").agg(F.count("*").alias("copies"))
+    own = candidates.join(known, "set_hash", "left").join(copies, "set_hash", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     job = F.when(F.col("status") != "ok", F.col("status")).when(F.col("state").isin("complete", "truncated", "corrupt", "unsupported"), "done").when(F.col("state").isNotNull(), "resume").otherwise("new")
     return own.withColumn("job", job).orderBy(F.desc("size"), "folder", "name")
 
 
+def copies_of(candidates: DataFrame) -> DataFrame:
+    """(folder, name, copy): every copy beside the set of its identity that stays, one row for each."""
+    first = candidates.filter("status = 'ok'").select("set_hash", "folder", "name")
+    return candidates.filter("status = 'copy'").select("set_hash", F.concat("folder", F.lit("/"), "name").alias("copy")).join(first, "set_hash").select("folder", "name", "copy")
+
+
 def plan_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("job").agg(F.count("*").alias("jobs"), F.sum("size").alias("bytes"))
 

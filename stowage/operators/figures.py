@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
@@ -43,17 +43,26 @@ def with_copies(files: DataFrame, least: int = 1) -> DataFrame:
     return joined.withColumn("copies", F.when(F.col("size") >= least, F.coalesce("copies", F.lit(1))).otherwise(F.lit(1)))
 
 
+def common_folder(low: Column, high: Column) -> Column:
+    """Deepest folder that is, or is above, both of two paths that each end in "/"; null if there is none."""
+    both = F.filter(paths.ancestors(low), lambda a: (a != "") & F.startswith(high, F.concat(a, F.lit("/"))))
+    return F.when(low == high, F.regexp_replace(low, "/$", "")).otherwise(F.try_element_at(both, F.lit(-1)))
+
+
 def held_elsewhere(files: DataFrame, least: int = 1) -> DataFrame:
     """Per folder: bytes of the copies in it whose content also exists outside it.
 
-    A folder holds a content's bytes elsewhere if fewer copies are below it than there are.  Copies are counted per
-    (content, folder) before they are spread to the ancestors, and nothing is compared pairwise.
+    A content lies in a folder with all its copies from their deepest common folder upwards, and nowhere below.  So a folder
+    holds elsewhere what lies in it, less the whole of each content whose common folder is in it.  The first and the last path of a content
+    (with a "/" at the end, so that what stands between two paths of a folder is in that folder) have the common folder of all, so a content is
+    one row, and only sums of folders are spread to the ancestors.
     """
-    sized = files.filter(F.col("content_hash").isNotNull() & (F.col("size") >= least))
-    own = sized.groupBy("content_hash", "folder").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    whole = own.groupBy("content_hash").agg(F.sum("n").alias("copies")).filter("copies > 1")
-    up = spread_up(own.join(whole, "content_hash"), "folder", "at").groupBy("content_hash", "at").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("copies").alias("copies"))
-    return up.filter("n < copies").groupBy(F.col("at").alias("folder")).agg(F.sum("bytes").alias("held"))
+    sized = files.filter(F.col("content_hash").isNotNull() & (F.col("size") >= least)).select("content_hash", "folder", "size")
+    end = F.concat("folder", F.lit("/"))
+    whole = sized.groupBy("content_hash").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.sum("size").alias("held"), F.count("*").alias("n"))
+    credit = sized.groupBy("folder").agg(F.sum("size").alias("held"), F.count("*").alias("n"))
+    debit = whole.withColumn("folder", common_folder(F.col("low"), F.col("high"))).filter("folder is not null").groupBy("folder").agg((-F.sum("held")).alias("held"), (-F.sum("n")).alias("n"))
+    return rollup(credit.unionByName(debit), ["held", "n"]).filter("n > 0").select("folder", "held")
 
 
 def page_reclaimable(files: DataFrame, folder: str) -> DataFrame:
@@ -73,24 +82,27 @@ def counterparts(files: DataFrame, chosen: DataFrame, floor: int = 1) -> DataFra
 
     ``chosen(folder)`` is an antichain.  A place is the copy's ancestor one level below where the two paths part, no
     shallower than ``floor``; a content's bytes count once for each different place.  Ties go to the first path.
-    Contents are joined per (content, chosen folder) with places (content, folder), never copy by copy.
+    The paths of a copy and of a chosen folder part at a folder above the chosen one.  So a content is known by the few folders right below one of
+    these that hold it, and only they are joined with the chosen folders that hold it, however many folders its copies lie in.
     """
     sized = files.filter(F.col("content_hash").isNotNull() & (F.col("size") > 0))
-    own = sized.groupBy("content_hash", "folder").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    many = own.groupBy("content_hash").agg(F.sum("n").alias("copies")).filter("copies > 1").select("content_hash")
-    own = own.join(many, "content_hash", "left_semi")
-    owners = spread_up(own.select("folder").distinct(), "folder", "mine").join(chosen.select(F.col("folder").alias("mine")), "mine", "left_semi")
+    own = sized.groupBy("content_hash", "folder").agg(F.sum("size").alias("bytes"))
+    mine_folder = chosen.select(F.col("folder").alias("mine")).distinct()
+    owners = spread_up(own.select("folder").distinct(), "folder", "mine").join(mine_folder, "mine", "left_semi")
     mine = own.join(owners, "folder").groupBy("content_hash", "mine").agg(F.sum("bytes").alias("bytes"))
-    others = own.join(owners.withColumnRenamed("mine", "owner"), "folder", "left").select("content_hash", F.col("folder").alias("there"), "owner")
-    pairs = mine.join(others, "content_hash").filter(~F.col("mine").eqNullSafe(F.col("owner")))
-    there, mine_up = paths.ancestors(F.col("there")), paths.ancestors(F.col("mine"))
-    shared = F.size(F.array_intersect(there, mine_up))
-    level = F.greatest(shared + 1, F.lit(floor))
-    spot = F.coalesce(F.try_element_at(there, level.cast("int")), F.col("there"))
-    # a place depends on the two folders only, however many contents they share
-    spots = pairs.select("mine", "there").distinct().withColumn("place", spot)
-    placed = pairs.select("content_hash", "mine", "there", "bytes").join(spots, ["mine", "there"])
-    credit = placed.select("content_hash", "mine", "bytes", "place").distinct().groupBy("mine", "place").agg(F.sum("bytes").alias("bytes"))
+    # where another path may leave a chosen folder's: at any folder above it, and at the top; next: the chosen folder's own step from there
+    up = paths.ancestors(F.col("mine"))
+    forks = mine_folder.select("mine", F.posexplode(F.concat(F.array(F.lit("")), up)).alias("k", "fork")).filter(F.col("fork") != F.col("mine"))
+    forks = forks.select("mine", "fork", F.element_at(up, F.col("k") + 1).alias("next"))
+    there = paths.ancestors(F.col("folder"))
+    steps = F.transform(there, lambda a, i: F.struct(F.when(i == 0, "").otherwise(F.element_at(there, F.greatest(i, F.lit(1)))).alias("fork"), a.alias("step"), F.coalesce(F.try_element_at(there, F.greatest(i + 1, F.lit(floor))), F.col("folder")).alias("place")))
+    # a copy right in a folder above a chosen one has no step of its own
+    steps = F.concat(steps, F.array(F.struct(F.col("folder").alias("fork"), F.lit("").alias("step"), F.col("folder").alias("place"))))
+    spots = own.select("content_hash", F.explode(steps).alias("s")).select("content_hash", "s.*").join(forks.select("fork").distinct(), "fork", "left_semi").distinct()
+    credit = (
+        mine.join(forks, "mine").join(spots, ["content_hash", "fork"]).filter("step <> next")
+        .select("content_hash", "mine", "bytes", "place").distinct().groupBy("mine", "place").agg(F.sum("bytes").alias("bytes"))
+    )
     best = Window.partitionBy("mine").orderBy(F.desc("bytes"), "place")
     return credit.withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("mine").alias("folder"), "place", "bytes")
 

@@ -647,9 +647,9 @@ def events_hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, CAST(k AS BIGINT) AS overload, ts FROM n WHERE b = 1""")
 def rate_limit_overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as rate-limit answers that ask for half a minute; all asking for as much, an overload lasts until a pause of that length."""
-    e = _event_stream(spark, sf_dir).filter("event_type = 'click'")
+    e = table(spark, sf_dir, "events").filter("event_type = 'click'")
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    return _drained(E.overloads(e.select((F.col("user_id") % 20).cast("string").alias("source"), at.alias("ts"), F.lit(30.0).alias("retry_after"))), "append")
+    return E.overloads_of(e.select((F.col("user_id") % 20).cast("string").alias("source"), at.alias("ts"), F.lit(30.0).alias("retry_after")))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2, 3")

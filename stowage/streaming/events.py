@@ -42,31 +42,86 @@ def pace(events: DataFrame, seconds: int = 3600, key: str = "kind") -> DataFrame
     return counted.select(*events.columns, "in_window")
 
 
-def rates(ticks: DataFrame, key: str = "run") -> DataFrame:
-    """Files per second between a run's ticks (ts_s, files)."""
-    order = Window.partitionBy(key).orderBy("ts_s")
-    d_files, d_time = F.col("files") - F.lag("files").over(order), F.col("ts_s") - F.lag("ts_s").over(order)
-    return ticks.withColumn("rate", F.when(d_time > 0, d_files / d_time))
+def before(rows: DataFrame, key: str, order: list[str], at: str, values: list[str], width: int) -> DataFrame:
+    """Adds ``_<value>`` of the row before, by key in ``order``; a key is sorted in stretches of ``width`` of ``at`` (its first order), not as a whole."""
+    told = F.struct(*values)
+    cut = rows.withColumn("_stretch", F.floor(F.col(at) / F.lit(width)))
+    ends = cut.groupBy(key, "_stretch").agg(F.max_by(told, F.struct(*order)).alias("_end"))
+    carried = ends.select(key, "_stretch", F.lag("_end").over(Window.partitionBy(key).orderBy("_stretch")).alias("_carried"))
+    inside = F.lag(told).over(Window.partitionBy(key, "_stretch").orderBy(*order))
+    both = cut.withColumn("_before", inside).join(carried, [key, "_stretch"]).withColumn("_before", F.coalesce("_before", "_carried"))
+    return both.select(*rows.columns, *[F.col("_before")[v].alias("_" + v) for v in values])
 
 
-def _overloads(source: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One overload for each run of 429s that fall into the pause of the ones before, or within a second of its first."""
-    until, n = state.get if state.exists else (float("-inf"), 0)
-    rows = pd.concat(list(batches)).sort_values("ts")
+def rates(ticks: DataFrame, key: str = "run", width: int = 86400) -> DataFrame:
+    """Files per second between a run's ticks (ts_s, files); a long run is worked out in stretches of ``width`` seconds."""
+    told = before(ticks, key, ["ts_s", "files"], "ts_s", ["ts_s", "files"], width)
+    d_files, d_time = F.col("files") - F.col("_files"), F.col("ts_s") - F.col("_ts_s")
+    return told.select(*ticks.columns, F.when(d_time > 0, d_files / d_time).alias("rate"))
+
+
+def overloads_of(limited: DataFrame, width: float = 3600.0) -> DataFrame:
+    """As :func:`overloads`, for a table: (source, overload, ts), a source being worked on in as many stretches as it has pauses.
+
+    A row that comes after the end of every pause before it (a pause counting a second at least) surely begins an overload.  These ends are
+    running maxima, which are found in stretches of ``width`` seconds; from one such row to the next a task follows the rows in their order.
+    """
+    end = F.col("ts") + F.greatest("retry_after", F.lit(1.0))
+    rows = limited.select("source", "ts", "retry_after", end.alias("_end"), F.floor(F.col("ts") / F.lit(width)).alias("_stretch"))
+    tops = rows.groupBy("source", "_stretch").agg(F.max("_end").alias("_top"))
+    earlier = Window.partitionBy("source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("source", "_stretch", F.max("_top").over(earlier).alias("_before"))
+    order = Window.partitionBy("source", "_stretch").orderBy("ts", "retry_after")
+    inside = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    told = rows.withColumn("_inside", inside).join(tops, ["source", "_stretch"])
+    reach = F.greatest("_inside", "_before")
+    told = told.withColumn("_sure", reach.isNull() | (F.col("ts") >= reach))
+    # the run of a row: that of the last sure beginning up to it, or at the same time, as equal rows may change places
+    upto = Window.partitionBy("source", "_stretch").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    marks = told.withColumn("_mark", F.max(F.when(F.col("_sure"), F.col("ts"))).over(upto))
+    last = told.filter("_sure").groupBy("source", "_stretch").agg(F.max("ts").alias("_last"))
+    # stretches without one belong to the last of an earlier stretch
+    last = tops.select("source", "_stretch").join(last, ["source", "_stretch"], "left").withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).select("source", "_stretch", "_carried")
+    runs = marks.join(last, ["source", "_stretch"]).select("source", "ts", "retry_after", F.coalesce("_mark", "_carried").alias("_run"))
+    found = runs.groupBy("source", "_run").applyInPandas(_overloads_of_run, "source string, ts double")
+    # numbered in stretches too
+    found = found.withColumn("_stretch", F.floor(F.col("ts") / F.lit(width)))
+    counts = found.groupBy("source", "_stretch").agg(F.count("*").alias("_n"))
+    counts = counts.select("source", "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy("source", "_stretch").orderBy("ts"))
+    return found.withColumn("_nth", nth).join(counts, ["source", "_stretch"]).select("source", (F.col("_first") + F.col("_nth")).cast("long").alias("overload"), "ts")
+
+
+def _begins(rows: pd.DataFrame, until: float) -> tuple[list[float], float]:
+    """Times at which overloads begin, and when the last pause ends."""
     out = []
     for ts, retry in zip(rows["ts"], rows["retry_after"]):
         if ts >= until:
-            n += 1
-            out.append((source[0], n, ts))
+            out.append(ts)
             until = ts + max(retry, 1.0)
         else:
             until = max(until, ts + retry)
-    state.update((until, n))
-    yield pd.DataFrame(out, columns=["source", "overload", "ts"])
+    return out, until
+
+
+def _overloads_of_run(rows: pd.DataFrame) -> pd.DataFrame:
+    out, _ = _begins(rows.sort_values(["ts", "retry_after"]), float("-inf"))
+    return pd.DataFrame({"source": rows["source"].iloc[0], "ts": out})
+
+
+def _overloads(source: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One overload for each run of 429s that fall into the pause of the ones before, or within a second of its first."""
+    until, n = state.get if state.exists else (float("-inf"), 0)
+    begun, until = _begins(pd.concat([b[["ts", "retry_after"]] for b in batches]).sort_values(["ts", "retry_after"]), until)
+    state.update((until, n + len(begun)))
+    yield pd.DataFrame({"source": source[0], "overload": range(n + 1, n + 1 + len(begun)), "ts": begun})
 
 
 def overloads(limited: DataFrame) -> DataFrame:
-    """(source, overload, ts): rate-limit answers (source, ts double, retry_after double) grouped into overloads; a stream keeps a small state for each source."""
+    """(source, overload, ts): rate-limit answers (source, ts double, retry_after double) grouped into overloads, for a stream, with a small state for each source.
+
+    A source's answers of one batch are sorted as two doubles each; for a table see :func:`overloads_of`.
+    """
     return limited.groupBy("source").applyInPandasWithState(_overloads, "source string, overload long, ts double", "until double, n long", "append", GroupStateTimeout.NoTimeout)
 
 

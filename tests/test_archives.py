@@ -212,3 +212,25 @@ def test_changed_parts(spark):
     parts = spark.createDataFrame([(1, 0, "n0", "id0", 5, "h"), (1, 1, "n1", "id1", 5, "h"), (1, 2, "n2", "", 5, "h"), (1, 3, "n3", "id3", 5, "h")], "archive_id long, idx int, name string, file_id string, size long, content_hash string")
     live = spark.createDataFrame([("id0", "moved", 5, "h"), ("id9", "n1", 6, "h"), ("x", "n2", 5, "g")], "id string, name string, size long, content_hash string")
     assert rows(A.changed_parts(parts, live), "idx", "change") == [(1, "resized"), (2, "rewritten"), (3, "missing")]
+
+
+def test_parts_whose_names_repeat(spark):
+    """One row a part, whatever namesakes lie elsewhere."""
+    parts = spark.createDataFrame([(1, 0, "n", "", 5, "h"), (2, 0, "n", "", 6, "h"), (3, 0, "n", "", 9, None)], "archive_id long, idx int, name string, file_id string, size long, content_hash string")
+    live = spark.createDataFrame([("", "/a", "n", 5, "h"), ("", "/b", "n", 6, "g"), ("", "/c", "n", 5, "h"), ("", "/d", "n", 9, None)], "id string, folder string, name string, size long, content_hash string")
+    assert rows(A.changed_parts(parts, live), "archive_id", "change") == [(2, "resized")]
+    placed = parts.withColumn("folder", F.element_at(F.array(F.lit("/b"), F.lit("/b"), F.lit("/none")), F.col("archive_id").cast("int")))
+    assert rows(A.changed_parts(placed, live), "archive_id", "change") == [(1, "resized"), (2, "rewritten"), (3, "missing")]
+
+
+def test_copies_of_one_set(spark):
+    """A third of all sets are copies of one; the first by size, folder and name stays."""
+    made = [(f"/d{i:03}/a.tar", 7, "h") for i in range(60)] + [(f"/e{i:03}/b.tar", 7, f"x{i}") for i in range(60)] + [("/z/a.tar.ab", 3, "q")]
+    c = A.candidate_sets(files(spark, [(p, s, h, 0) for p, s, h in made]))
+    status = {(f, n): (st, d) for f, n, st, d in rows(c, "folder", "name", "status", "detail")}
+    assert status["/d000", "a.tar"] == ("ok", "") and all(status[f"/d{i:03}", "a.tar"] == ("copy", "copy of /d000/a.tar") for i in range(1, 60))
+    assert all(status[f"/e{i:03}", "b.tar"] == ("ok", "") for i in range(60)) and status["/z", "a.tar"][0] == "refused"
+    none = spark.createDataFrame([], "id long, set_hash string, state string")
+    plan = A.run_plan(c, none, spark.createDataFrame([], "archive_id long"))
+    assert {(j, n) for j, n in rows(plan.filter("folder = '/d000'"), "job", "copies")} == {("new", 59)}
+    assert rows(A.copies_of(c), "folder", "copy")[0] == ("/d000", "/d001/a.tar") and A.copies_of(c).count() == 59

@@ -1,6 +1,7 @@
 """Ingestion from pages, exactly once, and event queries over streams and tables."""
 
 import json
+import random
 import subprocess
 import sys
 
@@ -169,3 +170,45 @@ def test_archive_commands(spark, tmp_path, capsys):
 def test_everything_else_works_without_the_corpus_operators():
     code = "import sys\nclass No:\n def find_spec(self, name, path=None, target=None):\n  if name.startswith('stowage.llm') or name == 'corpus_pipeline': raise ImportError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert 'folder_rollup' in e.queries() and not any(n.startswith('op') for n in e.queries()) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_overloads_of_a_table_against_a_loop(spark):
+    """Pauses of less than a second, long ones, ties, and a source that holds most rows and seldom pauses."""
+    r = random.Random(0)
+    data = []
+    for source, n, step in (("hot", 4000, 0.4), ("calm", 300, 20.0), ("burst", 300, 0.01)):
+        t = 0.0
+        for _ in range(n):
+            t += r.choice([0.0, r.random() * step, step, 30 * step if r.random() < 0.02 else 0.0])
+            data.append((source, t, r.choice([0.0, 0.3, 1.0, 2.5, 5.0])))
+    want = []
+    for source in ("hot", "calm", "burst"):
+        until, k = float("-inf"), 0
+        for _, t, retry in sorted(d for d in data if d[0] == source):
+            if t >= until:
+                k += 1
+                want.append((source, k, t))
+                until = t + max(retry, 1.0)
+            else:
+                until = max(until, t + retry)
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "source string, ts double, retry_after double")
+    for width in (3600.0, 25.0, 1.0):
+        assert rows(events.overloads_of(df, width), "source", "overload", "ts") == sorted(want)
+    assert events.overloads_of(df.limit(0)).count() == 0
+
+
+def test_rates_in_stretches(spark):
+    r = random.Random(1)
+    ticks = [(run, t, r.randrange(1000)) for run, n in (("hot", 500), ("b", 5), ("c", 1)) for t in sorted(r.randrange(3000) for _ in range(n))]
+    df = spark.createDataFrame(ticks, "run string, ts_s long, files long")
+    want = []
+    for run in ("hot", "b", "c"):
+        own = sorted((t, f) for k, t, f in ticks if k == run)
+        want += [(run, *own[i], (own[i][1] - own[i - 1][1]) / (own[i][0] - own[i - 1][0]) if i and own[i][0] > own[i - 1][0] else None) for i in range(len(own))]
+    for width in (86400, 100, 7):
+        assert sorted(map(str, rows2(events.rates(df, width=width)))) == sorted(map(str, want))
+
+
+def rows2(df):
+    return [tuple(r) for r in df.collect()]

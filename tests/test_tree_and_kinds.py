@@ -40,6 +40,67 @@ def test_held_against_brute_force(spark):
     assert held(spark, listing) == want
 
 
+def by_spreading(sized):
+    """The same by counting each content in every folder above its copies."""
+    own = sized.groupBy("content_hash", "folder").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    whole = own.groupBy("content_hash").agg(F.sum("n").alias("copies")).filter("copies > 1")
+    up = T.spread_up(own.join(whole, "content_hash"), "folder", "at").groupBy("content_hash", "at").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("copies").alias("copies"))
+    return up.filter("n < copies").groupBy(F.col("at").alias("folder")).agg(F.sum("bytes").alias("held"))
+
+
+def shuffled(spark, df):
+    """Bytes that the jobs of a query write for shuffles."""
+    def total():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_held_in_a_deep_tree_with_less_than_half_the_shuffle(spark):
+    n = F.col("id")
+    step = lambda k: F.concat(F.lit("/d"), (F.shiftright(n * 2654435761, k) % 2).cast("string"))
+    sized = spark.range(20_000).select(F.concat(*[step(k) for k in range(20)]).alias("folder"), (n % 7000).cast("string").alias("content_hash"), (n % 97 + 1).alias("size"))
+    assert rows(G.held_elsewhere(sized), "folder", "held") == rows(by_spreading(sized), "folder", "held")
+    assert shuffled(spark, G.held_elsewhere(sized)) < 0.5 * shuffled(spark, by_spreading(sized))
+
+
+def test_held_at_the_root_and_beside_names_that_sort_before_a_slash(spark):
+    listing = [("f", 5, "h", None), ("/a/f", 5, "h", None), ("/b/x", 3, "k", None), ("/b!/x", 3, "k", None), ("/b/c/x", 3, "k", None), ("g", 2, "r", None), ("g2", 2, "r", None)]
+    f = files(spark, listing)
+    assert rows(G.held_elsewhere(f), "folder", "held") == rows(by_spreading(f.filter("content_hash is not null")), "folder", "held")
+
+
+def test_counterparts_against_every_pair(spark):
+    r = random.Random(9)
+    folder = lambda: "/" + "/".join(r.choice("PQ") + r.choice("ab") for _ in range(r.randint(1, 5)))
+    listing = [(folder() + f"/f{i}", r.randint(1, 99), r.choice("stuvwxyz"), None) for i in range(150)]
+    chosen = ["/Pa/Pb", "/Qa/Qa/Pa", "/Qb", "/Pb/Pa", "/Pa/Qa/Qb"]
+    up = lambda p: ["/".join(p.split("/")[:k]) for k in range(2, len(p.split("/")) + 1)]
+    home = lambda p: next((c for c in chosen if p == c or p.startswith(c + "/")), None)
+    for floor in (1, 2, 3):
+        want = []
+        for mine in chosen:
+            credit = {}
+            for content in {h for _, _, h, _ in listing}:
+                copies = [(p.rpartition("/")[0], s) for p, s, h, _ in listing if h == content]
+                held = sum(s for p, s in copies if home(p) == mine)
+                places = set()
+                for p in {p for p, _ in copies if home(p) != mine}:
+                    shared = len([a for a in up(p) if a in up(mine)])
+                    places.add(up(p)[max(shared + 1, floor) - 1] if max(shared + 1, floor) <= len(up(p)) else p)
+                for at in places if held else ():
+                    credit[at] = credit.get(at, 0) + held
+            if credit:
+                best = min(credit, key=lambda a: (-credit[a], a))
+                want.append((mine, best, credit[best]))
+        got = G.counterparts(files(spark, listing), spark.createDataFrame([(c,) for c in chosen], "folder string"), floor)
+        assert rows(got, "folder", "place", "bytes") == sorted(want)
+
+
 def test_page_reclaimable(spark):
     listing = [("/R/A/x1", 100, "x", None), ("/R/A/x2", 100, "x", None), ("/R/B/x3", 100, "x", None), ("/R/A/y1", 7, "y", None), ("/R/A/y2", 7, "y", None)]
     f = files(spark, listing).withColumn("folder", F.lower("folder"))
