@@ -22,6 +22,7 @@ from .operators import archives as A
 from .operators import catalogs as C
 from .operators import figures as G
 from .operators import kinds as K
+from .operators import recheck
 from .operators import reports as R
 from .session import session
 from .sources import blocks, listing, sinks, store, tar
@@ -130,8 +131,7 @@ def cmd_archive_index(spark, a) -> int:
     # a number that rows of a cut-off try may bear is not taken again
     archive_id = max((df.agg(F.max("id" if t == "archives" else "archive_id")).first()[0] or 0 for t, df in old.items() if df is not None), default=0) + 1
     members, segments = (df.withColumn("archive_id", F.lit(archive_id).cast("long")) for df in tar.index(spark, [{"archive_id": 0, "parts": [p.path for p in parts]}], f"{a.archives}/_walk"))
-    ending = A.chain_ending(segments.filter("joined or state <> 'crossed'")).first()
-    state = ending["state"] if ending and ending["state"] in ("complete", "truncated", "unsupported") else "corrupt"
+    state = ending_state(segments)
     total = sum(p.size for p in parts)
     begins = [0, *itertools.accumulate(p.size for p in parts)]
     rows = [(archive_id, i, p.path, os.path.basename(p.path), p.size, begins[i]) for i, p in enumerate(parts)]
@@ -146,6 +146,35 @@ def cmd_archive_index(spark, a) -> int:
     return 0 if state == "complete" else 1
 
 
+def cmd_archive_recheck(spark, a) -> int:
+    """Ask the verdict of an archive again, into a new catalog; each time it stays the same, one segment further back."""
+    t = archive_tables(spark, a.archives)
+    own = t["archives"].filter(F.col("id") == a.id)
+    notes = spark.read.parquet(f"{a.archives}/rechecks") if store.exists(f"{a.archives}/rechecks") else spark.createDataFrame([], recheck.NOTES)
+    asked = recheck.questions(t["segments"].filter(F.col("archive_id") == a.id), own.filter(F.col("state").isin("corrupt", "truncated", "unsupported")), notes).persist()
+    told = asked.first()
+    if not told:
+        print(f"archive {a.id} has no verdict to ask again", file=sys.stderr)
+        return 2
+    parts = [p.path for p in store.matching(a.parts)]
+    members, segments = tar.ask_again(spark, [{"archive_id": a.id, "parts": parts}], t["members"], t["segments"], asked, f"{a.out}/_walk", ask=told["again"] + 1)
+    state = ending_state(segments.filter(F.col("archive_id") == a.id))
+    archives_ = t["archives"].withColumn("state", F.when(F.col("id") == a.id, state).otherwise(F.col("state")))
+    new_notes = notes.filter(F.col("archive_id") != a.id).unionByName(asked.drop("further"))
+    for name, df in (("segments", segments), ("members", members), ("parts", t["parts"]), ("rechecks", new_notes), ("archives", archives_)):
+        df.write.parquet(f"{a.out}/{name}")
+    tar.forget_walks(spark, f"{a.out}/_walk")
+    asked.unpersist()
+    print(f"walked again from segment {told['again']}{' (further back: the verdict was the same)' if told['further'] else ''}: {state}")
+    return 0 if state == "complete" else 1
+
+
+def ending_state(segments: DataFrame) -> str:
+    """The state that a walk gives its archive."""
+    ending = A.chain_ending(segments.filter("joined or state <> 'crossed'")).first()
+    return ending["state"] if ending and ending["state"] in ("complete", "truncated", "unsupported") else "corrupt"
+
+
 def cmd_archive_status(spark, a) -> int:
     show(A.by_state(spark.read.parquet(f"{a.archives}/archives")).orderBy("state"))
     return 0
@@ -267,6 +296,7 @@ def parser() -> argparse.ArgumentParser:
     where = ("--parts", {"required": True})
     add("archive-cat", cmd_archive_cat, arch, ident, out, where, ("--offset", {"type": int}), ("--tries", {"type": int, "default": 0}), ("path", {}))
     add("archive-same", cmd_archive_same, arch, ident, where, ("--samples", {"type": int, "default": 4}), ("--scope", {"type": int, "default": 0}))
+    add("archive-recheck", cmd_archive_recheck, arch, ident, where, out)
     add("archive-verify", cmd_archive_verify, arch, ident, where)
     add("archive-import", cmd_archive_import, arch, ("--other", {"required": True}), out)
     add("archive-forget", cmd_archive_forget, arch, ident, out)

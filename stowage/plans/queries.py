@@ -14,7 +14,7 @@ from ..operators import archives as A
 from ..operators import catalogs as C
 from ..operators import figures as G
 from ..operators import blocks as B
-from ..operators import ingest, ranges, votes
+from ..operators import ingest, ranges, recheck, votes
 from ..operators import kinds as K
 from ..operators import reports as R
 from ..operators import tree as T
@@ -755,6 +755,25 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(facts, "folder").select(KF.classify(F.col("facts"), F.lower("name")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# ---- asking verdicts again
+
+
+@query(f"""WITH {SEGMENTS_SQL}, ended AS (SELECT archive_id, min(idx) AS idx FROM segments WHERE state <> 'crossed' GROUP BY 1),
+verdict AS (SELECT s.archive_id, s.idx, s.state, s.exit_offset FROM segments s JOIN ended USING (archive_id, idx) WHERE archive_id % 7 <> 0),
+asked AS (SELECT archive_id, idx AS ending, greatest(CASE WHEN archive_id % 3 = 0 THEN idx - 2 ELSE idx - 1 END, CASE WHEN archive_id % 3 = 0 AND idx - 1 < 0 THEN -1 ELSE 0 END, 0) AS again FROM verdict)
+SELECT s.archive_id, s.idx, CASE WHEN again IS NULL OR s.idx < again THEN s.state WHEN s.idx > ending THEN 'beyond' ELSE 'pending' END AS state, CASE WHEN again IS NULL OR s.idx <= ending THEN scan_from END AS first_header, CASE WHEN again IS NULL OR s.idx < again THEN exit_offset END AS exit_offset
+FROM segments s LEFT JOIN asked USING (archive_id)""")
+def recheck_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every archive's verdict asked again, for a third of them the second time, for none that are stale."""
+    s = _segments(spark, sf_dir).withColumns({"joined": F.lit(True), "members": F.lit(1).cast("long")})
+    state = F.when(F.col("archive_id") % 7 == 0, "stale").otherwise("corrupt")
+    found = s.select("archive_id").distinct().select(F.col("archive_id").alias("id"), state.alias("state"))
+    none = spark.createDataFrame([], recheck.NOTES)
+    first = recheck.questions(s, found, none)
+    again = recheck.questions(s, found, first.filter("archive_id % 3 = 0").drop("further"))
+    return recheck.restated(s, again).select("archive_id", "idx", "state", "first_header", "exit_offset")
+
+
 # ---- contents by ranges of bytes
 
 BLOCK, SAMPLED = 1 << 16, 256

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators import recheck
 from ..operators.archives import segment_chain
 from ..session import work_dir
 from . import confirm
@@ -297,14 +298,15 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def _joined(parts: Parts, archive_id: int, found: dict[int, dict[int | None, tuple]]) -> tuple[list[tuple], dict[int, int]]:
+def _joined(parts: Parts, archive_id: int, found: dict[int, dict[int | None, tuple]], begin: tuple[int, int] = (0, 0)) -> tuple[list[tuple], dict[int, int]]:
     """The segment rows of one archive as far as the walked chains join, and {part: offset} of what has to be walked from there.
 
     A part without a chain at that offset is taken to leave off where its last chain does, so that the wrong parts behind it
     are found in the same round.
     """
-    begins, rows, wrong, want = parts.begins, [], {}, 0
-    for i in range(len(begins)):
+    begins, rows, wrong = parts.begins, [], {}
+    first_part, want = begin
+    for i in range(first_part, len(begins)):
         chains = found[i]
         first = next(iter(chains))
         if want is not None and i + 1 < len(begins) and want >= begins[i + 1]:  # all of it is a member's data
@@ -320,20 +322,22 @@ def _joined(parts: Parts, archive_id: int, found: dict[int, dict[int | None, tup
     return rows, wrong
 
 
-def index(spark: SparkSession, archives: list[dict], store: str | None = None, at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame]:
+def index(spark: SparkSession, archives: list[dict], store: str | None = None, at_once: int = AT_ONCE, begin: dict[int, tuple[int, int]] | None = None, ask: int = 0) -> tuple[DataFrame, DataFrame]:
     """Members and segments of archives once their chains are joined.
 
     A part's first valid header may lie in a member's data, or behind a long name that begins in the part before.  So all chains
     of a part are walked, and a part none of whose chains begins where the one before left off is walked anew from there, all such
     parts of a round together.  Walks are written below ``store`` (a shared folder), ``at_once`` parts a job; called again with the same store and
-    unchanged parts (path, size, time), finished jobs are not repeated.  Only the chains that join are returned.  The driver
+    unchanged parts (path, size, time), finished jobs are not repeated.  ``begin``: for some archives the part to begin with and the offset at which the chain
+    enters it; earlier parts are not read.  ``ask``: a number for each time that an archive is to be read anew.  Only the chains that join are returned.  The driver
     holds the chains' ends, not the members.
     """
     register(spark)
     of = {a["archive_id"]: files.files_at(a["parts"]) for a in archives}
     told = json.dumps([a | {"sizes": [f.size for f in of[a["archive_id"]]]} for a in archives])
     marks = [[f.path, f.size, f.mtime_ns] for own in of.values() for f in own]
-    root = f"{store or work_dir(spark)}/{_digest([archives, marks, at_once])}"
+    begin = begin or {}
+    root = f"{store or work_dir(spark)}/{_digest([archives, marks, at_once, *([sorted(begin.items()), ask] if begin or ask else [])])}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     walked: list[str] = []
 
@@ -350,20 +354,34 @@ def index(spark: SparkSession, archives: list[dict], store: str | None = None, a
         return spark.read.schema(WALK).parquet(*new) if new else spark.createDataFrame([], WALK)
 
     found: dict[int, dict[int, dict]] = {a["archive_id"]: {i: {} for i in range(len(a["parts"]))} for a in archives}
-    todo = [[a["archive_id"], i, None] for a in archives for i in range(len(a["parts"]))]
+    start = {k: begin.get(k, (0, 0)) for k in of}
+    todo = [[k, i, start[k][1] if i == start[k][0] and k in begin else None] for k, own in of.items() for i in range(start[k][0], len(own))]
     while todo:
         ends = walk(todo).filter("state is not null").select("archive_id", "segment", "hdr_offset", "chain", "state", "exit_offset", "members", "detail").collect()
         for r in sorted(ends, key=lambda r: (r["chain"] is None, r["chain"])):
             found[r["archive_id"]][r["segment"]][r["chain"]] = (r["state"], r["exit_offset"], r["members"], r["detail"])
-        joined = {k: _joined(Parts([f.path for f in own], [f.size for f in own]), k, found[k]) for k, own in of.items()}
+        joined = {k: _joined(Parts([f.path for f in own], [f.size for f in own]), k, found[k], start[k]) for k, own in of.items()}
         todo = [[k, i, at] for k, (_, wrong) in joined.items() for i, at in wrong.items()]
     segments = segment_chain(spark.createDataFrame([r for rows, _ in joined.values() for r in rows] if archives else [], SEGMENTS))
+    # the first segment that was walked is taken to be entered where it was said to be
     proven = segments.filter("joined and state <> 'unsupported'").select("archive_id", F.col("idx").alias("segment"), F.col("first_header").alias("chain"))
     stored = spark.read.schema(WALK).parquet(*walked) if walked else spark.createDataFrame([], WALK)
     members = stored.filter("state is null").join(proven, ["archive_id", "segment", "chain"], "left_semi")
     return members.select(*MEMBERS.replace(",", "").split()[::2]), segments
 
 
+def ask_again(spark: SparkSession, archives: list[dict], members: DataFrame, segments: DataFrame, asked: DataFrame, store: str | None = None, ask: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Members and segments of archives after another walk from the segments that ``asked`` (see ``operators.recheck``) says; the rest of the tables stays.
+
+    archives: those that are asked.  The bytes are read anew, whatever earlier walks have stored.
+    """
+    told = asked.select("archive_id", F.col("again").alias("idx")).join(segments.select("archive_id", "idx", "first_header"), ["archive_id", "idx"]).collect()  # a row for each archive that is asked
+    begin = {r["archive_id"]: (r["idx"], r["first_header"] or 0) for r in told}
+    new_members, new_segments = index(spark, [a for a in archives if a["archive_id"] in begin], store, begin=begin, ask=ask)
+    before = segments.join(asked.select("archive_id", "again"), "archive_id", "left").filter("again is null or idx < again").select(*new_segments.columns)
+    return recheck.standing(members, asked).select(*new_members.columns).unionByName(new_members), before.unionByName(new_segments)
+
+
 def forget_walks(spark: SparkSession, store: str) -> None:
     """Delete the walks below ``store`` once what came of them is written."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
