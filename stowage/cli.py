@@ -54,6 +54,12 @@ def cmd_run(spark, a) -> int:
     return 0
 
 
+def cmd_compact(spark, a) -> int:
+    """Put a catalog's batches together, so that later commands need not."""
+    print(f"batches up to {sink.compact(spark, a.catalog, a.remove)}")
+    return 0
+
+
 def cmd_status(spark, a) -> int:
     c = sink.read_catalog(spark, a.catalog)
     show(c["files"].agg(F.count("*").alias("files"), F.sum("size").alias("bytes")))
@@ -281,6 +287,7 @@ def parser() -> argparse.ArgumentParser:
     cat, arch, out = ("catalog", {}), ("archives", {}), ("--out", {"required": True})
     as_of, ident = ("--as-of", {"type": int}), ("--id", {"type": int, "required": True})
     add("run", cmd_run, cat, ("--pages", {"required": True}), ("--shard", {"default": "0"}), ("--shard-path", {"default": ""}))
+    add("compact", cmd_compact, cat, ("--remove", {"action": "store_true"}))
     add("status", cmd_status, cat)
     add("report", cmd_report, cat, as_of, ("--root", {"default": ""}))
     add("export", cmd_export, cat, out)

@@ -39,7 +39,7 @@ def part_owners(trust: DataFrame, parts: DataFrame) -> DataFrame:
     return ranked.groupBy("content_hash").agg(F.max_by("id", F.struct("trusted", "finished", "id")).alias("archive_id"))
 
 
-def walk(files: DataFrame, rules: K.Rules = K.Rules(), archives: DataFrame | None = None, parts: DataFrame | None = None, members: DataFrame | None = None, under: str | None = None) -> DataFrame:
+def walk(files: DataFrame, rules: K.RuleWords | None = None, archives: DataFrame | None = None, parts: DataFrame | None = None, members: DataFrame | None = None, under: str | None = None) -> DataFrame:
     """(folder, kind, size double, how, date): every byte of the listing once.
 
     A file that is a part of a trusted archive is shared out over that archive's members by their size, dated by their own times;

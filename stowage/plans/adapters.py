@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
-from ..functions.kinds import LF_SHARES, Rules
+from ..functions.kinds import LF_SHARES, rule_words
 
 #: Time that ages are counted from.
 LISTED = 1_009_843_200  # 2002-01-01
@@ -71,7 +71,7 @@ SAMPLES = [
     ("", "vms.tar", "vm"), ("/run_bb", "data.tar", "wf_bin_bb"), ("", "a.tar.aa", "unknown_archive"), ("/vm", "grid.dat", "vm"), ("", "fault.srf", "src"),
     ("/sources", "x.txt", "src"), ("", "out.csv", "im"), ("/im_out", "x.txt", "im"), ("", "readme.txt", "other"),
 ]
-SAMPLE_RULES = Rules(recorded=("/recorded",), im_folders=("im_out",), lf_converted=("/conv",), keep=("/asia",))
+SAMPLE_RULES = rule_words(recorded=("/recorded",), im_folders=("im_out",), lf_converted=("/conv",), keep=("/asia",))
 #: (name, kind): tarballs by name.
 SAMPLE_ARCHIVES = [("x_bb.tar", "wf_bin_bb"), ("hf_3.tar", "wf_bin_hf"), ("lf.tar", "lf_mix"), ("im.tar", "im"), ("my_source.tar", "src"), ("vm.tar", "vm"), ("a.tar", "unknown_archive"), ("outbin.tar", "lf_mix")]
 

@@ -854,14 +854,15 @@ def shard_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _drained(S.follow(stream), "append").drop("wait")
 
 
-@query("""WITH l AS (SELECT source, doc_id, length(text) % 9 = 0 AS had FROM documents WHERE text IS NOT NULL),
-c AS (SELECT source, doc_id, count(*) OVER w AS listed, count(*) FILTER (had) OVER w AS with_folders FROM l WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
-f AS (SELECT *, listed >= 20 AND with_folders <= 0.1 * listed AS leafy FROM c), g AS (SELECT *, coalesce(lag(leafy) OVER (PARTITION BY source ORDER BY doc_id), false) AS was FROM f)
-SELECT '/' || source AS parent, doc_id AS seq, CASE WHEN leafy THEN 'one_level_on' ELSE 'one_level_off' END AS event, listed, with_folders FROM g WHERE leafy <> was""")
+@query("""WITH l AS (SELECT doc_id // 100 AS p, doc_id, length(text) % 9 = 0 AS had FROM documents WHERE text IS NOT NULL),
+c AS (SELECT p, doc_id, count(*) OVER w AS listed, count(*) FILTER (had) OVER w AS with_folders FROM l WINDOW w AS (PARTITION BY p ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, listed >= 20 AND with_folders <= 0.1 * listed AS leafy FROM c), g AS (SELECT *, coalesce(lag(leafy) OVER (PARTITION BY p ORDER BY doc_id), false) AS was FROM f)
+SELECT '/' || CAST(p AS VARCHAR) AS parent, doc_id AS seq, CASE WHEN leafy THEN 'one_level_on' ELSE 'one_level_off' END AS event, listed, with_folders FROM g WHERE leafy <> was""")
 def sibling_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A streaming query over documents as folders of their source: when the rest begin or cease to be listed one level at a time."""
+    """A streaming query over documents as folders, a hundred to a parent: when the rest begin or cease to be listed one level at a time."""
     d = _table_stream(spark, sf_dir, "documents").filter("text is not null")
-    listed = d.select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("seq"), (F.length("text") % 9 == 0).alias("had_folders"), F.lit(True).alias("from_start"))
+    path = F.concat(F.lit("/"), F.call_function("div", F.col("doc_id"), F.lit(100)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+    listed = d.select(path.alias("path"), F.col("doc_id").alias("seq"), (F.length("text") % 9 == 0).alias("had_folders"), F.lit(True).alias("from_start"))
     with S.with_rocksdb(spark):
         return _drained(S.learn(listed), "append")
 

@@ -22,18 +22,24 @@ ATTEMPTS, SPLIT_AT = 3, 2
 #: Seconds before a try is repeated: BACKOFF to the number of failures, PATIENCE at most.
 BACKOFF, PATIENCE = 2.0, 60.0
 LOG = "shard string, seq long, event string, mode string, generation int, attempts int, wait double"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State in RocksDB, whose commits write what has changed only.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextlib.contextmanager
 def with_rocksdb(spark: SparkSession) -> Iterator[None]:
     """Streams started in here keep their state in RocksDB."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @dataclass

@@ -212,3 +212,52 @@ def test_rates_in_stretches(spark):
 
 def rows2(df):
     return [tuple(r) for r in df.collect()]
+
+
+@pytest.mark.parametrize("remove", [False, True])
+def test_compaction(spark, tmp_path, remove):
+    """A catalog reads the same before and after its batches are put together, and goes on from there."""
+    r = random.Random(2)
+    write, c = sink.write_batch(f"{tmp_path}/c", "/R"), f"{tmp_path}/c"
+    (tmp_path / "p").mkdir()
+
+    def batch(n):
+        made = [entry(id=f"f{r.randrange(12)}", name=f"n{n}", path_display=f"/R/{r.choice('ab')}/n{n}", size=n, is_downloadable=bool(r.randrange(2))) for _ in range(6)]
+        made += [entry("folder", id=f"d{n % 3}", name="a", path_display=f"/R/{'ab'[n % 2]}"), entry("deleted", name="x", path_display=f"/R/x{n}")]
+        (tmp_path / "p" / f"{n:08d}.json").write_text(json.dumps({"entries": made}))
+        write(listing.read_pages(spark, f"{tmp_path}/p/{n:08d}.json"), n)
+        return made
+
+    def told():
+        return {name: sorted(map(str, df.drop("batch", "shard_id").collect())) for name, df in sink.read_catalog(spark, c).items()}
+
+    made = [batch(n) for n in range(3)]
+    first = {}
+    for b in made:
+        for e in b:
+            if e[".tag"] == "file":
+                first.setdefault(e["id"], e["is_downloadable"])
+    before = told()
+    assert sink.compact(spark, c, remove) == 2 and sink.compact(spark, c, remove) == 2
+    assert told() == before and dict(rows(sink.read_catalog(spark, c)["files"], "id", "downloadable")) == first
+    assert len(list((tmp_path / "c/files").glob("batch=*"))) == (0 if remove else 3)
+    files_read = sink.read_catalog(spark, c)["files"].inputFiles()
+    assert all("snapshots" in f for f in files_read)
+    # later batches are merged with the snapshot; the one that was compacted last may be replayed
+    if not remove:
+        write(listing.read_pages(spark, f"{tmp_path}/p/{2:08d}.json"), 2)
+    for n in (3, 4):
+        made.append(batch(n))
+    for e in made[3] + made[4]:
+        if e[".tag"] == "file":
+            first.setdefault(e["id"], e["is_downloadable"])
+    whole = told()
+    assert dict(rows(sink.read_catalog(spark, c)["files"], "id", "downloadable")) == first
+    last = {e["id"]: e["name"] for b in made for e in b if e[".tag"] == "file"}
+    assert dict(rows(sink.read_catalog(spark, c)["files"], "id", "name")) == last and len(whole["events"]) == 5
+    # a snapshot that was cut off is not read
+    assert sink.compact(spark, c, remove) == 4
+    (tmp_path / "c/snapshots/upto=4/_COMMITTED").unlink()
+    if not remove:
+        assert told() == whole
+    assert cli.main(["compact", c, *(["--remove"] if remove else [])], spark) == 0
