@@ -106,12 +106,33 @@ def cmd_kinds(spark, a) -> int:
 
 
 def cmd_tree(spark, a) -> int:
+    """The tree page: folders by size, what repeats, is cold or tiny and where its copies are, and kinds of data."""
+    rules = KF.load_rules(a.rules)
+    t = archive_tables(spark, a.archives) if a.archives else {}
     files = listing_files(spark, a.catalog).persist()
-    figures = G.folder_figures(files, a.as_of or int(time.time())).persist()
+    now = a.as_of or int(time.time())
+    figures = G.folder_figures(files, now).persist()
     threshold, rows = G.layout(files, figures, a.root, values.parse_size(a.min_size), a.max_rows)
+    rows = rows.persist()
     ranked = G.ranked_tables(figures, G.held_elsewhere(files), threshold)
-    chosen = {name: [(r["folder"], values.human_bytes(r["size"])) for r in G.choose(df.select("folder", "size"))] for name, df in ranked.items()}
-    sinks.render_page(a.out, a.root, threshold, rows.collect(), chosen)
+    chosen = {name: G.choose(df.select("folder", "size", "held")) for name, df in ranked.items()}
+    tables = {name: [(r["folder"], values.human_bytes(r["size"])) for r in found] for name, found in chosen.items()}
+    if chosen["dup"]:
+        mine = spark.createDataFrame([(r["folder"],) for r in chosen["dup"]], "folder string")
+        places = {r["folder"]: r for r in G.counterparts(files, mine, paths_depth(a.root) + 2).collect()}
+        held = {r["folder"]: r["held"] for r in chosen["dup"]}
+        tables["dup"] = [(*row, f"{values.share(places[row[0]]['bytes'], held[row[0]])} of it in {places[row[0]]['place']}" if row[0] in places else "") for row in tables["dup"]]
+    walk = K.walk(files, rules, t.get("archives"), t.get("parts"), t.get("members"), a.root or None).persist()
+    cube = K.tally(walk, now).persist()
+    tables["Where the bytes are, by kind"] = [(r["grp"], values.human_bytes(r["loose"]), values.human_bytes(r["tarred"])) for r in K.kinds_by_group(cube).orderBy(KF.group_rank(F.col("grp"))).collect()]
+    tables["Bytes by kind and year"] = [(r["grp"], r["year"], values.human_bytes(r["size"])) for r in K.kinds_by_year(cube).orderBy(KF.group_rank(F.col("grp")), "year").collect()]
+    shown = rows.filter("kind = 'dir'").select(F.col("name").alias("folder"))
+    badges = {r["folder"]: f"{r['grp']} {values.share(r['size'], r['total'])}" for r in K.badges(walk, shown).collect()}
+    saved = G.page_reclaimable(files, a.root).first()["reclaimable"]
+    facts = [f"{values.human_bytes(saved)} would go if each content in here were kept once.", "Tarballs are shared out over the members that the archive index lists." if t else "Tarballs are judged by their names; give --archives to look inside them."]
+    sinks.render_page(a.out, a.root, threshold, rows.collect(), tables, badges, facts)
+    for df in (files, figures, rows, walk, cube):
+        df.unpersist()
     print(f"{a.out}: entries of at least {values.human_bytes(threshold)}")
     return 0
 
@@ -292,7 +313,7 @@ def parser() -> argparse.ArgumentParser:
     add("report", cmd_report, cat, as_of, ("--root", {"default": ""}))
     add("export", cmd_export, cat, out)
     add("kinds", cmd_kinds, cat, as_of, ("--rules", {}), ("--archives", {}), ("--under", {}), ("--out", {}))
-    add("tree", cmd_tree, cat, out, as_of, ("--root", {"required": True}), ("--min-size", {"default": "1G"}), ("--max-rows", {"type": int, "default": 100_000}))
+    add("tree", cmd_tree, cat, out, as_of, ("--rules", {}), ("--archives", {}), ("--root", {"required": True}), ("--min-size", {"default": "1G"}), ("--max-rows", {"type": int, "default": 100_000}))
     add("verify", cmd_verify, cat, ("--other", {"required": True}), ("--under", {"default": ""}))
     add("sql", cmd_sql, cat, ("sql", {}), ("--rows", {"type": int, "default": 100}))
     add("archive-candidates", cmd_archive_candidates, cat)
@@ -325,5 +346,10 @@ def paths_root(root: str) -> str:
     return root.rstrip("/")
 
 
+def paths_depth(root: str) -> int:
+    """Folders that a path names."""
+    return len([step for step in root.split("/") if step])
+
+
 if __name__ == "__main__":
     sys.exit(main())

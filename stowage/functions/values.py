@@ -95,6 +95,11 @@ def human_bytes(n: float) -> str:
     return f"{int(n)} B" if step == 0 else f"{n:.1f} {UNITS[step]}"
 
 
+def share(part: float, whole: float) -> str:
+    """A share in whole per cent."""
+    return f"{round(100 * part / whole)}%" if whole else "0%"
+
+
 def human_bytes_column(n: Column) -> Column:
     """As :func:`human_bytes`, for a column."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))

@@ -15,6 +15,8 @@ from .reports import under as at_or_below
 from .tree import nearest_shown, spread_up
 
 FINISHED = ("complete", "truncated")
+#: Share of a folder's bytes from which on it is said to be of one group.
+BADGE_SHARE = 0.5
 
 
 def regular(members: DataFrame) -> DataFrame:
@@ -111,6 +113,12 @@ def kinds_by_month(cube: DataFrame) -> DataFrame:
     return found.filter("dated > 0").drop("dated")
 
 
+def kinds_by_year(cube: DataFrame) -> DataFrame:
+    """Per group and year: bytes; a year is null where there is no date."""
+    year = F.substring("month", 1, 4)
+    return cube.groupBy(K.group_of(F.col("kind")).alias("grp"), year.alias("year")).agg(F.sum("size").alias("size"))
+
+
 def kinds_older(cube: DataFrame) -> DataFrame:
     """Per kind and age in years: bytes strictly older, loose and in tarballs."""
     years = F.explode_outer(F.slice(F.array(*[F.lit(y) for y in K.AGES]), 1, F.col("age"))).alias("years")
@@ -131,3 +139,10 @@ def folder_kinds(rows: DataFrame, shown: DataFrame) -> DataFrame:
     up = spread_up(placed, "shown", "at").groupBy(F.col("at").alias("folder"), "grp").agg(F.sum("size").alias("size")).join(shown.select("folder").distinct(), "folder", "left_semi")
     best = up.groupBy("folder").agg(F.max_by("grp", F.struct("size", -K.group_rank(F.col("grp")))).alias("best"))
     return up.join(best, "folder").select("folder", "grp", "size", (F.col("grp") == F.col("best")).alias("main"))
+
+
+def badges(rows: DataFrame, shown: DataFrame, share: float = BADGE_SHARE) -> DataFrame:
+    """(folder, grp, size, total): shown folders of which one group makes up at least ``share`` of the bytes."""
+    found = folder_kinds(rows, shown)
+    whole = found.groupBy("folder").agg(F.sum("size").alias("total"))
+    return found.filter("main").join(whole, "folder").filter(F.col("size") >= share * F.col("total")).select("folder", "grp", "size", "total")

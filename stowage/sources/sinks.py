@@ -55,16 +55,21 @@ def export_archive(members: DataFrame, archive_id: int, out: str) -> None:
 
 PAGE = """<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>{title}</title>
-<style>body{{font:14px sans-serif}}details{{margin-left:1.2em}}.b{{display:inline-block;width:8em;background:#eee}}.b i{{display:block;height:.7em;background:#69c}}td,th{{padding:0 .6em;text-align:left}}</style></head>
+<style>body{{font:14px sans-serif}}details{{margin-left:1.2em}}.b{{display:inline-block;width:8em;background:#eee}}.b i{{display:block;height:.7em;background:#69c}}td,th{{padding:0 .6em;text-align:left}}.k{{background:#dfe8d6;border-radius:.6em;padding:0 .5em}}</style></head>
 <body><h1>{title}</h1><p>Entries of at least {threshold}.</p>
+{facts}
 {tree}
 {tables}
 </body></html>
 """
 
 
-def render_page(out: str, title: str, threshold: int, rows: Iterable, tables: dict[str, list]) -> None:
-    """Write the tree page whole or not at all: rows of ``figures.layout`` (bounded by its max_rows), and the chosen tables."""
+def render_page(out: str, title: str, threshold: int, rows: Iterable, tables: dict[str, list], badges: dict[str, str] | None = None, facts: Iterable[str] = ()) -> None:
+    """Write the tree page whole or not at all: rows of ``figures.layout`` (bounded by its max_rows), and the chosen tables.
+
+    ``badges``: a word on some folders, by path; ``facts``: sentences about the page as a whole.
+    """
+    badges = badges or {}
     inside: dict = {}
     for r in rows:
         inside.setdefault(r["parent"], []).append(r)
@@ -81,7 +86,8 @@ def render_page(out: str, title: str, threshold: int, rows: Iterable, tables: di
         share = r["size"] / above if above else 0
         line = f'<span class="b"><i style="{values.bar(share)}"></i></span> {values.human_bytes(r["size"])} {label}'
         if r["kind"] == "dir":
-            parts.append(f"<details{' open' if r['parent'] is None else ''}><summary>{line} ({values.plural(r['files'], 'file')})</summary>")
+            badge = f' <span class="k">{values.escaped(badges[r["name"]])}</span>' if r["name"] in badges else ""
+            parts.append(f"<details{' open' if r['parent'] is None else ''}><summary>{line} ({values.plural(r['files'], 'file')}){badge}</summary>")
             todo.append("</details>")
             below = sorted(inside.get(r["name"], []), key=lambda x: (x["kind"] == "fold", -x["size"], x["name"]))
             todo += [(x, r["size"]) for x in reversed(below)]
@@ -90,7 +96,7 @@ def render_page(out: str, title: str, threshold: int, rows: Iterable, tables: di
     shown = "".join(
         f"<h2>{values.escaped(name)}</h2><table>" + "".join("<tr>" + "".join(f"<td>{values.escaped(v)}</td>" for v in row) + "</tr>" for row in chosen) + "</table>" for name, chosen in tables.items()
     )
-    text = PAGE.format(title=values.escaped(title), threshold=values.human_bytes(threshold), tree="\n".join(parts), tables=shown)
+    text = PAGE.format(title=values.escaped(title), threshold=values.human_bytes(threshold), tree="\n".join(parts), tables=shown, facts="\n".join(f"<p>{values.escaped(f)}</p>" for f in facts))
     handle, path = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(out)), suffix=".part")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as f:
