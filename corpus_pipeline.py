@@ -34,12 +34,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of rows whose five-word shingles are similar by 0.8 or more, one row stays: with the smallest doc_id, a missing one last, and of these the first stored.
 
     Rows are told apart by where they are stored, so rows without a doc_id and one doc_id's different texts go only as members of a group.
+    All columns come back as they were, whatever their names.
     """
-    rows = simhash.numbered(docs)
-    found = simhash.near_rows(rows.select("row", "text"), words=5, similarity=0.8).join(rows.select("row", "doc_id"), "row")
+    rows = simhash.numbered(docs.select(F.struct(*docs.columns).alias("doc")))
+    found = simhash.near_rows(rows.select("row", "doc.text"), words=5, similarity=0.8).join(rows.select("row", "doc.doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     kept = found.groupBy("component").agg(first.alias("first")).select("first.row")
-    return rows.join(kept, "row", "left_semi").select(docs.columns)
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
