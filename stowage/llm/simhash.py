@@ -235,8 +235,9 @@ def trie_join(rows: DataFrame, width: int, budget: int, part: int, find: Callabl
     heads = each.groupBy("word", "turn", "head").agg(F.count("*").alias("n"))  # at most words * (budget + 1) * 2^width rows
     second = F.element_at(F.array(*[F.lit(w) for w in (widths[1:] + widths[:1] if budget else [0])]), F.col("turn") + 1)
     more = F.least(second, F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(part))).cast("int")))
-    deep = heads.select("word", "turn", "head", more.alias("more")).filter("more > 0")
-    each = each.join(F.broadcast(deep), ["word", "turn", "head"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    # stored first: Spark then knows its size, and broadcasts it only if that is small
+    deep = materialize(heads.select("word", "turn", "head", more.alias("more")).filter("more > 0"))
+    each = each.join(deep, ["word", "turn", "head"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
     below = F.call_function("shiftrightunsigned", "bits", (first - F.col("more")).cast("int")) - F.call_function("shiftleft", "head", "more")
     each = each.withColumn("below", below).withColumn("flip", F.explode(F.sequence(F.lit(0), F.col("more"))))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.col("flip") - 1))
@@ -291,20 +292,23 @@ def links(distinct: DataFrame, budget: int, part: int) -> DataFrame:
 def near_groups(fps: DataFrame, budget: int = 4, part: int = PART) -> DataFrame:
     """(doc_id, bits, component_id) of fingerprints (doc_id, bits), linked at ``budget`` or fewer differing bits.
 
-    component_id: the smallest doc_id reachable; equal fingerprints are joined first, rows without a doc_id left out.
+    component_id: the smallest doc_id reachable, null if no document reachable has one; equal fingerprints are joined first.
     """
-    fps = materialize(fps.filter("doc_id is not null"))
-    distinct = materialize(fps.groupBy("bits").agg(F.min("doc_id").alias("rep")))
+    fps = materialize(fps)
+    distinct = materialize(fps.groupBy("bits").agg(F.min("doc_id").alias("least")).select("bits", F.col("bits").alias("rep"), "least"))
     found = components(links(distinct, budget, part))
-    joined = distinct.join(found, distinct["rep"] == found["id"], "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(joined, "bits").select("doc_id", "bits", "component_id")
+    joined = distinct.join(found, distinct["rep"] == found["id"], "left").select("bits", "least", F.coalesce("component", "rep").alias("component"))
+    joined = materialize(joined)
+    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(joined.join(ids, "component").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
 
 
 def near_duplicates(documents: DataFrame, *, words: int = 4, budget: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document, linked at ``budget`` or fewer differing bits.
 
     fingerprint: 16 lower-case hex digits.  Null and blank texts have the fingerprint zero and are linked like any other;
-    repeated rows are returned repeatedly, rows without a key left out; further columns are ignored.
+    repeated rows are returned repeatedly.  Rows without a key are returned too and link like others; their component_id is that of the documents they reach, null
+    if none has a key.  A text of any length is read whole; an empty table gives an empty result; further columns are ignored.
     """
     found = near_groups(fingerprints(documents, words, key=key, text=text), budget)
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -312,6 +316,10 @@ def near_duplicates(documents: DataFrame, *, words: int = 4, budget: int = 4, ke
 
 #: Share of the pairs at the very threshold that no trie of ``near_rows`` finds, and share that the guard bits rule out.
 MISS, RULED_OUT = 1e-3, 1e-5
+#: Tries that a row is in at most (twice that for sets whose size is near SMALL, which get both kinds of votes), whatever the number of rows.
+COPIES = 96
+#: Random candidates that a row gets at most, as long as COPIES allow; the guard bits rule all but three in a million of them out.
+RANDOM = 400
 #: Further bits that a candidate pair is held against before its sets are.
 GUARD = 128
 #: Sets of at most so many shingles get finer votes (each shingle has VOTES of them), as few coarse ones tie too often.
@@ -369,22 +377,23 @@ def multipliers(n: int, seed: int = 8) -> np.ndarray:
 def choose_sketch(n: int, similarity: float, miss: float = MISS) -> Sketch:
     """The cheapest words for ``n`` sets that leave out ``miss`` of the pairs at ``similarity``.
 
-    Cost of a row: the tries it is in, with the node pairs that random rows make there, and the random candidates it gets.
-    More rows ask for longer words; the share missed stays.
+    Cost of a row: the tries it is in (COPIES at most, so that what is shuffled for a row does not grow with the rows), with the node pairs that
+    random rows make there, and the random candidates it gets.  More rows ask for longer words; the share missed stays.
     """
     p, log_n = bit_differs(similarity), math.log2(max(2, n))
     best = None
     for width in range(16, BITS + 1, 4):
-        for budget in range(1, 9):
+        for budget in range(1, 12):
             words = math.ceil(math.log(miss) / math.log1p(-at_most(budget, width, p)))
-            if words * width > 16 * 1024:
+            if words * (budget + 1) > COPIES:
                 continue
             allowed = allowance(budget, 0, width)
             paths = np.eye(1, budget + 2)[0]  # by differing bits, of the node pairs of one row
             for limit in allowed[: min(width, math.ceil(log_n))]:
                 paths[1:] += paths[:-1].copy()
                 paths[limit + 1 :] = 0
-            cost = words * (budget + 1) * (1 + paths.sum() / 16) + words * n * at_most(budget, width, 0.5)
+            random = words * n * at_most(budget, width, 0.5)
+            cost = (max(random, RANDOM), words * (budget + 1) * (1 + paths.sum() / 16) + random)
             if best is None or cost < best[0]:
                 best = (cost, Sketch(words, width, budget))
     return best[1]
@@ -435,7 +444,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """``documents``, stored, with a number ``row`` for each row."""
+    """``documents``, which have no column of that name, stored with a number ``row`` for each row."""
+    if "row" in documents.columns:
+        raise ValueError("a column is named row already; put the columns into a struct first")
     return materialize(documents.withColumn("row", F.monotonically_increasing_id()))
 
 

@@ -75,3 +75,12 @@ def test_near_copies_without_a_key_and_two_texts_of_one_key(spark):
     assert kept.columns == docs.columns
     want = [(1, a), (2, b), (3, c), (3, d), (None, e), (None, rows[-1][1])]
     assert sorted((str(x["doc_id"]), x["text"]) for x in kept.collect()) == sorted((str(k), t) for k, t in want)
+
+
+def test_columns_of_any_name_come_back(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d e f g", "x", 5), (2, "a b c d e f g", "y", 6), (3, "other words of another kind", "z", 7)], "doc_id long, text string, row string, component int")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f g", "x", 5), (3, "other words of another kind", "z", 7)]

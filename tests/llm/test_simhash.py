@@ -77,17 +77,24 @@ def documents(seed=0):
 
 def test_groups_through_spark_in_parts(spark, monkeypatch):
     rows = documents()
-    df = spark.createDataFrame([(k, t, "x", 1) for k, t in [*rows, (None, "no key")]], "doc_id long, text string, bits string, component_id int")
-    got = simhash.near_duplicates(df).collect()
-    assert len(got) == len(rows)
+    keyless = [(None, "no key"), (None, "no key"), (None, rows[5][1])]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in [*rows, *keyless]], "doc_id long, text string, bits string, component_id int")
+    every = simhash.near_duplicates(df).collect()
+    got = [g for g in every if g["doc_id"] is not None]
+    assert len(got) == len(rows) and len(every) == len(rows) + 3
     prints = {k: plain_fingerprint(t) for k, t in rows}
     want = all_pairs(sorted(prints.items()))
+    # rows without a key belong to the documents they reach
+    alone = f"{plain_fingerprint('no key'):016x}"
+    assert sorted(g["fingerprint"] for g in every if g["doc_id"] is None) == sorted([alone, alone, f"{prints[rows[5][0]]:016x}"])
+    assert {g["component_id"] for g in every if g["doc_id"] is None and g["fingerprint"] != alone} == {want[rows[5][0]]}
+    assert {g["component_id"] for g in every if g["fingerprint"] == alone} == {None}
     for g in got:
         assert g["fingerprint"] == f"{prints[g['doc_id']]:016x}"
         assert g["component_id"] == want[g["doc_id"]]
     # every head is heavy now
     parted = simhash.near_groups(simhash.fingerprints(df), 4, part=2).collect()
-    assert {(g["doc_id"], g["component_id"]) for g in parted} == {(k, want[k]) for k in prints}
+    assert {(g["doc_id"], g["component_id"]) for g in parted if g["doc_id"] is not None} == {(k, want[k]) for k in prints}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
