@@ -115,13 +115,16 @@ def marked_rows(labels: DataFrame, label: str, key: str) -> DataFrame:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, limit: int) -> DataFrame:
-    """(doc_id, text, label): up to ``limit`` labelled documents that are not held out for each of the labels 0 and 1, by a hash of their keys."""
+    """(doc_id, text, label): up to ``limit`` labelled documents that are not held out for each of the labels 0 and 1, by a hash of their keys.
+
+    Of a key's different texts the first in order is taken, so that the same tables give the same model.
+    """
     marked = marked_rows(labels, label, key).filter(~held_out(F.col("doc_id")))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.filter("label = 1").orderBy(*order).limit(limit).unionByName(marked.filter("label = 0").orderBy(*order).limit(limit))
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # 2 * limit keys at most
-    return materialize(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    return materialize(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
 
 def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = MAX_LABELLED) -> Ordinal:
@@ -186,8 +189,8 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     raw = np.where(y == 1, 1 + sum((rows["marks"].to_numpy() > m).astype(int) for m in GRADE_MARKS), 0)
     present = np.unique(raw)
     grades = np.searchsorted(present, raw)
-    # the sample holds the labels in other shares than all labelled documents
-    share = {r["label"]: r["count"] for r in marked_rows(labels, label, key).groupBy("label").count().collect()}
+    # the sample holds the labels in other shares than all labelled documents that are not held out
+    share = {r["label"]: r["count"] for r in marked_rows(labels, label, key).filter(~held_out(F.col("doc_id"))).groupBy("label").count().collect()}
     weights, cuts = fit_ordinal(x, grades, len(present), np.where(y == 1, share[1] / n1, share[0] / n0))
     return Ordinal(dict(zip(top, weights.tolist())), tuple(cuts.tolist()))
 
@@ -196,7 +199,8 @@ def grade(documents: DataFrame, model: Ordinal, *, key: str = "doc_id", text: st
     """(doc_id, severity, grade, toxic, held_out) of every row by its whole text.
 
     held_out: the model has not learned from the row, so its label (if it has one) tells how well the model does; severity: the expected grade; grade: the number of thresholds passed with probability ``least`` or more; toxic: 1 from grade 1 on, else 0.
-    Null and empty texts have the severity of a text without features; repeated rows are each graded.
+    Null and empty texts have the severity of a text without features, a text of any length is read whole; rows without a key and repeated rows are each graded.
+    An empty table gives an empty result; further columns are ignored.
     """
     shipped = documents.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
 

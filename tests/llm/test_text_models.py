@@ -341,3 +341,16 @@ def test_quality_of_the_query_recomputed(spark, tables):
     assert told["digits"] == sum(c.isdigit() for c in text) / len(text)
     assert told["distinct"] == len({w.lower() for w in words}) / len(words) ** 0.9
     assert told["line_repeats"] == 0.0  # its two lines differ
+
+
+def test_models_do_not_depend_on_the_order_of_rows(spark, tables):
+    """Two texts of each key, in either order, and columns whose names clash: the same model, the same columns."""
+    d, marks, docs, _ = tables
+    both = [(k, t, 7, 0.5, True) for k, t, *_ in docs] + [(k, "zzz " + t[::-1], 8, 0.1, False) for k, t, *_ in docs]
+    kind = "doc_id long, text string, label int, score double, held_out boolean"
+    one, two = (spark.createDataFrame(x, kind).repartition(n) for x, n in ((both, 3), (both[::-1], 5)))
+    assert toxicity.train(one, marks) == toxicity.train(two, marks)
+    a, b = quality.train(one, marks), quality.train(two, marks)
+    assert np.allclose(a.weights, b.weights)
+    assert toxicity.grade(one, toxicity.train(one, marks)).columns == ["doc_id", "severity", "grade", "toxic", "held_out"]
+    assert quality.score(one, a).columns == ["doc_id", "held_out", "score", "predicted"]
