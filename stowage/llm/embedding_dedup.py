@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, parallelism
-from .vectors import keyed, lengths, matrix, usable
+from .vectors import as_numbers, lengths, matrix, usable
 
 #: Expected vectors in a filter, and the largest block that one task compares with itself or another block.
 BUCKET, BLOCK = 256, 2048
@@ -149,21 +149,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, key: str = "
     Vectors that are null, zero, or hold null or non-finite components link with nothing, those of different lengths not with each other.
     Equal vectors are joined before the search and count as each other's links; rows that repeat key and vector
     count once and are returned once; a key with different vectors has a row for each.  component_id is the smallest key reachable, itself included; kept
-    marks it.  Rows without a key are left out.  A filter with more than BLOCK vectors is compared block by block.  Further columns are ignored.
+    marks it.  Rows without a key are returned too and link like others; the component_id of a component without any key is null, and its rows are kept.  An
+    empty table gives an empty result.  A filter with more than BLOCK vectors is compared block by block.  Further columns are ignored.
     """
-    rows = keyed(vectors, key, vector).withColumnRenamed("id", "vec_id")
+    rows = as_numbers(vectors, key, vector).withColumnRenamed("id", "vec_id")
     good = materialize(rows.filter(usable(F.col("vector"))).distinct())
     rest = rows.filter(~usable(F.col("vector"))).select("vec_id").distinct()
     found = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     for dim in lengths(good, "vector"):
         found = found.unionByName(links_of_length(good.filter(F.size("vector") == dim), dim, threshold))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def links_of_length(good: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(vec_id, n_links, component_id) of stored (vec_id, vector), all of ``dim`` components."""
     spark, kind = good.sparkSession, dict(good.dtypes)["vector"]
-    same = materialize(good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # a number for each vector, given as it is stored
+    same = good.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    same = materialize(same.withColumn("rep", F.monotonically_increasing_id()))
     code = choose_code(same.count(), dim, threshold)
 
     def caps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +177,13 @@ def links_of_length(good: DataFrame, dim: int, threshold: float) -> DataFrame:
             step = max(1, (1 << 22) // (code.size**min(code.blocks, 2)))
             for i in range(0, len(unit), step):
                 found += decode(unit[i : i + step], code)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["vector", "rep", "copies", "caps"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64())).cast(name_of)], ["vector", "rep", "copies", "caps"])
 
-    spread = same.repartition(parallelism(spark), "rep")
-    decoded = materialize(spread.mapInArrow(caps, f"vector {kind}, rep long, copies long, caps array<long>"))
+    # a vector travels with the names of its filters, so they are as short as they can be
+    small = code.size**code.blocks < 2**31
+    name_of = pa.list_(pa.int32() if small else pa.int64())
+    spread = same.select("vector", "rep", "copies").repartition(parallelism(spark), "rep")
+    decoded = materialize(spread.mapInArrow(caps, f"vector {kind}, rep long, copies long, caps array<{'int' if small else 'long'}>"))
     sizes = decoded.select(F.explode("caps").alias("cap")).groupBy("cap").agg(F.count("*").alias("n"))
     # stored first: Spark then knows its size, and broadcasts it only if that is small
     heavy = materialize(sizes.filter(F.col("n") > BLOCK).select("cap", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts")))
@@ -200,6 +206,7 @@ def links_of_length(good: DataFrame, dim: int, threshold: float) -> DataFrame:
     groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("rep"), "component")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_vector = same.join(counted, "rep", "left").join(groups, "rep", "left").select(
-        "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        "vector", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )
-    return good.join(by_vector, "vector").select("vec_id", "n_links", "component_id")
+    ids = by_vector.groupBy("component").agg(F.min("least").alias("component_id"))
+    return good.join(by_vector.join(ids, "component"), "vector").select("vec_id", "n_links", "component_id")

@@ -18,10 +18,15 @@ def usable(vector: Column) -> Column:
     return finite(vector) & F.coalesce((F.size(vector) > 0) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vector) of the rows that have a key; floats stay floats, every other component type becomes double."""
+def as_numbers(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, vector) of every row; floats stay floats, every other component type becomes double."""
     kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector")).filter("id is not null")
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"))
+
+
+def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, vector) of the rows that have a key."""
+    return as_numbers(df, key, vector).filter("id is not null")
 
 
 def lengths(vectors: DataFrame, column: str) -> list[int]:

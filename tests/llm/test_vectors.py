@@ -36,8 +36,15 @@ def brute(x, threshold):
 def test_links_and_groups(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     x = vectors()
-    got = embedding_dedup.near_duplicates(frame(spark, x), 0.95).collect()
+    alone = [9.0, -9.0] * 8
+    df = frame(spark, x)
+    more = spark.createDataFrame([(None, alone, 1, "c"), (None, [c * 2 for c in alone], 1, "c"), (None, None, 1, "c")], df.schema)
+    every = embedding_dedup.near_duplicates(df.unionByName(more), 0.95).collect()
     links, groups = brute(x, 0.95)
+    # rows without a key: one that equals row 0, two that link with each other only, one without a vector
+    assert sorted((g["n_links"], str(g["component_id"]), g["kept"]) for g in every if g["vec_id"] is None) == sorted([(links[0] + 1, "0", False), (1, "None", True), (1, "None", True), (0, "None", True)])
+    got = [g for g in every if g["vec_id"] is not None]
+    links = links + (x @ x[0] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[0]) >= 0.95)
     of = {g["vec_id"]: g for g in got}
     assert len(got) == len(of) == len(x) + len(BAD)
     for i in range(len(x)):
