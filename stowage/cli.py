@@ -25,7 +25,7 @@ from .operators import kinds as K
 from .operators import recheck
 from .operators import reports as R
 from .session import session
-from .sources import blocks, listing, sinks, store, tar
+from .sources import blocks, listing, sinks, store, tar, windows
 from .streaming import sink
 
 
@@ -148,15 +148,60 @@ def cmd_archive_candidates(spark, a) -> int:
     return 0
 
 
+#: An archive's row, but for its identity.
+ARCHIVE = "id long, name string, folder string, state string, total_size long, created_at long"
+
+
+def next_archive(spark: SparkSession, root: str) -> int:
+    """A number that no row bears, not even one of a try that was cut off."""
+    found = [spark.read.parquet(f"{root}/{t}").agg(F.max("id" if t == "archives" else "archive_id")).first()[0] for t in ("archives", "parts", "segments", "members") if store.exists(f"{root}/{t}")]
+    return max((n or 0 for n in found), default=0) + 1
+
+
+def cmd_archive_run(spark, a) -> int:
+    """Index the archives that a listing holds and the catalog does not, largest first; 1 if one of them did not reach its end."""
+    files = listing_files(spark, a.catalog).persist()
+    known = {t: spark.read.parquet(f"{a.archives}/{t}") if store.exists(f"{a.archives}/{t}") else None for t in ("archives", "segments")}
+    archives = known["archives"] if known["archives"] is not None else spark.createDataFrame([], f"{ARCHIVE}, set_hash string")
+    segments = known["segments"] if known["segments"] is not None else spark.createDataFrame([], "archive_id long")
+    plan = A.run_plan(A.candidate_sets(files), archives, segments).persist()
+    show(A.plan_counts(plan).orderBy("job"))
+    todo = plan.filter(F.col("job").isin("new", "resume")).orderBy(F.desc("size"), "folder", "name")
+    todo = (todo.limit(a.limit) if a.limit else todo).select("folder", F.col("name").alias("base"), F.col("size").alias("total"), "set_hash").persist()
+    # the names of the parts, no bytes
+    rows = A.part_rows(files).join(todo, ["folder", "base"]).orderBy(F.desc("total"), "folder", "base", "number", "name").collect()
+    sets: dict[tuple, list] = {}
+    for r in rows:
+        sets.setdefault((r["folder"], r["base"]), []).append(r)
+    if not sets:
+        return 0
+    first, now = next_archive(spark, a.archives), int(time.time())
+    ids = {key: first + n for n, key in enumerate(sets)}
+    told = [{"archive_id": ids[key], "parts": [f"{a.base.rstrip('/')}{r['folder']}/{r['name']}" for r in own]} for key, own in sets.items()]
+    members, found = tar.index(spark, told, f"{a.archives}/_walk")
+    found = found.persist()
+    ending = A.chain_ending(found.filter("joined or state <> 'crossed'")).select(F.col("archive_id").alias("id"), F.col("state").alias("how"))
+    made = spark.createDataFrame([(ids[key], key[1], key[0], own[0]["total"], now, own[0]["set_hash"]) for key, own in sets.items()], "id long, name string, folder string, total_size long, created_at long, set_hash string")
+    state = F.when(F.col("how").isin("complete", "truncated", "unsupported"), F.col("how")).otherwise("corrupt").alias("state")
+    made = made.join(ending, "id", "left").select("id", "name", "folder", state, "total_size", "created_at", "set_hash").persist()
+    parts = spark.createDataFrame([(ids[key], n, r["name"], r["size"], r["offset"], r["content_hash"]) for key, own in sets.items() for n, r in enumerate(own)], "archive_id long, idx int, name string, size long, offset long, content_hash string")
+    for name, df in (("segments", found), ("members", members), ("parts", parts), ("archives", made)):
+        df.write.mode("append").parquet(f"{a.archives}/{name}")
+    tar.forget_walks(spark, f"{a.archives}/_walk")
+    show(made.select("folder", "name", "state").orderBy("id"))
+    wrong = made.filter("state <> 'complete'").take(1)
+    for df in (files, plan, todo, found, made):
+        df.unpersist()
+    return 1 if wrong else 0
+
+
 def cmd_archive_index(spark, a) -> int:
     """Index the parts of one archive; 1 if the walk did not reach its end.  Cut off, it goes on where it was when called again."""
     parts = store.matching(a.parts)
     if not parts:
         print(f"no files match {a.parts}", file=sys.stderr)
         return 2
-    old = {t: spark.read.parquet(f"{a.archives}/{t}") if os.path.isdir(f"{a.archives}/{t}") else None for t in ("archives", "parts", "segments", "members")}
-    # a number that rows of a cut-off try may bear is not taken again
-    archive_id = max((df.agg(F.max("id" if t == "archives" else "archive_id")).first()[0] or 0 for t, df in old.items() if df is not None), default=0) + 1
+    archive_id = next_archive(spark, a.archives)
     members, segments = (df.withColumn("archive_id", F.lit(archive_id).cast("long")) for df in tar.index(spark, [{"archive_id": 0, "parts": [p.path for p in parts]}], f"{a.archives}/_walk"))
     state = ending_state(segments)
     total = sum(p.size for p in parts)
@@ -164,8 +209,11 @@ def cmd_archive_index(spark, a) -> int:
     rows = [(archive_id, i, p.path, os.path.basename(p.path), p.size, begins[i]) for i, p in enumerate(parts)]
     part_df = spark.createDataFrame(rows, "archive_id long, idx int, path string, name string, size long, offset long")
     hashes = blocks.content_hashes(spark, parts) if a.hash else spark.createDataFrame([], "path string, content_hash string")
-    part_df = part_df.join(hashes, "path", "left").drop("path")
-    archive = spark.createDataFrame([(archive_id, a.name, a.folder, state, total, int(time.time()))], "id long, name string, folder string, state string, total_size long, created_at long")
+    part_df = part_df.join(hashes, "path", "left").drop("path").persist()  # the bytes are hashed once
+    # without all hashes there is no identity to compare by
+    entries = F.sort_array(F.collect_list(F.struct("idx", F.coalesce(F.lower("content_hash"), F.lit("")).alias("content_hash"), "size")))
+    identity = part_df.agg(F.when(F.count("content_hash") == F.count("*"), values.set_hash(entries)).otherwise("").alias("set_hash")).first()["set_hash"]
+    archive = spark.createDataFrame([(archive_id, a.name, a.folder, state, total, int(time.time()), identity)], f"{ARCHIVE}, set_hash string")
     for name, df in (("segments", segments), ("members", members), ("parts", part_df), ("archives", archive)):
         df.write.mode("append").parquet(f"{a.archives}/{name}")
     tar.forget_walks(spark, f"{a.archives}/_walk")
@@ -260,6 +308,17 @@ def cmd_archive_same(spark, a) -> int:
     return 1 if differ else 0
 
 
+def cmd_archive_diagnose(spark, a) -> int:
+    """What windows of the parts hold that walking did not expect: headers off the grid, and numbers off their phase; 1 if there are any."""
+    found = windows.report(spark, store.matching(a.parts), a.window).persist()
+    odd = found.filter("unaligned > 0 or (best_phase > 0 and best_share >= 0.9)")
+    show(odd.orderBy("path", "at").select("path", "at", "aligned", "unaligned", "first_unaligned", "shift", "zeros", "best_phase", "best_share"), 500)
+    show(found.agg(F.count("*").alias("windows"), F.sum("aligned").alias("aligned"), F.sum("unaligned").alias("unaligned"), F.sum("zeros").alias("zeros")))
+    strange = odd.take(1)
+    found.unpersist()
+    return 1 if strange else 0
+
+
 def cmd_archive_verify(spark, a) -> int:
     """Members whose header in the parts no longer says what the index does; 1 if there are any."""
     parts = store.matching(a.parts)
@@ -318,6 +377,7 @@ def parser() -> argparse.ArgumentParser:
     add("sql", cmd_sql, cat, ("sql", {}), ("--rows", {"type": int, "default": 100}))
     add("archive-candidates", cmd_archive_candidates, cat)
     add("archive-index", cmd_archive_index, arch, ("--parts", {"required": True}), ("--name", {"required": True}), ("--folder", {"default": ""}), ("--hash", {"action": "store_true"}))
+    add("archive-run", cmd_archive_run, cat, arch, ("--base", {"default": ""}), ("--limit", {"type": int, "default": 0}))
     add("archive-status", cmd_archive_status, arch)
     add("archive-report", cmd_archive_report, arch, ident)
     add("archive-export", cmd_archive_export, arch, ident, out)
@@ -325,6 +385,7 @@ def parser() -> argparse.ArgumentParser:
     add("archive-cat", cmd_archive_cat, arch, ident, out, where, ("--offset", {"type": int}), ("--tries", {"type": int, "default": 0}), ("path", {}))
     add("archive-same", cmd_archive_same, arch, ident, where, ("--samples", {"type": int, "default": 4}), ("--scope", {"type": int, "default": 0}))
     add("archive-recheck", cmd_archive_recheck, arch, ident, where, out)
+    add("archive-diagnose", cmd_archive_diagnose, where, ("--window", {"type": int, "default": 1 << 20}))
     add("archive-verify", cmd_archive_verify, arch, ident, where)
     add("archive-import", cmd_archive_import, arch, ("--other", {"required": True}), out)
     add("archive-forget", cmd_archive_forget, arch, ident, out)
@@ -337,7 +398,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         a.root = paths_root(a.root)
     try:
         return a.run(spark or session("stowage"), a)
-    except (KF.RulesError, ValueError) as e:
+    except (KF.RulesError, ValueError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 2
 

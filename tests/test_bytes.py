@@ -234,3 +234,34 @@ def test_votes_against_a_loop(spark):
     got = {x["range_id"]: (x["digest"], x["attempts"], x["versions"]) for x in votes.settled(df, ["range_id"]).collect()}
     assert got == {k: plain_vote(v, 6) for k, v in reads.items()}
     assert votes.settled(df.limit(0), ["range_id"]).count() == 0
+
+
+def test_windows_off_the_grid(spark, tmp_path, capsys):
+    """A tar whose second half is shifted by some bytes, and floats that begin at an odd place, against a plain look at every offset."""
+    import numpy as np
+
+    from stowage.sources import windows
+
+    r = random.Random(3)
+    _, data = build(tmp_path, [(f"f{i}", r.randbytes(r.randrange(1, 3000))) for i in range(40)], 1 << 30)
+    half = len(data) // 2 // 512 * 512
+    (tmp_path / "w").mkdir()
+    shifted = data[:half] + b"\x07" * 77 + data[half:]
+    (tmp_path / "w/a").write_bytes(shifted)
+    floats = np.random.default_rng(0).uniform(0.5, 50, 20_000).astype("<f4").tobytes()
+    (tmp_path / "w/b").write_bytes(b"\x01" + floats)
+    (tmp_path / "w/c").write_bytes(b"")
+    found = windows.report(spark, store.matching(f"{tmp_path}/w/*"), 8192)
+    got = {(p.rsplit("/", 1)[1], at): (m, on, off, first, z) for p, at, m, on, off, first, z in rows(found.fillna(-1, ["first_unaligned"]), "path", "at", "magic", "aligned", "unaligned", "first_unaligned", "zeros")}
+    for at in range(0, len(shifted), 8192):
+        begins = [k for k in range(at, min(at + 8192, len(shifted))) if tar.valid(shifted[k : k + 512])]
+        on, off = [k for k in begins if k % 512 == 0], [k for k in begins if k % 512]
+        m, n_on, n_off, first, zeros = got["a", at]
+        assert (n_on, n_off, first, zeros) == (len(on), len(off), off[0] if off else -1, shifted[at : at + 8192].count(0)) and m >= len(begins)
+    assert sum(v[1] + v[2] for k, v in got.items() if k[0] == "a") == 40 and ("c", 0) not in got
+    told = found.filter(F.col("path").endswith("/b")).orderBy("at").collect()
+    assert all(t["best_phase"] == 1 and t["best_share"] > 0.99 for t in told)
+    assert all(s == 77 for (s,) in rows(found.filter("unaligned > 0"), "shift"))
+    assert windows.phases(bytes(15)) == [None] * 4 and windows.phases(bytes(400)) == [1.0] * 4
+    assert cli.main(["archive-diagnose", "--parts", f"{tmp_path}/w/a", "--window", "8192"], spark) == 1
+    assert cli.main(["archive-diagnose", "--parts", f"{tmp_path}/a.tar*"], spark) == 0

@@ -261,3 +261,45 @@ def test_compaction(spark, tmp_path, remove):
     if not remove:
         assert told() == whole
     assert cli.main(["compact", c, *(["--remove"] if remove else [])], spark) == 0
+
+
+def test_run_indexes_all_candidates_of_a_listing(spark, tmp_path, capsys):
+    """Every archive that a listing holds, once, largest first; a second run finds nothing to do, a new archive is taken up."""
+    import hashlib
+
+    from .test_archives import build
+
+    listed = []
+
+    def add(folder, members, part, **kw):
+        at = tmp_path / "base" / folder
+        at.mkdir(parents=True)
+        for path in build(at, members, part, **kw)[0]:
+            data = open(path, "rb").read()
+            listed.append(entry(id=path, name=path.rsplit("/", 1)[1], path_display=f"/{folder}/{path.rsplit('/', 1)[1]}", size=len(data), content_hash=hashlib.sha256(data).hexdigest()))
+
+    def ingest_all(n):
+        (tmp_path / "p").mkdir(exist_ok=True)
+        (tmp_path / "p" / f"{n:08d}.json").write_text(json.dumps({"entries": listed}))
+        sink.write_batch(f"{tmp_path}/c", "/")(listing.read_pages(spark, f"{tmp_path}/p/{n:08d}.json"), n)
+
+    add("x", [(f"d/f{i}", bytes([i]) * 900) for i in range(9)], 5000)
+    add("copy", [(f"d/f{i}", bytes([i]) * 900) for i in range(9)], 5000)
+    add("y", [("big", bytes(30_000))], 20_000)
+    ingest_all(0)
+    run = lambda *a: cli.main(["archive-run", f"{tmp_path}/c", f"{tmp_path}/arch", "--base", f"{tmp_path}/base", *a], spark)
+    assert run("--limit", "1") == 0
+    assert rows(spark.read.parquet(f"{tmp_path}/arch/archives"), "id", "folder", "name", "state") == [(1, "/y", "a.tar", "complete")]
+    assert run() == 0 and run() == 0
+    told = capsys.readouterr().out
+    assert "done\t1" in told and "copy\t1" in told and "done\t2" in told
+    assert rows(spark.read.parquet(f"{tmp_path}/arch/archives"), "id", "folder") == [(1, "/y"), (2, "/copy")]
+    assert spark.read.parquet(f"{tmp_path}/arch/members").groupBy("archive_id").count().orderBy("archive_id").collect() == [(1, 1), (2, 9)]
+    add("z", [("f", bytes(3000))], 100_000, cut=2000)
+    ingest_all(1)
+    assert run() == 1
+    assert rows(spark.read.parquet(f"{tmp_path}/arch/archives"), "id", "folder", "state")[2] == (3, "/z", "truncated")
+    # the catalog can be imported into itself: equal archives replace each other
+    assert cli.main(["archive-import", f"{tmp_path}/arch", "--other", f"{tmp_path}/arch", "--out", f"{tmp_path}/both"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/both/archives").count() == 3
+    assert cli.main(["archive-run", f"{tmp_path}/c", f"{tmp_path}/other", "--base", f"{tmp_path}/nowhere"], spark) == 2
