@@ -86,9 +86,22 @@ def cmd_export(spark, a) -> int:
     return 0
 
 
+#: Columns without which a table is no archive catalog's.
+NEEDED = {
+    "archives": {"id", "name", "folder", "state", "total_size"}, "parts": {"archive_id", "idx", "name", "size"},
+    "segments": {"archive_id", "idx"}, "members": {"archive_id", "hdr_offset", "data_offset", "size", "type", "dir", "name"},
+}
+
+
 def archive_tables(spark, root: str) -> dict[str, DataFrame]:
-    """The archive tables; rows of an archive without its own row, which is written last, belong to a try that was cut off."""
-    t = {t: spark.read.parquet(f"{root}/{t}") for t in ("archives", "parts", "segments", "members")}
+    """The archive tables, refused if one is missing or lacks a column; rows of an archive without its own row, which is written last, belong to a try that was cut off."""
+    t = {}
+    for name, needed in NEEDED.items():
+        if not store.exists(f"{root}/{name}"):
+            raise ValueError(f"{root} holds no archive index: {name} is missing")
+        t[name] = spark.read.parquet(f"{root}/{name}")
+        if lacking := sorted(needed - set(t[name].columns)):
+            raise ValueError(f"{root}/{name} has no column {', '.join(lacking)}")
     told = t["archives"].select(F.col("id").alias("archive_id"))
     return {n: df if n == "archives" else df.join(told, "archive_id", "left_semi") for n, df in t.items()}
 
@@ -182,7 +195,10 @@ def cmd_archive_run(spark, a) -> int:
     found = found.persist()
     ending = A.chain_ending(found.filter("joined or state <> 'crossed'")).select(F.col("archive_id").alias("id"), F.col("state").alias("how"))
     made = spark.createDataFrame([(ids[key], key[1], key[0], own[0]["total"], now, own[0]["set_hash"]) for key, own in sets.items()], "id long, name string, folder string, total_size long, created_at long, set_hash string")
-    state = F.when(F.col("how").isin("complete", "truncated", "unsupported"), F.col("how")).otherwise("corrupt").alias("state")
+    # parts that are not what the listing says, now that they have been read, are of no one archive
+    lying = {key for key, own in sets.items() if [f.size for f in store.files_at([p for t in told if t["archive_id"] == ids[key] for p in t["parts"]])] != [r["size"] for r in own]}
+    changed = F.col("id").isin([ids[key] for key in lying])
+    state = F.when(changed, "stale").when(F.col("how").isin("complete", "truncated", "unsupported"), F.col("how")).otherwise("corrupt").alias("state")
     made = made.join(ending, "id", "left").select("id", "name", "folder", state, "total_size", "created_at", "set_hash").persist()
     parts = spark.createDataFrame([(ids[key], n, r["name"], r["size"], r["offset"], r["content_hash"]) for key, own in sets.items() for n, r in enumerate(own)], "archive_id long, idx int, name string, size long, offset long, content_hash string")
     for name, df in (("segments", found), ("members", members), ("parts", parts), ("archives", made)):
@@ -203,7 +219,9 @@ def cmd_archive_index(spark, a) -> int:
         return 2
     archive_id = next_archive(spark, a.archives)
     members, segments = (df.withColumn("archive_id", F.lit(archive_id).cast("long")) for df in tar.index(spark, [{"archive_id": 0, "parts": [p.path for p in parts]}], f"{a.archives}/_walk"))
-    state = ending_state(segments)
+    state = ending_state(segments.persist())
+    if store.files_at([p.path for p in parts]) != parts:
+        state = "stale"  # a part changed while it was read: what the walk found is of no one archive
     total = sum(p.size for p in parts)
     begins = [0, *itertools.accumulate(p.size for p in parts)]
     rows = [(archive_id, i, p.path, os.path.basename(p.path), p.size, begins[i]) for i, p in enumerate(parts)]

@@ -45,11 +45,11 @@ def export_kinds(cube: DataFrame, out: str) -> None:
 
 
 def export_archive(members: DataFrame, archive_id: int, out: str) -> None:
-    """manifest (in parts, one line a member), by_dir and by_extension of one archive."""
+    """manifest and by_dir (in parts, as there may be very many members and folders) and by_extension of one archive."""
     own = members.filter(F.col("archive_id") == archive_id)
     write_csv_parts(A.manifest(own), f"{out}/manifest")
     sums = A.summary(own)
-    write_csv(sums.filter(F.startswith("section", F.lit("dir"))).orderBy("section", F.desc("bytes"), "key"), f"{out}/by_dir")
+    write_csv_parts(sums.filter(F.startswith("section", F.lit("dir"))).orderBy("section", F.desc("bytes"), "key"), f"{out}/by_dir")
     write_csv(sums.filter("section = 'ext'").orderBy(F.desc("bytes"), "key"), f"{out}/by_extension")
 
 

@@ -299,7 +299,21 @@ def test_run_indexes_all_candidates_of_a_listing(spark, tmp_path, capsys):
     ingest_all(1)
     assert run() == 1
     assert rows(spark.read.parquet(f"{tmp_path}/arch/archives"), "id", "folder", "state")[2] == (3, "/z", "truncated")
+    # a part that is no longer what the listing says
+    add("v", [("f", bytes(3000))], 100_000)
+    listed[-1]["size"] += 1
+    ingest_all(2)
+    assert run() == 1 and rows(spark.read.parquet(f"{tmp_path}/arch/archives"), "id", "folder", "state")[3] == (4, "/v", "stale")
     # the catalog can be imported into itself: equal archives replace each other
     assert cli.main(["archive-import", f"{tmp_path}/arch", "--other", f"{tmp_path}/arch", "--out", f"{tmp_path}/both"], spark) == 0
-    assert spark.read.parquet(f"{tmp_path}/both/archives").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/both/archives").count() == 4
     assert cli.main(["archive-run", f"{tmp_path}/c", f"{tmp_path}/other", "--base", f"{tmp_path}/nowhere"], spark) == 2
+
+
+def test_catalogs_that_are_none_are_refused(spark, tmp_path, capsys):
+    assert cli.main(["archive-verify", f"{tmp_path}/none", "--id", "1", "--parts", "x"], spark) == 2
+    assert "holds no archive index" in capsys.readouterr().err
+    for name in ("archives", "parts", "segments", "members"):
+        spark.createDataFrame([(1,)], "id long").write.parquet(f"{tmp_path}/c/{name}")
+    assert cli.main(["archive-verify", f"{tmp_path}/c", "--id", "1", "--parts", "x"], spark) == 2
+    assert "has no column folder, name, state, total_size" in capsys.readouterr().err
