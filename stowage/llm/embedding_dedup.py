@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import components, materialize, parallelism
 from .vectors import as_numbers, lengths, matrix, usable
 
-#: Expected vectors in a filter, and the largest block that one task compares with itself or another block.
-BUCKET, BLOCK = 256, 2048
+#: Expected vectors in a filter, the largest block that is compared with itself or another block at once, and the most vectors of a task.
+BUCKET, BLOCK, GROUP = 256, 2048, 16384
 #: Chance that all of a vector's filters miss a partner at the very threshold, for independent filters.
 MISS = 1e-6
 
@@ -112,16 +112,16 @@ def linked_groups(close: np.ndarray) -> np.ndarray:
     return labels
 
 
-def compare(name: int, cross: bool, threshold: float, rep: np.ndarray, copies: np.ndarray, unit: np.ndarray, caps: list[np.ndarray], second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(name: int, threshold: float, rep: np.ndarray, copies: np.ndarray, unit: np.ndarray, caps: list[np.ndarray], apart: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rep, links, root) for the rows of one filter that have a link here.
 
     Every pair at the threshold joins groups; it is counted (with the partner's copies) only in the smallest
-    filter that both are in.  Memory: two boolean matrices of the block, whatever the number of filters.
+    filter that both are in.  ``apart``: labels by which a pair must differ.  Memory: two boolean matrices of the block, whatever the number of filters.
     """
     close = unit @ unit.T >= threshold
     np.fill_diagonal(close, False)
-    if cross:
-        close &= second[:, None] != second[None, :]
+    for label in apart:
+        close &= label[:, None] != label[None, :]
     some = np.nonzero(close.any(axis=1))[0]
     close = close[np.ix_(some, some)]
     rep, copies = rep[some], copies[some]
@@ -143,6 +143,18 @@ def compare(name: int, cross: bool, threshold: float, rep: np.ndarray, copies: n
     return rep, links.astype(np.int64), roots
 
 
+def compare_filter(name: int, threshold: float, rows: np.ndarray, rep: np.ndarray, copies: np.ndarray, unit: np.ndarray, caps: list[np.ndarray], own: np.ndarray | None) -> Iterator[tuple]:
+    """As :func:`compare` for the ``rows`` of a filter, however many, every two blocks of them at a time; ``own``: a label by which pairs must differ."""
+    blocks = np.array_split(rows, -(-len(rows) // BLOCK)) if len(rows) <= BLOCK else np.array_split(rows, -(-2 * len(rows) // BLOCK))
+    for i, p in enumerate(blocks):
+        for j in range(i, len(blocks)):
+            both = p if i == j else np.concatenate([p, blocks[j]])
+            apart = [] if own is None else [own[both]]
+            if i != j:
+                apart.append(np.repeat([0, 1], [len(p), len(blocks[j])]))
+            yield compare(name, threshold, rep[both], copies[both], unit[both], [caps[k] for k in both], apart)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs with cosine of at least ``threshold``.
 
@@ -184,25 +196,42 @@ def links_of_length(good: DataFrame, dim: int, threshold: float) -> DataFrame:
     name_of = pa.list_(pa.int32() if small else pa.int64())
     spread = same.select("vector", "rep", "copies").repartition(parallelism(spark), "rep")
     decoded = materialize(spread.mapInArrow(caps, f"vector {kind}, rep long, copies long, caps array<{'int' if small else 'long'}>"))
-    sizes = decoded.select(F.explode("caps").alias("cap")).groupBy("cap").agg(F.count("*").alias("n"))
+    # filters that differ in their last codeword only share a task where that is not too much, so a vector travels once for all of these
+    prefix = F.array_distinct(F.transform("caps", lambda c: F.call_function("div", c, F.lit(code.size))))
+    shared = code.blocks > 1 and (decoded.agg(F.sum(F.size(prefix))).first()[0] or 0) <= GROUP / 2 * code.size ** (code.blocks - 1)
+    limit = GROUP if shared else BLOCK
+    dealt = decoded.withColumn("grp", F.explode(prefix if shared else F.col("caps")))
+    sizes = dealt.groupBy("grp").agg(F.count("*").alias("n"))
     # stored first: Spark then knows its size, and broadcasts it only if that is small
-    heavy = materialize(sizes.filter(F.col("n") > BLOCK).select("cap", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts")))
-    each = decoded.select("*", F.explode("caps").alias("cap")).join(heavy, "cap", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    heavy = materialize(sizes.filter(F.col("n") > limit).select("grp", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("parts")))
+    each = dealt.join(heavy, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     each = each.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     each = each.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("parts", "other")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        cross = key[1].as_py() != key[2].as_py()
+        group, cross = key[0].as_py(), key[1].as_py() != key[2].as_py()
         x = matrix(table["vector"])
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         lists = table["caps"].combine_chunks()
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         filters = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        rep, links, root = compare(key[0].as_py(), cross, threshold, table["rep"].to_numpy(), table["copies"].to_numpy().astype(np.float64), unit, filters, table["own"].to_numpy())
-        return pa.table({"rep": rep, "links": links, "root": root})
-
-    found = materialize(each.groupBy("cap", "i", "j").applyInArrow(search, "rep long, links long, root long"))
+        rep, copies, own = table["rep"].to_numpy(), table["copies"].to_numpy().astype(np.float64), table["own"].to_numpy() if cross else None
+        # this group's filters, each with its rows
+        row = np.repeat(np.arange(len(rep)), np.diff(ends))
+        here = flat // code.size == group if shared else flat == group
+        names, row = flat[here], row[here]
+        order = np.argsort(names, kind="stable")
+        names, row = names[order], row[order]
+        told = [[np.empty(0, np.int64)] for _ in range(3)]
+        for rows in np.split(np.arange(len(names)), np.flatnonzero(np.diff(names)) + 1):
+            if len(rows) > 1:
+                for part in compare_filter(int(names[rows[0]]), threshold, row[rows], rep, copies, unit, filters, own):
+                    for column, values in zip(told, part):
+                        column.append(values)
+        return pa.table({c: np.concatenate(v).astype(np.int64) for c, v in zip(("rep", "links", "root"), told)})
+
+    found = materialize(each.groupBy("grp", "i", "j").applyInArrow(search, "rep long, links long, root long"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("rep"), "component")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_vector = same.join(counted, "rep", "left").join(groups, "rep", "left").select(

@@ -32,9 +32,10 @@ def brute(x, threshold):
     return close.sum(1), embedding_dedup.linked_groups(close)
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_links_and_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "group"), [(2048, 16384), (16, 16384), (16, 40), (16, 1)])
+def test_links_and_groups(spark, monkeypatch, block, group):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "GROUP", group)
     x = vectors()
     alone = [9.0, -9.0] * 8
     df = frame(spark, x)
