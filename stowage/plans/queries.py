@@ -199,14 +199,36 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ranked_tables(G.folder_figures(f, LISTED), G.held_elsewhere(f), dup_share=0.3)["dup"].select("folder", "size", "held").limit(100)
 
 
-@query()
+@query("WITH RECURSIVE " + listing(HELD_SQL + """, sized AS (SELECT ancestor AS folder, CAST(sum(size) AS BIGINT) AS size FROM files JOIN up USING (folder) GROUP BY 1),
+ranked AS (SELECT row_number() OVER (ORDER BY held DESC, folder) AS k, folder, size, held FROM sized JOIN held USING (folder) WHERE held >= 0.3 * size),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL
+  SELECT r.k, CASE WHEN len(w.taken) >= 25 OR len(list_filter(w.taken, lambda t: t = r.folder OR starts_with(r.folder, t || '/') OR starts_with(t, r.folder || '/'))) > 0 THEN w.taken ELSE list_append(w.taken, r.folder) END
+  FROM walk w JOIN ranked r ON r.k = w.k + 1)
+SELECT folder, size, held FROM ranked WHERE list_contains((SELECT arg_max(taken, k) FROM walk), folder)""").removeprefix("WITH "))
 def chosen_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     ranked = G.ranked_tables(G.folder_figures(f, LISTED), G.held_elsewhere(f), dup_share=0.3)["dup"].select("folder", "size", "held")
     return spark.createDataFrame([tuple(r) for r in G.choose(ranked)], ranked.schema)
 
 
-@query()
+@query(listing(""", here AS (SELECT * FROM files WHERE folder = '/asia' OR starts_with(folder, '/asia/')),
+tree AS (SELECT DISTINCT u.ancestor AS folder, regexp_replace(u.ancestor, '/[^/]*$', '') AS parent FROM here JOIN up u ON u.folder = here.folder WHERE u.ancestor = '/asia' OR starts_with(u.ancestor, '/asia/')),
+own AS (SELECT folder, count(*) AS n, sum(size) AS size FROM here GROUP BY 1),
+dirs AS (SELECT t.folder, t.parent, CAST(sum(o.size) AS BIGINT) AS size, CAST(sum(o.n) AS BIGINT) AS files, (SELECT count(*) FROM tree b WHERE starts_with(b.folder, t.folder || '/')) AS folders, (SELECT count(*) FROM tree b WHERE b.parent = t.folder) + coalesce((SELECT n FROM own WHERE own.folder = t.folder), 0) AS entries
+  FROM tree t JOIN up u ON u.ancestor = t.folder JOIN own o ON o.folder = u.folder GROUP BY t.folder, t.parent),
+steps AS (SELECT k, CAST(1048576 * CAST(power(2, k) AS BIGINT) AS BIGINT) AS t FROM unnest(range(0, 40)) AS r(k)),
+inside AS (SELECT parent AS folder, size FROM dirs WHERE folder <> '/asia' UNION ALL SELECT folder, size FROM here),
+least AS (SELECT folder, min(size) AS size FROM inside GROUP BY 1),
+of_dirs AS (SELECT k, count(*) + count(*) FILTER (l.size < t) AS n FROM steps, dirs d LEFT JOIN least l ON l.folder = d.folder WHERE d.size >= t OR d.folder = '/asia' GROUP BY 1),
+of_files AS (SELECT k, count(*) AS n FROM steps, here WHERE size >= t GROUP BY 1),
+at_ AS (SELECT min(t) AS t FROM steps LEFT JOIN of_dirs USING (k) LEFT JOIN of_files USING (k) WHERE coalesce(of_dirs.n, 0) + coalesce(of_files.n, 0) <= 500 OR t > (SELECT size FROM dirs WHERE folder = '/asia')),
+shown AS (SELECT dirs.* FROM dirs, at_ WHERE size >= t OR folder = '/asia'), loose AS (SELECT here.* FROM here, at_ WHERE size >= t),
+taken AS (SELECT parent, sum(size) AS size, sum(files) AS files, sum(folders) AS folders, count(*) AS n FROM (SELECT parent, size, files, folders + 1 AS folders FROM shown WHERE folder <> '/asia' UNION ALL SELECT folder, size, 1, 0 FROM loose) GROUP BY 1)
+SELECT 'dir' AS kind, CASE WHEN folder <> '/asia' THEN parent END AS parent, folder AS name, size, files, folders, CAST(0 AS BIGINT) AS entries FROM shown
+UNION ALL SELECT 'file', folder, name, size, 1, 0, 0 FROM loose
+UNION ALL SELECT 'fold', s.folder, '', CAST(s.size - coalesce(t.size, 0) AS BIGINT), CAST(s.files - coalesce(t.files, 0) AS BIGINT), CAST(s.folders - coalesce(t.folders, 0) AS BIGINT), CAST(s.entries - coalesce(t.n, 0) AS BIGINT) FROM shown s LEFT JOIN taken t ON t.parent = s.folder WHERE s.entries - coalesce(t.n, 0) > 0"""))
 def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     return G.layout(f, G.folder_figures(f, LISTED), "/asia", 1 << 20, 500)[1]
