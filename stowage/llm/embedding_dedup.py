@@ -234,8 +234,10 @@ def links_of_length(good: DataFrame, dim: int, threshold: float) -> DataFrame:
     found = materialize(each.groupBy("grp", "i", "j").applyInArrow(search, "rep long, links long, root long"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("rep"), "component")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_vector = same.join(counted, "rep", "left").join(groups, "rep", "left").select(
-        "vector", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+    # 128 bits of a vector stand for it from here on
+    name = [F.xxhash64("vector").alias("h0"), F.xxhash64(F.lit(1), F.col("vector")).alias("h1")]
+    by_vector = same.select("rep", "least", "copies", *name).join(counted, "rep", "left").join(groups, "rep", "left").select(
+        "h0", "h1", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )
     ids = by_vector.groupBy("component").agg(F.min("least").alias("component_id"))
-    return good.join(by_vector.join(ids, "component"), "vector").select("vec_id", "n_links", "component_id")
+    return good.select("vec_id", *name).join(by_vector.join(ids, "component"), ["h0", "h1"]).select("vec_id", "n_links", "component_id")

@@ -55,6 +55,13 @@ def test_links_and_groups(spark, monkeypatch, block, group):
     assert embedding_dedup.near_duplicates(frame(spark, x).limit(0)).count() == 0
 
 
+def test_both_zeros_are_equal(spark):
+    rows = [(1, [0.0, 1.0, 2.0]), (2, [-0.0, 1.0, 2.0]), (3, [1.0, 0.0, -0.0]), (4, [1.0, -0.0, 0.0])]
+    for kind in ("float", "double"):
+        got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+        assert sorted((g["vec_id"], g["n_links"], g["component_id"]) for g in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3)]
+
+
 def test_partners_at_the_threshold_share_a_filter():
     rng = np.random.default_rng(2)
     for n, dim in ((10_000, 64), (300_000, 64), (100_000, 256)):
