@@ -222,6 +222,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: flo
     cells the stopping test leaves, and how far it goes in their trees.  Blocks of QUERIES queries meet a tree in a task, so neither
     side is ever collected.  Ties go to the smaller key.  Rows are searched among those of equal length.  Vectors that are null,
     zero, or hold null or non-finite components take no part, nor do rows without a key; rows that repeat key and vector count once.
+    An empty table on either side gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
 

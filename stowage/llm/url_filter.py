@@ -78,7 +78,8 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     """Verdict of every url: that of the longest rule that fits its host (or a parent domain) and begins its path.
 
     Returns (key, host, path, rule, verdict).  A null url, or one without "://", has an empty host and path;
-    where no rule fits, rule is null and the verdict is ``default``.  Repeated rows are each judged.
+    where no rule fits, rule is null and the verdict is ``default``.  Rows without a key and repeated rows are each judged; a url of any length
+    is read whole; an empty table gives an empty result; further columns are ignored.
     """
     bad = [r for r in rules if r[2] not in ("allow", "block")]
     if bad:

@@ -112,3 +112,14 @@ def test_many_rules_of_one_host():
     for i in range(2000):
         assert url_filter.longest_match(trie, "y.org", f"/p{i}x")[0].startswith("y.org/p")
     assert time.process_time() - began < 2
+
+
+def test_odd_rows_of_urls(spark):
+    """Very long urls, rows without a key, repeated rows, and columns whose names clash with those of the result."""
+    long_path = "/en/" + "a/" * 500_000
+    rows = [(1, f"http://example.net{long_path}", "r", 1), (2, "http://" + "x." * 300_000 + "org/fr/", "r", 2), (None, "http://x.net/", "r", 3), (3, None, "r", 4), (3, None, "r", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string, path int")
+    got = url_filter.judge(df, RULES)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    told = sorted((str(g["page_id"]), len(g["host"]), len(g["path"]), g["rule"], g["verdict"]) for g in got.collect())
+    assert told == [("1", 11, len(long_path), "example.net/en/", "allow"), ("2", 600_003, 4, "org/fr/", "allow"), ("3", 0, 0, None, "allow"), ("3", 0, 0, None, "allow"), ("None", 5, 1, "net/", "block")]
