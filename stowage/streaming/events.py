@@ -64,7 +64,8 @@ def overloads_of(limited: DataFrame, width: float = 3600.0) -> DataFrame:
     """As :func:`overloads`, for a table: (source, overload, ts), a source being worked on in as many stretches as it has pauses.
 
     A row that comes after the end of every pause before it (a pause counting a second at least) surely begins an overload.  These ends are
-    running maxima, which are found in stretches of ``width`` seconds; from one such row to the next a task follows the rows in their order.
+    running maxima, which are found in stretches of ``width`` seconds; from one such row to the next a task follows the rows in their order,
+    those of a stretch's beginnings together.
     """
     end = F.col("ts") + F.greatest("retry_after", F.lit(1.0))
     rows = limited.select("source", "ts", "retry_after", end.alias("_end"), F.floor(F.col("ts") / F.lit(width)).alias("_stretch"))
@@ -83,7 +84,8 @@ def overloads_of(limited: DataFrame, width: float = 3600.0) -> DataFrame:
     # stretches without one belong to the last of an earlier stretch
     last = tops.select("source", "_stretch").join(last, ["source", "_stretch"], "left").withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).select("source", "_stretch", "_carried")
     runs = marks.join(last, ["source", "_stretch"]).select("source", "ts", "retry_after", F.coalesce("_mark", "_carried").alias("_run"))
-    found = runs.groupBy("source", "_run").applyInPandas(_overloads_of_run, "source string, ts double")
+    # runs that begin in one stretch share a task: each begins with a row that surely begins an overload, so they are followed one after the other
+    found = runs.groupBy("source", F.floor(F.col("_run") / F.lit(width)).alias("_begun")).applyInPandas(_overloads_of_runs, "source string, ts double")
     # numbered in stretches too
     found = found.withColumn("_stretch", F.floor(F.col("ts") / F.lit(width)))
     counts = found.groupBy("source", "_stretch").agg(F.count("*").alias("_n"))
@@ -104,7 +106,7 @@ def _begins(rows: pd.DataFrame, until: float) -> tuple[list[float], float]:
     return out, until
 
 
-def _overloads_of_run(rows: pd.DataFrame) -> pd.DataFrame:
+def _overloads_of_runs(rows: pd.DataFrame) -> pd.DataFrame:
     out, _ = _begins(rows.sort_values(["ts", "retry_after"]), float("-inf"))
     return pd.DataFrame({"source": rows["source"].iloc[0], "ts": out})
 
