@@ -60,7 +60,7 @@ def rates(ticks: DataFrame, key: str = "run", width: int = 86400) -> DataFrame:
     return told.select(*ticks.columns, F.when(d_time > 0, d_files / d_time).alias("rate"))
 
 
-def overloads_of(limited: DataFrame, width: float = 3600.0) -> DataFrame:
+def overloads_of(limited: DataFrame, width: float = 86400.0) -> DataFrame:
     """As :func:`overloads`, for a table: (source, overload, ts), a source being worked on in as many stretches as it has pauses.
 
     A row that comes after the end of every pause before it (a pause counting a second at least) surely begins an overload.  These ends are
