@@ -86,10 +86,11 @@ def counterparts(files: DataFrame, chosen: DataFrame, floor: int = 1) -> DataFra
     these that hold it, and only they are joined with the chosen folders that hold it, however many folders its copies lie in.
     """
     sized = files.filter(F.col("content_hash").isNotNull() & (F.col("size") > 0))
-    own = sized.groupBy("content_hash", "folder").agg(F.sum("size").alias("bytes"))
     mine_folder = chosen.select(F.col("folder").alias("mine")).distinct()
-    owners = spread_up(own.select("folder").distinct(), "folder", "mine").join(mine_folder, "mine", "left_semi")
-    mine = own.join(owners, "folder").groupBy("content_hash", "mine").agg(F.sum("bytes").alias("bytes"))
+    # what depends on folders only is worked out once for each, not for each file
+    folders = sized.select("folder").distinct()
+    owners = spread_up(folders, "folder", "mine").join(mine_folder, "mine", "left_semi")
+    mine = sized.join(owners, "folder").groupBy("content_hash", "mine").agg(F.sum("size").alias("bytes"))
     # where another path may leave a chosen folder's: at any folder above it, and at the top; next: the chosen folder's own step from there
     up = paths.ancestors(F.col("mine"))
     forks = mine_folder.select("mine", F.posexplode(F.concat(F.array(F.lit("")), up)).alias("k", "fork")).filter(F.col("fork") != F.col("mine"))
@@ -98,7 +99,8 @@ def counterparts(files: DataFrame, chosen: DataFrame, floor: int = 1) -> DataFra
     steps = F.transform(there, lambda a, i: F.struct(F.when(i == 0, "").otherwise(F.element_at(there, F.greatest(i, F.lit(1)))).alias("fork"), a.alias("step"), F.coalesce(F.try_element_at(there, F.greatest(i + 1, F.lit(floor))), F.col("folder")).alias("place")))
     # a copy right in a folder above a chosen one has no step of its own
     steps = F.concat(steps, F.array(F.struct(F.col("folder").alias("fork"), F.lit("").alias("step"), F.col("folder").alias("place"))))
-    spots = own.select("content_hash", F.explode(steps).alias("s")).select("content_hash", "s.*").join(forks.select("fork").distinct(), "fork", "left_semi").distinct()
+    spots_of = folders.select("folder", F.explode(steps).alias("s")).select("folder", "s.*").join(forks.select("fork").distinct(), "fork", "left_semi")
+    spots = sized.select("content_hash", "folder").join(spots_of, "folder").select("content_hash", "fork", "step", "place").distinct()
     credit = (
         mine.join(forks, "mine").join(spots, ["content_hash", "fork"]).filter("step <> next")
         .select("content_hash", "mine", "bytes", "place").distinct().groupBy("mine", "place").agg(F.sum("bytes").alias("bytes"))
