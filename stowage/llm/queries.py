@@ -41,8 +41,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+    rows = quality.measured(table(spark, sf_dir, "documents"))
+    return quality.score_measured(rows, quality.fit(rows, table(spark, sf_dir, "labels")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

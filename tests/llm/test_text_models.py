@@ -354,3 +354,23 @@ def test_models_do_not_depend_on_the_order_of_rows(spark, tables):
     assert np.allclose(a.weights, b.weights)
     assert toxicity.grade(one, toxicity.train(one, marks)).columns == ["doc_id", "severity", "grade", "toxic", "held_out"]
     assert quality.score(one, a).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Means and cut are those of all 4,800 labelled rows that are not held out, more than a model was fitted on before."""
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice(["alpha", "Beta", "GAMMA", "x9", "##", "end."]) for _ in range(r.randint(1, 30))) + (" !!!" if i % 12 == 0 else "")) for i in range(6000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.train(d, spark.createDataFrame([(i, int(i % 12 != 0)) for i, _ in docs], "doc_id long, quality int"))
+    known = [(i, quality.text_features(t)) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    x = np.array([f for _, f in known])
+    assert (sum(i % 12 != 0 for i, _ in known)) > 4000
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-9) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), rtol=1e-9)
+    strength = np.sort(model.strength(x))
+    n = sum(i % 12 == 0 for i, _ in known)
+    assert model.cut == pytest.approx((strength[n - 1] + strength[n]) / 2, abs=1e-9)
+
+
+def test_places_in_an_order(spark):
+    rows = spark.range(1000).select((quality.F.col("id") * 7919 % 1000).alias("v")).repartition(7)
+    assert all(a["v"] == a["at"] for a in quality.in_order(rows, "v").collect())
