@@ -27,15 +27,18 @@ def skipped(files: DataFrame) -> DataFrame:
     return candidate_files(files).filter(F.col("what").isin("compressed", "other")).groupBy("what").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def part_rows(files: DataFrame) -> DataFrame:
-    """Every file that belongs to a candidate (folder, base), with suffix, its number, and the part's offset.
+def part_rows(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Every file that belongs to a candidate (folder, base), with suffix, its number, and the part's offset; in ``tasks`` partitions, if given.
 
     A file belongs to every base in its folder that its name begins with; those that are no well-formed part are marked ``foreign``.
     """
-    found = candidate_files(files).filter("base is not null").select("folder", "base").distinct()
+    found = candidate_files(files).filter("base is not null").select("folder", "base")
+    found = (found.repartition(tasks, "folder", "base") if tasks else found).distinct()
     # names that begin with a base have it up to ".tar", so bases are looked up by equality
     stems = F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\.tar", -1)) - 1), lambda n: F.concat(F.array_join(F.slice(F.split("name", r"\.tar", -1), 1, n), ".tar"), F.lit(".tar")))
     tarred = files.filter(F.contains("name", F.lit(".tar"))).withColumn("base", F.explode(F.array_distinct(stems)))
+    if tasks:
+        tarred = tarred.repartition(tasks, "folder", "base")
     rows = tarred.join(found, ["folder", "base"])
     rest = F.expr("substring(name, length(base) + 1)")
     suffix = F.regexp_extract(rest, r"^\.(?:part[-_]?)?([a-z]{2,}|\d{2,})$", 1)
@@ -44,12 +47,13 @@ def part_rows(files: DataFrame) -> DataFrame:
     return rows.withColumn("offset", cumulative_offset([F.col("number"), F.col("name")], ["folder", "base"]))
 
 
-def candidate_sets(files: DataFrame) -> DataFrame:
+def candidate_sets(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """(folder, name, size, n_parts, set_hash, status, detail): archives that the listing holds, whole or in parts.
 
+    ``tasks``: of the steps that bring a set's parts together, for listings that are too large for the session's usual number.
     status: ok, copy (of an earlier one in order of size, folder and name with the same parts) or refused, with the reason.
     """
-    rows = part_rows(files)
+    rows = part_rows(files, tasks)
     entry = F.struct("number", "name", F.coalesce(F.lower("content_hash"), F.lit("")).alias("content_hash"), "size")
     length, digits = F.when(~F.col("whole"), F.length("suffix")), F.when(~F.col("whole"), F.col("suffix").rlike(r"^\d+$"))
     sets = rows.groupBy("folder", "base").agg(
@@ -74,9 +78,11 @@ def candidate_sets(files: DataFrame) -> DataFrame:
     fine = F.col("reason").isNull()
     path = F.concat("folder", F.lit("/"), "base")
     first = judged.filter(fine).groupBy("set_hash").agg(F.min(F.struct((-F.col("size")).alias("s"), "folder", "base")).alias("first"))
-    first = first.select("set_hash", F.concat("first.folder", F.lit("/"), "first.base").alias("lead"))
+    first = first.select(F.col("set_hash").alias("same"), F.concat("first.folder", F.lit("/"), "first.base").alias("lead"))
     copy = fine & (F.col("lead") != path)
-    return judged.join(first, "set_hash", "left").select(
+    # refused sets have no hash in common with any: each goes by its path, which has a "/", so they are not all one task's
+    judged = judged.withColumn("same", F.when(fine, F.col("set_hash")).otherwise(path))
+    return judged.join(first, "same", "left").select(
         "folder", F.col("base").alias("name"), "size", "n_parts", "set_hash",
         F.when(~fine, "refused").when(copy, "copy").otherwise("ok").alias("status"),
         F.when(~fine, F.col("reason")).when(copy, F.concat(F.lit("copy of "), "lead")).otherwise("").alias("detail"),
@@ -90,10 +96,10 @@ def part_gaps(parts: DataFrame, keys: list[str], number: str = "number") -> Data
     return parts.withColumn("missing_from", before + 1).withColumn("missing", F.col(number) - before - 1).filter("missing > 0")
 
 
-def seed_segments(parts: DataFrame) -> DataFrame:
-    """A segment for each part: from its offset to the next part's; the last one has no stop."""
+def seed_segments(parts: DataFrame, keep: list[str] = []) -> DataFrame:
+    """A segment for each part: from its offset to the next part's; the last one has no stop.  Columns to ``keep`` follow."""
     order = Window.partitionBy("archive_id").orderBy("idx")
-    return parts.select("archive_id", "idx", F.col("offset").alias("scan_from"), F.lead("offset").over(order).alias("stop_at"), F.lit("pending").alias("state"))
+    return parts.select("archive_id", "idx", F.col("offset").alias("scan_from"), F.lead("offset").over(order).alias("stop_at"), F.lit("pending").alias("state"), *keep)
 
 
 def segment_chain(segments: DataFrame) -> DataFrame:

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task of an explicit repartition gets, about.
+TASK_ROWS = 250_000
+
+
+def tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks among which rows of a table go, so that a task's memory does not grow with the table; the count reads footers only."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // TASK_ROWS))
+
+
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as folders below /region/nation."""
     t = lambda n: table(spark, sf_dir, n)

@@ -21,7 +21,7 @@ from ..operators import tree as T
 from ..session import work_dir
 from ..streaming import events as E
 from ..streaming import shards as S
-from .adapters import ARCHIVES_SQL, FILES_SQL, LISTED, MEMBERS_SQL, SAMPLE_ROWS_SQL, SAMPLE_RULES, archives, files, members, sample_files, sample_index, table
+from .adapters import ARCHIVES_SQL, FILES_SQL, LISTED, MEMBERS_SQL, SAMPLE_ROWS_SQL, SAMPLE_RULES, archives, files, members, sample_files, sample_index, table, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -403,7 +403,8 @@ def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines of some orders as parts a.tar.aa, a.tar.ab, ... in a folder for each order."""
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("q"), F.max("l_partkey").alias("p"))  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").repartition(tasks(spark, sf_dir, "lineitem"), "l_orderkey")  # noqa: E741
+    l = l.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("q"), F.max("l_partkey").alias("p"))  # noqa: E741
     name = F.concat(F.lit("a.tar.a"), F.char((F.col("l_linenumber") + 96).cast("int")))
     return l.select(F.concat(F.lit("/o/"), F.col("l_orderkey").cast("string")).alias("folder"), name.alias("name"), F.col("q").alias("size"), F.concat_ws(":", (F.col("p") % 5).cast("string"), F.col("q").cast("string")).alias("content_hash"), "l_orderkey", F.col("l_linenumber").alias("number"))
 
@@ -417,7 +418,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN fine THEN h ELSE
 SELECT folder, name, size, n_parts, CASE WHEN fine THEN h ELSE '' END AS set_hash, CASE WHEN NOT fine THEN 'refused' WHEN k > 1 THEN 'copy' ELSE 'ok' END AS status,
   CASE WHEN NOT fine THEN why WHEN k > 1 THEN 'copy of ' || lead || '/a.tar' ELSE '' END AS detail FROM ranked""")
 def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.candidate_sets(_part_files(spark, sf_dir).drop("l_orderkey", "number"))
+    return A.candidate_sets(_part_files(spark, sf_dir).drop("l_orderkey", "number"), tasks(spark, sf_dir, "lineitem"))
 
 
 @query(f"WITH {PARTS_SQL} SELECT l_orderkey, number, CAST(coalesce(sum(size) OVER (PARTITION BY l_orderkey ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ FROM parts")

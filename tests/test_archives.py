@@ -234,3 +234,30 @@ def test_copies_of_one_set(spark):
     plan = A.run_plan(c, none, spark.createDataFrame([], "archive_id long"))
     assert {(j, n) for j, n in rows(plan.filter("folder = '/d000'"), "job", "copies")} == {("new", 59)}
     assert rows(A.copies_of(c), "folder", "copy")[0] == ("/d000", "/d001/a.tar") and A.copies_of(c).count() == 59
+
+
+def test_refused_sets_are_not_one_task(spark, monkeypatch):
+    """Every set goes by a key of its own to the join with the first of its identity, refused ones too; tasks change nothing."""
+    listed = [(f"/d{i}/x.tar.ab", 10, str(i), 1) for i in range(50)] + [(f"/e{i}/x.tar.aa", 10, "same", 1) for i in range(3)]
+    seen = []
+    kind = type(spark.range(1))
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: seen.append((self, on)) or join(self, other, on, how))
+    want = rows(A.candidate_sets(files(spark, listed)), "folder", "status", "detail")
+    left, on = seen[-1]
+    assert left.select(on).distinct().count() == 51
+    monkeypatch.undo()
+    assert [s for _, s, _ in want].count("refused") == 50 and [s for _, s, _ in want].count("copy") == 2
+    assert rows(A.candidate_sets(files(spark, listed), 7), "folder", "status", "detail") == want
+
+
+def test_order_archives_keep_a_tasks_rows(spark):
+    """As many tasks as the table has rows for, and each scan is shuffled once by archive."""
+    from stowage.plans import adapters, queries
+
+    sf = "/root/testdata/sf0.01"
+    assert adapters.tasks(spark, sf, "lineitem") == 4
+    for name, most in (("coverage", 2), ("archive_summary", 1)):
+        found = queries.QUERIES[name](spark, sf)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, plan
