@@ -434,8 +434,7 @@ def part_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _part_files(spark, sf_dir).withColumn("offset", ranges.cumulative_offset([F.col("number")], ["l_orderkey"]))
-    seeded = A.seed_segments(p.select(F.col("l_orderkey").alias("archive_id"), F.col("number").alias("idx"), "offset", "size"))
-    sized = seeded.join(p.select(F.col("l_orderkey").alias("archive_id"), F.col("number").alias("idx"), "size"), ["archive_id", "idx"])
+    sized = A.seed_segments(p.select(F.col("l_orderkey").alias("archive_id"), F.col("number").alias("idx"), "offset", "size"), ["size"])
     last = F.col("stop_at").isNull()
     state = F.when(last, "complete").when(F.col("size") % 9 == 0, "corrupt").otherwise("crossed")
     exit_ = F.col("scan_from") + F.col("size") + F.when(F.col("size") % 11 == 0, 1).otherwise(0)
