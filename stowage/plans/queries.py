@@ -501,7 +501,8 @@ k AS (SELECT archive_id, size, 'total' AS section, '' AS key FROM x UNION ALL SE
 UNION ALL SELECT archive_id, size, 'dir' || n, CASE WHEN dir = '' THEN '(root)' ELSE array_to_string(list_slice(string_split(dir, '/'), 1, n), '/') END FROM x, unnest([1, 2, 3]) AS t(n) WHERE f)
 SELECT archive_id, section, key, count(*) AS members, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP BY 1, 2, 3""")
 def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.summary(members(spark, sf_dir))
+    # few members to an archive here, so all its sums are made where its members are
+    return A.summary(members(spark, sf_dir).repartition(tasks(spark, sf_dir, "lineitem"), "archive_id"))
 
 
 @query(f"WITH {MEMBERS_SQL} SELECT archive_id, hdr_offset, size, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY size DESC, hdr_offset) AS place FROM members) WHERE place <= 3")
