@@ -6,11 +6,12 @@ members(archive_id, type, dir, name, size, mtime).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..functions import paths, values
+from ..session import stored
 from .reports import under as at_or_below
 from .tree import nearest_shown, spread_up
 
@@ -26,7 +27,11 @@ def regular(members: DataFrame) -> DataFrame:
 
 def archive_trust(archives: DataFrame, members: DataFrame) -> DataFrame:
     """archives with ``listed`` bytes, ``finished`` and ``trusted``: a finished walk, or at least half the bytes listed, and any at all."""
-    listed = regular(members).groupBy(F.col("archive_id").alias("id")).agg(F.sum("size").alias("listed"))
+    return _trust(archives, regular(members))
+
+
+def _trust(archives: DataFrame, sized: DataFrame) -> DataFrame:
+    listed = sized.groupBy(F.col("archive_id").alias("id")).agg(F.sum("size").alias("listed"))
     known = archives.join(listed, "id", "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
     finished = F.col("state").isin(*FINISHED)
     trusted = (F.col("listed") > 0) & (finished | (F.col("listed") * 2 >= F.col("total_size")))
@@ -47,41 +52,52 @@ def walk(files: DataFrame, rules: K.RuleWords | None = None, archives: DataFrame
     A file that is a part of a trusted archive is shared out over that archive's members by their size, dated by their own times;
     one of an untrusted archive, and any tarball, is judged by name with its own date; every other file is dated by its oldest copy, wherever that lies.
     """
-    oldest = files.filter(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("modified").alias("oldest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    facts = files.select("folder").distinct().withColumn("facts", K.folder_facts(F.lower("folder"), rules))
-    rows = at_or_below(files, under).join(oldest, "content_hash", "left").join(facts, "folder").withColumn("low", F.lower("name")).withColumn("low_ext", paths.raw_extension(F.col("low")))
-    if archives is None:
-        rows = rows.withColumns({"archive_id": F.lit(None).cast("long"), "trusted": F.lit(None).cast("boolean")})
-        by_owner = F.lit(None).cast("string")
-    else:
-        trust = archive_trust(archives, members)
-        owners = part_owners(trust, parts).join(trust.select(F.col("id").alias("archive_id"), "trusted", F.lower("name").alias("a_name"), F.lower(F.coalesce("folder", F.lit(""))).alias("a_folder")), "archive_id")
-        rows = rows.withColumn("digest", F.lower("content_hash")).join(owners.withColumnRenamed("content_hash", "digest"), "digest", "left")
-        by_owner = K.archive_kind(K.folder_facts(F.col("a_folder"), rules), F.col("a_name"))
-    owned = F.col("archive_id").isNotNull()
-    # column by column, so that the long CASE stands in the plan once
-    judged = rows.filter(~F.coalesce("trusted", F.lit(False))).withColumn("own_kind", K.classify(F.col("facts"), F.col("low"), F.col("low_ext")))
-    kind = F.when(owned, by_owner).when((F.col("own_kind") == "vm") & F.col("facts.keep"), "vm_kept").otherwise(F.col("own_kind"))
-    judged = judged.withColumn("kind", kind).withColumn("named", owned | (F.col("kind") == "lf_mix") | F.col("low").rlike(K.TARLIKE))
-    loose = judged.select(
-        "folder", "size", F.when(F.col("named"), "name").otherwise("loose").alias("how"),
-        F.when(F.col("named"), F.col("modified")).otherwise(F.coalesce("oldest", "modified")).alias("date"),
-        F.explode_outer(K.shares(F.col("kind"))).alias("s"),  # never empty; outer, or its CASE would be pushed down as a filter
-    ).select("folder", F.col("s.kind").alias("kind"), (F.col("size") * F.col("s.share")).alias("size"), "how", "date")
+    # judged where they are read: folders and names are not shuffled for it, and a content is known by 128 bits of its hash
+    rows = at_or_below(files, under).withColumn("facts", K.folder_facts(F.lower("folder"), rules)).withColumn("low", F.lower("name"))
+    rows = rows.withColumn("own_kind", K.classify(F.col("facts"), F.col("low"), paths.raw_extension(F.col("low"))))
+    rows = rows.withColumn("kind", F.when((F.col("own_kind") == "vm") & F.col("facts.keep"), "vm_kept").otherwise(F.col("own_kind")))
+    named = (F.col("kind") == "lf_mix") | F.col("low").rlike(K.TARLIKE)
+    k1, k2 = content_key(F.col("content_hash"))
+    # files without a hash have no second key, so they meet nothing, and a first one that deals them out
+    rows = rows.select("folder", "size", "modified", "kind", named.alias("named"), F.coalesce(k1, F.xxhash64("folder", "name")).alias("k1"), k2.alias("k2"))
+    lower = [k.alias(n) for k, n in zip(content_key(F.lower("content_hash")), ("d1", "d2"))] if archives is not None else []
+    contents = files.filter(F.col("content_hash").isNotNull()).select(k1.alias("k1"), k2.alias("k2"), *lower, "modified").groupBy("k1", "k2").agg(F.min("modified").alias("oldest"), *[F.any_value(d).alias(d) for d in ("d1", "d2") if lower])
     if archives is None:
-        return loose
-    aside = rows.filter("trusted").groupBy("archive_id", "folder").agg(F.sum("size").alias("held"))
-    place = F.lower(F.concat(F.coalesce("a_folder", F.lit("")), F.lit("/"), F.col("a_name"), F.lit("::"), F.coalesce("dir", F.lit(""))))
-    inside = (
-        regular(members).join(trust.filter("trusted").select(F.col("id").alias("archive_id"), "listed", F.col("name").alias("a_name"), F.col("folder").alias("a_folder")), "archive_id")
-        .withColumns({"low": F.lower(F.substring_index("name", "/", -1)), "place": place})
-    )
-    places = inside.select("place").distinct().withColumn("facts", K.folder_facts(F.col("place"), rules))
-    kinds = inside.join(places, "place").withColumn("kind", K.classify(F.col("facts"), F.col("low")))
-    # members of one kind and date count together before they meet the archive's copies
-    grouped = kinds.groupBy("archive_id", "kind", "mtime", "listed").agg(F.sum("size").alias("size"))
-    shared = grouped.join(aside, "archive_id").withColumn("s", F.explode_outer(K.shares(F.col("kind"))))
-    return loose.unionByName(shared.select("folder", F.col("s.kind").alias("kind"), (F.col("held") * F.col("size") * F.col("s.share") / F.col("listed")).alias("size"), F.lit("members").alias("how"), F.col("mtime").alias("date")))
+        date = F.when(F.col("named"), F.col("modified")).otherwise(F.coalesce("oldest", "modified"))
+        return shared_by_kind(rows.join(contents, ["k1", "k2"], "left").select("folder", "kind", "size", F.when(F.col("named"), "name").otherwise("loose").alias("how"), date.alias("date")))
+    # members of one kind and date count together, from here on
+    each = archives.groupBy(F.col("id").alias("archive_id")).agg(F.max(F.struct(F.col("name").alias("a_name"), F.col("folder").alias("a_folder"))).alias("a"))
+    place = F.lower(F.concat(F.coalesce("a.a_folder", F.lit("")), F.lit("/"), F.col("a.a_name"), F.lit("::"), F.coalesce("dir", F.lit(""))))
+    inside = regular(members).select("archive_id", "dir", "name", "size", "mtime").join(each, "archive_id").withColumns({"low": F.lower(F.substring_index("name", "/", -1)), "facts": K.folder_facts(place, rules)})
+    grouped = stored(inside.withColumn("kind", K.classify(F.col("facts"), F.col("low"))).groupBy("archive_id", "kind", "mtime").agg(F.sum("size").alias("size")))
+    trust = _trust(archives, grouped)
+    by_name = K.archive_kind(K.folder_facts(F.lower(F.coalesce("folder", F.lit(""))), rules), F.lower("name"))
+    valid = parts.filter(values.hash_bytes(F.col("content_hash")).isNotNull()).select(F.col("archive_id").alias("id"), *lower)
+    owner = F.max_by(F.struct("id", "trusted", "by_name"), F.struct("trusted", "finished", "id")).alias("owner")
+    owners = valid.join(trust.select("id", "trusted", "finished", by_name.alias("by_name")), "id").groupBy("d1", "d2").agg(owner)
+    known = rows.join(contents.join(owners, ["d1", "d2"], "left").select("k1", "k2", "oldest", "owner"), ["k1", "k2"], "left")
+    owned = F.col("owner").isNotNull()
+    by_own = owned | F.col("named")
+    known = stored(known.select(
+        "folder", "size", F.when(owned, F.col("owner.by_name")).otherwise(F.col("kind")).alias("kind"), F.when(by_own, "name").otherwise("loose").alias("how"),
+        F.when(by_own, F.col("modified")).otherwise(F.coalesce("oldest", "modified")).alias("date"), F.when(F.col("owner.trusted"), F.col("owner.id")).alias("archive_id"),
+    ))
+    loose = shared_by_kind(known.filter("archive_id is null").drop("archive_id"))
+    aside = known.filter("archive_id is not null").groupBy("archive_id", "folder").agg(F.sum("size").alias("held"))
+    shared = grouped.join(aside, "archive_id").join(trust.select(F.col("id").alias("archive_id"), "listed").distinct(), "archive_id")
+    return loose.unionByName(shared_by_kind(shared.select("folder", "kind", (F.col("held") * F.col("size") / F.col("listed")).alias("size"), F.lit("members").alias("how"), F.col("mtime").alias("date"))))
+
+
+def content_key(content_hash: Column) -> tuple[Column, Column]:
+    """128 bits of a hash of whatever form, as two numbers; null for null."""
+    known = content_hash.isNotNull()
+    return F.when(known, F.xxhash64(content_hash)), F.when(known, F.xxhash64(F.lit("-"), content_hash))
+
+
+def shared_by_kind(rows: DataFrame) -> DataFrame:
+    """Rows of mixed kinds shared out over these."""
+    # never empty; outer, or its CASE would be pushed down as a filter
+    return rows.withColumn("s", F.explode_outer(K.shares(F.col("kind")))).select("folder", F.col("s.kind").alias("kind"), (F.col("size") * F.col("s.share")).alias("size"), "how", "date")
 
 
 def tally(rows: DataFrame, listed: int) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "stowage", master: str | None = None, **settings: str) -> SparkSession:
@@ -35,3 +36,13 @@ def work_dir(spark: SparkSession) -> str:
     if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
     return tempfile.mkdtemp(prefix="stowage-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the working folder and read back, for what is read more than once; it goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

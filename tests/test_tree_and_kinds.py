@@ -327,3 +327,12 @@ def test_tree_page_looks_inside_tarballs_and_refuses_bad_rules(spark, tmp_path):
     code, page = tree_page(spark, tmp_path, [("/R/t/a.tar", 1000, h)], "--archives", f"{tmp_path}/arch")
     assert code == 0 and "velocity models 100%" in page and "shared out over the members" in page and "judged by their names" not in page
     assert tree_page(spark, tmp_path, [("/R/t/a.tar", 1000, h)], "--rules", f"{tmp_path}/missing.toml")[0] == 2
+
+
+def test_walk_reads_folders_and_names_where_they_are(spark):
+    """Only contents are joined with a listing, never its folders; a file without a folder counts, and contents are told apart by case."""
+    listed = files(spark, [("/a/x.bb", 3, "h", 50), ("/b/y.bb", 4, "h", 20), ("/b/z.bb", 5, "H", 90), ("/c/n.bb", 6, None, 70)])
+    listed = listed.withColumn("folder", F.when(F.col("folder") != "/c", F.col("folder")))
+    walked = K.walk(listed)
+    assert walked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted((r["size"], r["date"]) for r in walked.collect()) == [(3, 20), (4, 20), (5, 90), (6, 70)]
