@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
+from ..session import stored
 from .reports import inside
 from .tree import folders_of, rollup, spread_up
 
@@ -170,11 +171,12 @@ def layout(files: DataFrame, figures: DataFrame, root: str, threshold: int, max_
     ladder = [threshold]
     for _ in range(64):
         ladder.append(max(ladder[-1] * 2, 1))
-    steps = F.array(*[F.lit(str(t)).cast("decimal(38,0)") for t in ladder])
+    figures = stored(figures)
 
     def level(size):
-        """Last step at which an entry of this size is shown; -1 for none."""
-        return F.size(F.filter(steps, lambda t: t <= size)) - 1
+        """Last step at which an entry of this size is shown; -1 for none.  Steps double, so it is a number of binary digits."""
+        whole = F.length(F.bin(F.call_function("div", size.cast("long"), F.lit(max(threshold, 1)))))
+        return F.when(size >= max(threshold, 1), whole - (1 if threshold > 0 else 0)).when(size >= threshold, 0).otherwise(-1)
 
     dirs = figures.filter(inside(figures, root)).withColumns({"parent": paths.parent(F.col("folder")), "level": level(F.col("size"))})
     dirs = dirs.withColumn("level", F.when(F.lower("folder") == root.lower(), len(ladder)).otherwise(F.col("level")))

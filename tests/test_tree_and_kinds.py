@@ -336,3 +336,27 @@ def test_walk_reads_folders_and_names_where_they_are(spark):
     walked = K.walk(listed)
     assert walked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert sorted((r["size"], r["date"]) for r in walked.collect()) == [(3, 20), (4, 20), (5, 90), (6, 70)]
+
+
+@pytest.mark.parametrize("threshold, max_rows, want", [(0, 100, 0), (0, 6, 4), (3, 100, 3), (3, 6, 6)])
+def test_layout_reads_figures_once_and_steps_are_exact(spark, threshold, max_rows, want):
+    listed = files(spark, [("/r/a/0", 0, None, 1), ("/r/a/1", 1, None, 1), ("/r/a/2", 2, None, 1), ("/r/a/3", 3, None, 1), ("/r/a/6", 6, None, 1), ("/r/a/11", 11, None, 1), ("/r/a/12", 12, None, 1)])
+    figures, seen = G.folder_figures(listed, NOW), spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    at_least, page = G.layout(listed, figures.mapInPandas(passed, figures.schema), "/r", threshold, max_rows)
+    shown = {r["name"] for r in page.filter("kind = 'file'").collect()}
+    assert seen.value == figures.count()
+    assert shown == {str(n) for n in (0, 1, 2, 3, 6, 11, 12) if n >= at_least} and at_least == want
+
+
+def test_counterparts_shuffle_spots_by_number(spark):
+    """A content's rows carry no paths of the places where its copies lie until they meet the few spots."""
+    listed = files(spark, [("/a/x/1", 5, "h", 1), ("/b/y/2", 5, "h", 1)])
+    found = G.counterparts(listed, spark.createDataFrame([("/a",)], "folder string"))
+    assert any("content_hash#" in line and "spot#" in line and "Aggregate [" in line and "place" not in line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert [tuple(r) for r in found.collect()] == [("/a", "/b", 5)]
