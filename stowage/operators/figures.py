@@ -101,9 +101,12 @@ def counterparts(files: DataFrame, chosen: DataFrame, floor: int = 1) -> DataFra
     # a copy right in a folder above a chosen one has no step of its own
     steps = F.concat(steps, F.array(F.struct(F.col("folder").alias("fork"), F.lit("").alias("step"), F.col("folder").alias("place"))))
     spots_of = folders.select("folder", F.explode(steps).alias("s")).select("folder", "s.*").join(forks.select("fork").distinct(), "fork", "left_semi")
-    spots = sized.select("content_hash", "folder").join(spots_of, "folder").select("content_hash", "fork", "step", "place").distinct()
+    # a spot and what it tells a chosen folder are few, and a content's rows have a number for the spot instead of three paths
+    spots_of = spots_of.withColumn("spot", F.xxhash64("fork", "step", "place"))
+    spots = sized.select("content_hash", "folder").join(spots_of.select("folder", "spot"), "folder").select("content_hash", "spot").distinct()
+    told = spots_of.select("spot", "fork", "step", "place").distinct().join(forks, "fork").filter("step <> next").select("spot", "mine", "place")
     credit = (
-        mine.join(forks, "mine").join(spots, ["content_hash", "fork"]).filter("step <> next")
+        mine.join(spots, "content_hash").join(told, ["spot", "mine"])
         .select("content_hash", "mine", "bytes", "place").distinct().groupBy("mine", "place").agg(F.sum("bytes").alias("bytes"))
     )
     best = Window.partitionBy("mine").orderBy(F.desc("bytes"), "place")
