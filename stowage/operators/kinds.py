@@ -27,11 +27,7 @@ def regular(members: DataFrame) -> DataFrame:
 
 def archive_trust(archives: DataFrame, members: DataFrame) -> DataFrame:
     """archives with ``listed`` bytes, ``finished`` and ``trusted``: a finished walk, or at least half the bytes listed, and any at all."""
-    return _trust(archives, regular(members))
-
-
-def _trust(archives: DataFrame, sized: DataFrame) -> DataFrame:
-    listed = sized.groupBy(F.col("archive_id").alias("id")).agg(F.sum("size").alias("listed"))
+    listed = regular(members).groupBy(F.col("archive_id").alias("id")).agg(F.sum("size").alias("listed"))
     known = archives.join(listed, "id", "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
     finished = F.col("state").isin(*FINISHED)
     trusted = (F.col("listed") > 0) & (finished | (F.col("listed") * 2 >= F.col("total_size")))
@@ -46,46 +42,64 @@ def part_owners(trust: DataFrame, parts: DataFrame) -> DataFrame:
     return ranked.groupBy("content_hash").agg(F.max_by("id", F.struct("trusted", "finished", "id")).alias("archive_id"))
 
 
-def walk(files: DataFrame, rules: K.RuleWords | None = None, archives: DataFrame | None = None, parts: DataFrame | None = None, members: DataFrame | None = None, under: str | None = None) -> DataFrame:
+def walk(
+    files: DataFrame, rules: K.RuleWords | None = None, archives: DataFrame | None = None, parts: DataFrame | None = None, members: DataFrame | None = None, under: str | None = None,
+    by_folder: bool = True, tasks: int | None = None,
+) -> DataFrame:
     """(folder, kind, size double, how, date): every byte of the listing once.
 
     A file that is a part of a trusted archive is shared out over that archive's members by their size, dated by their own times;
     one of an untrusted archive, and any tarball, is judged by name with its own date; every other file is dated by its oldest copy, wherever that lies.
+    Without ``by_folder`` there is no column ``folder``, for sums over a whole listing.  ``tasks``: among which archives and members are dealt,
+    where they are too many for the session's usual number.
     """
+    at = ["folder"] if by_folder else []
     # judged where they are read: folders and names are not shuffled for it, and a content is known by 128 bits of its hash
     rows = at_or_below(files, under).withColumn("facts", K.folder_facts(F.lower("folder"), rules)).withColumn("low", F.lower("name"))
     rows = rows.withColumn("own_kind", K.classify(F.col("facts"), F.col("low"), paths.raw_extension(F.col("low"))))
     rows = rows.withColumn("kind", F.when((F.col("own_kind") == "vm") & F.col("facts.keep"), "vm_kept").otherwise(F.col("own_kind")))
     named = (F.col("kind") == "lf_mix") | F.col("low").rlike(K.TARLIKE)
-    k1, k2 = content_key(F.col("content_hash"))
-    # files without a hash have no second key, so they meet nothing, and a first one that deals them out
-    rows = rows.select("folder", "size", "modified", "kind", named.alias("named"), F.coalesce(k1, F.xxhash64("folder", "name")).alias("k1"), k2.alias("k2"))
-    lower = [k.alias(n) for k, n in zip(content_key(F.lower("content_hash")), ("d1", "d2"))] if archives is not None else []
-    contents = files.filter(F.col("content_hash").isNotNull()).select(k1.alias("k1"), k2.alias("k2"), *lower, "modified").groupBy("k1", "k2").agg(F.min("modified").alias("oldest"), *[F.any_value(d).alias(d) for d in ("d1", "d2") if lower])
+    hashed = files.filter(F.col("content_hash").isNotNull())
     if archives is None:
+        k1, k2 = content_key(F.col("content_hash"))
+        # files without a hash have no second key, so they meet nothing, and a first one that deals them out
+        rows = rows.select(*at, "size", "modified", "kind", named.alias("named"), F.coalesce(k1, F.xxhash64("folder", "name")).alias("k1"), k2.alias("k2"))
+        contents = hashed.select(k1.alias("k1"), k2.alias("k2"), "modified").groupBy("k1", "k2").agg(F.min("modified").alias("oldest"))
         date = F.when(F.col("named"), F.col("modified")).otherwise(F.coalesce("oldest", "modified"))
-        return shared_by_kind(rows.join(contents, ["k1", "k2"], "left").select("folder", "kind", "size", F.when(F.col("named"), "name").otherwise("loose").alias("how"), date.alias("date")))
-    # members of one kind and date count together, from here on
-    each = archives.groupBy(F.col("id").alias("archive_id")).agg(F.max(F.struct(F.col("name").alias("a_name"), F.col("folder").alias("a_folder"))).alias("a"))
-    place = F.lower(F.concat(F.coalesce("a.a_folder", F.lit("")), F.lit("/"), F.col("a.a_name"), F.lit("::"), F.coalesce("dir", F.lit(""))))
-    inside = regular(members).select("archive_id", "dir", "name", "size", "mtime").join(each, "archive_id").withColumns({"low": F.lower(F.substring_index("name", "/", -1)), "facts": K.folder_facts(place, rules)})
-    grouped = stored(inside.withColumn("kind", K.classify(F.col("facts"), F.col("low"))).groupBy("archive_id", "kind", "mtime").agg(F.sum("size").alias("size")))
-    trust = _trust(archives, grouped)
+        return shared_by_kind(rows.join(contents, ["k1", "k2"], "left").select(*at, "kind", "size", F.when(F.col("named"), "name").otherwise("loose").alias("how"), date.alias("date")))
+    if tasks:
+        archives = archives.repartition(tasks, "id")
+    trust = archive_trust(archives, members)
     by_name = K.archive_kind(K.folder_facts(F.lower(F.coalesce("folder", F.lit(""))), rules), F.lower("name"))
-    valid = parts.filter(values.hash_bytes(F.col("content_hash")).isNotNull()).select(F.col("archive_id").alias("id"), *lower)
+    # parts have their hashes in either case: all meet by the lower one, dealt out once, and ``cased`` tells a listing's others apart
+    k1, k2 = content_key(F.lower("content_hash"))
+    cased = F.when(F.col("content_hash") != F.lower("content_hash"), F.xxhash64("content_hash")).otherwise(F.lit(0)).cast("long")
+    valid = parts.filter(values.hash_bytes(F.col("content_hash")).isNotNull()).select(F.col("archive_id").alias("id"), k1.alias("k1"), k2.alias("k2"))
     owner = F.max_by(F.struct("id", "trusted", "by_name"), F.struct("trusted", "finished", "id")).alias("owner")
-    owners = valid.join(trust.select("id", "trusted", "finished", by_name.alias("by_name")), "id").groupBy("d1", "d2").agg(owner)
-    known = rows.join(contents.join(owners, ["d1", "d2"], "left").select("k1", "k2", "oldest", "owner"), ["k1", "k2"], "left")
+    owners = valid.join(trust.select("id", "trusted", "finished", by_name.alias("by_name")), "id").groupBy("k1", "k2").agg(owner)
+    contents = hashed.select(k1.alias("k1"), k2.alias("k2"), cased.alias("c"), "modified").join(owners, ["k1", "k2"], "left").groupBy("k1", "k2", "c").agg(F.min("modified").alias("oldest"), F.any_value("owner").alias("owner"))
+    rows = rows.select(*at, "size", "modified", "kind", named.alias("named"), F.coalesce(k1, F.xxhash64("folder", "name")).alias("k1"), k2.alias("k2"), cased.alias("cased"))
+    # a third key would have both sides shuffled again; an equality over both sides is none
+    same = (rows["k1"] == contents["k1"]) & (rows["k2"] == contents["k2"]) & (F.col("cased").bitwiseXOR(F.col("c")) == 0)
     owned = F.col("owner").isNotNull()
     by_own = owned | F.col("named")
-    known = stored(known.select(
-        "folder", "size", F.when(owned, F.col("owner.by_name")).otherwise(F.col("kind")).alias("kind"), F.when(by_own, "name").otherwise("loose").alias("how"),
+    known = stored(rows.join(contents, same, "left").select(
+        *at, "size", F.when(owned, F.col("owner.by_name")).otherwise(F.col("kind")).alias("kind"), F.when(by_own, "name").otherwise("loose").alias("how"),
         F.when(by_own, F.col("modified")).otherwise(F.coalesce("oldest", "modified")).alias("date"), F.when(F.col("owner.trusted"), F.col("owner.id")).alias("archive_id"),
     ))
     loose = shared_by_kind(known.filter("archive_id is null").drop("archive_id"))
-    aside = known.filter("archive_id is not null").groupBy("archive_id", "folder").agg(F.sum("size").alias("held"))
-    shared = grouped.join(aside, "archive_id").join(trust.select(F.col("id").alias("archive_id"), "listed").distinct(), "archive_id")
-    return loose.unionByName(shared_by_kind(shared.select("folder", "kind", (F.col("held") * F.col("size") / F.col("listed")).alias("size"), F.lit("members").alias("how"), F.col("mtime").alias("date"))))
+    aside = known.filter("archive_id is not null").groupBy("archive_id", *at).agg(F.sum("size").alias("held"))
+    # only members of archives that hold something; those of one kind and date count together
+    each = archives.groupBy(F.col("id").alias("archive_id")).agg(F.max(F.struct(F.col("name").alias("a_name"), F.col("folder").alias("a_folder"))).alias("a")).join(aside, "archive_id", "left_semi")
+    inside = regular(members).select("archive_id", "dir", "name", "size", "mtime")
+    if tasks:
+        inside = inside.repartition(tasks, "archive_id")
+    place = F.lower(F.concat(F.coalesce("a.a_folder", F.lit("")), F.lit("/"), F.col("a.a_name"), F.lit("::"), F.coalesce("dir", F.lit(""))))
+    inside = inside.join(each, "archive_id").withColumns({"low": F.lower(F.substring_index("name", "/", -1)), "facts": K.folder_facts(place, rules)})
+    grouped = inside.withColumn("kind", K.classify(F.col("facts"), F.col("low"))).groupBy("archive_id", "kind", "mtime").agg(F.sum("size").alias("size"))
+    listed = regular(members).groupBy("archive_id").agg(F.sum("size").alias("listed"))
+    shared = grouped.join(aside.join(listed, "archive_id"), "archive_id")
+    return loose.unionByName(shared_by_kind(shared.select(*at, "kind", (F.col("held") * F.col("size") / F.col("listed")).alias("size"), F.lit("members").alias("how"), F.col("mtime").alias("date"))))
 
 
 def content_key(content_hash: Column) -> tuple[Column, Column]:
@@ -97,7 +111,7 @@ def content_key(content_hash: Column) -> tuple[Column, Column]:
 def shared_by_kind(rows: DataFrame) -> DataFrame:
     """Rows of mixed kinds shared out over these."""
     # never empty; outer, or its CASE would be pushed down as a filter
-    return rows.withColumn("s", F.explode_outer(K.shares(F.col("kind")))).select("folder", F.col("s.kind").alias("kind"), (F.col("size") * F.col("s.share")).alias("size"), "how", "date")
+    return rows.withColumn("s", F.explode_outer(K.shares(F.col("kind")))).select(*[c for c in rows.columns if c == "folder"], F.col("s.kind").alias("kind"), (F.col("size") * F.col("s.share")).alias("size"), "how", "date")
 
 
 def tally(rows: DataFrame, listed: int) -> DataFrame:

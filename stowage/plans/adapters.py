@@ -25,17 +25,17 @@ def tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // TASK_ROWS))
 
 
-def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as folders below /region/nation."""
-    t = lambda n: table(spark, sf_dir, n)
-    joined = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select("s_suppkey", F.concat(F.lit("/"), F.lower("r_name"), F.lit("/"), F.lower("n_name"), F.lit("/supplier"), F.col("s_suppkey").cast("string")).alias("folder"))
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by what their suppliers' folders begin with."""
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.select("n_nationkey", F.concat(F.lit("/"), F.lower("r_name"), F.lit("/"), F.lower("n_name"), F.lit("/supplier")).alias("above"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as files: (id, folder, name, ext, size, content_hash, modified)."""
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(folders(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    # one after the other: a join of suppliers has no estimate that lets it be broadcast, so the lines would be shuffled for it
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = joined.join(nations(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("folder", F.concat("above", F.col("s_suppkey").cast("string")))
     number = F.col("l_linenumber").cast("string")
     ending = F.when(F.col("l_linenumber") % 5 == 1, ".tar").when(F.col("l_linenumber") % 5 == 2, ".bb").when(F.col("l_linenumber") % 5 == 3, ".csv").when(F.col("l_linenumber") % 5 == 4, "").otherwise(".nc")
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), number, ending)
@@ -99,7 +99,8 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Orders as archives by the samples' names, of one part each, whose members are the samples."""
     content = F.concat_ws(":", F.col("l_partkey"), F.col("l_quantity").cast("long"))
-    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("archive_id")).agg(F.sha2(F.min(content), 256).alias("content_hash"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").repartition(tasks(spark, sf_dir, "lineitem"), "l_orderkey")
+    parts = lines.groupBy(F.col("l_orderkey").alias("archive_id")).agg(F.sha2(F.min(content), 256).alias("content_hash"))
     m, i = members(spark, sf_dir), F.call_function("div", F.col("size"), F.lit(100))
     return {
         "archives": archives(spark, sf_dir).withColumns({"name": sampled(F.col("id"), SAMPLE_ARCHIVES, 0), "folder": F.lit("/arch")}), "parts": parts,

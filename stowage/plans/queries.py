@@ -315,7 +315,7 @@ def shared_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.walk(sample_files(spark, sf_dir), SAMPLE_RULES, **sample_index(spark, sf_dir))
+    return K.walk(sample_files(spark, sf_dir), SAMPLE_RULES, **sample_index(spark, sf_dir), by_folder=False, tasks=tasks(spark, sf_dir, "lineitem"))
 
 
 @query(f"WITH {SAMPLE_ROWS_SQL} SELECT kind, how, strftime(make_timestamp(date * 1000000), '%Y-%m') AS month, CAST(round(sum(size)) AS BIGINT) AS size FROM rows_ GROUP BY 1, 2, 3")

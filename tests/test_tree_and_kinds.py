@@ -338,6 +338,50 @@ def test_walk_reads_folders_and_names_where_they_are(spark):
     assert sorted((r["size"], r["date"]) for r in walked.collect()) == [(3, 20), (4, 20), (5, 90), (6, 70)]
 
 
+def test_hashes_of_parts_and_files_meet_in_either_case(spark):
+    """A part's hash finds files in either case; dates go by the very text, and files without a hash are owned by nobody."""
+    h = "ab" * 32
+    listed = files(spark, [("/R/x.txt", 3, h, 50), ("/R/y.txt", 4, h.upper(), 20), ("/R/z.txt", 5, "q", 70), ("/R/u.txt", 6, "Q", 60), ("/R/v.txt", 7, "q", 30), ("/R/n.txt", 8, None, 10)])
+    for state, want in [("walking", [(3, "name", 50), (4, "name", 20)]), ("complete", [(3, "members", 1), (4, "members", 1)])]:
+        t = archive_tables(spark, 1000, state, [("", "a.txt", 400, 1)], [h.upper(), h])
+        rest = [(5, "loose", 30), (6, "loose", 60), (7, "loose", 30), (8, "loose", 10)]
+        got = K.walk(listed.withColumn("folder", F.concat("folder", F.lit("/"), "id")), None, *t)
+        assert rows(got, "size", "how", "date") == want + rest
+
+
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_walk_without_folders_has_the_same_sums(spark, tasks):
+    """Copies in two folders, archives that hold nothing, are unknown or have no members."""
+    n = 40
+    listed = files(spark, [(f"/R/{i % 3}/f{i}.{('tar', 'bb', 'x')[i % 3]}", i + 1, f"{i % 11:064x}" if i % 5 else None, i * 100) for i in range(n)])
+    a = spark.createDataFrame([(i, "x_lf.tar" if i % 2 else "vm.tar", "/A", ("complete", "walking")[i % 2], 100) for i in range(9)], "id long, name string, folder string, state string, total_size long")
+    p = spark.createDataFrame([(i % 12, f"{i % 8:064x}") for i in range(20)], "archive_id long, content_hash string")
+    m = spark.createDataFrame([(i % 7, "0", "d", f"m{i}.{('bb', 'csv')[i % 2]}", i, i * 10) for i in range(30)] + [(11, "0", "d", "m", 5, 5)], "archive_id long, type string, dir string, name string, size long, mtime long")
+    sums = lambda w: [(*r[:3], round(r[3], 6)) for r in rows(w.groupBy("kind", "how", "date").agg(F.sum("size").alias("size")).fillna(-1), "kind", "how", "date", "size")]
+    whole = K.walk(listed, None, a, p, m)
+    bare = K.walk(listed, None, a, p, m, by_folder=False, tasks=tasks)
+    assert bare.columns == ["kind", "size", "how", "date"] and sums(bare) == sums(whole)
+    assert round(sum(r[3] for r in sums(bare)), 6) == n * (n + 1) // 2 and {r[1] for r in sums(bare)} == {"loose", "name", "members"}
+
+
+def test_walk_with_archives_shuffles_a_file_once(spark):
+    """Files, their contents and members each go once through a shuffle; joins do not deal them out again, and lines find their supplier where they are."""
+    from stowage.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+
+    def written():
+        found = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): (found.apply(i).shuffleWriteRecords(), found.apply(i).shuffleWriteBytes() + found.apply(i).outputBytes()) for i in range(found.size())}
+
+    before = max(written(), default=-1)
+    QUERIES["kinds_indexed_older"](spark, sf).write.format("noop").mode("overwrite").save()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    records, sent = (sum(c) / lines for c in zip(*(v for k, v in written().items() if k > before)))
+    assert records < 5.5 and sent < 145
+
+
 @pytest.mark.parametrize("threshold, max_rows, want", [(0, 100, 0), (0, 6, 4), (3, 100, 3), (3, 6, 6)])
 def test_layout_reads_figures_once_and_steps_are_exact(spark, threshold, max_rows, want):
     listed = files(spark, [("/r/a/0", 0, None, 1), ("/r/a/1", 1, None, 1), ("/r/a/2", 2, None, 1), ("/r/a/3", 3, None, 1), ("/r/a/6", 6, None, 1), ("/r/a/11", 11, None, 1), ("/r/a/12", 12, None, 1)])
